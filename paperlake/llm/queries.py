@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paperlake.llm import decontam
+from paperlake.llm import decontam, hilbert, quality_rules, toolcalls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,9 +39,74 @@ FROM d LEFT JOIN hw USING (r) LEFT JOIN hi USING (r)
 """
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.rule_counts(_table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text AS given, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_BLANK}') AS w FROM documents),
+lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE regexp_matches(line, '[^ 	-]') GROUP BY r),
+win AS (SELECT r, i, list_slice(w, i, i + 2) AS win FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+rep AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + 3)) AS p FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS c FROM win) WHERE c > 1) GROUP BY r),
+norm AS (SELECT DISTINCT r, lw FROM (SELECT r, regexp_extract_all(lower(line), '{_BLANK}') AS lw FROM lines) WHERE len(lw) > 0),
+cnt AS (SELECT source, lw, count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), '')) AS c FROM norm JOIN d USING (r) GROUP BY ALL),
+hosts AS (SELECT source AS host, count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), '')) AS docs FROM d GROUP BY ALL),
+hot AS (SELECT source AS host, lw FROM cnt JOIN hosts ON host IS NOT DISTINCT FROM source WHERE c > {quality_rules.LINE_LEAST} AND c > docs * CAST({quality_rules.LINE_SHARE} AS DOUBLE)),
+lw AS (SELECT r, sum(len(lw)) AS line_words FROM norm GROUP BY r),
+lost AS (SELECT r, sum(len(lw)) AS lost_words FROM (SELECT r, source, lw FROM norm JOIN d USING (r)) n JOIN hot USING (lw) WHERE hot.host IS NOT DISTINCT FROM n.source GROUP BY r),
+o AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+ CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+ CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(line_words, 0) AS BIGINT) AS line_words, CAST(coalesce(lost_words, 0) AS BIGINT) AS lost_words
+ FROM d LEFT JOIN dup USING (r) LEFT JOIN rep USING (r) LEFT JOIN lw USING (r) LEFT JOIN lost USING (r))
+SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+ NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND line_words - lost_words >= line_words * CAST({quality_rules.KEEP_SHARE} AS DOUBLE) AS kept FROM o
+"""
+
+
+def op9_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    slim = docs.select(
+        "doc_id", "lang", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"), F.md5(text).alias("digest")
+    )
+    axes = [hilbert.category(F.col("source"), 4), hilbert.category(F.col("lang"), 4), hilbert.magnitude(F.shiftright("size", 4), 4)]
+    out = hilbert.shard_rows(slim, axes, F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), "digest")))
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = toolcalls.chat_calls(_table(spark, sf_dir, "conversations"))
+    return toolcalls.link_calls(calls, results, toolcalls.CHAT_SCHEMAS).withColumnRenamed("conv", "conv_id")
+
+
+OP10_SQL = """
+WITH RECURSIVE c AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
+r AS (SELECT conv_id, turn - 1 AS turn, text FROM conversations WHERE role = 'assistant'),
+asked AS (SELECT conv_id, turn, count(*) AS asked FROM c GROUP BY ALL),
+got AS (SELECT conv_id, turn, count(*) AS got FROM r GROUP BY ALL),
+dep AS (SELECT conv_id, turn, 0 AS depth FROM asked a WHERE NOT EXISTS (SELECT 1 FROM asked b WHERE b.conv_id = a.conv_id AND b.turn = a.turn - 2)
+ UNION ALL SELECT a.conv_id, a.turn, dep.depth + 1 FROM dep JOIN asked a ON a.conv_id = dep.conv_id AND a.turn = dep.turn + 2),
+e AS (SELECT *, CASE WHEN text IS NULL THEN 'missing:prompt' ELSE '' END AS errors FROM c)
+SELECT conv_id, 'c' || turn AS call_id, 'call' AS kind, CAST(2 * depth AS BIGINT) AS position,
+ CASE WHEN errors <> '' THEN 'invalid' WHEN asked > 1 THEN 'duplicate' WHEN got IS NULL THEN 'unanswered' ELSE 'ok' END AS status, errors,
+ '{"arguments":{' || CASE WHEN text IS NULL THEN '' ELSE '"prompt":' || CAST(to_json(text) AS VARCHAR) || ',' END || '"turn":' || turn || '},"id":"c' || turn || '","name":"ask","type":"call"}' AS message
+FROM e JOIN asked USING (conv_id, turn) JOIN dep USING (conv_id, turn) LEFT JOIN got USING (conv_id, turn)
+UNION ALL
+SELECT conv_id, 'c' || turn, 'result', CAST(2 * depth + 1 AS BIGINT), CASE WHEN asked IS NULL THEN 'orphan' WHEN got > 1 THEN 'duplicate' ELSE 'ok' END, '',
+ '{' || CASE WHEN text IS NULL THEN '' ELSE '"content":' || CAST(to_json(text) AS VARCHAR) || ',' END || '"id":"c' || turn || '","type":"result"}'
+FROM r LEFT JOIN asked USING (conv_id, turn) LEFT JOIN dep USING (conv_id, turn) LEFT JOIN got USING (conv_id, turn)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination}
+    return {
+        "op1_decontamination": op1_decontamination,
+        "op5_quality_rules": op5_quality_rules,
+        "op9_hilbert_sharding": op9_hilbert_sharding,
+        "op10_tool_calls": op10_tool_calls,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL}
+    return {"op1_decontamination": OP1_SQL, "op5_quality_rules": OP5_SQL, "op10_tool_calls": OP10_SQL}
