@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paperlake.llm import decontam, hilbert, quality_rules, toolcalls
+from paperlake.llm import bpe, decontam, hilbert, quality_rules, simhash, token_count, toolcalls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,7 +47,8 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text AS given, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_BLANK}') AS w FROM documents),
 lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
-dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE regexp_matches(line, '[^ 	-]') GROUP BY r),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE regexp_matches(line, '[^ 	-
+]') GROUP BY r),
 win AS (SELECT r, i, list_slice(w, i, i + 2) AS win FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
 rep AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + 3)) AS p FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS c FROM win) WHERE c > 1) GROUP BY r),
 norm AS (SELECT DISTINCT r, lw FROM (SELECT r, regexp_extract_all(lower(line), '{_BLANK}') AS lw FROM lines) WHERE len(lw) > 0),
@@ -99,9 +101,27 @@ FROM r LEFT JOIN asked USING (conv_id, turn) LEFT JOIN dep USING (conv_id, turn)
 """
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts from an empty cache of its own, so that every distinct text is encoded."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    out = token_count.count_tokens(_table(spark, sf_dir, "documents"), path, token_count.new_cache(spark))
+    return out.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
+        "op2_simhash": op2_simhash,
+        "op6_token_counts": op6_token_counts,
+        "op8_bpe": op8_bpe,
         "op5_quality_rules": op5_quality_rules,
         "op9_hilbert_sharding": op9_hilbert_sharding,
         "op10_tool_calls": op10_tool_calls,
