@@ -148,12 +148,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     if remove != "spans":
         raise ValueError(f"remove: {remove}")
     gap, word = r"[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]*", r"[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-    marked = docs.join(hit, same, "left").withColumn("__parts", F.when(F.col("spans").isNotNull(), F.expr(f"regexp_extract_all({text_col}, '{gap}{word}', 0)")))
+    packed = docs.select(F.struct(*docs.columns).alias("__doc"), F.col(id_col).alias("__key"), F.col(text_col).alias("__text"), text_digest(F.col(text_col)).alias("__own"))
+    marked = packed.join(hit, F.col("__key").eqNullSafe(F.col("__id")) & F.col("__own").eqNullSafe(F.col("__digest")), "left")
+    marked = marked.withColumn("__parts", F.when(F.col("spans").isNotNull(), F.expr(f"regexp_extract_all(__text, '{gap}{word}', 0)")))
     kept = F.expr("array_join(filter(__parts, (p, i) -> NOT exists(spans, s -> i >= s.start AND i < s.start + s.length)), '')")
-    tail = F.expr(f"regexp_extract({text_col}, '{gap}$', 0)")
-    return (
-        marked.withColumn("__kept", kept)
-        .where("spans IS NULL OR __kept <> ''")
-        .withColumn(text_col, F.when(F.col("spans").isNotNull(), F.concat("__kept", tail)).otherwise(F.col(text_col)))
-        .select(*docs.columns)
-    )
+    marked = marked.withColumn("__kept", kept).where("spans IS NULL OR __kept <> ''")
+    text = F.when(F.col("spans").isNotNull(), F.concat("__kept", F.expr(f"regexp_extract(__text, '{gap}$', 0)"))).otherwise(F.col("__text"))
+    return marked.select(*[text.alias(c) if c == text_col else F.col("__doc").getField(c).alias(c) for c in docs.columns])

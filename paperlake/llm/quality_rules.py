@@ -117,17 +117,14 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
         .groupBy(F.col("host").alias("__host"), F.col("id").alias("__id"), F.col("digest").alias("__digest"))
         .agg(F.collect_set(F.struct("line", "n")).alias("__lost"))
     )
-    same = F.col(host_col).eqNullSafe(F.col("__host")) & F.col(id_col).eqNullSafe(F.col("__id")) & text_digest(F.col(text_col)).eqNullSafe(F.col("__digest"))
-    distinct = f"array_distinct(transform(split(lower({text_col}), '\\n'), x -> array_remove(split(x, '{_GAP}'), '')))"
-    rest = f"filter(split({text_col}, '\\n'), x -> NOT array_contains(transform(__lost, l -> l.line), xxhash64(array_remove(split(lower(x), '{_GAP}'), ''))))"
-    good = docs.join(
-        base_counts(slim.withColumn("digest", text_digest(F.col("text")))).where("NOT base_failed")
-        .select(F.col("source").alias("__host"), F.col("id").alias("__id"), F.col("digest").alias("__digest")), same, "left_semi")
+    distinct = f"array_distinct(transform(split(lower(text), '\\n'), x -> array_remove(split(x, '{_GAP}'), '')))"
+    rest = f"filter(split(text, '\\n'), x -> NOT array_contains(transform(__lost, l -> l.line), xxhash64(array_remove(split(lower(x), '{_GAP}'), ''))))"
+    packed = docs.select(F.struct(*docs.columns).alias("__doc"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(host_col).alias("source"))
+    good = base_counts(packed).where("NOT base_failed").select("__doc", "id", "text", "source", text_digest(F.col("text")).alias("digest"))
+    same = F.col("source").eqNullSafe(F.col("__host")) & F.col("id").eqNullSafe(F.col("__id")) & F.col("digest").eqNullSafe(F.col("__digest"))
     marked = good.join(lost, same, "left").withColumn(
         "__words", F.when(F.col("__lost").isNotNull(), F.expr(f"aggregate({distinct}, 0L, (a, l) -> a + size(l))"))
     ).withColumn("__gone", F.expr("aggregate(__lost, 0L, (a, l) -> a + l.n)"))
-    return (
-        marked.where(F.col("__lost").isNull() | (F.col("__words") - F.col("__gone") >= F.col("__words") * keep_share))
-        .withColumn(text_col, F.when(F.col("__lost").isNull(), F.col(text_col)).otherwise(F.expr(f"array_join({rest}, '\\n')")))
-        .select(*docs.columns)
-    )
+    marked = marked.where(F.col("__lost").isNull() | (F.col("__words") - F.col("__gone") >= F.col("__words") * keep_share))
+    text = F.when(F.col("__lost").isNull(), F.col("text")).otherwise(F.expr(f"array_join({rest}, '\\n')"))
+    return marked.select(*[text.alias(c) if c == text_col else F.col("__doc").getField(c).alias(c) for c in docs.columns])

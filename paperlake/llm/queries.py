@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paperlake.llm import bpe, decontam, hilbert, quality_rules, simhash, token_count, toolcalls
+from paperlake.llm import bpe, decontam, hilbert, kn_quality, langid, license_scan, quality_rules, simhash, token_count, toolcalls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -116,12 +116,28 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kn_quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_simhash": op2_simhash,
         "op6_token_counts": op6_token_counts,
         "op8_bpe": op8_bpe,
+        "op3_license_scan": op3_license_scan,
+        "op4_language_id": op4_language_id,
+        "op7_quality_classifier": op7_quality_classifier,
         "op5_quality_rules": op5_quality_rules,
         "op9_hilbert_sharding": op9_hilbert_sharding,
         "op10_tool_calls": op10_tool_calls,

@@ -112,7 +112,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """The documents of the smallest id in each group, with all columns; of rows that share that id, the first by text.
+    """The documents of the smallest id in each group, with all columns; of rows that share that id, one.
 
     Documents with a null id stay if their whole group has none (then one of them).
     """
