@@ -1,19 +1,391 @@
-"""Named queries over the driver tables and their DuckDB counterparts."""
+"""Named queries over the driver tables and their DuckDB counterparts.
+
+No driver table has boxes, so layout queries use a view of `documents`: paragraphs in two
+columns of twenty lines a page, with integer boxes that both engines compute alike.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from paperlake.functions import text as T
+from paperlake.operators import chunks, evaluate, layout, qna, regions, search, segments
+from paperlake.plans import oracles
+
+TOP = 5
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = segments.paragraphs(_t(spark, sf_dir, "documents"))
+    return s.selectExpr(
+        "doc_id", "CAST(ord AS bigint) AS ord", "CAST(1 + ord div 40 AS bigint) AS page", "content", "CASE WHEN ord % 10 = 0 THEN 'Title' WHEN ord % 10 = 7 THEN 'table' WHEN ord % 10 = 9 THEN 'image_text' ELSE 'text' END AS type",
+        "CAST(50 + (ord % 2) * 600 AS bigint) AS x1", "CAST(40 * ((ord div 2) % 20) AS bigint) AS y1",
+        "CAST(50 + (ord % 2) * 600 + least(500, 5 * length(content)) AS bigint) AS x2", "CAST(40 * ((ord div 2) % 20) + 30 AS bigint) AS y2")
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    s = _layout(spark, sf_dir).withColumn("image", F.expr("doc_id * 1000 + page"))
+    truth = s.select("image", F.col("ord").alias("truth_id"), "type", "x1", "y1", "x2", "y2")
+    found = s.where("(doc_id + ord) % 11 <> 0").withColumn("model", F.explode(F.array(F.lit("m1"), F.lit("m2"))))
+    j = "(((doc_id * 31 + ord * 17) % 41) - 20) div IF(model = 'm1', 2, 1)"
+    return truth, found.selectExpr("image", "model", "ord AS det_id", f"x1 + {j} AS x1", f"y1 + {j} AS y1", f"x2 + {j} AS x2", f"y2 + {j} AS y2")
+
+
+def _outcome(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    truth, found = _boxes(spark, sf_dir)
+    return truth, found, evaluate.with_unmatched(truth, found, evaluate.iou_matches(truth, found, 6))
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+
+
+def _vector_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+
+
+def paragraph_segments(spark, d):
+    return segments.paragraphs(_t(spark, d, "documents")).select("doc_id", F.col("ord").cast("long").alias("ord"), "content")
+
+
+def segment_chunks(spark, d):
+    return chunks.segment_chunks(_layout(spark, d), 3, ("table",))
+
+
+def page_chunks(spark, d):
+    return chunks.page_chunks(_layout(spark, d))
+
+
+def typed_chunks_together(spark, d):
+    return chunks.typed_chunks(_layout(spark, d))
+
+
+def typed_chunks_separate(spark, d):
+    return chunks.typed_chunks(_layout(spark, d), together=False)
+
+
+def clean_replace_delimit(spark, d):
+    return segments.prepare(_layout(spark, d), [("the", "THE"), ("THEr", "ther")], " |").select("doc_id", "ord", "content")
+
+
+def title_merge(spark, d):
+    return segments.merge_titles(_layout(spark, d), ("text",))
+
+
+def bm25_stats(spark, d):
+    p = search.postings(_t(spark, d, "documents"))
+    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+def _bm25(spark, d):
+    return search.bm25(_t(spark, d, "documents"), _questions(spark, d))
+
+
+def bm25_topk(spark, d):
+    return search.top(_bm25(spark, d), TOP)
+
+
+def bm25_filtered_topk(spark, d):
+    docs = _t(spark, d, "documents")
+    fetched = search.top(_bm25(spark, d), search.fetch_size(50, TOP, docs.count()))
+    meta = docs.select(F.col("doc_id").alias("id"), "lang", F.create_map(F.lit("source"), "source").alias("custom_metadata"))
+    kept = fetched.drop("rank").join(meta, "id").where(search.metadata_equals({"lang": "en"})).select("qid", "id", "score")
+    return search.window_or_message(search.top(kept, TOP), _questions(spark, d), least=0.0)
+
+
+def _vectors(spark, d, **how):
+    return search.vector_scores(_t(spark, d, "embeddings"), _vector_questions(spark, d), **how)
+
+
+def vector_l2_topk(spark, d):
+    return search.top(_vectors(spark, d), TOP, ascending=True)
+
+
+def vector_normalized_topk(spark, d):
+    return search.window_or_message(search.top(_vectors(spark, d, normalize=True), TOP, ascending=True), _vector_questions(spark, d), 0.0, 1.0)
+
+
+def vector_root_topk(spark, d):
+    label = _t(spark, d, "embeddings").where("label = 1").select(F.col("vec_id").alias("id"))
+    return search.top(_vectors(spark, d, root=True).join(label, "id").select("qid", "id", "score"), TOP, ascending=True)
+
+
+def vector_prefilter_topk(spark, d):
+    fetched = search.top(_vectors(spark, d, normalize=True), 100, ascending=True).drop("rank")
+    label = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("l"), F.col("label").cast("string"), F.lit(" all")).alias("value"))
+    return search.top(fetched.join(label, "id").where(search.metadata_any_token(F.col("value"), ["l1", "l2"])).select("qid", "id", "score"), TOP, ascending=True)
+
+
+def vector_roundrobin(spark, d):
+    fetched = search.top(_vectors(spark, d, normalize=True), 100, ascending=True).drop("rank")
+    label = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("value"))
+    return search.round_robin(fetched.join(label, "id"), ["2", "0", "1"], TOP)
+
+
+def _hybrid(spark, d):
+    questions = _questions(spark, d)
+    sparse = search.top(search.bm25(_t(spark, d, "documents"), questions), 10)
+    vectors = _t(spark, d, "embeddings").select("vec_id", "embedding")
+    asked = vectors.join(F.broadcast(questions.select("qid")), F.col("vec_id") == F.col("qid")).select("qid", F.col("embedding").alias("qvec"))
+    return sparse, search.top(search.vector_scores(vectors, asked, normalize=True), 10, ascending=True)
+
+
+def hybrid_rrf(spark, d):
+    return search.rrf(list(_hybrid(spark, d)), TOP)
+
+
+def hybrid_merge(spark, d):
+    m = search.merge_results(*_hybrid(spark, d))
+    return m.select("qid", F.array_join(F.transform("sparse_ids", lambda x: x.cast("string")), ",").alias("sparse_ids"), F.array_join(F.transform("dense_ids", lambda x: x.cast("string")), ",").alias("dense_ids"))
+
+
+def column_islands(spark, d):
+    return segments.column_islands(_layout(spark, d))
+
+
+def segment_columns(spark, d):
+    s = _layout(spark, d)
+    return segments.assign_columns(s, segments.column_islands(s))
+
+
+def sequence_default(spark, d):
+    return segments.sequence(_layout(spark, d)).select("doc_id", "page", "ord", "sequence")
+
+
+def sequence_left_right(spark, d):
+    return segments.sequence(_layout(spark, d), "left-right").select("doc_id", "page", "ord", "sequence")
+
+
+def sequence_zigzag(spark, d):
+    return segments.sequence(_layout(spark, d), "zig-zag").select("doc_id", "page", "ord", "sequence")
+
+
+def _dims(s: DataFrame) -> DataFrame:
+    return s.groupBy("doc_id", "page").agg((F.max("y2") + 20).alias("height"))
+
+
+def header_footer_auto(spark, d):
+    s = _layout(spark, d)
+    return segments.header_footer_auto(s, _dims(s)).select("doc_id", "page", "ord", "role")
+
+
+def header_footer_manual(spark, d):
+    s = _layout(spark, d)
+    return segments.header_footer_manual(s, _dims(s), 0.2, 0.15).select("doc_id", "page", "ord", "role")
+
+
+def empty_line_marks(spark, d):
+    s = _layout(spark, d)
+    return segments.empty_line_marks(s.withColumn("column_seq", F.col("ord") % 2)).select("doc_id", "page", "ord", "content")
+
+
+def iou_match(spark, d):
+    return evaluate.iou_matches(*_boxes(spark, d), 6)
+
+
+def unmatched_truth(spark, d):
+    return _outcome(spark, d)[2]
+
+
+def confusion_matrix(spark, d):
+    return evaluate.confusion(_outcome(spark, d)[2], ["model"])
+
+
+def avg_overlap(spark, d):
+    return evaluate.average_overlap(_outcome(spark, d)[2], ["model"])
+
+
+def class_combo_metrics(spark, d):
+    truth, _, outcome = _outcome(spark, d)
+    classes = truth.select("image", "truth_id", "type", F.when(F.col("x2") - F.col("x1") > 300, "wide").otherwise("narrow").alias("width"))
+    return evaluate.confusion(outcome.join(classes, ["image", "truth_id"]), ["model", "type", "width"])
+
+
+def detector_report(spark, d):
+    truth, _, outcome = _outcome(spark, d)
+    return evaluate.class_report(outcome.join(truth.select("image", "truth_id", "type"), ["image", "truth_id"]), "type", "overlap", evaluate.FULL)
+
+
+def structure_report(spark, d):
+    parts = _t(spark, d, "part").select("p_brand", evaluate.accuracy_pct(F.col("p_size").cast("double") + F.col("p_partkey") % 3, F.col("p_size").cast("double")).alias("row_accuracy"))
+    return evaluate.class_report(parts, "p_brand", "row_accuracy", 90.0)
+
+
+def model_stats(spark, d):
+    return evaluate.model_stats(*_outcome(spark, d))
+
+
+def band_match(spark, d):
+    truth, found = _boxes(spark, d)
+    return evaluate.band_match(truth.where("truth_id % 4 = 0"), found.where("model = 'm1' AND det_id % 5 = 0").withColumnRenamed("det_id", "rec_id"), 60)
+
+
+def report_left_join(spark, d):
+    docs, labels = _t(spark, d, "documents"), _t(spark, d, "labels")
+    return docs.select("doc_id", "lang").join(labels.select("doc_id", "quality"), "doc_id", "left")
+
+
+def report_full_outer(spark, d):
+    docs, labels = _t(spark, d, "documents").select("doc_id", "lang", F.col("n_chars").alias("Quality")), _t(spark, d, "labels").where("doc_id % 3 <> 0")
+    return evaluate.full_outer_report(docs, labels.select("doc_id", "quality", "toxic"), ["doc_id"])
+
+
+def mean_scores(spark, d):
+    return _t(spark, d, "labels").agg(F.round(F.avg("quality"), 6).alias("quality"), F.round(F.avg("toxic"), 6).alias("toxic"), F.count("*").alias("n"))
+
+
+def majority_vote(spark, d):
+    v = _t(spark, d, "documents").select("source", "lang", "doc_id")
+    return evaluate.majority(v, ["source"], "lang", "doc_id")
+
+
+def _events(spark, d):
+    return _t(spark, d, "events")
+
+
+def metadata_schema(spark, d):
+    docs = _t(spark, d, "documents").select(F.map_from_entries(F.array(F.struct(F.concat(F.lit("lang_"), "lang").alias("k"), F.lit("1").alias("v")), F.struct(F.concat(F.lit("src_"), "source").alias("k"), F.lit("1").alias("v")))).alias("m"))
+    return qna.metadata_keys(docs, "m")
+
+
+def unique_metadata_keys(spark, d):
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.map_from_entries(F.array(F.struct(F.concat(F.lit("lang_"), "lang").alias("k"), F.lit("1").alias("v")), F.struct(F.concat(F.lit("src_"), "source").alias("k"), F.lit("1").alias("v")))).alias("m"))
+    return qna.unique_metadata_keys(search.top(_bm25(spark, d), TOP).join(docs, "id"), "m", 2)
+
+
+def context_assembly(spark, d):
+    conv = _t(spark, d, "conversations").select(F.col("conv_id").alias("qid"), (F.col("turn") + 1).alias("rank"), F.col("turn").alias("id"), F.col("text").alias("content"))
+    c = qna.contexts(conv, "[{id}] {content}\n", 3)
+    return c.select("qid", "context", F.array_join(F.transform("chunk_ids", lambda x: x.cast("string")), ",").alias("chunk_ids"))
+
+
+def context_lists(spark, d):
+    lines = F.filter(F.split("text", "\n"), lambda x: F.length(x) > 0)
+    docs = _t(spark, d, "documents").select("doc_id", lines.alias("l"))
+    return docs.select("doc_id", F.array_join(qna.context_list(F.col("l"), 2), "~").alias("joined"), F.array_join(qna.first_contexts(F.col("l"), 3), "~").alias("first"))
+
+
+def prompt_fill(spark, d):
+    return _questions(spark, d).select("qid", T.fill("Context: {context}\nQuestion: {question} ({question_count})", {"context": F.lower("question"), "question": F.col("question"), "question_count": F.length("question")}).alias("prompt"))
+
+
+_ANSWERS = "CASE conv_id % 4 WHEN 0 THEN concat('{\"score\": ', turn, '}') WHEN 1 THEN concat('so: ```json\n{\"score\": ', turn, '.5}\n```') WHEN 2 THEN concat('Score: ', turn) ELSE concat('I say ', turn, ' of them') END"
+
+
+def llm_scores(spark, d):
+    a = _t(spark, d, "conversations").select("conv_id", "turn", F.expr(_ANSWERS).alias("answer"))
+    return a.select("conv_id", "turn", T.json_score(F.col("answer")).alias("json_score"), T.free_score(F.col("answer")).alias("free_score"))
+
+
+def qna_blocks(spark, d):
+    c = _t(spark, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("n"))
+    text = F.expr("array_join(transform(sequence(0L, n), i -> concat('Type: t', i % 2, '\nQuestion: q', i, '\nAnswer: a', i, if(i % 3 = 0, '\nSource: s', ''))), '\n\n')")
+    return c.select("conv_id", F.posexplode(T.qna_blocks(text)).alias("pos", "b")).select("conv_id", F.col("pos").cast("long").alias("pos"), "b.*")
+
+
+def qna_numbering(spark, d):
+    return qna.number_questions(_t(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn"), "conv_id", "turn", "Q-", 10)
+
+
+def batch_report(spark, d):
+    rows = _t(spark, d, "orders").select("o_orderkey", F.to_json(F.struct(F.struct(F.col("o_orderstatus").alias("status"), F.array("o_custkey").alias("keys")).alias("meta"))).alias("j"))
+    return qna.report_paths(rows, "j", {"status": "$.meta.status", "customer": "$.meta.keys[0]", "missing": "$.meta.none"})
+
+
+def graph_nodes_edges(spark, d):
+    nations, regions_ = _t(spark, d, "nation"), _t(spark, d, "region")
+    nodes = qna.graph_nodes(nations, "Nation", F.col("n_name"), {"key": F.col("n_nationkey")}).unionByName(qna.graph_nodes(regions_, "Region", F.col("r_name"), {"key": F.col("r_regionkey")}))
+    edges = nations.join(regions_, F.col("n_regionkey") == F.col("r_regionkey")).select(F.lit("IN").alias("type"), F.col("n_name").alias("source"), F.col("r_name").alias("target"))
+    return qna.graph_statements(nodes, edges)
+
+
+def request_filter(spark, d):
+    p = _t(spark, d, "pages").select("page_id", "url", F.md5("url").alias("claim")).where(~F.col("url").endswith(".zip"))
+    return p.withColumn("n", F.row_number().over(Window.partitionBy("claim").orderBy("page_id"))).where("n = 1").select("page_id", "url", "claim")
+
+
+def region_tokens(spark, d):
+    s = _layout(spark, d)
+    r = s.where("ord % 8 = 0").selectExpr("ord AS region_id", "doc_id", "page", "CAST(0 AS bigint) AS x1", "y1 - 10 AS y1", "CAST(900 AS bigint) AS x2", "y2 + 40 AS y2")
+    return regions.tokens_within(s, r)
+
+
+def outside_tokens(spark, d):
+    s = _layout(spark, d)
+    r = s.where("ord % 8 = 0").selectExpr("ord AS region_id", "doc_id", "page", "CAST(0 AS bigint) AS x1", "y1 - 10 AS y1", "CAST(900 AS bigint) AS x2", "y2 + 40 AS y2")
+    return regions.tokens_outside(s, r).select("doc_id", "page", "ord")
+
+
+def nearest_right(spark, d):
+    return regions.nearest(_layout(spark, d), "right", 0.5)
+
+
+def nearest_below(spark, d):
+    return regions.nearest(_layout(spark, d), "bottom")
+
+
+def anchor_regions(spark, d):
+    s = _layout(spark, d)
+    return regions.anchor_regions(s.where("type = 'Title'"), s.where("type = 'image_text'"))
+
+
+def region_subtraction(spark, d):
+    s = _layout(spark, d)
+    r = s.groupBy("doc_id", "page").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2")).withColumn("region_id", F.col("page"))
+    return regions.subtract(r, s.where("type = 'table'").select("doc_id", "page", "y1", "y2"))
+
+
+def overlap_dedup(spark, d):
+    s = _layout(spark, d).withColumn("y2", F.col("y2") + (F.col("ord") % 3) * 10)
+    return layout.drop_overlaps(s).select("doc_id", "page", "ord")
+
+
+def adjacent_merge(spark, d):
+    return layout.merge_adjacent(_layout(spark, d), 12).drop("content")
+
+
+def phrase_build(spark, d):
+    w = _layout(spark, d).selectExpr("doc_id", "page", "ord", "substr(content, 1, 12) AS content", "x1 + (ord % 40) * 7 AS x1", "y1", "x1 + (ord % 40) * 7 + 60 AS x2", "y2")
+    return layout.phrases(w).drop("content")
+
+
+def character_chunks(spark, d):
+    return chunks.character_chunks(chunks.page_chunks(_layout(spark, d)), 500)
+
+
+def greedy_match(spark, d):
+    return evaluate.greedy_matches(*_boxes(spark, d))
+
+
+def grid_scores(spark, d):
+    rows = _t(spark, d, "nation").selectExpr("n_nationkey AS pair_id", "array(array(n_name, CAST(n_regionkey AS string)), array('x', 'y')) AS truth", "array(array(substr(n_name, 1, 4), CAST(n_regionkey AS string)), array('x', 'z')) AS found")
+    return layout.grid_scores(rows)
+
+
+_ALL = [
+    paragraph_segments, segment_chunks, page_chunks, typed_chunks_together, typed_chunks_separate, clean_replace_delimit, title_merge, bm25_stats, bm25_topk, bm25_filtered_topk,
+    vector_l2_topk, vector_normalized_topk, vector_root_topk, vector_prefilter_topk, vector_roundrobin, hybrid_rrf, hybrid_merge, column_islands, segment_columns, sequence_default,
+    sequence_left_right, sequence_zigzag, header_footer_auto, header_footer_manual, empty_line_marks, iou_match, unmatched_truth, confusion_matrix, avg_overlap, class_combo_metrics,
+    detector_report, structure_report, model_stats, band_match, report_left_join, report_full_outer, mean_scores, majority_vote, metadata_schema, unique_metadata_keys, context_assembly,
+    context_lists, prompt_fill, llm_scores, qna_blocks, qna_numbering, batch_report, graph_nodes_edges, request_filter, region_tokens, outside_tokens, nearest_right, nearest_below,
+    anchor_regions, region_subtraction, overlap_dedup, adjacent_merge, phrase_build, character_chunks, greedy_match, grid_scores,
+]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in oracles.SQL.items() if k in queries()}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Hybrid retrieval: keyword and vector ranks of every benchmark question, fused."""
+    return hybrid_rrf(spark, sf_dir)
