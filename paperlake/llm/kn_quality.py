@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from paperlake.llm.common import checkpoint, repeat_rows, text_digest
 
@@ -32,6 +33,7 @@ BROADCAST_IDS = 2_000_000
 #: The table of log probabilities is broadcast up to this many rows.
 BROADCAST_GRAMS = 2_000_000
 _PIECE = 1 << 20
+_ROWS = 256
 _MARKS = ".,;:!?'\"()-|#$%&*<>@/_=+"
 _START = 0
 _DOCUMENT = -1
@@ -76,19 +78,28 @@ def _counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np
 
 
 def _totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    total: list[tuple[np.ndarray, np.ndarray]] = []
+    fresh: list[np.ndarray] = []
     size = 0
+
+    def fold() -> None:
+        nonlocal size
+        if fresh:
+            g, n = np.unique(np.concatenate(fresh), return_counts=True)
+            total[:] = [_counted([*total, (g, n)])]
+            fresh.clear()
+            size = 0
+
     for pdf in batches:
         for text in pdf["text"]:
             for g in grams(text or ""):
-                held.append((g, np.ones(len(g), dtype=np.int64)))
+                fresh.append(g)
                 size += len(g)
-                if size > 4 * _PIECE:
-                    held = [_counted(held)]
-                    size = len(held[0][0])
-    if held:
-        g, n = _counted(held)
-        yield pd.DataFrame({"g": g, "n": n})
+                if size > _PIECE:
+                    fold()
+    fold()
+    if total:
+        yield pd.DataFrame({"g": total[0][0], "n": total[0][1]})
 
 
 def _present(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,20 +156,24 @@ def log_probabilities(counts: DataFrame, wanted: DataFrame) -> DataFrame:
 def perplexities(docs: DataFrame, model: DataFrame, prior: float, rows: int, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns of keep (which must tell texts apart), copies, n_chars and perplexity, once for each distinct row."""
 
-    @F.pandas_udf("array<bigint>")
-    def counted(texts: pd.Series) -> pd.Series:
-        out = []
-        for text in texts:
-            parts = [np.unique(g, return_counts=True) for g in grams(text or "")]
-            g, n = parts[0] if len(parts) == 1 else _counted(parts) if parts else (np.empty(0, np.int64), np.empty(0, np.int64))
-            out.append(np.concatenate([[np.int64(_DOCUMENT) << 32 | 1], g.astype(np.int64) << 32 | n.astype(np.int64)]))
-        return pd.Series(out)
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for a in range(0, len(pdf), _ROWS):  # small frames, since the counts outweigh the texts
+                part = pdf.iloc[a : a + _ROWS]
+                out = []
+                for text in part["__text"]:
+                    parts = [np.unique(g, return_counts=True) for g in grams(text or "")]
+                    g, n = parts[0] if len(parts) == 1 else _counted(parts) if parts else (np.empty(0, np.int64), np.empty(0, np.int64))
+                    out.append(np.concatenate([[np.int64(_DOCUMENT) << 32 | 1], g.astype(np.int64) << 32 | n.astype(np.int64)]))
+                yield part.drop(columns="__text").assign(x=out)
 
     one = docs.sparkSession.range(1).selectExpr(f"{_DOCUMENT} AS g", "0.0D AS lp")
     table = model.unionByName(one)
     if rows <= BROADCAST_GRAMS:
         table = F.broadcast(table)
-    each = docs.select(*keep, F.explode(counted(F.col(text_col))).alias("x")).select(*keep, F.shiftright("x", 32).cast("int").alias("g"), F.col("x").bitwiseAND((1 << 32) - 1).alias("n"))
+    schema = StructType([*docs.select(*keep).schema.fields, StructField("x", ArrayType(LongType()))])
+    each = docs.select(*keep, F.col(text_col).alias("__text")).mapInPandas(counted, schema)
+    each = each.select(*keep, F.explode("x").alias("x")).select(*keep, F.shiftright("x", 32).cast("int").alias("g"), F.col("x").bitwiseAND((1 << 32) - 1).alias("n"))
     n = F.when(F.col("g") >= 0, F.col("n")).otherwise(0)
     sums = each.join(table, "g").groupBy(*keep).agg(
         F.sum(F.when(F.col("g") < 0, 1).otherwise(0)).alias("copies"), F.sum(n).alias("n_all"), F.sum(n * F.col("lp")).alias("lp"))
@@ -182,7 +197,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     mine = slim.join(F.broadcast(trusted) if few else trusted, F.col("id") == F.col("__t"), "left_semi")
     measured = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(HELD_OUT)) == 0
     counts = checkpoint(gram_counts(mine.where(~measured).select("text")))
-    wanted = slim.select("text").mapInPandas(_present, "g int").distinct()
+    wanted = checkpoint(slim.select("text").mapInPandas(_present, "g int").distinct())
     model = checkpoint(log_probabilities(counts, wanted))
     rows = model.count()
     mean = counts.join(model, "g").agg((F.sum(F.col("n") * F.col("lp")) / F.sum("n")).alias("m")).first()["m"]

@@ -8,9 +8,9 @@ documents, so that groups of copies, few beside their host, are left to deduplic
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from paperlake.llm.common import SPACE_GAP, pieces, text_digest
+from paperlake.llm.common import text_digest
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
@@ -21,8 +21,8 @@ _HAS_WORD = r"[^\\x20\\x09-\\x0D]"
 _GAP = r"[\\x20\\x09-\\x0D]+"
 
 
-def _repeat_words() -> Column:
-    """Words in three-word windows that come twice or more; equal 64-bit hashes count as equal windows."""
+def _repeat_words() -> str:
+    """Words in three-word windows that come twice or more, of the array w; equal 64-bit hashes count as equal windows."""
     hashes = "if(size(w) < 3, CAST(array() AS array<bigint>), transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2])))"
     dups = "transform(filter(s, (e, k) -> e.x = get(s, k - 1).x OR e.x = get(s, k + 1).x), e -> e.i)"
     cover = (
@@ -30,27 +30,26 @@ def _repeat_words() -> Column:
         "'upto', greatest(a.upto, i + 3), 'n', a.n + i + 3 - greatest(a.upto, i)), a -> a.n)"
     )
     among = f"transform(array(sort_array(transform(h, (x, i) -> named_struct('x', x, 'i', i)))), s -> {cover})[0]"
-    return F.expr(f"transform(array({hashes}), h -> if(size(array_distinct(h)) = size(h), 0, {among}))[0]")
+    return f"transform(array({hashes}), h -> if(size(array_distinct(h)) = size(h), 0, {among}))[0]"
 
 
 def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed added; null texts count as empty."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = f"filter(split(__text, '\\n'), x -> x RLIKE '{_HAS_WORD}')"
-    cols = docs.columns
-    return (
-        docs.withColumn("__text", text)
-        .withColumn("w", pieces(F.col("__text"), SPACE_GAP))
-        .select(
-            *cols,
-            F.size("w").cast("long").alias("n_words"),
-            F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"),
-            (F.size(F.split("__text", r"[#*$%&|<>]", -1)) - 1).cast("long").alias("n_symbols"),
-            F.expr(f"transform(array({lines}), l -> size(l) - size(array_distinct(l)))[0]").cast("long").alias("n_dup_lines"),
-            _repeat_words().cast("long").alias("n_repeat_words"),
-        )
-        .withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")))
+    """The documents with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed added; null texts count as empty.
+
+    Words are bound once, by a lambda: a filter on these counts may be pushed below, and must not split the text anew for each word.
+    """
+    text = f"coalesce({text_col}, '')"
+    lines = f"filter(split({text}, '\\n'), x -> x RLIKE '{_HAS_WORD}')"
+    fields = (
+        "named_struct('n_words', CAST(size(w) AS bigint), 'word_chars', CAST(char_length(array_join(w, '')) AS bigint), "
+        f"'n_symbols', CAST(size(split({text}, '[#*$%&|<>]', -1)) - 1 AS bigint), "
+        f"'n_dup_lines', CAST(transform(array({lines}), l -> size(l) - size(array_distinct(l)))[0] AS bigint), "
+        f"'n_repeat_words', CAST({_repeat_words()} AS bigint))"
     )
+    whole = f"named_struct('c', c, 'failed', c.n_words < {MIN_WORDS} OR 100 * c.n_repeat_words > {REPEAT_PERCENT} * c.n_words)"
+    words = f"array_remove(split({text}, '{_GAP}'), '')"
+    counted = docs.withColumn("__b", F.expr(f"transform(transform(array({words}), w -> {fields}), c -> {whole})[0]"))
+    return counted.select(*docs.columns, "__b.c.n_words", "__b.c.word_chars", "__b.c.n_symbols", "__b.c.n_dup_lines", "__b.c.n_repeat_words", F.col("__b.failed").alias("base_failed"))
 
 
 def host_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
