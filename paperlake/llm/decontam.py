@@ -79,7 +79,7 @@ def find_windows(docs: DataFrame, id_col: str, text_col: str, windows: DataFrame
     for g in grams:
         at += f" WHEN {g.length} THEN (pos - ({before})) * {g.stride} - back"
         before += f" + {g.count()}"
-    at = f"CAST({at} ELSE -1 END AS int)"
+    at = f"CAST({at} ELSE -1 END AS int)" if grams else "-1"
     toks = docs.select(F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("digest"), words(F.col(text_col)).alias("w"))
     rows = toks.select("id", "digest", "w", F.posexplode(F.expr(f"concat({', '.join(keys)})")).alias("pos", "key"))
     there = "(length = 0 AND pos = 0) OR (length > 0 AND pos > 0 AND {at} >= 0 AND slice(w, {at} + 1, length) = win)".format(at=f"({at})")
