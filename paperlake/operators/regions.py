@@ -72,7 +72,7 @@ def hocr_tokens(pages: DataFrame, text_col: str = "text") -> DataFrame:
     parts = [F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(i)) for i in range(1, 7)]
     rest = [c for c in pages.columns if c != text_col]
     z = pages.select(*rest, F.posexplode(F.arrays_zip(*[p.alias(f"g{i}") for i, p in enumerate(parts)])).alias("ord", "z"))
-    g = [F.col(f"z.{i}") for i in range(6)]
+    g = [F.col(f"z.g{i}") for i in range(6)]
     x, y, x2, y2, conf = (c.cast("long") for c in g[:5])
     return z.select(*rest, "ord", F.lit("word").alias("kind"), F.regexp_replace(g[5], "<[^>]*>", "").alias("text"), x.alias("x"), y.alias("y"), (x2 - x).alias("w"), (y2 - y).alias("h"), conf.alias("conf"))
 
