@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType
 
-from paperlake.llm.common import checkpoint
+from paperlake.llm.common import checkpoint, text_digest
 from paperlake.llm.components import components
 from paperlake.llm.golay import KEYS, near_codewords
 
@@ -93,30 +93,37 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return kept.join(asked.hint("merge"), "key").where(near).select("u", "v").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """One row per document row: id, fingerprint (16 hex digits), component_id (the smallest id reachable).
-
-    Null texts, and those without words, have fingerprint zero and are linked like any other; null ids take
-    part and get the component of the others (null if all are null); equal rows stay; other columns are not read.
-    """
-    prints = checkpoint(docs.select(F.col(id_col).alias("id"), fingerprints(F.col(text_col)).alias("fp")))
+def _classified(docs: DataFrame, id_col: str, text_col: str, max_bits: int, with_digest: bool = False) -> DataFrame:
+    """Rows (id, fp, component_id), and each text's digest if asked for."""
+    digest = [text_digest(F.col(text_col)).alias("digest")] if with_digest else []
+    prints = checkpoint(docs.select(F.col(id_col).alias("id"), fingerprints(F.col(text_col)).alias("fp"), *digest))
     classes = prints.groupBy("fp").agg(F.min("id").alias("least"))
     comp = components(fingerprint_links(classes.select("fp"), max_bits))
     named = classes.join(comp, classes.fp == comp.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     named = checkpoint(named)
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = named.join(least, "component").select(F.col("fp").alias("__fp"), "component_id")
-    return prints.join(classes, F.col("fp") == F.col("__fp")).select(
+    return prints.join(classes, F.col("fp") == F.col("__fp")).drop("__fp")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+    """One row per document row: id, fingerprint (16 hex digits), component_id (the smallest id reachable).
+
+    Null texts, and those without words, have fingerprint zero and are linked like any other; null ids take
+    part and get the component of the others (null if all are null); equal rows stay; other columns are not read.
+    """
+    return _classified(docs, id_col, text_col, max_bits).select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """The documents of the smallest id in each group, with all columns; of rows that share that id, one.
+    """The documents of the smallest id in each group, with all columns; of a group's rows that share that id, one.
 
-    Documents with a null id stay if their whole group has none (then one of them).
+    Groups whose ids are all null are one to this: one of their rows stays. An id that comes with several texts
+    stands for the group in which it is the smallest, with the text that is in it.
     """
-    found = near_duplicates(docs, id_col, text_col, max_bits)
-    keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
-    kept = docs.join(keep, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates([id_col])
+    found = _classified(docs, id_col, text_col, max_bits, with_digest=True)
+    keep = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id"), F.col("digest").alias("__digest")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & text_digest(F.col(text_col)).eqNullSafe(F.col("__digest"))
+    return docs.join(keep, same, "left_semi").dropDuplicates([id_col])

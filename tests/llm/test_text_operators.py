@@ -115,6 +115,8 @@ def test_near_duplicates(spark, docs):
     for g, (i, _) in zip(group, mine):
         least[g] = min((x for x in (least.get(g), i) if x is not None), default=None)
     assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in got) == Counter((i, f"{p:016x}", least[g]) for (i, _), p, g in zip(mine, prints, group))
+    twice = spark.createDataFrame([(1, "one two three four"), (5, "one two three four"), (5, "quite another text it is"), (5, "quite another text it is")], "doc_id long, text string")
+    assert sorted(simhash.keep_one(twice).collect()) == [(1, "one two three four"), (5, "quite another text it is")]
     kept = simhash.keep_one(docs.where("doc_id IS NOT NULL"))
     assert kept.columns == docs.columns and kept.count() == len(set(group[k] for k, (i, _) in enumerate(mine) if i is not None))
 
