@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Regex, normalizers, pre_tokenizers
 
+from paperlake.llm.common import text_batches
+
 #: Words whose ids a process keeps; beyond it the store starts anew. About 100 MB.
 CACHE_WORDS = 300_000
 _CACHED_CHARS = 64
@@ -244,6 +246,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         t = tokenizer(path)
         return pd.Series([b"".join(t.encode(x)) for x in texts])
 
+    text_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias(id_col), encode(F.col(text_col)).alias("ids")).withColumn(
         "n_tokens", (F.octet_length("ids") / 4).cast("long")
     )
@@ -257,6 +260,7 @@ def decode_ids(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: s
         t = tokenizer(path)
         return pd.Series([b"".join(t.decode([x or b""])).decode() for x in ids])
 
+    text_batches(encoded.sparkSession)
     return encoded.select(F.col(id_col).alias(id_col), decode(F.col(ids_col)).alias("text"))
 
 
@@ -285,4 +289,5 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             out.append((n, ids.hexdigest(), text.hexdigest()))
         return pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
+    text_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias(id_col), measure(F.col(text_col)).alias("m")).select(id_col, "m.*")

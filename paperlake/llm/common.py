@@ -10,6 +10,9 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Everything that is no part of an alphanumeric word, and everything that is white space.
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPACE_GAP = r"[\x20\x09-\x0D]+"
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 512
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 
 def ascii_lower(text: Column) -> Column:
@@ -44,6 +47,12 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Texts may be long, so Arrow batches get fewer rows than by default; a session's own setting stays."""
+    if spark.conf.get(_BATCH) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with files in the shared folder, which outlive any executor."""
     shared_dir(df.sparkSession)

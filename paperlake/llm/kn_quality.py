@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from paperlake.llm.common import checkpoint, repeat_rows, text_digest
+from paperlake.llm.common import checkpoint, repeat_rows, text_batches, text_digest
 
 ORDER, BITS = 4, 6
 QUANTILE = 0.999
@@ -191,6 +191,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     that of all languages, and without trusted text every text is kept. Null and empty texts have 0 characters and are not kept. Null languages are one
     language; null ids are never trusted; equal rows stay; other columns are not read; an empty table gives none.
     """
+    text_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     trusted = labels.where(F.col(quality_col) == 1).select(F.col(id_col).alias("__t")).where("__t IS NOT NULL").distinct()
     few = trusted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS

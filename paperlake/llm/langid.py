@@ -16,6 +16,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from paperlake.llm.common import text_batches
+
 GROUP = 4
 WINDOW = 128  # bytes
 #: Labelled documents for each language that training may see, at most, and languages.
@@ -196,6 +198,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     Null texts and texts without a letter are `und` with score 0, and so is everything if no language was
     learned. A null id is not held out. Equal rows stay; other columns are not read; an empty table gives none.
     """
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")

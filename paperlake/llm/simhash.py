@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType
 
-from paperlake.llm.common import checkpoint, text_digest
+from paperlake.llm.common import checkpoint, text_batches, text_digest
 from paperlake.llm.components import components
 from paperlake.llm.golay import KEYS, near_codewords
 
@@ -95,6 +95,7 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 def _classified(docs: DataFrame, id_col: str, text_col: str, max_bits: int, with_digest: bool = False) -> DataFrame:
     """Rows (id, fp, component_id), and each text's digest if asked for."""
+    text_batches(docs.sparkSession)
     digest = [text_digest(F.col(text_col)).alias("digest")] if with_digest else []
     prints = checkpoint(docs.select(F.col(id_col).alias("id"), fingerprints(F.col(text_col)).alias("fp"), *digest))
     classes = prints.groupBy("fp").agg(F.min("id").alias("least"))

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from paperlake.llm.common import shared_dir
+from paperlake.llm.common import shared_dir, text_batches
 
 _PIECE = 1 << 17
 _BETWEEN = re.compile(r"(?<=[^\W\d_]) (?=[^\W\d_])")
@@ -106,6 +106,7 @@ def count_tokens(docs: DataFrame, path: str, cache: str, id_col: str = "doc_id",
     an empty table gives none.
     """
     spark, v = docs.sparkSession, version(path)
+    text_batches(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias(id_col), F.octet_length(text).cast("long").alias("n_bytes"), content_digest(F.col(text_col)).alias("digest"))
 
