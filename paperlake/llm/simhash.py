@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType
 
 from paperlake.llm.common import checkpoint, text_batches, text_digest
@@ -118,6 +118,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def _row_key(i: Column, digest: Column) -> Column:
+    """An id and a text's digest as one string that is never null."""
+    return F.concat(F.coalesce(digest, F.lit("-")), F.coalesce(F.concat(F.lit(":"), i.cast("string")), F.lit("")))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """The documents of the smallest id in each group, with all columns; of a group's rows that share that id, one.
 
@@ -125,6 +130,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     stands for the group in which it is the smallest, with the text that is in it.
     """
     found = _classified(docs, id_col, text_col, max_bits, with_digest=True)
-    keep = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id"), F.col("digest").alias("__digest")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & text_digest(F.col(text_col)).eqNullSafe(F.col("__digest"))
-    return docs.join(keep, same, "left_semi").dropDuplicates([id_col])
+    mine = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id").agg(F.min(F.struct(F.col("digest").isNull(), "digest")).alias("d"))
+    keep = mine.select(_row_key(F.col("id"), F.col("d.digest")).alias("__keep"))
+    keyed = docs.withColumn("__row", _row_key(F.col(id_col), text_digest(F.col(text_col))))
+    # rows meet and are told apart by one key, so the texts are shuffled once
+    return keyed.join(keep, F.col("__row") == F.col("__keep"), "left_semi").dropDuplicates(["__row"]).drop("__row")
