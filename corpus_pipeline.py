@@ -15,8 +15,8 @@ MIN_LANGUAGE_SCORE = 0.5
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules, without the lines that too many documents of their host share."""
-    return quality_rules.clean(docs)
+    """Documents that pass the rules, without the lines that too many different texts of their host share."""
+    return quality_rules.clean(docs, copies_once=True)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,12 @@
 """Rules on single documents, and lines that many documents of a host share; DataFrame operations only.
 
-A line counts for a host as often as distinct documents (ids) of that host hold it,
-whatever its case and spacing. Lines above the limit are boilerplate; a document of which
-too few words remain without them is depleted. The limit is a share of the host's
-documents, so that groups of copies, few beside their host, are left to deduplication.
+A line counts for a host as often as distinct documents (ids) of that host hold it, or,
+with copies_once, as often as distinct texts do, whatever its case and spacing. Lines
+above the limit are boilerplate; a document of which too few words remain without them is
+depleted. The limit is a share of the host's documents, or of its distinct texts. With
+copies_once, exact copies are one text however many they are, and are left to
+deduplication. Near copies are texts of their own: the lines that a group of them shares
+count once for each different text, and are boilerplate beyond the limit.
 """
 
 from __future__ import annotations
@@ -62,10 +65,11 @@ def host_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Da
     ).select("host", "id", "digest", "l.line", "l.n")
 
 
-def frequent_lines(lines: DataFrame, docs: DataFrame, id_col: str, host_col: str, share: float, least: int) -> DataFrame:
-    """Rows (host, line): lines in more than `least` documents and more than `share` of the documents of their host."""
-    key = F.coalesce(F.col("id").cast("string"), F.lit(""))
-    per_host = docs.groupBy(F.col(host_col).alias("__host")).agg(F.countDistinct(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("docs"))
+def frequent_lines(lines: DataFrame, docs: DataFrame, id_col: str, host_col: str, share: float, least: int, text_col: str = "text", copies_once: bool = False) -> DataFrame:
+    """Rows (host, line): lines in more than `least` documents and more than `share` of the documents of their host; with copies_once, texts stand for documents."""
+    key, own = (F.col("digest"), text_digest(F.col(text_col))) if copies_once else (F.col("id").cast("string"), F.col(id_col).cast("string"))
+    key = F.coalesce(key, F.lit(""))
+    per_host = docs.groupBy(F.col(host_col).alias("__host")).agg(F.countDistinct(F.coalesce(own, F.lit(""))).alias("docs"))
     counts = lines.groupBy("host", "line").agg(F.countDistinct(key).alias("c")).where(F.col("c") > least)
     return counts.join(per_host, F.col("host").eqNullSafe(F.col("__host"))).where(F.col("c") > F.col("docs") * share).select(
         F.col("host").alias("__h"), F.col("line").alias("__l")
@@ -73,17 +77,17 @@ def frequent_lines(lines: DataFrame, docs: DataFrame, id_col: str, host_col: str
 
 
 def rule_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", share: float = LINE_SHARE,
-                least: int = LINE_LEAST, keep_share: float = KEEP_SHARE) -> DataFrame:
+                least: int = LINE_LEAST, keep_share: float = KEEP_SHARE, copies_once: bool = False) -> DataFrame:
     """One row per document row: id, the base counts, base_failed, line_words, lost_words, kept.
 
     line_words are the words of a document's distinct lines and lost_words those of its lines above
     the limit; it is depleted if less than keep_share remains. Null texts have no words and fail; null
-    hosts are one host; null ids are one document; equal rows get equal results each and count once;
-    other columns are not read; an empty table gives none.
+    hosts are one host; null ids are one document; with copies_once, documents of one text are one, null texts too;
+    equal rows get equal results each and count once; other columns are not read; an empty table gives none.
     """
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(host_col).alias("source"))
     lines = host_lines(slim, "id", "text", "source")
-    hot = frequent_lines(lines, slim, "id", "source", share, least)
+    hot = frequent_lines(lines, slim, "id", "source", share, least, copies_once=copies_once)
     lost = (
         lines.join(hot, F.col("host").eqNullSafe(F.col("__h")) & (F.col("line") == F.col("__l")))
         .select("host", "id", "digest", "line", "n").distinct()
@@ -103,14 +107,14 @@ def rule_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", share: float = LINE_SHARE,
-          least: int = LINE_LEAST, keep_share: float = KEEP_SHARE) -> DataFrame:
+          least: int = LINE_LEAST, keep_share: float = KEEP_SHARE, copies_once: bool = False) -> DataFrame:
     """The kept documents with their columns, their texts without the lines above the limit.
 
     A text without such lines stays as it is. The verdicts are those of rule_counts on the texts as they come.
     """
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(host_col).alias("source"))
     lines = host_lines(slim, "id", "text", "source")
-    hot = frequent_lines(lines, slim, "id", "source", share, least)
+    hot = frequent_lines(lines, slim, "id", "source", share, least, copies_once=copies_once)
     lost = (
         lines.join(hot, F.col("host").eqNullSafe(F.col("__h")) & (F.col("line") == F.col("__l")))
         .groupBy(F.col("host").alias("__host"), F.col("id").alias("__id"), F.col("digest").alias("__digest"))

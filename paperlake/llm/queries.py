@@ -41,7 +41,7 @@ FROM d LEFT JOIN hw USING (r) LEFT JOIN hi USING (r)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.rule_counts(_table(spark, sf_dir, "documents"))
+    return quality_rules.rule_counts(_table(spark, sf_dir, "documents"), copies_once=True)
 
 
 OP5_SQL = rf"""

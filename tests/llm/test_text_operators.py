@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from paperlake.llm import bpe, decontam, golay, hilbert, kn_quality, langid, license_scan, quality_rules, queries, simhash, token_count, toolcalls
 from paperlake.llm.components import components
 from tests.llm import brute
@@ -157,6 +158,20 @@ def test_host_lines_deplete(spark):
     assert set(clean) == set(range(30)) and clean[3] == f"{body} 3"
 
 
+def test_copies_of_a_text_are_no_boilerplate(spark, tmp_path):
+    clean = "\n".join(" ".join(f"c{k}w{i}" for i in range(30)) for k in range(3))
+    near = "\n".join(" ".join(f"n{k}w{i}" for i in range(30)) for k in range(3))
+    rows = [(i, clean, "h") for i in range(100)] + [(100 + i, " ".join(f"d{i}w{k}" for k in range(60)) + "\nShared footer", "h") for i in range(170)]
+    rows += [(300 + i, f"{near}\nnumber {i}", "h") for i in range(30)] + [(400, None, "h"), (401, None, "h")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("lang", F.lit("en"))
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op5_quality_rules(spark, str(tmp_path)).collect()}
+    assert all(got[i].kept and got[i].lost_words == 0 for i in range(100)) and got[100].lost_words == 2
+    assert not any(got[300 + i].kept for i in range(30))  # near copies beyond the limit count each
+    left = {r.doc_id: r.text for r in corpus_pipeline.quality_stage(spark, d, "").collect()}
+    assert set(left) == set(range(270)) and left[5] == clean
+
+
 def test_token_counts(spark, docs, tmp_path):
     from tokenizers import Tokenizer
 
