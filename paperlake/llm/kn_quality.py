@@ -1,24 +1,25 @@
 """Quality by the perplexity of an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over 4-grams of 64 character classes, so it can never have more than 64^4
-entries, however long the corpus; its counts come from every trusted document. Python
-turns texts into classes and counts a text's 4-grams; all else is DataFrame work: counts,
-continuation counts and discounts of every order are joined by n-gram and context, which
-shards them by key, into one log probability for each 4-gram of the corpus, and that table
-is joined to the documents' own counts. Each language's threshold is a quantile of its
-trusted documents' perplexities.
+The model is over pairs of words (runs of letters and digits, in their case, and every
+other character that is no space, by their 64-bit hashes), so its table grows with the
+trusted text without a bound; its counts come from every trusted document. All is
+DataFrame work: pairs, continuation counts and discounts are counted and joined by
+word, which shards them by key, and the documents' own pairs meet them there. Each
+language's threshold is a quantile of its trusted documents' perplexities. The functions on
+4-grams of character classes (grams to log_probabilities) are the model of before and serve
+no query.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql import Column, DataFrame, functions as F
 
-from paperlake.llm.common import checkpoint, repeat_rows, text_batches, text_digest
+from paperlake.llm.common import checkpoint, repeat_rows
 
 ORDER, BITS = 4, 6
 QUANTILE = 0.999
@@ -26,17 +27,17 @@ QUANTILE = 0.999
 HELD_OUT = 4
 #: Room above the quantile, since a language may have few measured documents.
 SLACK = 1.25
-#: Characters of average trusted text that a document's mean is mixed with, since short texts vary.
-PRIOR_CHARS = 100
+#: Words of average trusted text that a document's mean is mixed with, since short texts vary; about 100 characters.
+PRIOR_WORDS = 16
 #: Trusted ids up to this many are broadcast; beyond, documents are joined by shuffling.
 BROADCAST_IDS = 2_000_000
-#: The table of log probabilities is broadcast up to this many rows.
+#: What the model knows of single words is broadcast up to this many words; pairs are always joined by key.
 BROADCAST_GRAMS = 2_000_000
 _PIECE = 1 << 20
-_ROWS = 256
 _MARKS = ".,;:!?'\"()-|#$%&*<>@/_=+"
 _START = 0
-_DOCUMENT = -1
+#: A run of letters, marks and digits, or one other character that is no space.
+_WORD = r"[\p{L}\p{M}\p{N}]+|[^\s\p{L}\p{M}\p{N}]"
 
 
 def _classes() -> np.ndarray:
@@ -102,15 +103,6 @@ def _totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"g": total[0][0], "n": total[0][1]})
 
 
-def _present(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    seen = np.zeros(1 << ORDER * BITS, dtype=bool)
-    for pdf in batches:
-        for text in pdf["text"]:
-            for g in grams(text or ""):
-                seen[g] = True
-    yield pd.DataFrame({"g": np.flatnonzero(seen).astype(np.int32)})
-
-
 def gram_counts(texts: DataFrame) -> DataFrame:
     """(text) -> (g, n): how often each 4-gram comes; every task sends each of its 4-grams once."""
     return texts.mapInPandas(_totals, "g int, n long").groupBy("g").agg(F.sum("n").alias("n"))
@@ -153,33 +145,52 @@ def log_probabilities(counts: DataFrame, wanted: DataFrame) -> DataFrame:
     return lower.select(F.col("__lg").alias("g"), F.log("__lower").alias("lp"))
 
 
-def perplexities(docs: DataFrame, model: DataFrame, prior: float, rows: int, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns of keep (which must tell texts apart), copies, n_chars and perplexity, once for each distinct row."""
-
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for a in range(0, len(pdf), _ROWS):  # small frames, since the counts outweigh the texts
-                part = pdf.iloc[a : a + _ROWS]
-                out = []
-                for text in part["__text"]:
-                    parts = [np.unique(g, return_counts=True) for g in grams(text or "")]
-                    g, n = parts[0] if len(parts) == 1 else _counted(parts) if parts else (np.empty(0, np.int64), np.empty(0, np.int64))
-                    out.append(np.concatenate([[np.int64(_DOCUMENT) << 32 | 1], g.astype(np.int64) << 32 | n.astype(np.int64)]))
-                yield part.drop(columns="__text").assign(x=out)
-
-    one = docs.sparkSession.range(1).selectExpr(f"{_DOCUMENT} AS g", "0.0D AS lp")
-    table = model.unionByName(one)
-    if rows <= BROADCAST_GRAMS:
-        table = F.broadcast(table)
-    schema = StructType([*docs.select(*keep).schema.fields, StructField("x", ArrayType(LongType()))])
-    each = docs.select(*keep, F.col(text_col).alias("__text")).mapInPandas(counted, schema)
-    each = each.select(*keep, F.explode("x").alias("x")).select(*keep, F.shiftright("x", 32).cast("int").alias("g"), F.col("x").bitwiseAND((1 << 32) - 1).alias("n"))
-    n = F.when(F.col("g") >= 0, F.col("n")).otherwise(0)
-    sums = each.join(table, "g").groupBy(*keep).agg(
-        F.sum(F.when(F.col("g") < 0, 1).otherwise(0)).alias("copies"), F.sum(n).alias("n_all"), F.sum(n * F.col("lp")).alias("lp"))
-    chars = (F.col("n_all") / F.col("copies")).cast("long")
-    mean = (F.col("lp") / F.col("copies") + PRIOR_CHARS * prior) / (chars + PRIOR_CHARS)
-    return sums.select(*keep, "copies", chars.alias("n_chars"), F.round(F.exp(-mean), 6).alias("perplexity"))
+def word_pairs(text: Column) -> Column:
+    """The words of a text by their hashes, each with the word before it: an array of (a, b)."""
+    hashes = F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), lambda x: F.xxhash64(x))
+    return F.transform(F.array(hashes), lambda h: F.transform(h, lambda x, i: F.struct(
+        F.when(i == 0, F.lit(_START).cast("long")).otherwise(F.get(h, i - 1)).alias("a"), x.alias("b"))))[0]
+
+
+def pair_counts(texts: DataFrame) -> DataFrame:
+    """(text) -> (a, b, n): how often each pair of words comes."""
+    return texts.select(F.inline(word_pairs(F.col("text")))).groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+@dataclass
+class Words:
+    """own: (a, b, own), a pair's discounted share; after: (a, free), what a word leaves to the lower order; alone: (b, lower); rest: lower of any other word."""
+
+    own: DataFrame
+    after: DataFrame
+    alone: DataFrame
+    rest: float
+    small: bool
+
+
+def _less(n: str, d: list[float]) -> Column:
+    return F.when(F.col(n) == 1, d[0]).when(F.col(n) == 2, d[1]).otherwise(d[2])
+
+
+def word_model(counts: DataFrame) -> Words:
+    """Words never seen share the probability of one more word."""
+    d = _discounts(counts, "n")
+    context = checkpoint(counts.groupBy("a").agg(F.sum("n").alias("total"), F.sum(_less("n", d)).alias("less")))
+    own = counts.join(context, "a").select("a", "b", ((F.col("n") - _less("n", d)) / F.col("total")).alias("own"))
+    seen = checkpoint(counts.groupBy("b").agg(F.count("*").alias("c")))
+    d1 = _discounts(seen, "c")
+    sums = seen.agg(F.count("*").alias("v"), F.sum("c").alias("total"), F.sum(_less("c", d1)).alias("less")).first()
+    rest = (sums["less"] / sums["total"] if sums["v"] else 1.0) / (sums["v"] + 1)
+    alone = seen.select("b", ((F.col("c") - _less("c", d1)) / F.lit(sums["total"] or 1) + rest).alias("lower"))
+    return Words(own, context.select("a", (F.col("less") / F.col("total")).alias("free")), alone, rest, max(sums["v"], context.count()) <= BROADCAST_GRAMS)
+
+
+def pair_probabilities(pairs: DataFrame, model: Words) -> DataFrame:
+    """Rows with columns a and b, and the natural log of b's probability after a as lp."""
+    near = F.broadcast if model.small else lambda t: t
+    out = pairs.join(model.own, ["a", "b"], "left").join(near(model.after), "a", "left").join(near(model.alone), "b", "left")
+    p = F.coalesce("own", F.lit(0.0)) + F.coalesce("free", F.lit(1.0)) * F.coalesce("lower", F.lit(model.rest))
+    return out.withColumn("lp", F.log(p)).drop("own", "free", "lower")
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -188,25 +199,29 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Trusted are the documents whose id has a label of quality 1. The model learns from three in four of them; a
     language's threshold is the given quantile of the others' perplexities times slack. A language without any has
-    that of all languages, and without trusted text every text is kept. Null and empty texts have 0 characters and are not kept. Null languages are one
+    that of all languages, and without trusted text every text is kept. Null and empty texts have 0 characters, and they and texts without words are not kept. Null languages are one
     language; null ids are never trusted; equal rows stay; other columns are not read; an empty table gives none.
     """
-    text_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     trusted = labels.where(F.col(quality_col) == 1).select(F.col(id_col).alias("__t")).where("__t IS NOT NULL").distinct()
     few = trusted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     mine = slim.join(F.broadcast(trusted) if few else trusted, F.col("id") == F.col("__t"), "left_semi")
     measured = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(HELD_OUT)) == 0
-    counts = checkpoint(gram_counts(mine.where(~measured).select("text")))
-    wanted = checkpoint(slim.select("text").mapInPandas(_present, "g int").distinct())
-    model = checkpoint(log_probabilities(counts, wanted))
-    rows = model.count()
-    mean = counts.join(model, "g").agg((F.sum(F.col("n") * F.col("lp")) / F.sum("n")).alias("m")).first()["m"]
-    scored = checkpoint(perplexities(slim.withColumn("digest", text_digest(F.col("text"))), model, mean or 0.0, rows, ["id", "digest", "lang"]))
-    sure = scored.join(trusted, F.col("id") == F.col("__t"), "left_semi").where("n_chars > 0").where(measured)
+    counts = checkpoint(pair_counts(mine.where(~measured).select("text")))
+    model = word_model(counts)
+    mean = pair_probabilities(counts, model).agg((F.sum(F.col("n") * F.col("lp")) / F.sum("n")).alias("m")).first()["m"] or 0.0
+    # Equal rows, and no others, have one key, by which a row's pairs find it again.
+    key = F.xxhash64(F.isnull("id"), "id", F.isnull("lang"), "lang", F.isnull("text"), "text")
+    rows = slim.select(key.alias("key"), "id", "lang", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars")).groupBy("key").agg(
+        F.first("id").alias("id"), F.first("lang").alias("lang"), F.first("n_chars").alias("n_chars"), F.count("*").alias("copies"))
+    sums = pair_probabilities(slim.select(key.alias("key"), F.inline(word_pairs(F.col("text")))), model).groupBy("key").agg(F.count("*").alias("words"), F.sum("lp").alias("lp"))
+    each = rows.join(sums, "key", "left").withColumn("words", F.coalesce((F.col("words") / F.col("copies")).cast("long"), F.lit(0)))
+    log = (F.coalesce(F.col("lp") / F.col("copies"), F.lit(0.0)) + PRIOR_WORDS * mean) / (F.col("words") + PRIOR_WORDS)
+    scored = checkpoint(each.select("id", "lang", "copies", "n_chars", "words", F.round(F.exp(-log), 6).alias("perplexity")))
+    sure = scored.join(trusted, F.col("id") == F.col("__t"), "left_semi").where("words > 0").where(measured)
     of_lang = sure.groupBy(F.col("lang").alias("__lang")).agg(F.percentile_approx("perplexity", quantile, 10000).alias("__own"))
     of_all = sure.agg(F.percentile_approx("perplexity", quantile, 10000).alias("q")).first()["q"]
     out = scored.join(of_lang, F.col("lang").eqNullSafe(F.col("__lang")), "left")
     threshold = F.coalesce("__own", F.lit(float("inf") if of_all is None else of_all)) * slack
-    out = out.select(F.col("id").alias(id_col), "n_chars", "perplexity", threshold.alias("threshold"), ((F.col("n_chars") > 0) & (F.col("perplexity") <= threshold)).alias("kept"), "copies")
+    out = out.select(F.col("id").alias(id_col), "n_chars", "perplexity", threshold.alias("threshold"), ((F.col("words") > 0) & (F.col("perplexity") <= threshold)).alias("kept"), "copies")
     return repeat_rows(out, "copies")

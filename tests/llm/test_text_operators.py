@@ -304,6 +304,33 @@ def test_quality_classifier(spark, docs):
     assert kn_quality.classify(d.where("false"), labels).count() == 0
 
 
+def test_word_model(spark):
+    d = spark.createDataFrame([("the cat sat. The cat ran",), ("the dog sat, 中 the",), (None,)], "text string")
+    counts = kn_quality.pair_counts(d)
+    model = kn_quality.word_model(counts)
+    seen = [r.b for r in counts.select("b").distinct().collect()]
+    for a in (counts.where("n > 1").first() or counts.first()).a, 12345:
+        pairs = spark.createDataFrame([(a, b) for b in [*seen, 99]], "a long, b long")
+        assert math.isclose(sum(math.exp(r.lp) for r in kn_quality.pair_probabilities(pairs, model).collect()), 1.0, rel_tol=1e-9)
+
+
+def test_quality_sees_word_order(spark):
+    rng, text = random.Random(4), []
+    vocab = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("ada", "ilo", "une")]
+    for i in range(60):  # every word is followed by one of the next three
+        at, words = rng.randrange(36), []
+        for _ in range(60):
+            words.append(vocab[at])
+            at = (at + rng.randrange(1, 4)) % 36
+        text.append(" ".join(words))
+    shuffled = text[0].split()
+    rng.shuffle(shuffled)
+    rows = [(i, t, "en") for i, t in enumerate(text)] + [(100, " ".join(shuffled), "en"), (101, " ".join([vocab[0]] * 60), "en"), (102, " \n ", "en")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in kn_quality.classify(d, spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int")).collect()}
+    assert sum(got[i].kept for i in range(60)) >= 58 and not any(got[i].kept for i in (100, 101, 102))
+
+
 def test_tool_calls(spark):
     calls = spark.createDataFrame([(1, "a", None, "ask", '{"b": 1, "a": "x"}'), (1, "b", "a", "ask", '{"a": 1}'), (1, "c", "b", "go", "{}"), (1, "d", "e", "ask", '{"a": "x"}'), (1, "e", "d", "ask", '{"a": "x"}'),
                                    (1, None, None, "ask", "no json"), (2, "z", None, "ask", '{"a": "x", "q": 2}'), (2, "z", None, "ask", '{"a": "x"}')], "conv long, call_id string, parent string, name string, arguments string")
