@@ -25,8 +25,8 @@ ORDER, BITS = 4, 6
 QUANTILE = 0.999
 #: One in so many trusted documents, by hash, is kept from the model and measured for the thresholds.
 HELD_OUT = 4
-#: Room above the quantile, since a language may have few measured documents.
-SLACK = 1.25
+#: Factor on the quantile; none, since room above it lets low quality pass.
+SLACK = 1.0
 #: Words of average trusted text that a document's mean is mixed with, since short texts vary; about 100 characters.
 PRIOR_WORDS = 16
 #: Trusted ids up to this many are broadcast; beyond, documents are joined by shuffling.

@@ -331,6 +331,15 @@ def test_quality_sees_word_order(spark):
     assert sum(got[i].kept for i in range(60)) >= 58 and not any(got[i].kept for i in (100, 101, 102))
 
 
+def test_quality_threshold_has_no_slack(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choices(["some", "plain", "words", "of", "prose"], k=50)), "en") for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    measured = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(kn_quality.HELD_OUT)) == 0
+    got = kn_quality.classify(d, d.selectExpr("doc_id", "1 AS quality")).withColumn("measured", measured).collect()
+    assert {r.threshold for r in got} == {max(r.perplexity for r in got if r.measured)}
+
+
 def test_tool_calls(spark):
     calls = spark.createDataFrame([(1, "a", None, "ask", '{"b": 1, "a": "x"}'), (1, "b", "a", "ask", '{"a": 1}'), (1, "c", "b", "go", "{}"), (1, "d", "e", "ask", '{"a": "x"}'), (1, "e", "d", "ask", '{"a": "x"}'),
                                    (1, None, None, "ask", "no json"), (2, "z", None, "ask", '{"a": "x", "q": 2}'), (2, "z", None, "ask", '{"a": "x"}')], "conv long, call_id string, parent string, name string, arguments string")
