@@ -226,6 +226,13 @@ def band_match(spark, d):
     return evaluate.band_match(truth.where("truth_id % 4 = 0"), found.where("model = 'm1' AND det_id % 5 = 0").withColumnRenamed("det_id", "rec_id"), 60)
 
 
+def band_match_all(spark, d):
+    """Every record of every model against every truth; band_match and its SQL see a part of them."""
+    truth, found = _boxes(spark, d)
+    out = evaluate.band_match(truth, found.withColumn("rec_id", F.struct("model", "det_id")), 60)
+    return out.select("image", "rec_id.model", F.col("rec_id.det_id").alias("rec_id"), "truth_id")
+
+
 def report_left_join(spark, d):
     docs, labels = _t(spark, d, "documents"), _t(spark, d, "labels")
     return docs.select("doc_id", "lang").join(labels.select("doc_id", "quality"), "doc_id", "left")
@@ -372,7 +379,7 @@ _ALL = [
     paragraph_segments, segment_chunks, page_chunks, typed_chunks_together, typed_chunks_separate, clean_replace_delimit, title_merge, bm25_stats, bm25_topk, bm25_filtered_topk,
     vector_l2_topk, vector_normalized_topk, vector_root_topk, vector_prefilter_topk, vector_roundrobin, hybrid_rrf, hybrid_merge, column_islands, segment_columns, sequence_default,
     sequence_left_right, sequence_zigzag, header_footer_auto, header_footer_manual, empty_line_marks, iou_match, unmatched_truth, confusion_matrix, avg_overlap, class_combo_metrics,
-    detector_report, structure_report, model_stats, band_match, report_left_join, report_full_outer, mean_scores, majority_vote, metadata_schema, unique_metadata_keys, context_assembly,
+    detector_report, structure_report, model_stats, band_match, band_match_all, report_left_join, report_full_outer, mean_scores, majority_vote, metadata_schema, unique_metadata_keys, context_assembly,
     context_lists, prompt_fill, llm_scores, qna_blocks, qna_numbering, batch_report, graph_nodes_edges, request_filter, region_tokens, outside_tokens, nearest_right, nearest_below,
     anchor_regions, region_subtraction, overlap_dedup, adjacent_merge, phrase_build, character_chunks, greedy_match, grid_scores,
 ]

@@ -35,6 +35,21 @@ def test_same_rows(spark, con, name):
     assert got == Counter(tuple(_norm(r[i]) for i in at) for r in rel.fetchall())
 
 
+def test_band_match_of_all_records(spark):
+    truth, found = (f.collect() for f in catalogue._boxes(spark, DATA))
+    sides, of = ("x1", "y1", "x2", "y2"), {}
+    for t in truth:
+        of.setdefault(t.image, []).append(t)
+    want = Counter()
+    for r in found:
+        near = [t.truth_id for t in of.get(r.image, []) if all(abs(r[c] - t[c]) <= 60 for c in sides)]
+        if near:
+            want[(r.image, r.model, r.det_id, min(near))] += 1
+    got = catalogue.queries()["band_match_all"](spark, DATA)
+    assert got.columns == ["image", "model", "rec_id", "truth_id"] and Counter(map(tuple, got.collect())) == want
+    assert {k[1] for k in want} == {"m1", "m2"} and any(k[2] % 5 for k in want) and any(k[3] % 4 for k in want)
+
+
 def test_the_llm_subpackage_is_optional():
     import pathlib
     import re
