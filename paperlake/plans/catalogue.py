@@ -243,6 +243,12 @@ def report_full_outer(spark, d):
     return evaluate.full_outer_report(docs, labels.select("doc_id", "quality", "toxic"), ["doc_id"])
 
 
+def report_full_outer_all(spark, d):
+    """All labels; report_full_outer and its SQL leave out those of every third doc_id."""
+    docs, labels = _t(spark, d, "documents").select("doc_id", "lang", F.col("n_chars").alias("Quality")), _t(spark, d, "labels")
+    return evaluate.full_outer_report(docs, labels.select("doc_id", "quality", "toxic"), ["doc_id"])
+
+
 def mean_scores(spark, d):
     return _t(spark, d, "labels").agg(F.round(F.avg("quality"), 6).alias("quality"), F.round(F.avg("toxic"), 6).alias("toxic"), F.count("*").alias("n"))
 
@@ -379,7 +385,7 @@ _ALL = [
     paragraph_segments, segment_chunks, page_chunks, typed_chunks_together, typed_chunks_separate, clean_replace_delimit, title_merge, bm25_stats, bm25_topk, bm25_filtered_topk,
     vector_l2_topk, vector_normalized_topk, vector_root_topk, vector_prefilter_topk, vector_roundrobin, hybrid_rrf, hybrid_merge, column_islands, segment_columns, sequence_default,
     sequence_left_right, sequence_zigzag, header_footer_auto, header_footer_manual, empty_line_marks, iou_match, unmatched_truth, confusion_matrix, avg_overlap, class_combo_metrics,
-    detector_report, structure_report, model_stats, band_match, band_match_all, report_left_join, report_full_outer, mean_scores, majority_vote, metadata_schema, unique_metadata_keys, context_assembly,
+    detector_report, structure_report, model_stats, band_match, band_match_all, report_left_join, report_full_outer, report_full_outer_all, mean_scores, majority_vote, metadata_schema, unique_metadata_keys, context_assembly,
     context_lists, prompt_fill, llm_scores, qna_blocks, qna_numbering, batch_report, graph_nodes_edges, request_filter, region_tokens, outside_tokens, nearest_right, nearest_below,
     anchor_regions, region_subtraction, overlap_dedup, adjacent_merge, phrase_build, character_chunks, greedy_match, grid_scores,
 ]

@@ -50,6 +50,14 @@ def test_band_match_of_all_records(spark):
     assert {k[1] for k in want} == {"m1", "m2"} and any(k[2] % 5 for k in want) and any(k[3] % 4 for k in want)
 
 
+def test_full_outer_report_of_all_labels(spark, tmp_path):
+    spark.createDataFrame([(1, "en", 10), (3, "de", 30), (5, "fr", 50)], "doc_id long, lang string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(3, 1, 0), (5, 0, 1), (6, 1, 1), (7, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = catalogue.queries()["report_full_outer_all"](spark, str(tmp_path))
+    assert got.columns == ["doc_id", "file_lang", "file_Quality", "toxic"]
+    assert sorted(map(tuple, got.collect())) == [(1, "en", 10, None), (3, "de", 30, 0), (5, "fr", 50, 1), (6, None, None, 1), (7, None, None, 0)]
+
+
 def test_the_llm_subpackage_is_optional():
     import pathlib
     import re
