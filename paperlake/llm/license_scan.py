@@ -3,8 +3,9 @@
 All word 3-grams of every text are joined, by hash, to their places in license templates.
 A template that stands in a text gives votes on one diagonal (text position less template
 position); words put in or left out move them to neighbouring ones, which are merged. A
-merged run is a find if its 3-grams cover enough of the template and it is not spread too
-far. The table of templates is part of this module, so its broadcast has a fixed size.
+merged run is a find if its 3-grams cover enough of the template. One that spreads too
+far, as a phrase repeated back to back does, is split at its widest gaps until it does
+not, if need be into single diagonals. The table of templates is part of this module, so its broadcast has a fixed size.
 """
 
 from __future__ import annotations
@@ -89,9 +90,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     votes = rows.where("tpl >= 0").groupBy("id", "digest", "tpl", (F.col("start") - F.col("tpos")).alias("diagonal")).agg(
         F.collect_set("tpos").alias("at"), F.min("start").alias("lo"), F.max("start").alias("hi"))
     line = Window.partitionBy("id", "digest", "tpl").orderBy("diagonal")
-    runs = votes.withColumn("new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(line) > NEAR).cast("int"), F.lit(1)))
-    runs = runs.withColumn("run", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     size = "CASE tpl " + " ".join(f"WHEN {i} THEN {n}" for i, n in enumerate(_sizes(templates))) + " ELSE 1 END"
+    runs = votes.withColumn("gap", F.col("diagonal") - F.lag("diagonal").over(line)).withColumn("run", F.lit(None).cast("struct<near:int,run:bigint>"))
+    for near in range(NEAR, -1, -1):
+        runs = runs.withColumn("at_near", F.sum(F.coalesce((F.col("gap") > near).cast("int"), F.lit(1))).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+        whole = Window.partitionBy("id", "digest", "tpl", "at_near")
+        narrow = F.max("hi").over(whole) + GRAM - F.min("lo").over(whole) <= MAX_SPREAD * F.expr(size)
+        runs = runs.withColumn("run", F.coalesce("run", F.when(narrow, F.struct(F.lit(near).alias("near"), F.col("at_near").alias("run")))))
     name = "CASE tpl " + " ".join(f"WHEN {i} THEN '{n}'" for i, (n, _) in enumerate(templates)) + " ELSE '' END"
     runs = runs.groupBy("id", "digest", "tpl", "run").agg(F.flatten(F.collect_list("at")).alias("at"), F.min("lo").alias("lo"), (F.max("hi") + GRAM).alias("hi"))
     cover = f"size(array_distinct(flatten(transform(at, t -> array(t, t + 1, t + 2))))) / {size}"

@@ -141,6 +141,13 @@ def test_license_templates_with_edits(spark):
     assert got[2].labels == "" and got[2].score == 0
 
 
+def test_license_phrase_back_to_back(spark):
+    d = spark.createDataFrame([(n, "intro " + "under the MIT License " * n + "tail") for n in (1, 2, 3, 9)], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan(d).collect()}
+    assert {n: r.labels for n, r in got.items()} == {1: "mit", 2: "mit", 3: "mit", 9: "mit"}
+    assert {x.start for x in got[9].spans} == {1 + 4 * k for k in range(9)}
+
+
 def test_quality_rules(spark, docs):
     rows = quality_rules.rule_counts(docs).collect()
     want = Counter((i, *brute.rule_base(t)) for i, t in _pairs(docs, "doc_id", "text"))
