@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -10,6 +11,8 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Everything that is no part of an alphanumeric word, and everything that is white space.
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPACE_GAP = r"[\x20\x09-\x0D]+"
+#: Copies of one row that a task makes at once.
+COPIES = 4096
 #: Rows of an Arrow batch of texts.
 BATCH_ROWS = 512
 _BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
@@ -37,11 +40,16 @@ def text_digest(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, one of our own if the master is local, else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else "file://" + tempfile.mkdtemp(prefix="paperlake-")
+        if current.isDefined():
+            folder = current.get()
+        elif re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            folder = "file://" + tempfile.mkdtemp(prefix="paperlake-")
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -60,5 +68,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def repeat_rows(df: DataFrame, times: str) -> DataFrame:
-    """Each row as many times as its column `times` says."""
-    return df.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).drop("__copy", times)
+    """Each row as many times as its column `times` says: first once for every COPIES of them, dealt out over all tasks, then each of these that often."""
+    part = df.withColumn("__part", F.explode(F.expr(f"sequence(0L, (CAST({times} AS bigint) - 1) div {COPIES})"))).hint("rebalance")
+    left = F.expr(f"least({COPIES}L, CAST({times} AS bigint) - __part * {COPIES})")
+    return part.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), left))).drop("__copy", "__part", times)

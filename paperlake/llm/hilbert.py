@@ -8,11 +8,12 @@ digest out of each cell, and counts of buckets and cells give the offsets.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from paperlake.llm.common import COPIES, checkpoint
 
 MAX_CELL_BITS = 16  # so the curve table has at most 65,536 entries
-BUCKET_ROWS = 5000
+BUCKET_ROWS = 500
 MAX_BUCKETS = 1 << 16
 
 
@@ -59,48 +60,52 @@ def magnitude(col: Column, bits: int) -> Column:
     return F.least(F.length(F.bin(F.coalesce(col.cast("long"), F.lit(0)))), F.lit((1 << bits) - 1))
 
 
-def _numbers(values: list[int]) -> Column:
-    """A constant array, folded when the plan is made."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+def curve_table(spark: SparkSession, dims: int, bits: int) -> DataFrame:
+    """Rows (__cell, __curve) of every cell, at most 65,536."""
+    index = F.split(F.lit(",".join(map(str, curve(dims, bits)))), ",")
+    return spark.range(1).select(F.posexplode(index).alias("__cell", "c")).select("__cell", F.col("c").cast("int").alias("__curve"))
 
 
 def shard_rows(df: DataFrame, axes: list[Column], tie: Column, shards: int = 8, bits: int = 4, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """The rows with curve (index), shard and slot added; shard sizes differ by one row at most.
 
     axes give integers of `bits` bits; `tie` is a hexadecimal digest of at least eight digits that
-    orders the rows of a cell. Equal rows are counted together and dealt out one by one, so that no
-    task sorts them. Nulls in other columns are values like any other; an empty table gives none.
+    orders the rows of a cell. Equal rows are counted together, so that no task sorts them, and get
+    neighbouring places. The rows are made once, in the shared folder. Nulls in other columns are values
+    like any other; an empty table gives none.
     """
-    table = curve(len(axes), bits)
     cell = None
     for a in axes:
         cell = a.cast("int") if cell is None else cell * (1 << bits) + a.cast("int")
-    cols = df.columns
-    rows = df.withColumn("__curve", F.get(_numbers(table), cell).cast("int")).withColumn("__tie", tie).groupBy(*cols, "__curve", "__tie").agg(F.count("*").alias("__n"))
-    counts = {r["__curve"]: r["n"] for r in rows.groupBy("__curve").agg(F.sum("__n").alias("n")).collect()}  # at most 65,536
-    total = sum(counts.values())
-    size = max(bucket_rows, -(-total // MAX_BUCKETS))
-    before, cuts, seen = [0] * len(table), [1] * len(table), 0
-    for c in sorted(counts):
-        before[c], cuts[c], seen = seen, -(-counts[c] // size), seen + counts[c]
+    cols, spark = df.columns, df.sparkSession
+    keyed = df.withColumn("__cell", cell).withColumn("__tie", tie).join(F.broadcast(curve_table(spark, len(axes), bits)), "__cell").drop("__cell")
+    rows = checkpoint(keyed.groupBy(*cols, "__curve", "__tie").agg(F.count("*").alias("__n")))
+    # at most 65,536 cells, so one task may add them up; the buckets of a cell cut its digests into even ranges
+    every = Window.orderBy("__curve")
+    upto = every.rowsBetween(Window.unboundedPreceding, -1)
+    whole = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cells = rows.groupBy("__curve").agg(F.count("*").alias("__distinct"), F.sum("__n").alias("__rows")).select(
+        "__curve", "__distinct", F.coalesce(F.sum("__rows").over(upto), F.lit(0)).alias("__before"), F.sum("__rows").over(whole).alias("__total"), F.sum("__distinct").over(whole).alias("__all"))
+    size = F.greatest(F.lit(bucket_rows), F.ceil(F.col("__all") / MAX_BUCKETS))
+    cells = checkpoint(cells.select("__curve", "__before", "__total", F.ceil(F.col("__distinct") / size).alias("__cuts")))
     place = F.conv(F.substring("__tie", 1, 8), 16, 10).cast("long")
-    cut = F.get(_numbers(cuts), F.col("__curve"))
-    rows = rows.withColumn("__bucket", F.shiftright(place * cut, 32).cast("int"))
-    buckets = rows.groupBy(F.col("__curve").alias("__c"), F.col("__bucket").alias("__b")).agg(F.sum("__n").alias("__rows"))
-    upto = Window.partitionBy("__c").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.select("__c", "__b", (F.coalesce(F.sum("__rows").over(upto), F.lit(0)) + F.get(_numbers(before), F.col("__c"))).alias("__from"))
-    inside = Window.partitionBy("__curve", "__bucket").orderBy("__tie", *cols).rowsBetween(Window.unboundedPreceding, -1)
-    numbered = rows.withColumn("__before", F.coalesce(F.sum("__n").over(inside), F.lit(0))).join(
-        F.broadcast(buckets), (F.col("__curve") == F.col("__c")) & (F.col("__bucket") == F.col("__b"))
-    )  # buckets: MAX_BUCKETS and a cell's one each at most
-    first = F.col("__from") + F.col("__before")
-    ranked = numbered.select(*cols, F.col("__curve").alias("curve"), F.explode(F.sequence(first, first + F.col("__n") - 1)).alias("__rank"))
-    shard = F.expr(f"__rank * {shards}L div {max(total, 1)}L").cast("int")
-    start = F.expr(f"(shard * {total}L + {shards - 1}) div {shards}L")
-    return ranked.withColumn("shard", shard).withColumn("slot", F.col("__rank") - start).drop("__rank")
+    rows = rows.join(F.broadcast(cells.select("__curve", "__cuts")), "__curve").withColumn("__bucket", F.shiftright(place * F.col("__cuts"), 32).cast("int")).drop("__cuts")
+    earlier = Window.partitionBy("__curve").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = rows.groupBy("__curve", "__bucket").agg(F.sum("__n").alias("__rows")).withColumn("__inside", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)))
+    buckets = buckets.join(F.broadcast(cells), "__curve").select("__curve", "__bucket", (F.col("__before") + F.col("__inside")).alias("__from"), "__total")
+    order = Window.partitionBy("__curve", "__bucket").orderBy("__tie", *cols).rowsBetween(Window.unboundedPreceding, -1)
+    # buckets: MAX_BUCKETS and a cell's one each at most
+    numbered = rows.withColumn("__seen", F.coalesce(F.sum("__n").over(order), F.lit(0))).join(F.broadcast(buckets), ["__curve", "__bucket"])
+    # equal rows: one row for every COPIES of them, dealt out over all tasks, and from each that many
+    numbered = numbered.select(*cols, F.col("__curve").alias("curve"), (F.col("__from") + F.col("__seen")).alias("__first"), "__n", "__total",
+                               F.explode(F.expr(f"sequence(0L, (__n - 1) div {COPIES})")).alias("__part")).hint("rebalance")
+    start = f"__first + __part * {COPIES}"
+    ranked = numbered.select(*cols, "curve", "__total", F.explode(F.expr(f"sequence({start}, least({start} + {COPIES}, __first + __n) - 1)")).alias("__rank"))
+    ranked = ranked.withColumn("shard", F.expr(f"CAST(__rank * {shards} div __total AS int)"))
+    return ranked.withColumn("slot", F.expr(f"__rank - (shard * __total + {shards - 1}) div {shards}")).drop("__rank", "__total")
 
 
 def write_shards(sharded: DataFrame, path: str, files_per_shard: int = 1) -> None:
-    """One folder per shard; files hold runs of the curve, so that their footers' ranges stay narrow in every dimension."""
+    """One folder per shard; files hold runs of the curve, so that their footers' ranges stay narrow in every dimension. An empty table writes no shard."""
     n = 1 + sharded.agg(F.max("shard")).first()[0] if files_per_shard else 1
     sharded.repartitionByRange(n * files_per_shard, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("errorifexists").parquet(path)

@@ -77,6 +77,21 @@ def op9_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+_CURVE = ", ".join(map(str, hilbert.curve(3, 4)))
+#: The remainder of every byte in the reflected CRC-32, and the fold over a text's bytes.
+OP9_SQL = f"""
+WITH tab AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS t),
+d AS (SELECT doc_id, source, lang, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT *, strlen(text) + 1 AS size, list_transform(range(strlen(text)), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)) AS l FROM d),
+k AS (SELECT doc_id, source, lang, size, xor(list_reduce(l, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) AS text_crc32, md5(text) AS digest,
+ coalesce(CAST('0x' || substr(md5(source), 4, 1) AS BIGINT), 0) AS a, coalesce(CAST('0x' || substr(md5(lang), 4, 1) AS BIGINT), 0) AS b, least(length(ltrim(bin(size >> 4), '0')), 15) AS c FROM b, tab),
+o AS (SELECT *, [{_CURVE}][256 * a + 16 * b + greatest(c, 1) + 1] AS curve FROM k),
+r AS (SELECT *, row_number() OVER (ORDER BY curve, md5(concat_ws(':', doc_id, digest)), doc_id, lang, source) - 1 AS n, count(*) OVER () AS total FROM o)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(8 * n // total AS INTEGER) AS shard,
+ CAST(n - ((8 * n // total) * total + 7) // 8 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, CAST(curve AS INTEGER) AS curve FROM r
+"""
+
+
 def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = toolcalls.chat_calls(_table(spark, sf_dir, "conversations"))
     return toolcalls.link_calls(calls, results, toolcalls.CHAT_SCHEMAS).withColumnRenamed("conv", "conv_id")
@@ -145,4 +160,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op5_quality_rules": OP5_SQL, "op10_tool_calls": OP10_SQL}
+    return {"op1_decontamination": OP1_SQL, "op5_quality_rules": OP5_SQL, "op9_hilbert_sharding": OP9_SQL, "op10_tool_calls": OP10_SQL}

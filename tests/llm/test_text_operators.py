@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from paperlake.llm import bpe, decontam, golay, hilbert, kn_quality, langid, license_scan, quality_rules, queries, simhash, token_count, toolcalls
+from paperlake.llm import bpe, common, decontam, golay, hilbert, kn_quality, langid, license_scan, quality_rules, queries, simhash, token_count, toolcalls
 from paperlake.llm.components import components
 from tests.llm import brute
 
@@ -369,3 +369,16 @@ def test_long_chain(spark):
     calls = spark.createDataFrame([(1, f"c{i}", f"c{i - 1}", "ask", "{}") for i in range(n)], "conv long, call_id string, parent string, name string, arguments string")
     got = {r.call_id: r.depth for r in toolcalls.depths(calls.select("conv", "call_id", "parent")).collect()}
     assert got == {f"c{i}": i for i in range(n)}
+
+
+def test_many_equal_rows(spark, tmp_path):
+    n = 3 * hilbert.COPIES + 7
+    d = spark.range(n).selectExpr("1L AS doc_id", "'h' AS source", "'x' AS digest").unionByName(spark.createDataFrame([(None, None, None), (2, "g", "y")], "doc_id long, source string, digest string"))
+    sharded = hilbert.shard_rows(d, [hilbert.category(F.col("source"), 4)], F.md5(F.concat_ws(":", "doc_id", "digest")))
+    rows = sharded.collect()
+    assert Counter(r.doc_id for r in rows) == {1: n, None: 1, 2: 1}
+    assert sorted((r.shard, r.slot) for r in rows) == sorted((s, k) for s, c in Counter(r.shard for r in rows).items() for k in range(c))
+    hilbert.write_shards(sharded, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == n + 2
+    hilbert.write_shards(hilbert.shard_rows(d.where("false"), [hilbert.category(F.col("source"), 4)], F.col("digest")), str(tmp_path / "none"))
+    assert common.repeat_rows(spark.createDataFrame([(1, n), (2, 1)], "k int, times long"), "times").groupBy("k").count().orderBy("k").collect() == [(1, n), (2, 1)]
