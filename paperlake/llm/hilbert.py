@@ -107,5 +107,5 @@ def shard_rows(df: DataFrame, axes: list[Column], tie: Column, shards: int = 8,
 
 def write_shards(sharded: DataFrame, path: str, files_per_shard: int = 1) -> None:
     """One folder per shard; files hold runs of the curve, so that their footers' ranges stay narrow in every dimension. An empty table writes no shard."""
-    n = 1 + sharded.agg(F.max("shard")).first()[0] if files_per_shard else 1
+    n = 1 + (sharded.agg(F.max("shard")).first()[0] or 0)
     sharded.repartitionByRange(n * files_per_shard, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("errorifexists").parquet(path)
