@@ -14,11 +14,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from paperlake.llm.common import repeat_rows, text_digest, words
+from paperlake.llm.common import checkpoint, repeat_rows, text_digest, words
 
 WINDOW = 10
 BROADCAST_BYTES = 96 << 20
-_DOCUMENT = 0  # the key that brings one row for each document
+_DOCUMENT = 0  # the key that brings one row for each document, where the lookup table is broadcast
+#: Documents with a hit up to this many are broadcast; beyond, texts are shuffled to them.
+BROADCAST_HITS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -51,46 +53,53 @@ def benchmark_windows(items: DataFrame, id_col: str, text_col: str, window: int
 
 
 def _lookup(windows: DataFrame, grams: list[Grams]) -> DataFrame:
-    """Rows (key, length, back, win): a gram's key, and how far behind it its window starts."""
-    distinct = windows.select("win").distinct()
+    """Rows (key, length, back, win, items): a gram's key, how far behind it its window starts, and the items that have the window."""
+    distinct = windows.groupBy("win").agg(F.collect_set(F.col("item").cast("string")).alias("items"))  # at most every item of the benchmark
     parts = None
     for g in grams:
         rows = distinct.where(F.size("win") == g.length).select(
-            F.explode(F.sequence(F.lit(0), F.lit(g.stride - 1))).alias("back"), "win"
-        ).selectExpr(f"{g.key('win', 'back')} AS key", f"{g.length} AS length", "back", "win")
+            F.explode(F.sequence(F.lit(0), F.lit(g.stride - 1))).alias("back"), "win", "items"
+        ).selectExpr(f"{g.key('win', 'back')} AS key", f"{g.length} AS length", "back", "win", "items")
         parts = rows if parts is None else parts.unionByName(rows)
     return parts
 
 
 def find_windows(docs: DataFrame, id_col: str, text_col: str, windows: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Per distinct (id, text): n_words, copies (equal rows), spans (sorted start and length of hits), wins (digests)."""
+    """Per distinct (id, text digest): n_words, copies (equal rows), spans (sorted start and length of hits), items (sorted strings).
+
+    A gram's row carries the few words that its windows may cover, not the text, so the work is linear in a text's length. Null
+    texts have no words; repeated rows are counted in copies; an empty table gives no rows; very long texts are one row each.
+    """
     spark = docs.sparkSession
     sizes = windows.groupBy(F.size("win").alias("n")).agg(F.count("*").alias("c"), F.sum(F.octet_length(F.array_join("win", " "))).alias("b")).collect()
     grams = [Grams(r["n"]) for r in sorted(sizes, key=lambda r: r["n"])]  # at most `window` lengths
-    document = spark.range(1).selectExpr(f"{_DOCUMENT}L AS key", "0 AS length", "0 AS back", "CAST(array() AS array<string>) AS win")
-    table = document.unionByName(_lookup(windows, grams)) if grams else document
-    if sum((r["b"] + 96 * r["c"]) * Grams(r["n"]).stride for r in sizes) <= broadcast_bytes:
-        table = F.broadcast(table)
-    keys = [f"array({_DOCUMENT}L)"] + [
-        f"if({g.count()} > 0, transform(sequence(0, {g.count()} - 1), i -> {g.key('w', f'i * {g.stride}')}), CAST(array() AS array<bigint>))"
-        for g in grams
-    ]
-    at, before = "CASE length", "1"
-    for g in grams:
-        at += f" WHEN {g.length} THEN (pos - ({before})) * {g.stride} - back"
-        before += f" + {g.count()}"
-    at = f"CAST({at} ELSE -1 END AS int)" if grams else "-1"
+    small = sum((r["b"] + 96 * r["c"]) * Grams(r["n"]).stride for r in sizes) <= broadcast_bytes
     toks = docs.select(F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("digest"), words(F.col(text_col)).alias("w"))
-    rows = toks.select("id", "digest", "w", F.posexplode(F.expr(f"concat({', '.join(keys)})")).alias("pos", "key"))
-    there = "(length = 0 AND pos = 0) OR (length > 0 AND pos > 0 AND {at} >= 0 AND slice(w, {at} + 1, length) = win)".format(at=f"({at})")
-    hits = rows.join(table, "key").where(there).selectExpr(
-        "id", "digest", "size(w) AS n", "length", f"{at} AS start", "if(length > 0, md5(array_join(win, ' ')), NULL) AS win"
-    )
+    none = "CAST(array() AS array<struct<key:bigint,length:int,at:int,off:int,near:array<string>>>)"
+    parts = []
+    for g in grams:  # the words from `at` on: those of every window that holds the gram at i
+        start = f"i * {g.stride}"
+        at = f"greatest(0, {start} - {g.stride - 1})"
+        gram = f"named_struct('key', {g.key('w', start)}, 'length', {g.length}, 'at', CAST({at} AS int), 'off', CAST({start} - {at} AS int), 'near', slice(w, {at} + 1, {start} - {at} + {g.length}))"
+        parts.append(f"if({g.count()} > 0, transform(sequence(0, {g.count()} - 1), i -> {gram}), {none})")
+    each = f"concat({', '.join(parts)})" if parts else none
+    alone = f"named_struct('key', {_DOCUMENT}L, 'length', 0, 'at', size(w), 'off', 0, 'near', CAST(array() AS array<string>))"
+    lookup = _lookup(windows, grams) if grams else None
+    columns = ["id", "digest", "g.*"]
+    if small:  # a document's own row, with its length in `at`, comes out of the same pass
+        own = spark.range(1).selectExpr(f"{_DOCUMENT}L AS key", "0 AS length", "0 AS back", "CAST(array() AS array<string>) AS win", "CAST(array() AS array<string>) AS items")
+        rows = toks.select("id", "digest", F.explode(F.expr(f"concat(array({alone}), {each})")).alias("g")).select(*columns)
+        met = rows.join(F.broadcast(own.unionByName(lookup) if grams else own), ["key", "length"])
+    else:  # only grams are shuffled, each by its own key
+        met = toks.select("id", "digest", F.explode(F.expr(each)).alias("g")).select(*columns).join(lookup, ["key", "length"])
+        met = met.unionByName(toks.selectExpr("id", "digest", f"{alone} AS g").select(*columns).selectExpr("*", "0 AS back", "CAST(array() AS array<string>) AS win", "CAST(array() AS array<string>) AS items"))
+    hits = met.where("length = 0 OR (off >= back AND slice(near, off - back + 1, length) = win)").selectExpr(
+        "id", "digest", "length", "if(length = 0, at, 0) AS n", "at + off - back AS start", "items")
     return hits.groupBy("id", "digest").agg(
         F.max("n").alias("n_words"),
         F.sum((F.col("length") == 0).cast("int")).alias("copies"),
         F.sort_array(F.collect_set(F.when(F.col("length") > 0, F.struct("start", "length")))).alias("spans"),
-        F.collect_set("win").alias("wins"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
 
 
@@ -110,21 +119,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     rows give equal results each; items without words match nothing; an empty benchmark leaves
     every document clean. Other columns of either table are not read.
     """
-    windows = benchmark_windows(items, item_col, item_text_col, window)
-    found = find_windows(docs, id_col, text_col, windows, broadcast_bytes)
-    per_item = (
-        found.where(F.size("wins") > 0)
-        .select("id", "digest", F.explode("wins").alias("win"))
-        .join(windows.select(F.md5(F.array_join("win", " ")).alias("win"), F.col("item").cast("string").alias("item")), "win")
-        .groupBy("id", "digest")
-        .agg(F.sort_array(F.collect_set("item")).alias("items"))
-        .select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), "items")
-    )
-    joined = found.join(per_item, F.col("id").eqNullSafe(F.col("__id")) & F.col("digest").eqNullSafe(F.col("__digest")), "left")
-    out = joined.select(
-        F.col("id").alias(id_col), "n_words", covered().alias("n_hit"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"), "copies",
-    )
+    found = find_windows(docs, id_col, text_col, benchmark_windows(items, item_col, item_text_col, window), broadcast_bytes)
+    out = found.select(F.col("id").alias(id_col), "n_words", covered().alias("n_hit"), "items", "copies")
     return repeat_rows(out, "copies").select(
         id_col, F.col("n_words").cast("long").alias("n_words"), F.col("n_hit").cast("long").alias("n_hit"),
         F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"),
@@ -138,10 +134,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     remove="documents" leaves out every document with a hit. remove="spans" cuts the hit words
     out of the text, with what stands before each of them, and leaves out documents that were
-    all hit; the rest of the text stays as it is.
+    all hit; the rest of the text stays as it is. Null texts and ids, texts without words and repeated rows
+    stay as they are; an empty benchmark removes nothing, and an empty table gives none.
     """
     found = find_windows(docs, id_col, text_col, benchmark_windows(items, item_col, item_text_col, window), broadcast_bytes)
-    hit = found.where(F.size("spans") > 0).select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), "spans")
+    hit = checkpoint(found.where(F.size("spans") > 0).select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.col("spans").alias("__spans")))
+    if hit.count() <= BROADCAST_HITS:
+        hit = F.broadcast(hit if remove == "spans" else hit.drop("__spans"))
     same = F.col(id_col).eqNullSafe(F.col("__id")) & text_digest(F.col(text_col)).eqNullSafe(F.col("__digest"))
     if remove == "documents":
         return docs.join(hit, same, "left_anti")
@@ -150,8 +149,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     gap, word = r"[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]*", r"[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
     packed = docs.select(F.struct(*docs.columns).alias("__doc"), F.col(id_col).alias("__key"), F.col(text_col).alias("__text"), text_digest(F.col(text_col)).alias("__own"))
     marked = packed.join(hit, F.col("__key").eqNullSafe(F.col("__id")) & F.col("__own").eqNullSafe(F.col("__digest")), "left")
-    marked = marked.withColumn("__parts", F.when(F.col("spans").isNotNull(), F.expr(f"regexp_extract_all(__text, '{gap}{word}', 0)")))
-    kept = F.expr("array_join(filter(__parts, (p, i) -> NOT exists(spans, s -> i >= s.start AND i < s.start + s.length)), '')")
-    marked = marked.withColumn("__kept", kept).where("spans IS NULL OR __kept <> ''")
-    text = F.when(F.col("spans").isNotNull(), F.concat("__kept", F.expr(f"regexp_extract(__text, '{gap}$', 0)"))).otherwise(F.col("__text"))
+    marked = marked.withColumn("__parts", F.when(F.col("__spans").isNotNull(), F.expr(f"regexp_extract_all(__text, '{gap}{word}', 0)")))
+    kept = F.expr("array_join(filter(__parts, (p, i) -> NOT exists(__spans, s -> i >= s.start AND i < s.start + s.length)), '')")
+    marked = marked.withColumn("__kept", kept).where("__spans IS NULL OR __kept <> ''")
+    text = F.when(F.col("__spans").isNotNull(), F.concat("__kept", F.expr(f"regexp_extract(__text, '{gap}$', 0)"))).otherwise(F.col("__text"))
     return marked.select(*[text.alias(c) if c == text_col else F.col("__doc").getField(c).alias(c) for c in docs.columns])
