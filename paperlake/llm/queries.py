@@ -93,8 +93,9 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_
 
 
 def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, results = toolcalls.chat_calls(_table(spark, sf_dir, "conversations"))
-    return toolcalls.link_calls(calls, results, toolcalls.CHAT_SCHEMAS).withColumnRenamed("conv", "conv_id")
+    turns = _table(spark, sf_dir, "conversations")
+    calls, results = toolcalls.chat_calls(turns)
+    return toolcalls.link_calls(calls, results, toolcalls.CHAT_SCHEMAS).unionByName(toolcalls.other_messages(turns)).withColumnRenamed("conv", "conv_id")
 
 
 OP10_SQL = """
@@ -113,6 +114,11 @@ UNION ALL
 SELECT conv_id, 'c' || turn, 'result', CAST(2 * depth + 1 AS BIGINT), CASE WHEN asked IS NULL THEN 'orphan' WHEN got > 1 THEN 'duplicate' ELSE 'ok' END, '',
  '{' || CASE WHEN text IS NULL THEN '' ELSE '"content":' || CAST(to_json(text) AS VARCHAR) || ',' END || '"id":"c' || turn || '","type":"result"}'
 FROM r LEFT JOIN asked USING (conv_id, turn) LEFT JOIN dep USING (conv_id, turn) LEFT JOIN got USING (conv_id, turn)
+UNION ALL
+SELECT conv_id, CAST(NULL AS VARCHAR), 'message', CAST(NULL AS BIGINT), 'ok', '',
+ '{' || CASE WHEN text IS NULL THEN '' ELSE '"content":' || CAST(to_json(text) AS VARCHAR) || ',' END || CASE WHEN role IS NULL THEN '' ELSE '"role":' || CAST(to_json(role) AS VARCHAR) || ',' END
+ || CASE WHEN turn IS NULL THEN '' ELSE '"turn":' || turn || ',' END || '"type":"message"}'
+FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant')
 """
 
 

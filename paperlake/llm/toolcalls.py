@@ -113,9 +113,17 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str
     return c.unionByName(r)
 
 
+def _turns(messages: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
+    return messages.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
+
+
 def chat_calls(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Chat turns as calls and results: a user turn t calls `ask` as c<t>, follows c<t - 2>, and turn t + 1 is its result if an assistant's."""
-    rows = messages.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
+    """Chat turns as calls and results: a user turn t calls `ask` as c<t>, follows c<t - 2>, and turn t + 1 is its result if an assistant's.
+
+    Turns of any other role, or of none, are neither: other_messages has them. A null turn has no identifier; null conversations are
+    one; null texts stay null; repeated rows stay; other columns are not read; an empty table gives none of either.
+    """
+    rows = _turns(messages, conv_col, turn_col, role_col, text_col)
     call_id = F.concat(F.lit("c"), F.col("turn").cast("string"))
     calls = rows.where("role = 'user'").select(
         "conv", call_id.alias("call_id"), F.concat(F.lit("c"), (F.col("turn") - 2).cast("string")).alias("parent"), F.lit("ask").alias("name"),
@@ -124,4 +132,15 @@ def chat_calls(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "
     return calls, results
 
 
+def other_messages(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """The turns that are neither calls nor results, as rows like link_calls': kind message, without identifier and position, status ok.
+
+    Null roles, turns and texts are left out of the message's JSON.
+    """
+    rows = _turns(messages, conv_col, turn_col, role_col, text_col).where("role IS NULL OR role NOT IN ('user', 'assistant')")
+    return rows.select(
+        "conv", F.lit(None).cast("string").alias("call_id"), F.lit("message").alias("kind"), F.lit(None).cast("long").alias("position"), F.lit("ok").alias("status"), F.lit("").alias("errors"),
+        F.expr("to_json(named_struct('content', text, 'role', role, 'turn', turn, 'type', 'message'))").alias("message"))
+
+
 CHAT_SCHEMAS = {"ask": {"prompt": Param("string"), "turn": Param("integer", least=0)}}
