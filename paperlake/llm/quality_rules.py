@@ -13,31 +13,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from paperlake.llm.common import text_digest
+from paperlake.llm.common import checkpoint
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 LINE_SHARE = 0.01
 LINE_LEAST = 20
 KEEP_SHARE = 0.3
+#: Lines above the limit up to this many, of all hosts, are broadcast.
+BROADCAST_LINES = 1_000_000
+#: Into so many keys a host's documents are dealt beyond that.
+HOST_PARTS = 64
+_COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 _HAS_WORD = r"[^\\x20\\x09-\\x0D]"
 _GAP = r"[\\x20\\x09-\\x0D]+"
 
 
 def _repeat_words() -> str:
-    """Words in three-word windows that come twice or more, of the array w; equal 64-bit hashes count as equal windows."""
+    """Words in three-word windows that come twice or more, of the array w. Windows of equal hashes are told apart by their words, which hold no blank."""
     hashes = "if(size(w) < 3, CAST(array() AS array<bigint>), transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2])))"
-    dups = "transform(filter(s, (e, k) -> e.x = get(s, k - 1).x OR e.x = get(s, k + 1).x), e -> e.i)"
+    again = "transform(filter(s, (e, k) -> coalesce(e.x = get(s, k - 1).x AND e.t = get(s, k - 1).t, false) OR coalesce(e.x = get(s, k + 1).x AND e.t = get(s, k + 1).t, false)), e -> e.i)"
     cover = (
-        f"aggregate(sort_array({dups}), named_struct('upto', 0, 'n', 0), (a, i) -> named_struct("
+        f"aggregate(sort_array({again}), named_struct('upto', 0, 'n', 0), (a, i) -> named_struct("
         "'upto', greatest(a.upto, i + 3), 'n', a.n + i + 3 - greatest(a.upto, i)), a -> a.n)"
     )
-    among = f"transform(array(sort_array(transform(h, (x, i) -> named_struct('x', x, 'i', i)))), s -> {cover})[0]"
+    among = f"transform(array(sort_array(transform(h, (x, i) -> named_struct('x', x, 't', concat_ws(' ', w[i], w[i + 1], w[i + 2]), 'i', i)))), s -> {cover})[0]"
     return f"transform(array({hashes}), h -> if(size(array_distinct(h)) = size(h), 0, {among}))[0]"
 
 
 def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed added; null texts count as empty.
+    """The documents with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed added; null texts count as empty,
+    and columns of these names are replaced. Equal rows stay; an empty table gives none.
 
     Words are bound once, by a lambda: a filter on these counts may be pushed below, and must not split the text anew for each word.
     """
@@ -52,82 +58,82 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     whole = f"named_struct('c', c, 'failed', c.n_words < {MIN_WORDS} OR 100 * c.n_repeat_words > {REPEAT_PERCENT} * c.n_words)"
     words = f"array_remove(split({text}, '{_GAP}'), '')"
     counted = docs.withColumn("__b", F.expr(f"transform(transform(array({words}), w -> {fields}), c -> {whole})[0]"))
-    return counted.select(*docs.columns, "__b.c.n_words", "__b.c.word_chars", "__b.c.n_symbols", "__b.c.n_dup_lines", "__b.c.n_repeat_words", F.col("__b.failed").alias("base_failed"))
+    rest = [c for c in docs.columns if c not in _COUNTS]
+    return counted.select(*rest, "__b.c.n_words", "__b.c.word_chars", "__b.c.n_symbols", "__b.c.n_dup_lines", "__b.c.n_repeat_words", F.col("__b.failed").alias("base_failed"))
 
 
-def host_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """Rows (host, id, digest, line, n): each document's distinct normalised lines by hash, with their words."""
+def _lines(text_col: str) -> str:
+    """Distinct normalised lines of a text by hash, each with its words, as an array."""
     parts = f"array_remove(split(x, '{_GAP}'), '')"
-    lines = f"filter(transform(split(lower({text_col}), '\\n'), x -> transform(array({parts}), p -> named_struct('line', xxhash64(p), 'n', size(p)))[0]), l -> l.n > 0)"
-    return docs.select(
-        F.col(host_col).alias("host"), F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("digest"),
-        F.explode(F.array_distinct(F.expr(lines))).alias("l"),
-    ).select("host", "id", "digest", "l.line", "l.n")
-
-
-def frequent_lines(lines: DataFrame, docs: DataFrame, id_col: str, host_col: str, share: float, least: int, text_col: str = "text", copies_once: bool = False) -> DataFrame:
-    """Rows (host, line): lines in more than `least` documents and more than `share` of the documents of their host; with copies_once, texts stand for documents."""
-    key, own = (F.col("digest"), text_digest(F.col(text_col))) if copies_once else (F.col("id").cast("string"), F.col(id_col).cast("string"))
-    key = F.coalesce(key, F.lit(""))
-    per_host = docs.groupBy(F.col(host_col).alias("__host")).agg(F.countDistinct(F.coalesce(own, F.lit(""))).alias("docs"))
-    counts = lines.groupBy("host", "line").agg(F.countDistinct(key).alias("c")).where(F.col("c") > least)
-    return counts.join(per_host, F.col("host").eqNullSafe(F.col("__host"))).where(F.col("c") > F.col("docs") * share).select(
-        F.col("host").alias("__h"), F.col("line").alias("__l")
-    )
+    return f"array_distinct(filter(transform(split(lower({text_col}), '\\n'), x -> transform(array({parts}), p -> named_struct('line', xxhash64(p), 'n', size(p)))[0]), l -> l.n > 0))"
+
+
+def frequent_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str, share: float, least: int, copies_once: bool = False) -> DataFrame:
+    """Rows (host, line): lines in more than `least` documents and more than `share` of the documents of their host; with copies_once, texts stand for documents.
+
+    One pass: a document's row without a line (null) counts it for its host. Counts are added up before and after the shuffle by
+    (host, line, document), so no line's documents meet in one task.
+    """
+    own = F.unhex(F.md5(F.col(text_col))) if copies_once else F.col(id_col).cast("string").cast("binary")
+    keyed = docs.select(F.col(host_col).alias("host"), F.coalesce(own, F.lit(b"")).alias("key"), F.expr(f"transform({_lines(text_col)}, l -> l.line)").alias("lines"))
+    each = keyed.select("host", "key", F.explode(F.expr("concat(array(CAST(NULL AS bigint)), coalesce(lines, CAST(array() AS array<bigint>)))")).alias("line"))
+    counts = checkpoint(each.groupBy("host", "line").agg(F.countDistinct("key").alias("c")).where((F.col("c") > least) | F.col("line").isNull()))
+    per_host = counts.where("line IS NULL").select(F.col("host").alias("__host"), F.col("c").alias("docs"))
+    return counts.where("line IS NOT NULL").join(per_host, F.col("host").eqNullSafe(F.col("__host"))).where(F.col("c") > F.col("docs") * share).select("host", "line")
+
+
+def _with_hot(docs: DataFrame, host_col: str, hot: DataFrame, broadcast_lines: int) -> DataFrame:
+    """The documents with __hot, the lines above the limit of their host (null: none).
+
+    A host's lines are an array: each is in over a `share` of its documents, so there are at most 1 / share times as many as
+    lines in a document. They are broadcast up to `broadcast_lines`; beyond, documents of a host are dealt out over
+    HOST_PARTS keys and its lines go to each.
+    """
+    hot = checkpoint(hot)
+    arrays = hot.groupBy(F.col("host").alias("__host")).agg(F.collect_set("line").alias("__hot"))
+    same = F.col(host_col).eqNullSafe(F.col("__host"))
+    if hot.count() <= broadcast_lines:
+        return docs.join(F.broadcast(arrays), same, "left").drop("__host")
+    salted = docs.withColumn("__part", F.pmod(F.xxhash64("text"), F.lit(HOST_PARTS)).cast("int"))
+    arrays = arrays.withColumn("__p", F.explode(F.sequence(F.lit(0), F.lit(HOST_PARTS - 1))))
+    return salted.join(arrays, same & (F.col("__part") == F.col("__p")), "left").drop("__host", "__part", "__p")
+
+
+_LOST = "coalesce(aggregate(filter(__lines, l -> array_contains(__hot, l.line)), 0L, (a, l) -> a + l.n), 0L)"
+_ALL = "coalesce(aggregate(__lines, 0L, (a, l) -> a + l.n), 0L)"
 
 
 def rule_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", share: float = LINE_SHARE,
-                least: int = LINE_LEAST, keep_share: float = KEEP_SHARE, copies_once: bool = False) -> DataFrame:
+                least: int = LINE_LEAST, keep_share: float = KEEP_SHARE, copies_once: bool = False, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """One row per document row: id, the base counts, base_failed, line_words, lost_words, kept.
 
     line_words are the words of a document's distinct lines and lost_words those of its lines above
     the limit; it is depleted if less than keep_share remains. Null texts have no words and fail; null
     hosts are one host; null ids are one document; with copies_once, documents of one text are one, null texts too;
-    equal rows get equal results each and count once; other columns are not read; an empty table gives none.
+    equal rows get equal results each and count once; other columns are not read; an empty table gives none; a very
+    long text is worked on in its own row.
     """
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(host_col).alias("source"))
-    lines = host_lines(slim, "id", "text", "source")
-    hot = frequent_lines(lines, slim, "id", "source", share, least, copies_once=copies_once)
-    lost = (
-        lines.join(hot, F.col("host").eqNullSafe(F.col("__h")) & (F.col("line") == F.col("__l")))
-        .select("host", "id", "digest", "line", "n").distinct()
-        .groupBy(F.col("host").alias("__host"), F.col("id").alias("__id"), F.col("digest").alias("__digest")).agg(F.sum("n").alias("lost_words"))
-    )
-    parts = f"size(array_remove(split(x, '{_GAP}'), ''))"
-    distinct = f"array_distinct(transform(split(lower(text), '\\n'), x -> array_remove(split(x, '{_GAP}'), '')))"
-    base = base_counts(slim.withColumn("digest", text_digest(F.col("text"))).withColumn(
-        "line_words", F.coalesce(F.expr(f"aggregate({distinct}, 0L, (a, l) -> a + size(l))"), F.lit(0)))).drop("text")
-    same = F.col("source").eqNullSafe(F.col("__host")) & F.col("id").eqNullSafe(F.col("__id")) & F.col("digest").eqNullSafe(F.col("__digest"))
-    out = base.join(lost, same, "left").withColumn("lost_words", F.coalesce("lost_words", F.lit(0)))
+    hot = frequent_lines(slim, "id", "text", "source", share, least, copies_once)
+    base = _with_hot(base_counts(slim.withColumn("__lines", F.expr(_lines("text")))), "source", hot, broadcast_lines)
+    out = base.withColumn("line_words", F.expr(_ALL)).withColumn("lost_words", F.expr(_LOST))
     kept = ~F.col("base_failed") & (F.col("line_words") - F.col("lost_words") >= F.col("line_words") * keep_share)
-    return out.select(
-        F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "line_words", "lost_words",
-        kept.alias("kept"),
-    )
+    return out.select(F.col("id").alias(id_col), *_COUNTS, "line_words", "lost_words", kept.alias("kept"))
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", share: float = LINE_SHARE,
-          least: int = LINE_LEAST, keep_share: float = KEEP_SHARE, copies_once: bool = False) -> DataFrame:
+          least: int = LINE_LEAST, keep_share: float = KEEP_SHARE, copies_once: bool = False, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """The kept documents with their columns, their texts without the lines above the limit.
 
-    A text without such lines stays as it is. The verdicts are those of rule_counts on the texts as they come.
+    A text without such lines stays as it is. The verdicts are those of rule_counts on the texts as they come, and so is
+    what holds for nulls, equal rows, long texts and empty tables. Texts are not shuffled.
     """
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(host_col).alias("source"))
-    lines = host_lines(slim, "id", "text", "source")
-    hot = frequent_lines(lines, slim, "id", "source", share, least, copies_once=copies_once)
-    lost = (
-        lines.join(hot, F.col("host").eqNullSafe(F.col("__h")) & (F.col("line") == F.col("__l")))
-        .groupBy(F.col("host").alias("__host"), F.col("id").alias("__id"), F.col("digest").alias("__digest"))
-        .agg(F.collect_set(F.struct("line", "n")).alias("__lost"))
-    )
-    distinct = f"array_distinct(transform(split(lower(text), '\\n'), x -> array_remove(split(x, '{_GAP}'), '')))"
-    rest = f"filter(split(text, '\\n'), x -> NOT array_contains(transform(__lost, l -> l.line), xxhash64(array_remove(split(lower(x), '{_GAP}'), ''))))"
-    packed = docs.select(F.struct(*docs.columns).alias("__doc"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(host_col).alias("source"))
-    good = base_counts(packed).where("NOT base_failed").select("__doc", "id", "text", "source", text_digest(F.col("text")).alias("digest"))
-    same = F.col("source").eqNullSafe(F.col("__host")) & F.col("id").eqNullSafe(F.col("__id")) & F.col("digest").eqNullSafe(F.col("__digest"))
-    marked = good.join(lost, same, "left").withColumn(
-        "__words", F.when(F.col("__lost").isNotNull(), F.expr(f"aggregate({distinct}, 0L, (a, l) -> a + size(l))"))
-    ).withColumn("__gone", F.expr("aggregate(__lost, 0L, (a, l) -> a + l.n)"))
-    marked = marked.where(F.col("__lost").isNull() | (F.col("__words") - F.col("__gone") >= F.col("__words") * keep_share))
-    text = F.when(F.col("__lost").isNull(), F.col("text")).otherwise(F.expr(f"array_join({rest}, '\\n')"))
-    return marked.select(*[text.alias(c) if c == text_col else F.col("__doc").getField(c).alias(c) for c in docs.columns])
+    hot = frequent_lines(slim, "id", "text", "source", share, least, copies_once)
+    packed = docs.select(F.struct(*docs.columns).alias("__doc"), F.col(text_col).alias("text"), F.col(host_col).alias("source"))
+    good = _with_hot(base_counts(packed).where("NOT base_failed").select("__doc", "text", "source"), "source", hot, broadcast_lines)
+    good = good.withColumn("__lines", F.when(F.col("__hot").isNotNull(), F.expr(_lines("text"))))
+    good = good.where(F.col("__hot").isNull() | (F.expr(_ALL) - F.expr(_LOST) >= F.expr(_ALL) * keep_share))
+    rest = f"filter(split(text, '\\n'), x -> NOT array_contains(__hot, xxhash64(array_remove(split(lower(x), '{_GAP}'), ''))))"
+    text = F.when(F.expr(f"coalesce({_LOST} > 0, false)"), F.expr(f"array_join({rest}, '\\n')")).otherwise(F.col("text"))
+    return good.select(*[text.alias(c) if c == text_col else F.col("__doc").getField(c).alias(c) for c in docs.columns])

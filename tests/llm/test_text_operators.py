@@ -177,8 +177,26 @@ def test_host_lines_deplete(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r.doc_id: r for r in quality_rules.rule_counts(d, share=0.4, least=5).collect()}
     assert got[0].kept and got[0].lost_words == 3 and not got[100].kept
-    clean = {r.doc_id: r.text for r in quality_rules.clean(d, share=0.4, least=5).collect()}
-    assert set(clean) == set(range(30)) and clean[3] == f"{body} 3"
+    for most in (quality_rules.BROADCAST_LINES, -1):
+        clean = {r.doc_id: r.text for r in quality_rules.clean(d, share=0.4, least=5, broadcast_lines=most).collect()}
+        assert set(clean) == set(range(30)) and clean[3] == f"{body} 3"
+        assert {r.doc_id: r for r in quality_rules.rule_counts(d, share=0.4, least=5, broadcast_lines=most).collect()} == got
+
+
+def test_clean_edges(spark, docs):
+    want = Counter((i, t) for i, t in _pairs(docs, "doc_id", "text") if not brute.rule_base(t)[5])
+    for once in (True, False):
+        left = quality_rules.clean(docs, copies_once=once)
+        assert left.columns == docs.columns and Counter(_pairs(left, "doc_id", "text")) == want
+        assert quality_rules.clean(docs.where("false"), copies_once=once).count() == 0
+    clash = quality_rules.base_counts(docs.withColumn("n_words", F.lit("mine")))
+    assert clash.columns.count("n_words") == 1 and dict(clash.dtypes)["n_words"] == "bigint"
+
+
+def test_repeats_of_a_long_text(spark):
+    w = [f"w{i}" for i in range(100000)]
+    d = spark.createDataFrame([(1, " ".join(w + w[10:14]), "h")], "doc_id long, text string, source string")
+    assert quality_rules.rule_counts(d).first().n_repeat_words == 8
 
 
 def test_copies_of_a_text_are_no_boilerplate(spark, tmp_path):
