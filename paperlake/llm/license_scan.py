@@ -3,13 +3,17 @@
 All word 3-grams of every text are joined, by hash, to their places in license templates.
 A template that stands in a text gives votes on one diagonal (text position less template
 position); words put in or left out move them to neighbouring ones, which are merged. A
-merged run is a find if its 3-grams cover enough of the template. One that spreads too
-far, as a phrase repeated back to back does, is split at its widest gaps until it does
-not, if need be into single diagonals. The table of templates is part of this module, so its broadcast has a fixed size.
+run that spreads too far, as a phrase repeated back to back does, is split at its widest
+gaps until it does not, if need be into single diagonals. A run's span is verified by
+words: its 3-grams, taken in text order as far as they stand in template order, must cover
+enough of the template and every word of the template's name in it. The table of templates
+is part of this module, so its broadcast has a fixed size.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from paperlake.llm.common import repeat_rows, text_digest, words
@@ -20,41 +24,66 @@ NEAR = 4
 MIN_COVER = 0.6
 MAX_SPREAD = 2.0
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-TEMPLATES: list[tuple[str, str]] = [
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
-    ("mit", "Released under the MIT License"),
-    ("mit", "Licensed under the MIT License"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
-    ("cc-by", "Licensed under CC BY 4.0"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
-    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
-    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
-    ("reserved", "No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher"),
+#: Fixed values: (label, the words that name the license, wording from the public license texts). A find must have the name;
+#: long wordings that are a license's own need none.
+TEMPLATES: list[tuple[str, str, str]] = [
+    ("apache-2.0", "Apache License", "Licensed under the Apache License, Version 2.0"),
+    ("apache-2.0", "Apache License", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("apache-2.0", "", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
+    ("mit", "", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
+    ("mit", "MIT License", "Released under the MIT License"),
+    ("mit", "MIT License", "Licensed under the MIT License"),
+    ("bsd", "", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("isc", "", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("gpl", "GNU General Public License", "This work is licensed under the GNU General Public License, version 3"),
+    ("gpl", "GNU General Public License", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("lgpl", "GNU Lesser General Public License", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("mpl-2.0", "Mozilla Public License", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
+    ("cc-by", "CC BY 4.0", "Licensed under CC BY 4.0"),
+    ("cc-by", "Creative Commons Attribution 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-nc", "CC BY-NC 4.0", "Licensed under CC BY-NC 4.0"),
+    ("cc-by-nc", "Creative Commons Attribution-NonCommercial 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-sa", "CC BY-SA 4.0", "Licensed under CC BY-SA 4.0"),
+    ("cc-by-sa", "Creative Commons Attribution-ShareAlike 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc0", "", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("reserved", "", "No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher"),
 ]
 _DOCUMENT = 0
 _HASHES = "if(size(w) < 3, CAST(array() AS array<bigint>), transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2])))"
 
 
-def _grams(docs: DataFrame, templates: list[tuple[str, str]], phrases: list[str]) -> DataFrame:
-    """Rows (id, digest, n, pos, tpl, tpos, start), one more with tpl -1 for each document, and tpl -2 - i for phrase i of three words."""
+def _template_words(text: str) -> list[str]:
+    return re.findall(r"[0-9a-z\u0080-\U0010ffff]+", text.lower())
+
+
+def _named_places(name: str, text: str) -> list[int]:
+    """Where a template has the words of its name, the first such place."""
+    n, w = _template_words(name), _template_words(text)
+    at = next((i for i in range(len(w) - len(n) + 1) if w[i : i + len(n)] == n), None)
+    if at is None:
+        raise ValueError(f"the name {name!r} is not in the template {text!r}")
+    return list(range(at, at + len(n)))
+
+
+def _grams(docs: DataFrame, templates: list[tuple[str, str, str]], phrases: list[str], apart: str) -> DataFrame:
+    """Rows (id, digest, n, pos, tpl, tpos, apart): one with tpl -1 for each document, one for each 3-gram of a template, and one with tpl -2 - i for each place of phrase i of three words.
+
+    A gram's row carries its three words and not the text, so the work is linear in a text's length.
+    """
     spark = docs.sparkSession
-    rows = [(i, t) for i, (_, t) in enumerate(templates)] + [(-2 - i, t) for i, t in enumerate(phrases) if len(t.split()) == GRAM]
+    rows = [(i, t) for i, (_, _, t) in enumerate(templates)] + [(-2 - i, t) for i, t in enumerate(phrases) if len(t.split()) == GRAM]
+    if any(len(_template_words(t)) < GRAM for _, _, t in templates):
+        raise ValueError(f"a template has fewer than {GRAM} words")
     table = spark.createDataFrame(rows, "tpl int, text string").select("tpl", words(F.col("text")).alias("w")).select(
-        "tpl", "w", F.posexplode(F.expr(_HASHES)).alias("tpos", "key")).selectExpr("key", "tpl", "tpos", "slice(w, tpos + 1, 3) AS gram")
-    table = table.unionByName(spark.range(1).selectExpr(f"{_DOCUMENT}L AS key", "-1 AS tpl", "0 AS tpos", "CAST(array() AS array<string>) AS gram"))
-    each = docs.select("id", "digest", "w", F.posexplode(F.expr(f"concat(array({_DOCUMENT}L), {_HASHES})")).alias("pos", "key"))
-    return each.join(F.broadcast(table), "key").where("(tpl = -1 AND pos = 0) OR (tpl <> -1 AND pos > 0 AND slice(w, pos, 3) = gram)")
+        "tpl", "w", F.posexplode(F.expr(_HASHES)).alias("tpos", "key")).selectExpr("key", "tpl", "tpos", "w[tpos] AS ta", "w[tpos + 1] AS tb", "w[tpos + 2] AS tc")
+    table = table.unionByName(spark.range(1).selectExpr(f"{_DOCUMENT}L AS key", "-1 AS tpl", "0 AS tpos", "'' AS ta", "'' AS tb", "'' AS tc"))
+    kind = "named_struct('key', {}, 'pos', {}, 'a', {}, 'b', {}, 'c', {}, 'n', {}, 'apart', {})"
+    none = "CAST(NULL AS array<struct<start:int,label:string,phrase:int>>)"
+    alone = kind.format(f"{_DOCUMENT}L", "-1", "''", "''", "''", "size(w)", apart)
+    gram = kind.format("xxhash64(w[i], w[i + 1], w[i + 2])", "i", "w[i]", "w[i + 1]", "w[i + 2]", "0", none)
+    each = f"if(size(w) < {GRAM}, array({alone}), concat(array({alone}), transform(sequence(0, size(w) - {GRAM}), i -> {gram})))"
+    met = docs.select("id", "digest", F.explode(F.expr(each)).alias("g")).select("id", "digest", "g.*").join(F.broadcast(table), "key")
+    return met.where("if(pos < 0, tpl = -1, tpl <> -1 AND a = ta AND b = tb AND c = tc)").select("id", "digest", "n", "pos", "tpl", "tpos", "apart")
 
 
 def _phrase_starts(phrase: str) -> str:
@@ -64,44 +93,47 @@ def _phrase_starts(phrase: str) -> str:
     return f"if(array_contains(w, '{first}'), filter(transform(w, (x, i) -> if(coalesce({same}, false), i, -1)), i -> i >= 0), CAST(array() AS array<int>))"
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] | None = None,
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str, str]] | None = None,
          phrases: dict[str, str] | None = None, min_cover: float = MIN_COVER) -> DataFrame:
     """One row per document row: id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
     n_base counts the places of all phrases, first_word and last_word are their smallest and largest starts (null if
     none); spans are the finds (start, end, label, cover); score is 1 with a phrase, else the best cover, else 0. Null and
-    empty texts have no words; null ids and equal rows stay; other columns are not read; an empty table gives none.
+    empty texts have no words; null ids and equal rows stay; other columns are not read; an empty table gives none. A text's
+    work is linear in its length, and what a template's votes in one text gather is bounded by that text.
     """
     templates = TEMPLATES if templates is None else templates
     phrases = PHRASES if phrases is None else phrases
     named = list(phrases)
     toks = docs.select(F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("digest"), words(F.col(text_col)).alias("w"))
-    found = _grams(toks, templates, named)
     others = [(i, p) for i, p in enumerate(named) if len(p.split()) != GRAM]
     apart = ", ".join(f"transform({_phrase_starts(p)}, s -> named_struct('start', s, 'label', '{phrases[p]}', 'phrase', {i}))" for i, p in others)
+    rows = _grams(toks, templates, named, f"concat({apart})" if apart else "CAST(array() AS array<struct<start:int,label:string,phrase:int>>)")
     label = "CASE tpl " + " ".join(f"WHEN {-2 - i} THEN '{phrases[p]}'" for i, p in enumerate(named)) + " ELSE '' END"
-    rows = found.selectExpr(
-        "id", "digest", "size(w) AS n", "tpl", "tpos", "pos - 1 AS start",
-        f"if(tpl = -1, {f'concat({apart})' if apart else 'CAST(array() AS array<struct<start:int,label:string,phrase:int>>)'}, NULL) AS apart",
-        f"if(tpl < -1, named_struct('start', pos - 1, 'label', {label}, 'phrase', -2 - tpl), NULL) AS base",
-    )
-    documents = rows.where("tpl < 0").groupBy("id", "digest").agg(
-        F.max("n").alias("n_words"), F.sum(F.expr("int(tpl = -1)")).alias("copies"), F.collect_set("base").alias("base"), F.max("apart").alias("apart"))
-    votes = rows.where("tpl >= 0").groupBy("id", "digest", "tpl", (F.col("start") - F.col("tpos")).alias("diagonal")).agg(
-        F.collect_set("tpos").alias("at"), F.min("start").alias("lo"), F.max("start").alias("hi"))
+    base = F.when(F.col("tpl") < -1, F.struct(F.col("pos").alias("start"), F.expr(label).alias("label"), (-2 - F.col("tpl")).alias("phrase")))
+    vote = F.when(F.col("tpl") >= 0, F.struct("tpl", (F.col("pos") - F.col("tpos")).alias("diagonal"), "tpos"))
+    per = rows.groupBy("id", "digest").agg(
+        F.max("n").alias("n_words"), F.count_if(F.col("tpl") == -1).alias("copies"), F.collect_set(base).alias("base"), F.max("apart").alias("apart"), F.collect_set(vote).alias("votes"))
+    documents = per.drop("votes")
+    votes = per.where("size(votes) > 0").select("id", "digest", F.inline("votes")).groupBy("id", "digest", "tpl", "diagonal").agg(
+        F.collect_set("tpos").alias("at"), F.min(F.col("diagonal") + F.col("tpos")).alias("lo"), F.max(F.col("diagonal") + F.col("tpos")).alias("hi"))
     line = Window.partitionBy("id", "digest", "tpl").orderBy("diagonal")
-    size = "CASE tpl " + " ".join(f"WHEN {i} THEN {n}" for i, n in enumerate(_sizes(templates))) + " ELSE 1 END"
+    size = "CASE tpl " + " ".join(f"WHEN {i} THEN {len(_template_words(t))}" for i, (_, _, t) in enumerate(templates)) + " ELSE 1 END"
     runs = votes.withColumn("gap", F.col("diagonal") - F.lag("diagonal").over(line)).withColumn("run", F.lit(None).cast("struct<near:int,run:bigint>"))
     for near in range(NEAR, -1, -1):
         runs = runs.withColumn("at_near", F.sum(F.coalesce((F.col("gap") > near).cast("int"), F.lit(1))).over(line.rowsBetween(Window.unboundedPreceding, 0)))
         whole = Window.partitionBy("id", "digest", "tpl", "at_near")
         narrow = F.max("hi").over(whole) + GRAM - F.min("lo").over(whole) <= MAX_SPREAD * F.expr(size)
         runs = runs.withColumn("run", F.coalesce("run", F.when(narrow, F.struct(F.lit(near).alias("near"), F.col("at_near").alias("run")))))
-    name = "CASE tpl " + " ".join(f"WHEN {i} THEN '{n}'" for i, (n, _) in enumerate(templates)) + " ELSE '' END"
-    runs = runs.groupBy("id", "digest", "tpl", "run").agg(F.flatten(F.collect_list("at")).alias("at"), F.min("lo").alias("lo"), (F.max("hi") + GRAM).alias("hi"))
-    cover = f"size(array_distinct(flatten(transform(at, t -> array(t, t + 1, t + 2))))) / {size}"
-    finds = runs.selectExpr("id AS __id", "digest AS __digest", "lo", "hi", f"{name} AS label", f"{cover} AS cover", f"{size} AS size").where(
-        (F.col("cover") >= min_cover) & (F.col("hi") - F.col("lo") <= MAX_SPREAD * F.col("size")))
+    name = "CASE tpl " + " ".join(f"WHEN {i} THEN '{n}'" for i, (n, _, _) in enumerate(templates)) + " ELSE '' END"
+    must = "CASE tpl " + " ".join(f"WHEN {i} THEN array({', '.join(map(str, _named_places(n, t)))})" for i, (_, n, t) in enumerate(templates) if n) + " ELSE array() END" if any(n for _, n, _ in templates) else "array()"
+    places = F.transform("at", lambda t: F.struct((F.col("diagonal") + t).alias("start"), t.alias("tpos")))
+    runs = runs.withColumn("places", places).groupBy("id", "digest", "tpl", "run").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
+    # in text order, the places that stand in template order as well
+    chain = F.expr("aggregate(places, CAST(array() AS array<struct<start:int,tpos:int>>), (c, p) -> if(size(c) = 0 OR (p.start > element_at(c, -1).start AND p.tpos > element_at(c, -1).tpos), concat(c, array(p)), c))")
+    runs = runs.withColumn("chain", chain).withColumn("at", F.expr("array_distinct(flatten(transform(chain, p -> array(p.tpos, p.tpos + 1, p.tpos + 2))))"))
+    finds = runs.selectExpr("id AS __id", "digest AS __digest", "chain[0].start AS lo", f"element_at(chain, -1).start + {GRAM} AS hi", f"{name} AS label", f"size(at) / {size} AS cover", f"size(array_except({must}, at)) AS lacking").where(
+        (F.col("cover") >= min_cover) & (F.col("lacking") == 0))
     finds = finds.groupBy("__id", "__digest").agg(F.sort_array(F.collect_set(F.struct(F.col("lo").alias("start"), F.col("hi").alias("end"), "label", "cover"))).alias("spans"))
     out = documents.join(finds, F.col("id").eqNullSafe(F.col("__id")) & F.col("digest").eqNullSafe(F.col("__digest")), "left")
     out = out.withColumn("base", F.expr("concat(base, coalesce(apart, array()))")).withColumn("spans", F.expr("coalesce(spans, array())"))
@@ -111,9 +143,3 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
         "CAST(array_max(transform(base, b -> b.start)) AS long) AS last_word", f"array_join(sort_array({base}), ',') AS base_labels",
         f"array_join(sort_array(array_distinct(concat({base}, transform(spans, s -> s.label)))), ',') AS labels",
         "CASE WHEN size(base) > 0 THEN 1.0D ELSE coalesce(array_max(transform(spans, s -> s.cover)), 0.0D) END AS score", "spans", "copies"), "copies")
-
-
-def _sizes(templates: list[tuple[str, str]]) -> list[int]:
-    import re
-
-    return [len(re.findall(r"[0-9a-z\u0080-\U0010ffff]+", t.lower())) for _, t in templates]

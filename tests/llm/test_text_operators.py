@@ -150,13 +150,44 @@ def test_license_scan(spark, docs):
 
 
 def test_license_templates_with_edits(spark):
-    text = license_scan.TEMPLATES[3][1].replace("free of charge", "entirely free of any charge").replace("merge,", "")
+    text = license_scan.TEMPLATES[3][2].replace("free of charge", "entirely free of any charge").replace("merge,", "")
     d = spark.createDataFrame([(1, "intro words " + text + " tail"), (2, "permission is hereby given to nobody at all")], "doc_id long, text string")
     got = {r.doc_id: r for r in license_scan.scan(d).collect()}
     assert got[1].labels == "mit" and 0.6 <= got[1].score < 1 and got[1].spans[0].start == 2
     assert got[2].labels == "" and got[2].score == 0
 
 
+def test_license_spans_are_where_templates_were_put(spark):
+    rng = random.Random(8)
+    rows, want = [], {}
+    for i in range(120):
+        tpl = rng.randrange(len(license_scan.TEMPLATES))
+        label, _, text = license_scan.TEMPLATES[tpl]
+        before, after = [f"p{rng.randrange(99)}" for _ in range(rng.randrange(40))], [f"q{rng.randrange(99)}" for _ in range(5)]
+        rows.append((i, " ".join(before) + "\n" + text + " " + " ".join(after), "x", "y"))
+        want[i] = (len(before), len(before) + len(brute.words(text)), label)
+    d = spark.createDataFrame(rows, "doc_id long, text string, labels string, votes string")
+    got = {r.doc_id: r for r in license_scan.scan(d).collect()}
+    assert all(want[i] in {(s.start, s.end, s.label) for s in got[i].spans if s.cover == 1} and want[i][2] in got[i].labels.split(",") for i in want)
+    assert all(s.start >= want[i][0] and s.end <= want[i][1] for i in want for s in got[i].spans)
+
+
+def test_license_needs_its_name(spark):
+    texts = ["The band licensed under the old rule a song", "licensed under the apache license version 2 0", "released under the old license", "gnu lesser general public license as published by", "license mit the under released"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in license_scan.scan(d).collect()} == {0: "", 1: "apache-2.0", 2: "", 3: "gpl", 4: ""}  # of the third only the base phrase
+    with pytest.raises(ValueError):
+        license_scan.scan(d, templates=[("short", "", "two words")])
+    with pytest.raises(ValueError):
+        license_scan.scan(d, templates=[("odd", "name", "three other words")])
+
+
+def test_license_scan_of_a_long_text(spark):
+    d = spark.createDataFrame([(1, "licensed under the " * 50000 + "MIT License. cc by")], "doc_id long, text string")
+    r = license_scan.scan(d).first()
+    assert (r.n_words, r.n_base, r.first_word, r.base_labels) == (150004, 1, 150002, "cc-by") and "mit" in r.labels
+
+
 def test_license_phrase_back_to_back(spark):
     d = spark.createDataFrame([(n, "intro " + "under the MIT License " * n + "tail") for n in (1, 2, 3, 9)], "doc_id long, text string")
     got = {r.doc_id: r for r in license_scan.scan(d).collect()}
