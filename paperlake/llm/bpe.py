@@ -34,6 +34,7 @@ from paperlake.llm.common import text_batches
 CACHE_WORDS = 300_000
 _CACHED_CHARS = 64
 _PIECE = 1 << 18
+_LONG_WORD = 1 << 12
 _SPACE = "[\t-\r \x85\xa0  -     　]"
 
 
@@ -44,6 +45,19 @@ def _byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+class _Starts:
+    """The entries that start at each place of a very long word, shortest first, as two arrays of numbers in place of a list for each place."""
+
+    def __init__(self, auto: ahocorasick.Automaton, word: str):
+        found = np.fromiter(((end - len(s) + 1) << 16 | len(s) for end, s in auto.iter(word)), dtype=np.int64)
+        found.sort()
+        self.word, self.sizes = word, (found & 0xFFFF).astype(np.uint16)
+        self.first = np.searchsorted(found >> 16, np.arange(len(word) + 1))
+
+    def __getitem__(self, i: int) -> list[str]:
+        return [self.word[i : i + n] for n in self.sizes[self.first[i] : self.first[i + 1]].tolist()]
+
+
 class Vocabulary:
     """Ids, merges and token strings of one BPE file."""
 
@@ -116,9 +130,10 @@ class Vocabulary:
     def encode_word(self, word: str) -> list[str]:
         """The entries of one word, given as symbols."""
         n = len(word)
-        at: list[list[str]] = [[] for _ in range(n)]  # entries by start, shortest first
-        for end, s in self.auto.iter(word):
-            at[end - len(s) + 1].append(s)
+        at = [[] for _ in range(n)] if n <= _LONG_WORD else _Starts(self.auto, word)  # entries by start, shortest first
+        if n <= _LONG_WORD:
+            for end, s in self.auto.iter(word):
+                at[end - len(s) + 1].append(s)
         out: list[str] = []
         left = bytearray(b"\x01") * (n + 1)
         pos, k = 0, len(at[0]) - 1
@@ -172,6 +187,7 @@ class WordTokenizer:
         self.cache: dict[str, bytes] = {}
         self.library = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         self.cache_words = cache_words
+        self.gap = re.compile(_SPACE)
         self.specials = re.compile("(" + "|".join(map(re.escape, self.vocabulary.special)) + ")")
         signs = r"[^\p{L}\p{N}" + _SPACE[1:-1]
         plain = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|" + signs + "]+"
@@ -180,16 +196,13 @@ class WordTokenizer:
         every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
         late = "".join(c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn")
         known = pre_tokenizers.Split(Regex(r"\p{L}|\p{N}"), "removed", invert=True).pre_tokenize_str(late)
-        self.unassigned, self.unknown = frozenset(late), frozenset(late) - {c for c, _ in known}
+        self.unknown = frozenset(late) - {c for c, _ in known}
         self.split_late = regex.compile(r"(?V1)" + plain.replace("\\p{L}+", "[\\p{L}--[" + "".join(self.unknown) + "]]+").replace("|\\p{N}|", "|[\\p{N}--[" + "".join(self.unknown) + "]]|").replace(signs + "]", "[" + signs + "]||[" + "".join(self.unknown) + "]]")) if self.unknown else self.split
-        self.rare = re.compile(f"[{min(self.unassigned, default=chr(0x10FFFF))}-\U0010ffff]")
+        self.rare = re.compile(f"[{min(self.unknown, default=chr(0x10FFFF))}-\U0010ffff]")
 
     def normalize(self, text: str) -> str:
-        if text.isascii():
-            return text.lower()
-        if self.rare.search(text) and not self.unassigned.isdisjoint(text):
-            return self.library.normalize_str(text)
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        """As the library does it; what is ASCII alone needs lower case only."""
+        return text.lower() if text.isascii() else self.library.normalize_str(text)
 
     def _words(self, text: str) -> Iterator[bytes]:
         cache = self.cache
@@ -213,9 +226,9 @@ class WordTokenizer:
                 continue
             part = self.normalize(part)
             a = 0
-            while a < len(part):  # parts end at a blank, so no word is cut
-                b = len(part) if len(part) - a <= _PIECE else part.find(" ", a + _PIECE)
-                b = len(part) if b < 0 else b
+            while a < len(part):  # parts end before white space, so no word is cut
+                m = self.gap.search(part, a + _PIECE)
+                b = m.start() if m else len(part)
                 yield b"".join(self._words(part[a:b]))
                 a = b
 

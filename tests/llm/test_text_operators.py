@@ -458,3 +458,38 @@ def test_every_turn_has_a_row(spark):
     assert Counter(r.kind for r in got) == {"message": 4, "call": 3, "result": 1} and linked(d.where("false")) == []
     assert sorted(r.message for r in got if r.kind == "message") == ['{"content":"n","turn":3,"type":"message"}'] + ['{"content":"s","role":"system","turn":0,"type":"message"}'] * 2 + ['{"role":"tool","turn":1,"type":"message"}']
     assert next(r for r in got if r.call_id is None and r.kind == "call").errors == "missing:turn"
+
+
+def test_bpe_equals_the_library_on_every_code_point():
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(WORD)
+    lib.no_truncation()
+    lib.no_padding()
+    mine = bpe.WordTokenizer(WORD)
+
+    def same(t):
+        return np.frombuffer(b"".join(mine.encode(t)), dtype="<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
+
+    points = [c for c in range(1, 0x32000) if not 0xD800 <= c < 0xE000]
+    assert [hex(c) for c in points[::3] if not same("é" + chr(c) + "̧b")] == []
+    rng = random.Random(9)
+    texts = ["".join(chr(rng.choice([rng.randrange(1, 128), rng.choice(points)])) for _ in range(rng.randrange(1, 25))) for _ in range(10000)]
+    assert [t for t in texts if not same(t)] == []
+    assert same("".join(rng.choices("abcdefgh", k=3 * bpe._LONG_WORD))) and same("word\n" * 60000 + "x" * 70000)
+
+
+def test_bpe_of_no_rows(spark, docs):
+    assert bpe.digests(docs.where("false"), WORD).count() == 0 and bpe.encode_texts(docs.where("false"), WORD).count() == 0
+    assert bpe.decode_ids(bpe.encode_texts(docs, WORD).where("false"), WORD).count() == 0
+
+
+def test_token_counts_of_copies_and_no_rows(spark, docs, tmp_path):
+    d = spark.range(token_count.HOT_LEAST + 50).selectExpr("id AS doc_id", "'one two' AS text", "'c' AS digest", "1 AS n_tokens").unionByName(
+        spark.createDataFrame([(None, None, "d", 2), (None, None, "d", 2), (-1, "three, words here", "e", 3)], "doc_id long, text string, digest string, n_tokens int"))
+    cache = "file://" + str(tmp_path / "cache")
+    want = Counter((t, token_count.count([t or ""], BYTE)[0]) for t in ("one two", None, "three, words here"))
+    got = token_count.count_tokens(d, BYTE, cache)
+    counts = {t: n for t, n in want}
+    assert Counter((r.n_bytes, r.n_tokens) for r in got.collect()) == Counter({(7, counts["one two"]): token_count.HOT_LEAST + 50, (0, 0): 2, (17, counts["three, words here"]): 1})
+    assert token_count.count_tokens(docs.where("false"), BYTE, cache).count() == 0 and token_count.read_cache(spark, cache).count() == 3
