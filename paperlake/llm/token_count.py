@@ -17,8 +17,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from paperlake.llm.common import shared_dir, text_batches
+from paperlake.llm.common import checkpoint, shared_dir, text_batches
 
+#: A digest comes very often if over one row in HOT_SHARE has it, and over HOT_LEAST rows.
+HOT_SHARE = 10_000
+HOT_LEAST = 1000
 _PIECE = 1 << 17
 _BETWEEN = re.compile(r"(?<=[^\W\d_]) (?=[^\W\d_])")
 _SCHEMA = "digest binary, version string, n_tokens long"
@@ -103,20 +106,21 @@ def count_tokens(docs: DataFrame, path: str, cache: str, id_col: str = "doc_id",
     """One row per document row: id, n_bytes (UTF-8), n_tokens; counts that the cache lacked are in it afterwards.
 
     Null texts count as empty: 0 bytes and tokens. Null ids and equal rows stay; other columns are not read;
-    an empty table gives none.
+    an empty table gives none. Copies of a text are one before texts are shuffled, and the rows of digests that come very
+    often get their counts by broadcast, so that no task has them all.
     """
     spark, v = docs.sparkSession, version(path)
     text_batches(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col).alias(id_col), F.octet_length(text).cast("long").alias("n_bytes"), content_digest(F.col(text_col)).alias("digest"))
+    keyed = checkpoint(docs.select(F.col(id_col).alias(id_col), F.octet_length(text).cast("long").alias("n_bytes"), content_digest(F.col(text_col)).alias("digest")))
 
     def stored() -> DataFrame:
         return read_cache(spark, cache).where(F.col("version") == v).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
 
-    misses = (
-        docs.select(content_digest(F.col(text_col)).alias("digest"), text.alias("text"))
-        .join(stored().select("digest"), "digest", "left_anti")
-        .dropDuplicates(["digest"])
-    )
+    distinct = docs.select(content_digest(F.col(text_col)).alias("digest"), text.alias("text")).groupBy("digest").agg(F.first("text").alias("text"))
+    # an anti join would be pushed below the aggregation, where every copy of a text is a row
+    misses = distinct.join(stored().withColumnRenamed("n_tokens", "known"), "digest", "left").where("known IS NULL")
     misses.select("digest", F.lit(v).alias("version"), counter(path)("text").alias("n_tokens")).write.mode("append").parquet(cache)
-    return keyed.join(stored(), "digest").select(id_col, "n_bytes", "n_tokens")
+    often = keyed.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > max(HOT_LEAST, keyed.count() // HOT_SHARE))
+    often = F.broadcast(checkpoint(often.join(stored(), "digest").select("digest", "n_tokens")))  # HOT_SHARE digests at most
+    return keyed.join(often, "digest").unionByName(keyed.join(often, "digest", "left_anti").join(stored(), "digest")).select(id_col, "n_bytes", "n_tokens")
