@@ -1,11 +1,11 @@
 """Language identification with a bidirectional gated recurrent network over bytes.
 
-Bytes come in groups of four, each embedded by its place in the group; a GRU runs over
-the groups in either direction, and four output layers label the group's four positions.
-Position probabilities are pooled over the whole document by their mean logarithm. Texts
-run through in windows, states starting anew in each, with every byte in one window.
-Training is backpropagation through time in numpy, on the driver, over windows of a
-bounded sample; prediction is numpy on batches in the executors.
+A GRU steps over every byte in either direction, and an output layer labels every position
+from both states. Position probabilities are pooled over the whole document by their mean
+logarithm. Texts run through in windows, states starting anew in each, with every byte in
+one window. Training is backpropagation through time in numpy, on the driver, over short
+windows of a bounded sample; prediction is numpy on batches in the executors. The sample is
+bounded for each language, and every language is learned.
 """
 
 from __future__ import annotations
@@ -14,36 +14,32 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paperlake.llm.common import text_batches
 
-GROUP = 4
-WINDOW = 128  # bytes
-#: Labelled documents for each language that training may see, at most, and languages.
+WINDOW = 512  # bytes that a prediction's states run over
+TRAIN_WINDOW = 64
+HIDDEN = 10
+#: Labelled documents of each language that training may see, at most, and windows of each of them.
 SAMPLE_DOCS = 400
-MAX_LANGS = 64
 SAMPLE_WINDOWS = 4
 UNKNOWN = "und"
-_BATCH_WINDOWS = 4096
+_BATCH_BYTES = 1 << 19
 
 
 @dataclass
 class Model:
-    langs: list[str]
-    embed: np.ndarray  # 2 x GROUP x 256 x 3H: what a byte at a place adds to a direction's gates
-    rec: np.ndarray  # 2 x H x 3H
-    bias: np.ndarray  # 2 x 3H
-    out: np.ndarray  # 2H x (GROUP x L)
-    out_bias: np.ndarray  # GROUP x L
+    """For each direction: what a byte adds to the gates and to the candidate (with their biases), and the recurrent weights."""
 
+    langs: list[str]
+    embed: np.ndarray  # 2 x 3 x 256 x H: update, reset, candidate
+    rec: np.ndarray  # 2 x 3 x H x H
+    out: np.ndarray  # 2 x H x L
+    out_bias: np.ndarray  # L
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.clip(x, -30, 30, out=x)
-    np.negative(x, out=x)
-    np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
+    def params(self) -> list[np.ndarray]:
+        return [self.embed, self.rec, self.out, self.out_bias]
 
 
 def windows(texts: list[bytes], width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,89 +57,124 @@ def windows(texts: list[bytes], width: int = WINDOW) -> tuple[np.ndarray, np.nda
     return flat, size, owner
 
 
-def _forward(m: Model, x: np.ndarray, keep: bool = False):
-    """Logits of every position, B x T x GROUP x L; with keep, what backpropagation needs as well."""
-    b, t, h = len(x), x.shape[1] // GROUP, m.rec.shape[1]
-    groups = x.reshape(b, t, GROUP)
-    states = np.empty((t, b, 2 * h), dtype=np.float32)
-    saved = []
-    for d in range(2):
-        s = np.zeros((b, h), dtype=np.float32)
-        steps = range(t) if d == 0 else range(t - 1, -1, -1)
-        trace = []
-        for k in steps:
-            a = m.embed[d, 0][groups[:, k, 0]]
-            for g in range(1, GROUP):
-                a += m.embed[d, g][groups[:, k, g]]
-            a += m.bias[d]
-            u = s @ m.rec[d]
-            zr = _sigmoid(a[:, : 2 * h] + u[:, : 2 * h])
-            z, r = zr[:, :h], zr[:, h:]
-            c = np.tanh(a[:, 2 * h :] + r * u[:, 2 * h :])
-            if keep:
-                trace.append((k, s, zr, u[:, 2 * h :], c))
-            s = s + z * (c - s)
-            states[k, :, d * h : (d + 1) * h] = s
-        saved.append(trace)
-    logits = (states.reshape(t * b, 2 * h) @ m.out + m.out_bias).reshape(t, b, GROUP, len(m.langs))
-    return logits, states, saved
-
+def _states(m: Model, x: np.ndarray, live: np.ndarray, d: int, trace: list | None = None) -> np.ndarray:
+    """The states of one direction, T x B x H. x is T x B with the longest windows first; live[k] of them have a byte at k.
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
+    Gates are halves of 1 + tanh, so a step is three lookups, three products and three tanh.
+    """
+    t, b = x.shape
+    h = m.rec.shape[-1]
+    half = m.embed.dtype.type(0.5)
+    ez, er, ec = m.embed[d, 0] * half, m.embed[d, 1] * half, m.embed[d, 2]
+    uz, ur, uc = m.rec[d, 0] * half, m.rec[d, 1] * half, m.rec[d, 2]
+    out = np.zeros((t, b, h), dtype=m.embed.dtype)
+    state = np.zeros((b, h), dtype=m.embed.dtype)
+    for k in range(t) if d == 0 else range(t - 1, -1, -1):
+        n = live[k]
+        s, at = state[:n], x[k, :n]
+        z = np.tanh(ez[at] + s @ uz)
+        r = np.tanh(er[at] + s @ ur)
+        z += 1
+        z *= half
+        r += 1
+        r *= half
+        u = s @ uc
+        c = np.tanh(ec[at] + r * u)
+        if trace is not None:
+            trace.append((k, n, s.copy(), z, r, u, c))
+        out[k, :n] = s + z * (c - s)
+        state[:n] = out[k, :n]
+    return out
 
 
-def train(rows: list[tuple[bytes, str]], hidden: int = 8, epochs: int = 6, batch: int = 128, rate: float = 0.02, seed: int = 7) -> Model:
-    """Fit to windows (bytes, language) with Adam; the loss is the mean cross-entropy of positions, with equal weight to languages."""
-    langs = sorted({lang for _, lang in rows})
+def _log_softmax(x: np.ndarray) -> np.ndarray:
+    x = x - x.max(axis=0)
+    return x - np.log(np.exp(x).sum(axis=0))
+
+
+def _forward(m: Model, x: np.ndarray, live: np.ndarray, traces: list[list] | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Log probabilities of every position, L x T x B, and the states of both directions."""
+    t, b = x.shape
+    states = [_states(m, x, live, d, None if traces is None else traces[d]) for d in range(2)]
+    logits = sum(m.out[d].T @ states[d].reshape(t * b, -1).T for d in range(2)) + m.out_bias[:, None]
+    return _log_softmax(logits).reshape(len(m.langs), t, b), states
+
+
+def _ordered(x: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows as columns, the longest first, up to the longest one's end; how many have each place; and their order."""
+    order = np.argsort(-size, kind="stable")
+    t = int(size.max(initial=0))
+    return np.ascontiguousarray(x[order, :t].T), np.searchsorted(-size[order], -np.arange(t), side="left"), order
+
+
+def loss_and_gradients(m: Model, x: np.ndarray, size: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """The weighted mean cross-entropy of all positions of windows (B x T bytes, sizes, languages, weights), and its gradients by backpropagation through time."""
+    xt, live, order = _ordered(x, size)
+    y, weight = y[order], weight[order]
+    t, b = xt.shape
+    h, kind = m.rec.shape[-1], m.embed.dtype
+    traces: list[list] = [[], []]
+    lp, states = _forward(m, xt, live, traces)
+    w = np.where(np.arange(b) < live[:, None], weight, 0).astype(kind)
+    w /= max(w.sum(), 1e-9)
+    loss = -float((lp[y, :, np.arange(b)].T * w).sum())
+    p = np.exp(lp)
+    p[y, :, np.arange(b)] -= 1
+    p *= w
+    dl = p.reshape(len(m.langs), t * b)
+    grads = [np.zeros_like(q) for q in m.params()]
+    grads[3] += dl.sum(axis=1)
+    for d in range(2):
+        grads[2][d] = states[d].reshape(t * b, h).T @ dl.T
+        ds_all = (dl.T @ m.out[d].T).reshape(t, b, h)
+        into = np.zeros((3, t, b, h), dtype=kind)  # of what each byte adds
+        carry = np.zeros((b, h), dtype=kind)
+        for k, n, s, z, r, u, c in reversed(traces[d]):
+            ds = ds_all[k, :n] + carry[:n]
+            dc = ds * z * (1 - c * c)
+            dz = ds * (c - s) * z * (1 - z)
+            dr = dc * u * r * (1 - r)
+            du = dc * r
+            into[0, k, :n], into[1, k, :n], into[2, k, :n] = dz, dr, dc
+            grads[1][d, 0] += s.T @ dz
+            grads[1][d, 1] += s.T @ dr
+            grads[1][d, 2] += s.T @ du
+            carry[:n] = ds * (1 - z) + dz @ m.rec[d, 0].T + dr @ m.rec[d, 1].T + du @ m.rec[d, 2].T
+        for g in range(3):
+            for j in range(h):
+                grads[0][d, g, :, j] = np.bincount(xt.ravel(), weights=into[g, :, :, j].ravel(), minlength=256)
+    return loss, grads
+
+
+def fresh(langs: list[str], hidden: int = HIDDEN, seed: int = 7, kind: type = np.float32) -> Model:
     rng, n = np.random.default_rng(seed), len(langs)
 
     def rand(*shape: int) -> np.ndarray:
-        return (rng.standard_normal(shape) * 0.1).astype(np.float32)
+        return (rng.standard_normal(shape) * 0.1).astype(kind)
 
-    m = Model(langs, rand(2, GROUP, 256, 3 * hidden), rand(2, hidden, 3 * hidden), np.zeros((2, 3 * hidden), np.float32), rand(2 * hidden, GROUP * n), np.zeros(GROUP * n, np.float32))
+    return Model(langs, rand(2, 3, 256, hidden), rand(2, 3, hidden, hidden), rand(2, hidden, n), np.zeros(n, kind))
+
+
+def train(rows: list[tuple[bytes, str]], hidden: int = HIDDEN, epochs: int = 8, batch: int = 128, rate: float = 0.02, seed: int = 7) -> Model:
+    """Fit to windows (bytes, language) with Adam; the loss gives equal weight to languages."""
+    langs = sorted({lang for _, lang in rows})
+    m, n = fresh(langs, hidden, seed), len(langs)
     if n < 2:
         return m
-    x = np.zeros((len(rows), WINDOW), dtype=np.uint8)
-    mask = np.zeros((len(rows), WINDOW), dtype=np.float32)
+    rng = np.random.default_rng(seed)
+    x = np.zeros((len(rows), TRAIN_WINDOW), dtype=np.uint8)
+    size = np.array([min(len(text), TRAIN_WINDOW) for text, _ in rows])
     for i, (text, _) in enumerate(rows):
-        x[i, : len(text)] = np.frombuffer(text[:WINDOW], dtype=np.uint8)
-        mask[i, : len(text)] = 1
-    y = np.array([langs.index(lang) for _, lang in rows])
-    weight = (len(rows) / (n * np.bincount(y, minlength=n)))[y].astype(np.float32)
-    params = [m.embed, m.rec, m.bias, m.out, m.out_bias]
+        x[i, : size[i]] = np.frombuffer(text[:TRAIN_WINDOW], dtype=np.uint8)
+    y = np.searchsorted(langs, [lang for _, lang in rows])
+    weight = len(rows) / (n * np.bincount(y, minlength=n))[y]
+    params = m.params()
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    h, t = hidden, WINDOW // GROUP
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for a in range(0, len(order), batch):
             at = order[a : a + batch]
-            xb, b = x[at], len(at)
-            logits, states, saved = _forward(m, xb, keep=True)
-            p = np.exp(_log_softmax(logits))
-            w = (mask[at].reshape(b, t, GROUP) * weight[at][:, None, None]).transpose(1, 0, 2)
-            p[:, np.arange(b), :, y[at]] -= 1
-            p *= (w / max(w.sum(), 1e-6))[..., None]
-            dl = p.reshape(t * b, GROUP * n)
-            grads = [np.zeros_like(m.embed), np.zeros_like(m.rec), np.zeros_like(m.bias), states.reshape(t * b, 2 * h).T @ dl, dl.sum(axis=0)]
-            ds_all = (dl @ m.out.T).reshape(t, b, 2 * h)
-            groups = xb.reshape(b, t, GROUP)
-            for d in range(2):
-                carry = np.zeros((b, h), dtype=np.float32)
-                for k, s, zr, uc, c in reversed(saved[d]):
-                    ds = ds_all[k, :, d * h : (d + 1) * h] + carry
-                    z, r = zr[:, :h], zr[:, h:]
-                    dc = ds * z * (1 - c * c)
-                    dz = ds * (c - s) * z * (1 - z)
-                    dr = dc * uc * r * (1 - r)
-                    da = np.concatenate([dz, dr, dc], axis=1)
-                    du = np.concatenate([dz, dr, dc * r], axis=1)
-                    grads[1][d] += s.T @ du
-                    grads[2][d] += da.sum(axis=0)
-                    for g in range(GROUP):
-                        np.add.at(grads[0][d, g], groups[:, k, g], da)
-                    carry = ds * (1 - z) + du @ m.rec[d].T
+            _, grads = loss_and_gradients(m, x[at], size[at], y[at], weight[at])
             step += 1
             now = rate * min(1, step / 20) / (1 + step / 400)
             for q, g, f, s2 in zip(params, grads, first, second):
@@ -155,17 +186,22 @@ def train(rows: list[tuple[bytes, str]], hidden: int = 8, epochs: int = 6, batch
 
 def pooled(m: Model, texts: list[bytes]) -> np.ndarray:
     """Document probabilities: the softmax of position log probabilities, averaged over all bytes, times a fixed sharpness."""
-    total, count = np.zeros((len(texts), len(m.langs))), np.zeros(len(texts))
+    n_langs = len(m.langs)
+    total, count = np.zeros((n_langs, len(texts))), np.array([len(t) for t in texts], dtype=np.float64)
     flat, size, owner = windows(texts)
-    for a in range(0, len(flat), _BATCH_WINDOWS):
-        x, n, o = flat[a : a + _BATCH_WINDOWS], size[a : a + _BATCH_WINDOWS], owner[a : a + _BATCH_WINDOWS]
-        logits, _, _ = _forward(m, x)
-        lp = _log_softmax(logits)
-        inside = (np.arange(WINDOW) < n[:, None]).reshape(len(x), -1, GROUP).transpose(1, 0, 2)
-        np.add.at(total, o, np.where(inside[..., None], lp, 0).sum(axis=(0, 2)))
-        np.add.at(count, o, n)
-    mean = total / np.maximum(count, 1)[:, None]
-    return np.exp(_log_softmax(mean * np.minimum(count, 20)[:, None]))
+    step = max(1, _BATCH_BYTES // WINDOW)
+    order = np.argsort(-size, kind="stable")  # windows of like sizes go together
+    for a in range(0, len(order), step):
+        at = order[a : a + step]
+        x, live, inner = _ordered(flat[at], size[at])
+        lp, _ = _forward(m, x, live)
+        sums = np.zeros((n_langs, len(at)))
+        for k, n in enumerate(live):
+            sums[:, :n] += lp[:, k, :n]
+        for i in range(n_langs):
+            total[i] += np.bincount(owner[at][inner], weights=sums[i], minlength=len(texts))
+    mean = total / np.maximum(count, 1)
+    return np.exp(_log_softmax(mean * np.minimum(count, 20))).T
 
 
 def learnable(id_col: Column) -> Column:
@@ -174,18 +210,15 @@ def learnable(id_col: Column) -> Column:
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int = SAMPLE_DOCS) -> list[tuple[bytes, str]]:
-    """Windows of labelled learnable documents, at evenly spread places of each: about per_lang documents a language, the
-    share of a language's rows chosen by hash, and never over twice that."""
+    """Windows of labelled learnable documents, at evenly spread places of each: those of the per_lang smallest hashes of ids in each language."""
     named = docs.where(learnable(F.col(id_col)) & F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    counts = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
-    if not counts:
-        return []
-    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, per_lang / n))])
-    place = F.expr(f"transform(sequence(0, {SAMPLE_WINDOWS - 1}), i -> substr(text, 1 + CAST(i * greatest(length(text) - {WINDOW}, 0) / {SAMPLE_WINDOWS - 1} AS int), {WINDOW}))")
-    picked = named.where((F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)) < F.coalesce(share[F.col("lang")], F.lit(0.0)))
-    rows = picked.select("id", "lang", F.explode(F.array_distinct(place)).alias("part")).limit(2 * per_lang * SAMPLE_WINDOWS * len(counts)).collect()
-    return [(r["part"].encode("utf-8", "surrogatepass")[:WINDOW], r["lang"]) for r in sorted(rows, key=lambda r: (r["id"], r["part"]))]
+    place = F.expr(f"array_distinct(transform(sequence(0, {SAMPLE_WINDOWS - 1}), i -> substr(text, 1 + CAST(i * greatest(length(text) - {TRAIN_WINDOW}, 0) / {SAMPLE_WINDOWS - 1} AS int), {TRAIN_WINDOW})))")
+    parts = named.select("lang", "id", F.xxhash64(F.col("id").cast("string")).alias("h"), place.alias("parts"))
+    # only the first rows of each language leave a task, so a language of a third of all rows is no burden
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id", "parts"))
+    rows = parts.withColumn("n", rank).where(F.col("n") <= per_lang).select("lang", "n", "parts").collect()  # per_lang documents a language
+    return [(p.encode("utf-8", "surrogatepass")[:TRAIN_WINDOW], r["lang"]) for r in sorted(rows, key=lambda r: (r["lang"], r["n"])) for p in r["parts"]]
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_DOCS) -> Model:
@@ -196,7 +229,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """One row per document row: id (or the columns of keep), held_out, lang_pred, score.
 
     Null texts and texts without a letter are `und` with score 0, and so is everything if no language was
-    learned. A null id is not held out. Equal rows stay; other columns are not read; an empty table gives none.
+    learned. A null id is not held out. Equal rows stay, and get equal labels; other columns are not read; an empty table
+    gives none. A very long text goes through in windows, about a megabyte of texts, or one text, at a time.
     """
     text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -338,10 +338,47 @@ def test_language_edges(spark, docs):
 
 def test_backpropagation():
     rows = [(b"ab" * 20, "p"), (b"ba c" * 9, "q")]
-    m = langid.train(rows, hidden=2, epochs=40, rate=0.05)
+    m = langid.train(rows, hidden=2, epochs=60, rate=0.05)
     assert [m.langs[i] for i in langid.pooled(m, [r[0] for r in rows]).argmax(axis=1)] == ["p", "q"]
 
 
+def test_gradients_are_finite_differences():
+    rng = np.random.default_rng(3)
+    m = langid.fresh(["a", "b", "c"], hidden=3, kind=np.float64)
+    x, size = rng.integers(97, 101, (4, 9), dtype=np.uint8), np.array([9, 1, 6, 9])
+    y, weight = np.array([0, 2, 1, 1]), np.array([1.0, 2.0, 0.5, 1.5])
+    _, grads = langid.loss_and_gradients(m, x, size, y, weight)
+    for q, g in zip(m.params(), grads):
+        flat, gf = q.reshape(-1), g.reshape(-1)
+        live = np.flatnonzero(gf)
+        for i in [*rng.choice(live, min(25, len(live)), replace=False), *rng.integers(0, len(flat), 5)]:
+            before = flat[i]
+            flat[i] = before + 1e-5
+            up = langid.loss_and_gradients(m, x, size, y, weight)[0]
+            flat[i] = before - 1e-5
+            down = langid.loss_and_gradients(m, x, size, y, weight)[0]
+            flat[i] = before
+            assert math.isclose((up - down) / 2e-5, gf[i], rel_tol=1e-4, abs_tol=1e-8)
+
+
+def test_padding_and_order_do_not_matter():
+    m = langid.fresh(["a", "b"], hidden=4)
+    texts = [b"abc", b"x" * 1500, b"", b"de" * 300, b"q"]
+    alone = np.concatenate([langid.pooled(m, [t]) for t in texts])
+    assert np.allclose(langid.pooled(m, texts), alone, atol=1e-5) and np.allclose(alone[2], 0.5)
+
+
+def test_many_languages_are_all_learned(spark):
+    rows = [(i, chr(97 + (i % 70) // 26) + chr(97 + (i % 70) % 26) * 30, f"l{i % 70:02d}", "x", 1.0) for i in range(1400)]
+    d = spark.createDataFrame(rows + rows[:70], "doc_id long, text string, lang string, lang_pred string, score double")
+    picked = langid.sample(d, "doc_id", "text", "lang", per_lang=5)
+    assert {lang for _, lang in picked} == {f"l{i:02d}" for i in range(70)}
+    assert Counter(lang for _, lang in picked) == {f"l{i:02d}": 5 for i in range(70)} and picked == langid.sample(d.repartition(3), "doc_id", "text", "lang", per_lang=5)
+    m = langid.train(picked, epochs=1)
+    got = langid.predict(spark.createDataFrame([(1, "word " * 200000), (2, None), (2, None), (None, "12 34")], "doc_id long, text string"), m).collect()
+    assert len(got) == 4 and Counter(r.lang_pred for r in got)["und"] == 3 and [r.held_out for r in got if r.doc_id is None] == [False]
+
+
 def test_kneser_ney_sums_to_one(spark):
     d = spark.createDataFrame([("abab acab",), ("ab ba",)], "text string")
     counts = kn_quality.gram_counts(d)
