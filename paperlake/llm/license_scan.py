@@ -14,9 +14,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, WindowSpec, functions as F
 
-from paperlake.llm.common import repeat_rows, text_digest, words
+from paperlake.llm.common import checkpoint, repeat_rows, text_digest, words
 
 GRAM = 3
 #: Neighbouring diagonals at most so far apart are one run.
@@ -71,10 +71,11 @@ def _grams(docs: DataFrame, templates: list[tuple[str, str, str]], phrases: list
     A gram's row carries its three words and not the text, so the work is linear in a text's length.
     """
     spark = docs.sparkSession
-    rows = [(i, t) for i, (_, _, t) in enumerate(templates)] + [(-2 - i, t) for i, t in enumerate(phrases) if len(t.split()) == GRAM]
     if any(len(_template_words(t)) < GRAM for _, _, t in templates):
         raise ValueError(f"a template has fewer than {GRAM} words")
-    table = spark.createDataFrame(rows, "tpl int, text string").select("tpl", words(F.col("text")).alias("w")).select(
+    texts = [(i, t) for i, (_, _, t) in enumerate(templates)] + [(-2 - i, t) for i, t in enumerate(phrases) if len(t.split()) == GRAM]
+    literals = F.array(*[F.struct(F.lit(i).alias("tpl"), F.lit(t).alias("text")) for i, t in texts] or [F.struct(F.lit(0).alias("tpl"), F.lit("").alias("text"))])
+    table = spark.range(1).select(F.inline(literals)).select("tpl", words(F.col("text")).alias("w")).select(
         "tpl", "w", F.posexplode(F.expr(_HASHES)).alias("tpos", "key")).selectExpr("key", "tpl", "tpos", "w[tpos] AS ta", "w[tpos + 1] AS tb", "w[tpos + 2] AS tc")
     table = table.unionByName(spark.range(1).selectExpr(f"{_DOCUMENT}L AS key", "-1 AS tpl", "0 AS tpos", "'' AS ta", "'' AS tb", "'' AS tc"))
     kind = "named_struct('key', {}, 'pos', {}, 'a', {}, 'b', {}, 'c', {}, 'n', {}, 'apart', {})"
@@ -93,6 +94,13 @@ def _phrase_starts(phrase: str) -> str:
     return f"if(array_contains(w, '{first}'), filter(transform(w, (x, i) -> if(coalesce({same}, false), i, -1)), i -> i >= 0), CAST(array() AS array<int>))"
 
 
+def _runs(diagonals: DataFrame, line: WindowSpec, near: int, size: str) -> DataFrame:
+    """Diagonals with at_near, the run of those at most `near` apart, and whether it is narrow enough."""
+    numbered = diagonals.withColumn("at_near", F.sum(F.coalesce((F.col("gap") > near).cast("int"), F.lit(1))).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy("id", "digest", "tpl", "at_near")
+    return numbered.withColumn("narrow", F.max("hi").over(whole) + GRAM - F.min("lo").over(whole) <= MAX_SPREAD * F.expr(size))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str, str]] | None = None,
          phrases: dict[str, str] | None = None, min_cover: float = MIN_COVER) -> DataFrame:
     """One row per document row: id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
@@ -112,19 +120,22 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     label = "CASE tpl " + " ".join(f"WHEN {-2 - i} THEN '{phrases[p]}'" for i, p in enumerate(named)) + " ELSE '' END"
     base = F.when(F.col("tpl") < -1, F.struct(F.col("pos").alias("start"), F.expr(label).alias("label"), (-2 - F.col("tpl")).alias("phrase")))
     vote = F.when(F.col("tpl") >= 0, F.struct("tpl", (F.col("pos") - F.col("tpos")).alias("diagonal"), "tpos"))
-    per = rows.groupBy("id", "digest").agg(
-        F.max("n").alias("n_words"), F.count_if(F.col("tpl") == -1).alias("copies"), F.collect_set(base).alias("base"), F.max("apart").alias("apart"), F.collect_set(vote).alias("votes"))
+    per = checkpoint(rows.groupBy("id", "digest").agg(
+        F.max("n").alias("n_words"), F.count_if(F.col("tpl") == -1).alias("copies"), F.collect_set(base).alias("base"), F.max("apart").alias("apart"), F.collect_set(vote).alias("votes")))
     documents = per.drop("votes")
     votes = per.where("size(votes) > 0").select("id", "digest", F.inline("votes")).groupBy("id", "digest", "tpl", "diagonal").agg(
         F.collect_set("tpos").alias("at"), F.min(F.col("diagonal") + F.col("tpos")).alias("lo"), F.max(F.col("diagonal") + F.col("tpos")).alias("hi"))
     line = Window.partitionBy("id", "digest", "tpl").orderBy("diagonal")
     size = "CASE tpl " + " ".join(f"WHEN {i} THEN {len(_template_words(t))}" for i, (_, _, t) in enumerate(templates)) + " ELSE 1 END"
-    runs = votes.withColumn("gap", F.col("diagonal") - F.lag("diagonal").over(line)).withColumn("run", F.lit(None).cast("struct<near:int,run:bigint>"))
-    for near in range(NEAR, -1, -1):
-        runs = runs.withColumn("at_near", F.sum(F.coalesce((F.col("gap") > near).cast("int"), F.lit(1))).over(line.rowsBetween(Window.unboundedPreceding, 0)))
-        whole = Window.partitionBy("id", "digest", "tpl", "at_near")
-        narrow = F.max("hi").over(whole) + GRAM - F.min("lo").over(whole) <= MAX_SPREAD * F.expr(size)
-        runs = runs.withColumn("run", F.coalesce("run", F.when(narrow, F.struct(F.lit(near).alias("near"), F.col("at_near").alias("run")))))
+    runs = checkpoint(_runs(votes.withColumn("gap", F.col("diagonal") - F.lag("diagonal").over(line)), line, NEAR, size))
+    wide = runs.where("NOT narrow")
+    if wide.limit(1).count():  # few texts have such, so the rest does not go through this
+        split = wide.withColumn("run", F.lit(None).cast("struct<near:int,run:bigint>"))
+        for near in range(NEAR - 1, -1, -1):
+            split = _runs(split.drop("narrow", "at_near"), line, near, size).withColumn("run", F.coalesce("run", F.when(F.col("narrow") | (F.lit(near) == 0), F.struct(F.lit(near).alias("near"), F.col("at_near").alias("run")))))
+        runs = runs.where("narrow").withColumn("run", F.struct(F.lit(NEAR).alias("near"), F.col("at_near").alias("run"))).unionByName(split)
+    else:
+        runs = runs.withColumn("run", F.struct(F.lit(NEAR).alias("near"), F.col("at_near").alias("run")))
     name = "CASE tpl " + " ".join(f"WHEN {i} THEN '{n}'" for i, (n, _, _) in enumerate(templates)) + " ELSE '' END"
     must = "CASE tpl " + " ".join(f"WHEN {i} THEN array({', '.join(map(str, _named_places(n, t)))})" for i, (_, n, t) in enumerate(templates) if n) + " ELSE array() END" if any(n for _, n, _ in templates) else "array()"
     places = F.transform("at", lambda t: F.struct((F.col("diagonal") + t).alias("start"), t.alias("tpos")))
