@@ -13,6 +13,9 @@ WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPACE_GAP = r"[\x20\x09-\x0D]+"
 #: Copies of one row that a task makes at once.
 COPIES = 4096
+#: A key has very many rows if over one row in HOT_SHARE has it, and over HOT_LEAST rows.
+HOT_SHARE = 10_000
+HOT_LEAST = 1000
 #: Rows of an Arrow batch of texts.
 BATCH_ROWS = 512
 _BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
@@ -67,6 +70,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+    """Rows joined with a table that has each of their keys once, and in `count` how many rows have it (the column goes).
+
+    Keys of very many rows, at most HOT_SHARE of them, are broadcast, so that no task gets all rows of one.
+    """
+    total = table.agg(F.sum(count)).first()[0] or 0
+    hot = checkpoint(table.where(F.col(count) > max(HOT_LEAST, total // HOT_SHARE)).drop(count))
+    if not hot.limit(1).count():
+        return rows.join(table.drop(count), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.drop(count), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def repeat_rows(df: DataFrame, times: str) -> DataFrame:
     """Each row as many times as its column `times` says: first once for every COPIES of them, dealt out over all tasks, then each of these that often."""
     part = df.withColumn("__part", F.explode(F.expr(f"sequence(0L, (CAST({times} AS bigint) - 1) div {COPIES})"))).hint("rebalance")

@@ -7,6 +7,10 @@ nearest one is among the other's six. So a key is (block, its 16 bits, half, cod
 index); each side of the join has all that it may meet, and whole fingerprints are
 compared before a link counts. The 24th bit of a half needs no care: an error there is
 none in the 23. Equal fingerprints are one before all this.
+
+Many near copies of one text give fingerprints that lie close together, in most cases one bit
+from the next. So fingerprints that differ in one block alone are linked first, and the keys
+above then bring links between the groups of these only, one for every two groups that meet.
 """
 
 from __future__ import annotations
@@ -19,12 +23,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType
 
-from paperlake.llm.common import checkpoint, text_batches, text_digest
+from paperlake.llm.common import checkpoint, join_counted, text_batches, text_digest
 from paperlake.llm.components import components
 from paperlake.llm.golay import KEYS, near_codewords
 
 SHINGLE = 3
 MAX_BITS = 3
+#: Fingerprints to a task where they become key rows.
+FINGERPRINTS = 20_000
+#: Rows to leave out, or to have once, up to this many are broadcast by their keys.
+BROADCAST_ROWS = 500_000
 _PIECE = 1 << 16
 
 
@@ -67,30 +75,64 @@ def block_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _key_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (key, fp, probe): where a fingerprint is kept, and where it looks."""
+    """(fp, own) -> rows (key, fp, own, probe): where a fingerprint is kept, and where it looks."""
     for pdf in batches:
-        fps = pdf["fp"].to_numpy(dtype=np.int64)
+        fps, own = pdf["fp"].to_numpy(dtype=np.int64), pdf["own"].to_numpy(dtype=np.int64)
         for a in range(0, len(fps), 4096):
-            part = fps[a : a + 4096]
+            part, mine = fps[a : a + 4096], own[a : a + 4096]
             near, every = block_keys(part)
             fresh = np.ones(every.shape, dtype=bool)
             for c in range(every.shape[1]):
                 if c % KEYS:
                     fresh[:, c] = every[:, c] != every[:, c - c % KEYS]
             at, _ = np.nonzero(fresh)
-            yield pd.DataFrame({"key": near.ravel(), "fp": np.repeat(part, near.shape[1]), "probe": False})
-            yield pd.DataFrame({"key": every[fresh], "fp": part[at], "probe": True})
+            yield pd.DataFrame({"key": near.ravel(), "fp": np.repeat(part, near.shape[1]), "own": np.repeat(mine, near.shape[1]), "probe": False})
+            yield pd.DataFrame({"key": every[fresh], "fp": part[at], "own": mine[at], "probe": True})
 
 
-def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Distinct fingerprints (fp) -> (u, v), u < v, for every two that differ in max_bits (3 at most) or fewer."""
+def _check(max_bits: int) -> None:
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError(f"max_bits: {max_bits}")
-    rows = fps.mapInPandas(_key_rows, "key long, fp long, probe boolean")
-    kept = rows.where("NOT probe").select("key", F.col("fp").alias("u"))
-    asked = rows.where("probe").select("key", F.col("fp").alias("v"))
+
+
+def block_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """Distinct fingerprints (fp) -> (u, v), u < v, for every two that differ in one 16-bit block alone, and there in max_bits or fewer."""
+    _check(max_bits)
+    rest = F.explode(F.array(*[F.struct(F.lit(b).alias("block"), F.expr(f"fp & ~shiftleft(65535L, {16 * b})").alias("rest")) for b in range(4)]))
+    rows = fps.select("fp", rest.alias("r")).select("fp", "r.block", "r.rest")
+    other = rows.select(F.col("fp").alias("v"), "block", "rest")
     near = (F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits)
-    return kept.join(asked.hint("merge"), "key").where(near).select("u", "v").distinct()
+    return rows.withColumnRenamed("fp", "u").join(other, ["block", "rest"]).where(near).select("u", "v")
+
+
+def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """Distinct fingerprints (fp, own) -> (u, v), u < v: a link of max_bits (3 at most) or fewer for every two values of own between which there is one.
+
+    With own = fp these are all links.
+    """
+    _check(max_bits)
+    rows = fps.mapInPandas(_key_rows, "key long, fp long, own long, probe boolean")
+    kept = rows.where("NOT probe").select("key", F.col("fp").alias("u"), F.col("own").alias("a"))
+    asked = rows.where("probe").select("key", F.col("fp").alias("v"), F.col("own").alias("b"))
+    near = (F.col("a") != F.col("b")) & (F.col("u") != F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits)
+    met = kept.join(asked.hint("merge"), "key").where(near)
+    pairs = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min(F.struct(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).alias("l"))
+    return pairs.select("l.u", "l.v")
+
+
+def fingerprint_components(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """Distinct fingerprints (fp) -> (fp, component): the smallest fingerprint that is reached over links of max_bits or fewer."""
+    first = components(block_links(fps, max_bits))
+    grouped = checkpoint(fps.join(first, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("own")))
+    # a fingerprint becomes 56 key rows, so tasks get FINGERPRINTS of them and no more
+    dealt = grouped.repartition(max(1, -(-grouped.count() // FINGERPRINTS)), "fp")
+    links = fingerprint_links(dealt, max_bits)
+    of = grouped.select(F.col("fp").alias("__fp"), "own")
+    ends = links.join(of, F.col("u") == F.col("__fp")).select("v", F.col("own").alias("a")).join(of, F.col("v") == F.col("__fp")).select("a", F.col("own").alias("b"))
+    second = components(ends.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    counts = grouped.groupBy("own").agg(F.count("*").alias("n"))
+    named = checkpoint(counts.join(second, F.col("own") == F.col("node"), "left").select("own", F.coalesce("component", "own").alias("component"), "n"))
+    return join_counted(grouped, named, "own", "n").select("fp", "component")
 
 
 def _classified(docs: DataFrame, id_col: str, text_col: str, max_bits: int, with_digest: bool = False) -> DataFrame:
@@ -98,20 +140,19 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, max_bits: int, with
     text_batches(docs.sparkSession)
     digest = [text_digest(F.col(text_col)).alias("digest")] if with_digest else []
     prints = checkpoint(docs.select(F.col(id_col).alias("id"), fingerprints(F.col(text_col)).alias("fp"), *digest))
-    classes = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    comp = components(fingerprint_links(classes.select("fp"), max_bits))
-    named = classes.join(comp, classes.fp == comp.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    named = checkpoint(named)
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = named.join(least, "component").select(F.col("fp").alias("__fp"), "component_id")
-    return prints.join(classes, F.col("fp") == F.col("__fp")).drop("__fp")
+    classes = checkpoint(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
+    named = checkpoint(classes.join(fingerprint_components(classes.select("fp"), max_bits), "fp"))
+    least = checkpoint(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("m")))
+    of = checkpoint(join_counted(named, least, "component", "m").select("fp", "component_id", "n"))
+    return join_counted(prints, of, "fp", "n")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """One row per document row: id, fingerprint (16 hex digits), component_id (the smallest id reachable).
 
     Null texts, and those without words, have fingerprint zero and are linked like any other; null ids take
-    part and get the component of the others (null if all are null); equal rows stay; other columns are not read.
+    part and get the component of the others (null if all are null); equal rows stay; other columns are not read; an
+    empty table gives none. A very long text is hashed in parts.
     """
     return _classified(docs, id_col, text_col, max_bits).select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
@@ -127,11 +168,22 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     """The documents of the smallest id in each group, with all columns; of a group's rows that share that id, one.
 
     Groups whose ids are all null are one to this: one of their rows stays. An id that comes with several texts
-    stands for the group in which it is the smallest, with the text that is in it.
+    stands for the group in which it is the smallest, with the text that is in it. Null texts are documents like any
+    other; an empty table gives none. Texts stay where they are as long as the rows that go, or come twice, are at most
+    BROADCAST_ROWS by their keys; beyond, they are shuffled once.
     """
     found = _classified(docs, id_col, text_col, max_bits, with_digest=True)
     mine = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id").agg(F.min(F.struct(F.col("digest").isNull(), "digest")).alias("d"))
-    keep = mine.select(_row_key(F.col("id"), F.col("d.digest")).alias("__keep"))
+    keep = checkpoint(mine.select(_row_key(F.col("id"), F.col("d.digest")).alias("__keep")))
+    every = found.groupBy(_row_key(F.col("id"), F.col("digest")).alias("__key")).agg(F.count("*").alias("n"))
+    marked = every.join(keep, F.col("__key") == F.col("__keep"), "left").select("__key", F.col("__keep").isNull().alias("gone"), "n")
+    special = checkpoint(marked.where("gone OR n > 1"))
     keyed = docs.withColumn("__row", _row_key(F.col(id_col), text_digest(F.col(text_col))))
-    # rows meet and are told apart by one key, so the texts are shuffled once
-    return keyed.join(keep, F.col("__row") == F.col("__keep"), "left_semi").dropDuplicates(["__row"]).drop("__row")
+    if special.count() > BROADCAST_ROWS:
+        # rows meet and are told apart by one key, so the texts are shuffled once
+        return keyed.join(keep, F.col("__row") == F.col("__keep"), "left_semi").dropDuplicates(["__row"]).drop("__row")
+    alone = keyed.join(F.broadcast(special.select("__key")), F.col("__row") == F.col("__key"), "left_anti")
+    twice = special.where("NOT gone").select("__key")
+    if twice.limit(1).count():
+        alone = alone.unionByName(keyed.join(F.broadcast(twice), F.col("__row") == F.col("__key"), "left_semi").dropDuplicates(["__row"]))
+    return alone.drop("__row")

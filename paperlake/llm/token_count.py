@@ -17,11 +17,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from paperlake.llm.common import checkpoint, shared_dir, text_batches
+from paperlake.llm.common import checkpoint, join_counted, shared_dir, text_batches
 
-#: A digest comes very often if over one row in HOT_SHARE has it, and over HOT_LEAST rows.
-HOT_SHARE = 10_000
-HOT_LEAST = 1000
 _PIECE = 1 << 17
 _BETWEEN = re.compile(r"(?<=[^\W\d_]) (?=[^\W\d_])")
 _SCHEMA = "digest binary, version string, n_tokens long"
@@ -121,6 +118,5 @@ def count_tokens(docs: DataFrame, path: str, cache: str, id_col: str = "doc_id",
     # an anti join would be pushed below the aggregation, where every copy of a text is a row
     misses = distinct.join(stored().withColumnRenamed("n_tokens", "known"), "digest", "left").where("known IS NULL")
     misses.select("digest", F.lit(v).alias("version"), counter(path)("text").alias("n_tokens")).write.mode("append").parquet(cache)
-    often = keyed.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > max(HOT_LEAST, keyed.count() // HOT_SHARE))
-    often = F.broadcast(checkpoint(often.join(stored(), "digest").select("digest", "n_tokens")))  # HOT_SHARE digests at most
-    return keyed.join(often, "digest").unionByName(keyed.join(often, "digest", "left_anti").join(stored(), "digest")).select(id_col, "n_bytes", "n_tokens")
+    counted = checkpoint(keyed.groupBy("digest").agg(F.count("*").alias("n")).join(stored(), "digest"))
+    return join_counted(keyed, counted, "digest", "n").select(id_col, "n_bytes", "n_tokens")

@@ -99,9 +99,17 @@ def test_fingerprint_links(spark):
             fps.add(x)
     fps = sorted(fps)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    got = {tuple(r) for r in simhash.fingerprint_links(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()}
+    got = {tuple(r) for r in simhash.fingerprint_links(spark.createDataFrame([(x, x) for x in signed], "fp long, own long")).collect()}
     want = {tuple(sorted((signed[i], signed[j]))) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3}
     assert got == want
+    one = spark.createDataFrame([(x,) for x in signed], "fp long")
+    def blocks(x):
+        return sum((x >> 16 * b & 0xFFFF) != 0 for b in range(4))
+    assert {tuple(r) for r in simhash.block_links(one).collect()} == {(a, b) for a, b in want if blocks((a ^ b) & (1 << 64) - 1) == 1}
+    group = brute.classes(fps)
+    least = {g: min(signed[i] for i in range(len(fps)) if group[i] == g) for g in set(group)}
+    assert {r.fp: r.component for r in simhash.fingerprint_components(one).collect()} == {x: least[g] for x, g in zip(signed, group)}
+    assert simhash.fingerprint_components(one.where("false")).count() == 0
 
 
 def test_components(spark):
@@ -134,8 +142,16 @@ def test_near_duplicates(spark, docs):
     assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in got) == Counter((i, f"{p:016x}", least[g]) for (i, _), p, g in zip(mine, prints, group))
     twice = spark.createDataFrame([(1, "one two three four"), (5, "one two three four"), (5, "quite another text it is"), (5, "quite another text it is")], "doc_id long, text string")
     assert sorted(simhash.keep_one(twice).collect()) == [(1, "one two three four"), (5, "quite another text it is")]
-    kept = simhash.keep_one(docs.where("doc_id IS NOT NULL"))
-    assert kept.columns == docs.columns and kept.count() == len(set(group[k] for k, (i, _) in enumerate(mine) if i is not None))
+    for most in (simhash.BROADCAST_ROWS, -1):
+        simhash.BROADCAST_ROWS, before = most, simhash.BROADCAST_ROWS
+        kept = simhash.keep_one(docs.where("doc_id IS NOT NULL"))
+        assert kept.columns == docs.columns and kept.count() == len(set(group[k] for k, (i, _) in enumerate(mine) if i is not None))
+        assert simhash.keep_one(docs).where("doc_id IS NULL").count() <= 1 and simhash.keep_one(docs.where("false")).count() == 0
+        assert sorted(simhash.keep_one(twice).collect()) == [(1, "one two three four"), (5, "quite another text it is")]
+        simhash.BROADCAST_ROWS = before
+    assert simhash.near_duplicates(docs.where("false")).count() == 0
+    hot = spark.range(common.HOT_LEAST + 5).selectExpr("id AS doc_id", "'same old text here' AS text").unionByName(spark.createDataFrame([(9999, "word " * 200000)], "doc_id long, text string"))
+    assert Counter(r.component_id for r in simhash.near_duplicates(hot).collect()) == {0: common.HOT_LEAST + 5, 9999: 1}
 
 
 def test_license_scan(spark, docs):
@@ -522,11 +538,11 @@ def test_bpe_of_no_rows(spark, docs):
 
 
 def test_token_counts_of_copies_and_no_rows(spark, docs, tmp_path):
-    d = spark.range(token_count.HOT_LEAST + 50).selectExpr("id AS doc_id", "'one two' AS text", "'c' AS digest", "1 AS n_tokens").unionByName(
+    d = spark.range(common.HOT_LEAST + 50).selectExpr("id AS doc_id", "'one two' AS text", "'c' AS digest", "1 AS n_tokens").unionByName(
         spark.createDataFrame([(None, None, "d", 2), (None, None, "d", 2), (-1, "three, words here", "e", 3)], "doc_id long, text string, digest string, n_tokens int"))
     cache = "file://" + str(tmp_path / "cache")
     want = Counter((t, token_count.count([t or ""], BYTE)[0]) for t in ("one two", None, "three, words here"))
     got = token_count.count_tokens(d, BYTE, cache)
     counts = {t: n for t, n in want}
-    assert Counter((r.n_bytes, r.n_tokens) for r in got.collect()) == Counter({(7, counts["one two"]): token_count.HOT_LEAST + 50, (0, 0): 2, (17, counts["three, words here"]): 1})
+    assert Counter((r.n_bytes, r.n_tokens) for r in got.collect()) == Counter({(7, counts["one two"]): common.HOT_LEAST + 50, (0, 0): 2, (17, counts["three, words here"]): 1})
     assert token_count.count_tokens(docs.where("false"), BYTE, cache).count() == 0 and token_count.read_cache(spark, cache).count() == 3
