@@ -9,58 +9,44 @@ from paperlake.functions import bbox
 FULL, PARTIAL = 80.0, 70.0
 
 
-MAX_MODELS = 1000
-
-
 def _each_model(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows once for each model that has detections."""
-    names = [r["model"] for r in found.select("model").where("model IS NOT NULL").distinct().limit(MAX_MODELS + 1).collect()]
-    if len(names) > MAX_MODELS:
-        raise ValueError(f"over {MAX_MODELS} models")
-    return rows.withColumn("model", F.explode(F.array(*map(F.lit, sorted(names))).cast("array<string>")))
+    """Rows once for each model that has detections: the size of what a report on all models is."""
+    models = found.where("model IS NOT NULL").agg(F.array_sort(F.collect_set("model")).alias("models")).withColumn("one", F.lit(1))
+    return rows.withColumn("one", F.lit(1)).join(F.broadcast(models), "one").withColumn("model", F.explode("models")).drop("one", "models")
 
 
-def iou_matches(truth: DataFrame, found: DataFrame, decimals: int = 2) -> DataFrame:
-    """(image, model, truth_id, det_id, overlap): each truth's best overlapping detection, each detection kept by its best truth.
+def overlap_pairs(truth: DataFrame, found: DataFrame, decimals: int = 2) -> DataFrame:
+    """(image, model, truth_id, det_id, overlap): every two boxes of an image that overlap, with intersection over union in percent.
 
-    truth (image, truth_id, box), found (image, model, det_id, box). Boxes that do not overlap are never paired.
+    truth (image, truth_id, box), found (image, model, det_id, box).
     """
     t = truth.select("image", "truth_id", *[F.col(c).alias("t_" + c) for c in ("x1", "y1", "x2", "y2")])
     d = found.select(F.col("image").alias("d_image"), "model", "det_id", *[F.col(c).alias("d_" + c) for c in ("x1", "y1", "x2", "y2")])
     a, b = bbox.box("t_"), bbox.box("d_")
-    pairs = t.join(d, (F.col("image") == F.col("d_image")) & bbox.overlaps(a, b)).select("image", "model", "truth_id", "det_id", bbox.iou_pct(a, b, decimals).alias("overlap"))
-    best = F.row_number().over(Window.partitionBy("image", "model", "truth_id").orderBy(F.desc("overlap"), "det_id"))
-    once = F.row_number().over(Window.partitionBy("image", "model", "det_id").orderBy(F.desc("overlap"), "truth_id"))
-    return pairs.withColumn("r", best).where("r = 1").withColumn("o", once).where("o = 1 AND overlap > 0").drop("r", "o")
-
-
-def greedy_matches(truth: DataFrame, found: DataFrame) -> DataFrame:
-    """As iou_matches, but in truth order with every detection used once: sequential inside an image and model."""
-    import pandas as pd
-
-    t = truth.select("image", F.col("truth_id").alias("id"), "x1", "y1", "x2", "y2")
-    t = _each_model(t, found)
-    d = found.select(F.col("image").alias("d_image"), F.col("model").alias("d_model"), F.col("det_id").alias("id"), *[F.col(c).alias("d" + c) for c in ("x1", "y1", "x2", "y2")])
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out, used = [], set()
-        for r in left.sort_values("id").itertuples():
-            best = None
-            for s in right.sort_values("id").itertuples():
-                if s.id in used:
-                    continue
-                w, h = min(r.x2, s.dx2) - max(r.x1, s.dx1), min(r.y2, s.dy2) - max(r.y1, s.dy1)
-                inter = max(0, w) * max(0, h)
-                union = (r.x2 - r.x1) * (r.y2 - r.y1) + (s.dx2 - s.dx1) * (s.dy2 - s.dy1) - inter
-                pct = round(100.0 * inter / union, 2) if union > 0 else 0.0
-                if pct > 0 and (best is None or pct > best[0]):
-                    best = (pct, s.id)
-            if best:
-                used.add(best[1])
-                out.append((r.image, r.model, r.id, best[1], best[0]))
-        return pd.DataFrame(out, columns=["image", "model", "truth_id", "det_id", "overlap"])
-
-    return t.groupBy("image", "model").cogroup(d.groupBy("d_image", "d_model")).applyInPandas(run, "image long, model string, truth_id long, det_id long, overlap double")
+    return t.join(d, (F.col("image") == F.col("d_image")) & bbox.overlaps(a, b)).select("image", "model", "truth_id", "det_id", bbox.iou_pct(a, b, decimals).alias("overlap"))
+
+
+def assign(pairs: DataFrame, group: list[str], left: str, right: str, rank: list[Column], carry: list[str] = ()) -> DataFrame:
+    """(group, left, right, carry): in the order of `left`, each takes the first of its candidates by rank that none before it took.
+
+    Sequential inside a group (an image and model, say), so a group is one row here; its size is that of a page.
+    """
+    c = pairs.groupBy(*group, left).agg(F.array_sort(F.collect_list(F.struct(*[r.alias(f"r{i}") for i, r in enumerate(rank)], F.col(right).alias("to"), *carry))).alias("c"))
+    g = c.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col(left).alias("of"), "c"))).alias("rows"))
+    kinds = dict(pairs.dtypes)
+    out = "".join(f", {x}: {kinds[x]}" for x in carry)
+    fold = (
+        f"aggregate(rows, named_struct('used', CAST(array() AS array<{kinds[right]}>), 'out', CAST(array() AS array<struct<of: {kinds[left]}, to: {kinds[right]}{out}>>)), "
+        "(s, r) -> transform(array(filter(r.c, x -> NOT array_contains(s.used, x.to))), f -> if(size(f) = 0, s, named_struct("
+        f"'used', concat(s.used, array(f[0].to)), 'out', concat(s.out, array(named_struct('of', r.of, 'to', f[0].to{''.join(f", '{x}', f[0].{x}" for x in carry)}))))))[0], s -> s.out)"
+    )
+    return g.select(*group, F.explode(F.expr(fold)).alias("m")).select(*group, F.col("m.of").alias(left), F.col("m.to").alias(right), *[f"m.{x}" for x in carry])
+
+
+def greedy_matches(truth: DataFrame, found: DataFrame, decimals: int = 2) -> DataFrame:
+    """(image, model, truth_id, det_id, overlap): in truth order, each truth takes its best overlapping detection that is left; ties go to the first detection."""
+    pairs = overlap_pairs(truth, found, decimals).where("overlap > 0")
+    return assign(pairs, ["image", "model"], "truth_id", "det_id", [-F.col("overlap"), F.col("det_id")], ["overlap"])
 
 
 def with_unmatched(truth: DataFrame, found: DataFrame, matches: DataFrame) -> DataFrame:
@@ -105,13 +91,81 @@ def class_report(rows: DataFrame, key: str, value: str, threshold: float) -> Dat
 
 
 def model_stats(truth: DataFrame, found: DataFrame, outcome: DataFrame) -> DataFrame:
-    """Per model: extracted, truth, matched, guessed and missing counts."""
-    n = truth.agg(F.count("*").alias("truth"))
+    """Per model: extracted, truth, matched, unmatched, modified (best guesses), added (not extracted) and final counts."""
     d = found.groupBy("model").agg(F.count("*").alias("extracted"))
     o = outcome.groupBy("model").agg(
-        F.count_if(F.col("status") == "match-found").alias("matched"), F.count_if(F.col("status") == "match-not-found").alias("guessed"), F.count_if(F.col("status") == "entity-not-extracted").alias("missing"))
-    total = n.first()["truth"]
-    return d.join(o, "model", "left").select("model", "extracted", F.lit(total).alias("truth"), "matched", "guessed", "missing")
+        F.count("*").alias("truth"), F.count_if(F.col("status") == "match-found").alias("matched"), F.count_if(F.col("status") != "match-found").alias("unmatched"),
+        F.count_if(F.col("status") == "match-not-found").alias("modified"), F.count_if(F.col("status") == "entity-not-extracted").alias("added"))
+    return d.join(o, "model", "left").select(
+        "model", "extracted", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("truth", "matched", "unmatched", "modified", "added")], (F.col("extracted") + F.coalesce("added", F.lit(0))).alias("final"))
+
+
+def combined_report(rows: DataFrame, key: str, overlap: str, row_accuracy: str, column_accuracy: str, full: float = FULL, exact: float = 90.0) -> DataFrame:
+    """Per class: tables, and for detection, rows and columns: mean over all tables, recognised, hits, others, precision and recall; and tables without data."""
+    parts = [("td", overlap, full), ("row", row_accuracy, exact), ("col", column_accuracy, exact)]
+    g = rows.groupBy(key).agg(F.count("*").alias("tables"), *[x for p, c, t in parts for x in (
+        F.round(F.sum(F.when(F.col(c) != -1, F.col(c))) / F.count("*"), 6).alias(f"{p}_mean"),
+        F.count_if(F.col(c).isNotNull() & (F.col(c) != -1)).alias(f"{p}_found"), F.count_if(F.col(c) >= t).alias(f"{p}_hits"))])
+    out = [F.col(key), F.col("tables")]
+    for p, _, _ in parts:
+        n, h = F.col(f"{p}_found"), F.col(f"{p}_hits")
+        out += [F.col(f"{p}_mean"), n, h, (n - h).alias(f"{p}_others"), F.when(n > 0, F.round(h / n, 6)).otherwise(F.lit(0.0)).alias(f"{p}_precision"), F.round(h / F.col("tables"), 6).alias(f"{p}_recall")]
+    return g.select(*out, (F.col("tables") - F.col("td_found")).alias("no_data"))
+
+
+def mean_report(rows: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """Per class: rows, and each value's sum over all rows, those without it included."""
+    return rows.groupBy(key).agg(F.count("*").alias("tables"), *[F.round(F.coalesce(F.sum(v), F.lit(0.0)) / F.count("*"), 6).alias(v) for v in values])
+
+
+def merge_results(left: DataFrame, right: DataFrame, band: int = 500) -> DataFrame:
+    """Structure records joined with detection records of their image whose x1 and y1 lie within `band`: the first such, and of each column the left value if there is one.
+
+    Both have (image, rec_id, box) and further columns; of records of one box the last counts, at the place of the first.
+    """
+    def one(df: DataFrame, prefix: str) -> DataFrame:
+        keep = [c for c in df.columns if c not in ("image", "rec_id", "x1", "y1", "x2", "y2")]
+        g = df.groupBy("image", "x1", "y1", "x2", "y2").agg(F.min("rec_id").alias("rec_id"), F.max_by(F.struct("rec_id", *keep), "rec_id").alias("last"))
+        return g.select(F.col("image").alias(prefix + "image"), *[F.col(c).alias(prefix + c) for c in ("x1", "y1", "x2", "y2", "rec_id")], *[F.col(f"last.{c}").alias(prefix + c) for c in keep])
+
+    def tile(c: str) -> Column:
+        return F.floor(F.col(c) / band).cast("long")
+
+    def around(c: str) -> Column:
+        return F.explode(F.sequence(tile(c) - 1, tile(c) + 1))
+
+    a, b = one(left, "a_"), one(right, "b_").withColumn("tx", around("b_x1")).withColumn("ty", around("b_y1"))
+    near = (F.abs(F.col("a_x1") - F.col("b_x1")) <= band) & (F.abs(F.col("a_y1") - F.col("b_y1")) <= band)
+    j = a.join(b, (F.col("a_image") == F.col("b_image")) & (tile("a_x1") == F.col("tx")) & (tile("a_y1") == F.col("ty")) & near).drop("tx", "ty")
+    first = j.groupBy(*a.columns).agg(F.min_by(F.struct(*[c for c in j.columns if c.startswith("b_")]), "b_rec_id").alias("m"))
+    have = {c[2:] for c in b.columns if c.startswith("b_")}
+    mine = [c[2:] for c in a.columns]
+    return first.select(*[F.coalesce(F.col("a_" + c), F.col("m.b_" + c)).alias(c) if c in have else F.col("a_" + c).alias(c) for c in mine], *[F.col("m.b_" + c).alias(c) for c in sorted(have) if c not in mine])
+
+
+def report_rows(truth: DataFrame, metrics: DataFrame, band: int = 80) -> DataFrame:
+    """(image, truth_id, met_id): in truth order, each truth takes its image's first metrics row that is left, has no box or a y1 within `band`, and is no match-not-found.
+
+    A row without a box stays in its image. Truth without a row has a null one.
+    """
+    m = metrics.where("status IS NULL OR status <> 'match-not-found'").select(F.col("image").alias("m_image"), "met_id", F.col("y1").alias("m_y1"))
+    pairs = truth.join(m, (F.col("image") == F.col("m_image")) & (F.col("m_y1").isNull() | (F.abs(F.col("y1") - F.col("m_y1")) <= band))).select("image", "truth_id", "met_id")
+    got = assign(pairs, ["image"], "truth_id", "met_id", [F.col("met_id")])
+    return truth.select("image", "truth_id").join(got, ["image", "truth_id"], "left")
+
+
+def name_tables(truth: DataFrame) -> DataFrame:
+    """Truth rows with table_name `table_A_x1_y1_x2_y2`: letters by order in the image."""
+    n = F.row_number().over(Window.partitionBy("image").orderBy("truth_id"))
+    return truth.withColumn("table_name", F.concat(F.lit("table_"), F.char(F.lit(64) + n), *[x for c in ("x1", "y1", "x2", "y2") for x in (F.lit("_"), F.col(c).cast("string"))]))
+
+
+def class_filter(rows: DataFrame, wanted: dict[str, list[str]]) -> DataFrame:
+    """Rows whose every named class column has one of its wanted values."""
+    out = rows
+    for c, values in wanted.items():
+        out = out.where(F.col(c).isin(*values))
+    return out
 
 
 def band_match(truth: DataFrame, records: DataFrame, band: int = 500, corners: bool = True) -> DataFrame:

@@ -79,35 +79,94 @@ def lcs_similarity(a, b) -> float:
     return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() if a or b else 1.0
 
 
-def _aligned(reward: np.ndarray) -> float:
-    """The best total over two increasing sequences."""
-    best = np.zeros((reward.shape[0] + 1, reward.shape[1] + 1))
-    for i in range(reward.shape[0]):
-        for j in range(reward.shape[1]):
+def box_reward(a, b) -> float:
+    """Intersection over union of two boxes; 0 for boxes without area."""
+    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+    both = max(0, w) * max(0, h)
+    union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both
+    return both / union if union > 0 else 0.0
+
+
+def _alignment(reward: np.ndarray) -> tuple[float, list[tuple[int, int]]]:
+    """The best total reward over two increasing sequences, and the pairs it comes from; of equal ways a pair goes first, then leaving out on the left."""
+    n, m = reward.shape
+    best = np.zeros((n + 1, m + 1))
+    for i in range(n):
+        for j in range(m):
             best[i + 1, j + 1] = max(best[i, j] + reward[i, j], best[i, j + 1], best[i + 1, j])
-    return float(best[-1, -1])
+    pairs, i, j = [], n, m
+    while i and j:
+        if best[i, j] == best[i - 1, j - 1] + reward[i - 1, j - 1]:
+            i, j = i - 1, j - 1
+            pairs.append((i, j))
+        elif best[i, j] == best[i - 1, j]:
+            i -= 1
+        else:
+            j -= 1
+    return float(best[n, m]), pairs[::-1]
 
 
-def grid_similarity(truth: list[list], found: list[list], reward=lcs_similarity) -> tuple[float, float, float]:
-    """(F, precision, recall) of the most similar substructures of two cell grids; rows and columns are aligned one after the other."""
-    if not truth or not found:
-        return (1.0, 1.0, 1.0) if not truth and not found else (0.0, 1.0 if not found else 0.0, 1.0 if not truth else 0.0)
-    rows = np.array([[_aligned(np.array([[reward(x, y) for y in b] for x in a])) for b in found] for a in truth])
-    columns = np.array([[_aligned(np.array([[reward(r[i], s[j]) for s in found] for r in truth])) for j in range(len(found[0]))] for i in range(len(truth[0]))])
-    total = min(_aligned(rows), _aligned(columns))  # each bounds the common substructure from above
+def _f(hits: float, predicted: int, true: int) -> tuple[float, float, float]:
+    p, r = hits / predicted if predicted else 1.0, hits / true if true else 1.0
+    return (2 * p * r / (p + r) if p + r else 0.0), p, r
+
+
+def grid_similarity(truth: list[list], found: list[list], reward=lcs_similarity) -> tuple[float, float, float, float]:
+    """(F, precision, recall, upper bound of F) of the most similar substructures of two cell grids.
+
+    Rows and columns are aligned one after the other; the score is that of the cells where aligned rows and columns meet.
+    """
     n, m = sum(map(len, truth)), sum(map(len, found))
-    p, r = total / m, total / n
-    return (2 * p * r / (p + r) if p + r else 0.0, p, r)
+    if not n or not m:
+        return (*_f(0.0, m, n), _f(0.0, m, n)[0])
+    cells = np.array([[[[reward(x, y) for y in b] for b in found] for x in a] for a in truth])  # row, column, found row, found column
+    by_rows, rows = _alignment(np.array([[_alignment(cells[i, :, k, :])[0] for k in range(cells.shape[2])] for i in range(cells.shape[0])]))
+    by_columns, columns = _alignment(np.array([[_alignment(cells[:, j, :, k])[0] for k in range(cells.shape[3])] for j in range(cells.shape[1])]))
+    total = float(sum(cells[i, j, k, q] for i, k in rows for j, q in columns))
+    return (*_f(total, m, n), _f(min(by_rows, by_columns), m, n)[0])
+
+
+def span_grids(cells: list[tuple]) -> tuple[list[list[str]], list[list[list[int]]]]:
+    """Grids of texts and of relative spans from (row, row_span, column, column_span, text, ...) of a table's cells; empty places are single cells without text."""
+    rows = max((c[0] + c[1] for c in cells), default=0)
+    columns = max((c[2] + c[3] for c in cells), default=0)
+    text = [[""] * columns for _ in range(rows)]
+    span = [[[0, 0, 1, 1] for _ in range(columns)] for _ in range(rows)]
+    for r, rs, c, cs, t, *_ in cells:
+        for i in range(r, r + rs):
+            for j in range(c, c + cs):
+                text[i][j], span[i][j] = t, [c - j, r - i, c - j + cs, r - i + rs]
+    return text, span
+
+
+_SCORES = ["f", "precision", "recall", "upper"]
+
+
+def grid_scores(pairs: DataFrame, kind: str = "con") -> DataFrame:
+    """(pair_id, truth, found) -> (pair_id, f, precision, recall, upper). Grids are arrays of rows; cells are strings for con, and boxes or relative spans (arrays of four numbers) for loc and top."""
+    reward = {"con": lcs_similarity, "top": box_reward, "loc": box_reward}[kind]
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(i, *(round(x, 6) for x in grid_similarity([list(r) for r in t], [list(r) for r in f], reward))) for i, t, f in zip(pdf["pair_id"], pdf["truth"], pdf["found"])]
+            yield pd.DataFrame(rows, columns=["pair_id", *_SCORES])
+
+    return pairs.select("pair_id", "truth", "found").mapInPandas(run, "pair_id long, f double, precision double, recall double, upper double")
+
 
+def table_scores(pairs: DataFrame) -> DataFrame:
+    """(pair_id, truth, found) with tables as HTML -> (pair_id, top_f, top_precision, top_recall, top_upper, con_...): structure by relative spans, and text."""
+    names = [f"{k}_{c}" for k in ("top", "con") for c in _SCORES]
 
-def grid_scores(pairs: DataFrame) -> DataFrame:
-    """(pair_id, truth, found) with grids as arrays of arrays of strings -> (pair_id, f, precision, recall)."""
     def run(batches):
         for pdf in batches:
-            rows = [(i, *(round(x, 6) for x in grid_similarity([list(r) for r in t], [list(r) for r in f]))) for i, t, f in zip(pdf["pair_id"], pdf["truth"], pdf["found"])]
-            yield pd.DataFrame(rows, columns=["pair_id", "f", "precision", "recall"])
+            rows = []
+            for i, t, f in zip(pdf["pair_id"], pdf["truth"], pdf["found"]):
+                (tt, ts), (ft, fs) = span_grids(html_cells(t)), span_grids(html_cells(f))
+                rows.append((i, *(round(x, 6) for x in (*grid_similarity(ts, fs, box_reward), *grid_similarity(tt, ft)))))
+            yield pd.DataFrame(rows, columns=["pair_id", *names])
 
-    return pairs.select("pair_id", "truth", "found").mapInPandas(run, "pair_id long, f double, precision double, recall double")
+    return pairs.select("pair_id", "truth", "found").mapInPandas(run, "pair_id long, " + ", ".join(f"{n} double" for n in names))
 
 
 class _Table(HTMLParser):

@@ -39,7 +39,7 @@ def _boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def _outcome(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     truth, found = _boxes(spark, sf_dir)
-    return truth, found, evaluate.with_unmatched(truth, found, evaluate.iou_matches(truth, found, 6))
+    return truth, found, evaluate.with_unmatched(truth, found, evaluate.greedy_matches(truth, found))
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +186,7 @@ def empty_line_marks(spark, d):
 
 
 def iou_match(spark, d):
-    return evaluate.iou_matches(*_boxes(spark, d), 6)
+    return evaluate.overlap_pairs(*_boxes(spark, d), 6)
 
 
 def unmatched_truth(spark, d):
@@ -222,29 +222,80 @@ def model_stats(spark, d):
 
 
 def band_match(spark, d):
-    truth, found = _boxes(spark, d)
-    return evaluate.band_match(truth.where("truth_id % 4 = 0"), found.where("model = 'm1' AND det_id % 5 = 0").withColumnRenamed("det_id", "rec_id"), 60)
-
-
-def band_match_all(spark, d):
-    """Every record of every model against every truth; band_match and its SQL see a part of them."""
+    """Every record of every model against every truth of its image."""
     truth, found = _boxes(spark, d)
     out = evaluate.band_match(truth, found.withColumn("rec_id", F.struct("model", "det_id")), 60)
     return out.select("image", "rec_id.model", F.col("rec_id.det_id").alias("rec_id"), "truth_id")
 
 
+def truth_names(spark, d):
+    return evaluate.name_tables(_boxes(spark, d)[0]).select("image", "truth_id", "table_name")
+
+
+def result_merge(spark, d):
+    _, found = _boxes(spark, d)
+    def of(m: str, **more):
+        return found.where(F.col("model") == m).select("image", F.col("det_id").alias("rec_id"), "x1", "y1", "x2", "y2", *[v.alias(k) for k, v in more.items()])
+    left = of("m1", rows=F.when(F.col("det_id") % 3 == 0, F.col("x1")), note=F.lit("a"))
+    return evaluate.merge_results(left, of("m2", rows=F.col("x2"), confidence=F.col("y1")), 30)
+
+
+def report_rows(spark, d):
+    truth, found, outcome = _outcome(spark, d)
+    m = outcome.where("model = 'm2'").join(found.select("image", "model", "det_id", "y1"), ["image", "model", "det_id"], "left")
+    return evaluate.report_rows(truth, m.select("image", F.col("truth_id").alias("met_id"), "status", F.when(F.col("status") != "entity-not-extracted", F.col("y1")).alias("y1")))
+
+
+def _accuracies(spark, d) -> DataFrame:
+    truth, found, outcome = _outcome(spark, d)
+    t = truth.select("image", "truth_id", "type", (F.col("x2") - F.col("x1")).alias("tw"), (F.col("y2") % 90).alias("th"))
+    f = found.select("image", "model", "det_id", (F.col("x2") - F.col("x1") - F.col("det_id") % 4).alias("fw"), (F.col("y2") % 90).alias("fh"))
+    j = outcome.join(t, ["image", "truth_id"]).join(f, ["image", "model", "det_id"], "left")
+    hit = F.col("status") == "match-found"
+    return j.select("type", "overlap", *[F.when(hit, evaluate.accuracy_pct(F.col(a).cast("double"), F.col(b).cast("double"))).otherwise(-1.0).alias(n) for n, a, b in (("rows_ok", "fw", "tw"), ("cols_ok", "fh", "th"))])
+
+
+def combined_report(spark, d):
+    return evaluate.combined_report(_accuracies(spark, d), "type", "overlap", "rows_ok", "cols_ok")
+
+
+def filtered_metrics(spark, d):
+    truth, _, outcome = _outcome(spark, d)
+    rows = outcome.join(truth.select("image", "truth_id", F.col("type").alias("class_type")), ["image", "truth_id"])
+    return evaluate.confusion(evaluate.class_filter(rows, {"class_type": ["text", "Title"], "model": ["m1"]}), ["model"])
+
+
+def _supplier_tables(spark, d) -> DataFrame:
+    """The suppliers of every nation as an HTML table, and a copy with other cells: names in capitals now and then, balances cut, a first row that spans."""
+    s = _t(spark, d, "supplier").withColumn("r", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")))
+    cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
+    truth = F.concat(F.lit("<tr>"), cell(F.col("s_name")), cell(F.col("s_acctbal").cast("string")), F.lit("</tr>"))
+    other = F.when(F.col("r") == 1, F.concat(F.lit("<tr><td colspan='2'>"), F.col("s_name"), F.lit("</td></tr>"))).when(F.col("s_suppkey") % 5 == 0, F.lit("")).otherwise(
+        F.concat(F.lit("<tr>"), cell(F.upper("s_name")), cell(F.floor("s_acctbal").cast("string")), F.lit("</tr>")))
+    def table(c, n):
+        return F.concat(F.lit("<table>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", c.alias("h")))), lambda e: e["h"]), ""), F.lit("</table>")).alias(n)
+    return s.groupBy(F.col("s_nationkey").cast("long").alias("pair_id")).agg(table(truth, "truth"), table(other, "found"))
+
+
+def grid_scores(spark, d):
+    return layout.table_scores(_supplier_tables(spark, d))
+
+
+def grid_report(spark, d):
+    scores = layout.table_scores(_supplier_tables(spark, d)).join(_t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("pair_id"), "n_regionkey"), "pair_id")
+    return evaluate.mean_report(scores, "n_regionkey", [f"{k}_{c}" for k in ("top", "con") for c in ("f", "precision", "recall", "upper")])
+
+
+def table_cells(spark, d):
+    return layout.table_cells(_supplier_tables(spark, d), "pair_id", "found")
+
+
 def report_left_join(spark, d):
     docs, labels = _t(spark, d, "documents"), _t(spark, d, "labels")
     return docs.select("doc_id", "lang").join(labels.select("doc_id", "quality"), "doc_id", "left")
 
 
 def report_full_outer(spark, d):
-    docs, labels = _t(spark, d, "documents").select("doc_id", "lang", F.col("n_chars").alias("Quality")), _t(spark, d, "labels").where("doc_id % 3 <> 0")
-    return evaluate.full_outer_report(docs, labels.select("doc_id", "quality", "toxic"), ["doc_id"])
-
-
-def report_full_outer_all(spark, d):
-    """All labels; report_full_outer and its SQL leave out those of every third doc_id."""
     docs, labels = _t(spark, d, "documents").select("doc_id", "lang", F.col("n_chars").alias("Quality")), _t(spark, d, "labels")
     return evaluate.full_outer_report(docs, labels.select("doc_id", "quality", "toxic"), ["doc_id"])
 
@@ -376,16 +427,11 @@ def greedy_match(spark, d):
     return evaluate.greedy_matches(*_boxes(spark, d))
 
 
-def grid_scores(spark, d):
-    rows = _t(spark, d, "nation").selectExpr("n_nationkey AS pair_id", "array(array(n_name, CAST(n_regionkey AS string)), array('x', 'y')) AS truth", "array(array(substr(n_name, 1, 4), CAST(n_regionkey AS string)), array('x', 'z')) AS found")
-    return layout.grid_scores(rows)
-
-
 _ALL = [
     paragraph_segments, segment_chunks, page_chunks, typed_chunks_together, typed_chunks_separate, clean_replace_delimit, title_merge, bm25_stats, bm25_topk, bm25_filtered_topk,
     vector_l2_topk, vector_normalized_topk, vector_root_topk, vector_prefilter_topk, vector_roundrobin, hybrid_rrf, hybrid_merge, column_islands, segment_columns, sequence_default,
     sequence_left_right, sequence_zigzag, header_footer_auto, header_footer_manual, empty_line_marks, iou_match, unmatched_truth, confusion_matrix, avg_overlap, class_combo_metrics,
-    detector_report, structure_report, model_stats, band_match, band_match_all, report_left_join, report_full_outer, report_full_outer_all, mean_scores, majority_vote, metadata_schema, unique_metadata_keys, context_assembly,
+    detector_report, structure_report, model_stats, band_match, truth_names, result_merge, report_rows, combined_report, filtered_metrics, grid_report, table_cells, report_left_join, report_full_outer, mean_scores, majority_vote, metadata_schema, unique_metadata_keys, context_assembly,
     context_lists, prompt_fill, llm_scores, qna_blocks, qna_numbering, batch_report, graph_nodes_edges, request_filter, region_tokens, outside_tokens, nearest_right, nearest_below,
     anchor_regions, region_subtraction, overlap_dedup, adjacent_merge, phrase_build, character_chunks, greedy_match, grid_scores,
 ]

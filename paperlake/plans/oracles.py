@@ -21,13 +21,17 @@ _BOX = _LAY + f""",
 truth AS (SELECT doc_id * 1000 + page AS image, ord AS truth_id, type, x1, y1, x2, y2 FROM lay),
 found AS (SELECT doc_id * 1000 + page AS image, model, ord AS det_id, x1 + {_JIT} AS x1, y1 + {_JIT} AS y1, x2 + {_JIT} AS x2, y2 + {_JIT} AS y2
  FROM lay, (VALUES ('m1'), ('m2')) AS m(model) WHERE (doc_id + ord) % 11 <> 0)"""
-_MATCH = _BOX + """,
+_MATCH = "RECURSIVE " + _BOX + """,
 pair0 AS (SELECT t.image, f.model, truth_id, det_id, (least(t.x2, f.x2) - greatest(t.x1, f.x1)) * (least(t.y2, f.y2) - greatest(t.y1, f.y1)) AS inter,
  (t.x2 - t.x1) * (t.y2 - t.y1) + (f.x2 - f.x1) * (f.y2 - f.y1) AS areas
  FROM truth t JOIN found f ON t.image = f.image AND t.x1 < f.x2 AND f.x1 < t.x2 AND t.y1 < f.y2 AND f.y1 < t.y2),
-pairs AS (SELECT image, model, truth_id, det_id, round(100.0::DOUBLE * inter / (areas - inter), 6) AS overlap FROM pair0),
-p1 AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY image, model, truth_id ORDER BY overlap DESC, det_id) = 1),
-matches AS (SELECT * FROM p1 QUALIFY row_number() OVER (PARTITION BY image, model, det_id ORDER BY overlap DESC, truth_id) = 1)"""
+pairs6 AS (SELECT image, model, truth_id, det_id, round(100.0::DOUBLE * inter / (areas - inter), 6) AS overlap FROM pair0),
+pairs AS (SELECT image, model, truth_id, det_id, round(100.0::DOUBLE * inter / (areas - inter), 2) AS overlap FROM pair0),
+cands AS MATERIALIZED (SELECT image, model, truth_id, list({'det_id': det_id, 'overlap': overlap} ORDER BY overlap DESC, det_id) AS c, row_number() OVER (PARTITION BY image, model ORDER BY truth_id) AS k FROM pairs WHERE overlap > 0 GROUP BY image, model, truth_id),
+g AS (SELECT image, model, truth_id, k, c[1] AS m, [c[1].det_id] AS used FROM cands WHERE k = 1
+ UNION ALL SELECT image, model, truth_id, k, list_extract(f, 1), CASE WHEN len(f) > 0 THEN list_append(used, f[1].det_id) ELSE used END FROM (
+ SELECT c.image, c.model, c.truth_id, c.k, list_filter(c.c, lambda x: NOT list_contains(g.used, x.det_id)) AS f, g.used FROM g JOIN cands c ON c.image = g.image AND c.model = g.model AND c.k = g.k + 1)),
+matches AS (SELECT image, model, truth_id, m.det_id AS det_id, m.overlap AS overlap FROM g WHERE m IS NOT NULL)"""
 _OUT = _MATCH + """,
 models AS (SELECT DISTINCT model FROM found),
 rest AS (SELECT image, model, truth_id, row_number() OVER (PARTITION BY image, model ORDER BY truth_id) AS n FROM (SELECT image, model, truth_id FROM truth, models) a ANTI JOIN matches USING (image, model, truth_id)),
@@ -143,7 +147,8 @@ SELECT doc_id, page, ord, CASE WHEN y1 <= height * 0.1::DOUBLE AND lone THEN 'he
     "empty_line_marks": f"""WITH {_LAY}, g AS (SELECT *, ord % 2 AS c, lead(y1) OVER w - y2 AS gap, lead(content) OVER w AS nxt FROM lay WINDOW w AS (PARTITION BY doc_id, page, ord % 2 ORDER BY x1, y1, ord)),
 m AS (SELECT *, avg(gap) OVER (PARTITION BY doc_id, page, c) AS mean FROM g)
 SELECT doc_id, page, ord, CASE WHEN gap > mean AND (regexp_matches(trim(content), '[,.]$') OR regexp_matches(nxt, '^[A-Z]')) THEN content || chr(10) ELSE content END AS content FROM m""",
-    "iou_match": f"WITH {_MATCH} SELECT * FROM matches",
+    "iou_match": f"WITH {_MATCH} SELECT * FROM pairs6",
+    "greedy_match": f"WITH {_MATCH} SELECT * FROM matches",
     "unmatched_truth": f"WITH {_OUT} SELECT * FROM outcome",
     "confusion_matrix": f"WITH {_OUT} {_confusion('model')}",
     "avg_overlap": f"WITH {_OUT} SELECT model, round(avg(CASE WHEN overlap >= 80 THEN overlap END), 6) AS \"full\", round(avg(CASE WHEN overlap >= 70 AND overlap < 80 THEN overlap END), 6) AS partial, round(avg(CASE WHEN overlap < 70 THEN overlap END), 6) AS low FROM outcome WHERE overlap IS NOT NULL GROUP BY model",
@@ -151,16 +156,41 @@ SELECT doc_id, page, ord, CASE WHEN gap > mean AND (regexp_matches(trim(content)
     "detector_report": f"WITH {_OUT}, oc AS (SELECT o.*, type FROM outcome o JOIN truth USING (image, truth_id)) {_report('oc', 'type', 'overlap', 80)}",
     "structure_report": f"WITH r AS (SELECT p_brand, coalesce(round((1 - least(1.0::DOUBLE, abs((p_partkey % 3)::DOUBLE) / nullif(p_size::DOUBLE, 0))) * 100, 2), 0.0) AS row_accuracy FROM part) {_report('r', 'p_brand', 'row_accuracy', 90)}",
     "model_stats": f"""WITH {_OUT}, e AS (SELECT model, count(*) AS extracted FROM found GROUP BY model),
-o AS (SELECT model, count_if(status = 'match-found')::BIGINT AS matched, count_if(status = 'match-not-found')::BIGINT AS guessed, count_if(status = 'entity-not-extracted')::BIGINT AS missing FROM outcome GROUP BY model)
-SELECT model, extracted, (SELECT count(*) FROM truth) AS truth, matched, guessed, missing FROM e LEFT JOIN o USING (model)""",
-    "band_match": f"""WITH {_BOX} SELECT f.image, f.det_id AS rec_id, min(truth_id) AS truth_id FROM found f JOIN truth t ON f.image = t.image AND truth_id % 4 = 0
- AND abs(f.x1 - t.x1) <= 60 AND abs(f.y1 - t.y1) <= 60 AND abs(f.x2 - t.x2) <= 60 AND abs(f.y2 - t.y2) <= 60 WHERE model = 'm1' AND det_id % 5 = 0 GROUP BY ALL""",
+o AS (SELECT model, count(*) AS truth, count_if(status = 'match-found')::BIGINT AS matched, count_if(status <> 'match-found')::BIGINT AS unmatched, count_if(status = 'match-not-found')::BIGINT AS modified, count_if(status = 'entity-not-extracted')::BIGINT AS added FROM outcome GROUP BY model)
+SELECT model, extracted, truth, matched, unmatched, modified, added, extracted + added AS final FROM e JOIN o USING (model)""",
+    "band_match": f"""WITH {_BOX} SELECT f.image, model, f.det_id AS rec_id, min(truth_id) AS truth_id FROM found f JOIN truth t ON f.image = t.image
+ AND abs(f.x1 - t.x1) <= 60 AND abs(f.y1 - t.y1) <= 60 AND abs(f.x2 - t.x2) <= 60 AND abs(f.y2 - t.y2) <= 60 GROUP BY ALL""",
+    "truth_names": f"WITH {_BOX} SELECT image, truth_id, 'table_' || chr(CAST(64 + row_number() OVER (PARTITION BY image ORDER BY truth_id) AS INTEGER)) || '_' || x1 || '_' || y1 || '_' || x2 || '_' || y2 AS table_name FROM truth",
+    "result_merge": f"""WITH {_BOX},
+a AS (SELECT image, 0 AS rec_id, x1, y1, x2, y2, CASE WHEN det_id % 3 = 0 THEN x1 END AS rows FROM found WHERE model = 'm1'
+ QUALIFY row_number() OVER (PARTITION BY image, x1, y1, x2, y2 ORDER BY det_id DESC) = 1),
+b AS (SELECT image, min(det_id) OVER (PARTITION BY image, x1, y1, x2, y2) AS rec_id, x1, y1, x2, y2, x2 AS rows, y1 AS confidence FROM found WHERE model = 'm2'
+ QUALIFY row_number() OVER (PARTITION BY image, x1, y1, x2, y2 ORDER BY det_id DESC) = 1),
+a1 AS (SELECT a.* REPLACE (f.rec_id AS rec_id) FROM a JOIN (SELECT image, x1, y1, x2, y2, min(det_id) AS rec_id FROM found WHERE model = 'm1' GROUP BY ALL) f USING (image, x1, y1, x2, y2))
+SELECT a1.image, a1.rec_id, a1.x1, a1.y1, a1.x2, a1.y2, coalesce(a1.rows, b.rows) AS rows, 'a' AS note, b.confidence FROM a1 JOIN b ON a1.image = b.image AND abs(a1.x1 - b.x1) <= 30 AND abs(a1.y1 - b.y1) <= 30
+ QUALIFY row_number() OVER (PARTITION BY a1.image, a1.x1, a1.y1, a1.x2, a1.y2 ORDER BY b.rec_id) = 1""",
+    "report_rows": f"""WITH {_OUT}, met AS (SELECT o.image, o.truth_id AS met_id, CASE WHEN status <> 'entity-not-extracted' THEN f.y1 END AS y1 FROM outcome o LEFT JOIN found f USING (image, model, det_id) WHERE model = 'm2' AND status <> 'match-not-found'),
+rc AS MATERIALIZED (SELECT t.image, t.truth_id, list(met_id ORDER BY met_id) AS c, row_number() OVER (PARTITION BY t.image ORDER BY t.truth_id) AS k FROM truth t JOIN met m ON t.image = m.image AND (m.y1 IS NULL OR abs(t.y1 - m.y1) <= 80) GROUP BY t.image, t.truth_id),
+rg AS (SELECT image, truth_id, k, c[1] AS m, [c[1]] AS used FROM rc WHERE k = 1
+ UNION ALL SELECT image, truth_id, k, list_extract(f, 1), CASE WHEN len(f) > 0 THEN list_append(used, f[1]) ELSE used END FROM (
+ SELECT c.image, c.truth_id, c.k, list_filter(c.c, lambda x: NOT list_contains(rg.used, x)) AS f, rg.used FROM rg JOIN rc c ON c.image = rg.image AND c.k = rg.k + 1))
+SELECT t.image, t.truth_id, rg.m AS met_id FROM truth t LEFT JOIN rg USING (image, truth_id)""",
+    "combined_report": f"""WITH {_OUT}, j AS (SELECT type, overlap, status = 'match-found' AS hit, (f.x2 - f.x1 - det_id % 4)::DOUBLE AS fw, (t.x2 - t.x1)::DOUBLE AS tw, (f.y2 % 90)::DOUBLE AS fh, (t.y2 % 90)::DOUBLE AS th
+ FROM outcome o JOIN truth t USING (image, truth_id) LEFT JOIN found f USING (image, model, det_id)),
+v AS (SELECT type, overlap, CASE WHEN hit THEN coalesce(round((1 - least(1.0::DOUBLE, abs(fw - tw) / nullif(tw, 0))) * 100, 2), 0) ELSE -1 END AS rows_ok, CASE WHEN hit THEN coalesce(round((1 - least(1.0::DOUBLE, abs(fh - th) / nullif(th, 0))) * 100, 2), 0) ELSE -1 END AS cols_ok FROM j),
+sums AS (SELECT type, count(*) AS tables, {", ".join(f"round(sum(CASE WHEN {c} <> -1 THEN {c} END) / count(*), 6) AS {p}_mean, count_if({c} IS NOT NULL AND {c} <> -1)::BIGINT AS {p}_found, count_if({c} >= {t})::BIGINT AS {p}_hits" for p, c, t in (("td", "overlap", 80), ("row", "rows_ok", 90), ("col", "cols_ok", 90)))} FROM v GROUP BY type)
+SELECT *, {", ".join(f"{p}_found - {p}_hits AS {p}_others, CASE WHEN {p}_found > 0 THEN round({p}_hits / {p}_found, 6) ELSE 0.0::DOUBLE END AS {p}_precision, round({p}_hits / tables, 6) AS {p}_recall" for p in ("td", "row", "col"))}, tables - td_found AS no_data FROM sums""",
+    "filtered_metrics": f"WITH {_OUT}, oc AS (SELECT o.* FROM outcome o JOIN truth USING (image, truth_id) WHERE type IN ('text', 'Title') AND model = 'm1') {_confusion('model', 'oc')}",
+    "table_cells": """WITH s AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS r FROM supplier),
+k AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY r) - 1 AS row_index FROM s WHERE r = 1 OR s_suppkey % 5 <> 0)
+SELECT s_nationkey::BIGINT AS id, row_index, 1::BIGINT AS row_span, 0::BIGINT AS column_index, CASE WHEN r = 1 THEN 2 ELSE 1 END::BIGINT AS column_span, CASE WHEN r = 1 THEN s_name ELSE upper(s_name) END AS text, false AS is_header FROM k
+UNION ALL SELECT s_nationkey, row_index, 1, 1, 1, CAST(floor(s_acctbal) AS BIGINT)::VARCHAR, false FROM k WHERE r > 1""",
     "segment_columns": "WITH " + _LAY + """, s AS (SELECT *, CASE WHEN coalesce(x1 > max(x2) OVER (PARTITION BY doc_id, page ORDER BY x1, y1, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) THEN 1 ELSE 0 END AS new FROM lay),
 i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page ORDER BY x1, y1, ord ROWS UNBOUNDED PRECEDING) AS island FROM s),
 g AS (SELECT doc_id, page, min(x1) AS cx1, max(x2) AS cx2, row_number() OVER (PARTITION BY doc_id ORDER BY page, island) AS column_seq FROM i GROUP BY doc_id, page, island)
 SELECT doc_id, page, ord, coalesce(min(column_seq), -1)::BIGINT AS column_seq FROM lay LEFT JOIN g USING (doc_id, page) WHERE column_seq IS NULL OR (x1 >= cx1 AND x1 < cx2) GROUP BY ALL""",
     "report_left_join": "SELECT d.doc_id, lang, quality FROM documents d LEFT JOIN labels l USING (doc_id)",
-    "report_full_outer": "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, lang AS file_lang, n_chars AS \"file_Quality\", toxic FROM documents d FULL JOIN (SELECT * FROM labels WHERE doc_id % 3 <> 0) l ON d.doc_id = l.doc_id",
+    "report_full_outer": "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, lang AS file_lang, n_chars AS \"file_Quality\", toxic FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id",
     "mean_scores": "SELECT round(avg(quality), 6) AS quality, round(avg(toxic), 6) AS toxic, count(*) AS n FROM labels",
     "majority_vote": """WITH c AS (SELECT source, lang, count(*) AS n, min(doc_id) AS seen FROM documents GROUP BY ALL),
 b AS (SELECT *, sum(n) OVER (PARTITION BY source)::BIGINT AS total FROM c QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, seen) = 1)

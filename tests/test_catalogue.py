@@ -45,7 +45,7 @@ def test_band_match_of_all_records(spark):
         near = [t.truth_id for t in of.get(r.image, []) if all(abs(r[c] - t[c]) <= 60 for c in sides)]
         if near:
             want[(r.image, r.model, r.det_id, min(near))] += 1
-    got = catalogue.queries()["band_match_all"](spark, DATA)
+    got = catalogue.queries()["band_match"](spark, DATA)
     assert got.columns == ["image", "model", "rec_id", "truth_id"] and Counter(map(tuple, got.collect())) == want
     assert {k[1] for k in want} == {"m1", "m2"} and any(k[2] % 5 for k in want) and any(k[3] % 4 for k in want)
 
@@ -53,16 +53,28 @@ def test_band_match_of_all_records(spark):
 def test_full_outer_report_of_all_labels(spark, tmp_path):
     spark.createDataFrame([(1, "en", 10), (3, "de", 30), (5, "fr", 50)], "doc_id long, lang string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(3, 1, 0), (5, 0, 1), (6, 1, 1), (7, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    got = catalogue.queries()["report_full_outer_all"](spark, str(tmp_path))
+    got = catalogue.queries()["report_full_outer"](spark, str(tmp_path))
     assert got.columns == ["doc_id", "file_lang", "file_Quality", "toxic"]
     assert sorted(map(tuple, got.collect())) == [(1, "en", 10, None), (3, "de", 30, 0), (5, "fr", 50, 1), (6, None, None, 1), (7, None, None, 0)]
 
 
-def test_the_llm_subpackage_is_optional():
+def test_the_llm_subpackage_is_optional(tmp_path):
     import pathlib
     import re
+    import shutil
+    import subprocess
+    import sys
 
     root = pathlib.Path(catalogue.__file__).parents[1]
     for f in root.rglob("*.py"):
         if "llm" not in f.relative_to(root).parts:
             assert not re.search(r"paperlake\.llm|corpus_pipeline", f.read_text()), f
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy / "paperlake", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root.parent / "__spark_entry__.py", copy)
+    script = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 50 and not [n for n in q if n.startswith('op') or n == 'pipeline'] and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", script], cwd=copy, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, check=True)
+    (copy / "paperlake" / "llm").mkdir()  # there, but not to be imported
+    (copy / "paperlake" / "llm" / "__init__.py").write_text("")
+    (copy / "paperlake" / "llm" / "queries.py").write_text("import a_library_that_is_not_there\n")
+    subprocess.run([sys.executable, "-c", script], cwd=copy, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, check=True)

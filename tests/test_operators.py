@@ -73,10 +73,57 @@ def test_greedy_consumes(spark):
     d = spark.createDataFrame([(1, "m", 1, 0, 0, 10, 10)], "image long, model string, det_id long, x1 long, y1 long, x2 long, y2 long")
     rows = evaluate.greedy_matches(t, d).collect()
     assert [(r.truth_id, r.det_id, r.overlap) for r in rows] == [(1, 1, 100.0)]
-    out = evaluate.with_unmatched(t, d, evaluate.iou_matches(t, d)).collect()
+    out = evaluate.with_unmatched(t, d, evaluate.greedy_matches(t, d)).collect()
     assert sorted(r.status for r in out) == ["entity-not-extracted", "match-found"]
 
 
+def test_greedy_takes_the_next_best(spark):
+    t = spark.createDataFrame([(1, 1, 0, 0, 10, 10), (1, 2, 0, 0, 10, 9), (1, 3, 50, 50, 60, 60)], "image long, truth_id long, x1 long, y1 long, x2 long, y2 long")
+    d = spark.createDataFrame([(1, "m", 1, 0, 0, 10, 9), (1, "m", 2, 0, 0, 10, 10), (1, "m", 3, 80, 80, 90, 90), (1, None, 4, 0, 0, 10, 10)], "image long, model string, det_id long, x1 long, y1 long, x2 long, y2 long")
+    rows = evaluate.greedy_matches(t, d.where("model = 'm'"))
+    assert sorted((r.truth_id, r.det_id, r.overlap) for r in rows.collect()) == [(1, 2, 100.0), (2, 1, 100.0)]
+    only = d.where("det_id = 2")  # both truths want it; the second gets nothing
+    assert [(r.truth_id, r.overlap) for r in evaluate.greedy_matches(t, only).collect()] == [(1, 100.0)]
+    assert evaluate.greedy_matches(t, d.where("false")).count() == 0 and evaluate.greedy_matches(t.where("false"), d).count() == 0
+
+
+def test_more_than_a_thousand_models(spark):
+    t = spark.createDataFrame([(1, 1, 0, 0, 10, 10)], "image long, truth_id long, x1 long, y1 long, x2 long, y2 long")
+    d = spark.range(1001).selectExpr("1L AS image", "concat('m', id) AS model", "id AS det_id", "0L AS x1", "0L AS y1", "10L AS x2", "10L AS y2")
+    out = evaluate.with_unmatched(t, d, evaluate.greedy_matches(t, d))
+    assert out.where("status = 'match-found'").count() == out.count() == 1001
+    stats = evaluate.model_stats(t, d, out)
+    assert stats.count() == 1001 and {tuple(r[c] for c in ("extracted", "truth", "matched", "unmatched", "modified", "added", "final")) for r in stats.collect()} == {(1, 1, 1, 0, 0, 0, 1)}
+
+
+def test_grid_similarity_is_a_substructure(spark):
+    import itertools
+    import random
+
+    rng = random.Random(3)
+
+    def best(a, b):
+        top = 0.0
+        for k in range(1, min(len(a), len(b)) + 1):
+            for q in range(1, min(len(a[0]), len(b[0])) + 1):
+                for rows, other in itertools.product(itertools.combinations(range(len(a)), k), itertools.combinations(range(len(b)), k)):
+                    for cols, theirs in itertools.product(itertools.combinations(range(len(a[0])), q), itertools.combinations(range(len(b[0])), q)):
+                        top = max(top, sum(a[i][j] == b[x][y] for i, x in zip(rows, other) for j, y in zip(cols, theirs)))
+        return top
+
+    for _ in range(150):
+        a, b = ([[rng.choice("abcd") for _ in range(2)] for _ in range(rng.choice([1, 2]))] for _ in range(2))
+        f, p, r, upper = layout.grid_similarity(a, b, lambda x, y: float(x == y))
+        exact = best(a, b)
+        assert p * sum(map(len, b)) <= exact + 1e-9 and f <= upper + 1e-9
+        assert layout.grid_similarity(a, a)[0] == 1.0
+    assert layout.grid_similarity([["d", "d"], ["a", "d"]], [["b", "d"], ["d", "b"]], lambda x, y: float(x == y))[0] <= 0.25
+    text, span = layout.span_grids(layout.html_cells("<table><tr><td colspan=2>H</td></tr><tr><td>x</td><td>y</td></tr></table>"))
+    assert text == [["H", "H"], ["x", "y"]] and span[0] == [[0, 0, 2, 1], [-1, 0, 1, 1]] and span[1] == [[0, 0, 1, 1]] * 2
+    boxes = spark.createDataFrame([(1, [[[0.0, 0.0, 2.0, 2.0]]], [[[0.0, 0.0, 2.0, 1.0]]])], "pair_id long, truth array<array<array<double>>>, found array<array<array<double>>>")
+    assert layout.grid_scores(boxes, "loc").first().f == 0.5
+
+
 def test_drop_overlaps(spark):
     s = spark.createDataFrame([(1, 1, 0, "text", "a", 0, 0, 10, 10), (1, 1, 1, "table", "b", 5, 5, 15, 15), (1, 1, 2, "table", "c", 5, 5, 15, 15)],
                               "doc_id long, page long, ord long, type string, content string, x1 long, y1 long, x2 long, y2 long")
@@ -90,9 +137,9 @@ def test_phrases(spark):
 
 
 def test_grids_and_tables():
-    assert layout.grid_similarity([["a"]], [["a"]]) == (1.0, 1.0, 1.0)
-    assert layout.grid_similarity([], []) == (1.0, 1.0, 1.0)
-    assert layout.grid_similarity([["a", "b"]], [["a"]])[1:] == (1.0, 0.5)
+    assert layout.grid_similarity([["a"]], [["a"]])[:3] == (1.0, 1.0, 1.0)
+    assert layout.grid_similarity([], [])[:3] == (1.0, 1.0, 1.0)
+    assert layout.grid_similarity([["a", "b"]], [["a"]])[1:3] == (1.0, 0.5)
     assert layout.lcs_similarity("", "") == 1.0 and layout.lcs_similarity(None, "a") == 0.0
     cells = layout.html_cells("<table><tr><th colspan=2>H</th></tr><tr><td rowspan='2'>x</td><td>y</td></tr><tr><td>z</td></tr></table>")
     assert cells == [(0, 1, 0, 2, "H", True), (1, 2, 0, 1, "x", False), (1, 1, 1, 1, "y", False), (2, 1, 1, 1, "z", False)]
