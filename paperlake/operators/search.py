@@ -1,21 +1,27 @@
 """Keyword, vector and hybrid retrieval for batches of questions.
 
-Questions are a stated set that is small beside the index: their rows are counted, and
-broadcast in blocks of BLOCK rows, so each block meets every indexed row once.
+Questions are a stated set that is small beside the index. They are taken in blocks, so that what
+is broadcast has a fixed size, and a block meets every indexed row in one pass. Scores are products
+of matrices, by batch in the executors, and a batch gives the k best rows of a question alone; so no
+table of rows times questions is ever made.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from paperlake.functions import text as T, vector as V
+from paperlake.functions import text as T
+from paperlake.sources.shared import checkpoint
 
 K1, B = 1.5, 0.75
-BLOCK = 1000
-#: Query terms up to this many are broadcast to the postings; more are joined by shuffling.
-BROADCAST_TERMS = 500_000
+#: Questions of a block, and the numbers in a matrix of scores.
+BLOCK = 5000
+_CELLS = 1 << 21
 
 
 def fetch_size(prefetch: int, top: int, total: int) -> int:
@@ -34,24 +40,92 @@ def statistics(chunks: DataFrame, text_col: str = "text") -> DataFrame:
     return chunks.agg(F.count("*").alias("n_docs"), F.sum(F.size(T.tokens(F.col(text_col))).cast("long")).alias("total_len"))
 
 
-def bm25(chunks: DataFrame, questions: DataFrame, id_col: str = "doc_id", text_col: str = "text", k1: float = K1, b: float = B) -> DataFrame:
-    """(qid, id, score) of all matching chunks: the sum over the question's tokens, rounded to six decimals.
+def _blocks(questions: DataFrame) -> list[DataFrame]:
+    """Questions in blocks of about BLOCK rows by hash."""
+    n = max(1, -(-questions.count() // BLOCK))
+    return [questions.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i) if n > 1 else questions for i in range(n)]
 
-    Only postings of the questions' terms are made, and the term frequencies of a chunk are summed before any shuffle.
-    """
-    terms = questions.select("qid", F.explode(T.tokens(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-    wanted = terms.select("term").distinct()
-    few = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+
+def _best(ids: np.ndarray, scores: np.ndarray, k: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k largest positive scores of each column; rows are in the order of ids, so ties go to the smaller."""
+    if k is None or k >= len(ids):
+        return np.nonzero(scores > 0)
+    order = np.argsort(-scores, axis=0, kind="stable")[:k]
+    columns = np.broadcast_to(np.arange(scores.shape[1]), order.shape)
+    live = scores[order, columns] > 0
+    return order[live], columns[live]
+
+
+def matched_terms(chunks: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each chunk: (id, dl, terms), its tokens and the numbers of those that are wanted (term, number), with repeats."""
     toks = chunks.select(F.col(id_col).alias("id"), T.tokens(F.col(text_col)).alias("t"))
-    each = toks.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(F.broadcast(wanted) if few else wanted, "term")
-    tf = each.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
-    stats = statistics(chunks, text_col).first()
-    n, mean = stats["n_docs"], (stats["total_len"] or 0) / max(stats["n_docs"], 1)
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    query = terms.join(df, "term").select("qid", "term", (F.col("times") * idf).alias("w"))
-    share = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(mean or 1.0)))
-    return tf.join(query, "term").groupBy("qid", "id").agg(F.round(F.sum(F.col("w") * share), 6).alias("score"))
+    each = toks.select("id", F.size("t").cast("long").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "t")).alias("term"))
+    met = each.join(F.broadcast(wanted), "term", "left").where("term IS NULL OR number IS NOT NULL")
+    return met.groupBy("id", "dl").agg(F.collect_list("number").alias("terms"))
+
+
+def bm25(chunks: DataFrame, questions: DataFrame, id_col: str = "doc_id", text_col: str = "text", k1: float = K1, b: float = B, k: int | None = None) -> DataFrame:
+    """(qid, id, score) of matching chunks, the k best of each batch of them or all: the sum over the question's tokens, rounded to six decimals.
+
+    Texts are tokenised once in a block of questions. Chunks without tokens count for the statistics.
+    """
+    parts = []
+    for block in _blocks(questions):
+        times = block.select("qid", F.explode(T.tokens(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times")).toPandas()  # one block
+        terms = sorted(set(times["term"]))
+        number = {t: i for i, t in enumerate(terms)}
+        wanted = chunks.sparkSession.createDataFrame(pd.DataFrame({"term": terms, "number": range(len(terms))}, columns=["term", "number"]), "term string, number int")
+        met = checkpoint(matched_terms(chunks, wanted, id_col, text_col))
+        df = met.select(F.explode(F.array_distinct("terms")).alias("number")).groupBy("number").agg(F.count("*").alias("df")).toPandas()  # a row for each term of the block
+        total = met.agg(F.count("*").alias("n"), F.sum("dl").alias("len")).first()
+        parts.append(score_terms(met, times.assign(term=times["term"].map(number)), df, total["n"], (total["len"] or 0) / max(total["n"], 1), k1, b, k))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def score_terms(met: DataFrame, times: pd.DataFrame, df: pd.DataFrame, n: int, mean: float, k1: float, b: float, k: int | None) -> DataFrame:
+    """(id, dl, terms) -> (qid, id, score). times (qid, term, times) and df (number, df) are those of one block of questions."""
+    size = int(max(times["term"].max() + 1 if len(times) else 0, 1))
+    counts = np.zeros(size)
+    counts[df["number"].to_numpy(dtype=np.int64)] = df["df"].to_numpy(dtype=np.float64)
+    idf = np.log(1 + (n - counts + 0.5) / (counts + 0.5))
+    qids = np.array(sorted(set(times["qid"].tolist())), dtype=np.int64)
+    t = times.sort_values("term")
+    at, q = t["term"].to_numpy(dtype=np.int64), np.searchsorted(qids, t["qid"].to_numpy(dtype=np.int64))
+    w = t["times"].to_numpy(dtype=np.float64) * idf[at] if len(t) else np.zeros(0)
+    first = np.searchsorted(at, np.arange(size + 1))
+    shared = met.sparkSession.sparkContext.broadcast((qids, q, w, first))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        qids, q, w, first = shared.value
+        for pdf in batches:
+            pdf = pdf[pdf["terms"].map(len) > 0].sort_values("id")
+            step = max(1, _CELLS // max(1, len(qids)))
+            for a in range(0, len(pdf), step):
+                part = pdf.iloc[a : a + step]
+                lengths = part["terms"].map(len).to_numpy()
+                rows, found = np.repeat(np.arange(len(part)), lengths), np.concatenate(part["terms"].to_numpy()).astype(np.int64)
+                pair, tf = np.unique(rows << 32 | found, return_counts=True)
+                rows, found = pair >> 32, pair & 0xFFFFFFFF
+                norm = k1 * (1 - b + b * part["dl"].to_numpy(dtype=np.float64) / (mean or 1.0))
+                share = tf / (tf + norm[rows])
+                here, column = np.unique(found, return_inverse=True)
+                scores = np.zeros((len(part), len(qids)))
+                for c in range(0, len(here), 2048):  # some of the batch's terms at a time
+                    some = here[c : c + 2048]
+                    inside = (column >= c) & (column < c + 2048)
+                    left = np.zeros((len(part), len(some)))
+                    left[rows[inside], column[inside] - c] = share[inside]
+                    right = np.zeros((len(some), len(qids)))
+                    for i, term in enumerate(some):
+                        span = slice(first[term], first[term + 1])
+                        right[i, q[span]] = w[span]
+                    scores += left @ right
+                scores = np.round(scores, 6)
+                ids = part["id"].to_numpy(dtype=np.int64)
+                r, c = _best(ids, scores, k)
+                yield pd.DataFrame({"qid": qids[c], "id": ids[r], "score": scores[r, c]})
+
+    return met.mapInPandas(run, "qid long, id long, score double")
 
 
 def top(scores: DataFrame, k: int, ascending: bool = False) -> DataFrame:
@@ -61,15 +135,56 @@ def top(scores: DataFrame, k: int, ascending: bool = False) -> DataFrame:
     return scores.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
-def vector_scores(index: DataFrame, questions: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", normalize: bool = False, root: bool = False) -> DataFrame:
-    """(qid, id, score): exact squared L2 distance (root: its square root) of every question (qid, qvec) to every row."""
-    rows = index.select(F.col(id_col).alias("id"), (V.normalized(F.col(vec_col)) if normalize else F.col(vec_col)).alias("v"))
-    q = questions.select("qid", (V.normalized(F.col("qvec")) if normalize else F.col("qvec")).alias("qvec"))
-    blocks = max(1, -(-q.count() // BLOCK))
-    part = F.pmod(F.xxhash64("qid"), F.lit(blocks))
-    score = V.squared_l2(F.col("qvec"), F.col("v"))
-    each = [rows.join(F.broadcast(q.where(part == i) if blocks > 1 else q)).select("qid", "id", F.round(F.sqrt(score) if root else score, 6).alias("score")) for i in range(blocks)]
-    return reduce(DataFrame.unionByName, each)
+def bm25_top(chunks: DataFrame, questions: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(qid, id, score, rank): the k best chunks of every question."""
+    return top(bm25(chunks, questions, id_col, text_col, k=k), k)
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    length = np.sqrt((v * v).sum(axis=1, keepdims=True))
+    return np.divide(v, length, out=v.copy(), where=length > 0)
+
+
+def vector_top(index: DataFrame, questions: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", normalize: bool = False, root: bool = False) -> DataFrame:
+    """(qid, id, score, rank): the k nearest rows of every question (qid, qvec) by exact squared L2 distance (root: its square root), rounded to six decimals.
+
+    Products of matrices find the rows that may be among the k, and their distances are then computed as differences. Null vectors are no rows.
+    """
+    parts = []
+    rows = index.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).where("v IS NOT NULL")
+    for block in _blocks(questions.where("qvec IS NOT NULL")):
+        asked = block.select("qid", "qvec").toPandas()  # one block
+        if not len(asked):
+            continue
+        qv = np.stack(asked["qvec"].to_numpy()).astype(np.float64)
+        shared = index.sparkSession.sparkContext.broadcast((asked["qid"].to_numpy(dtype=np.int64), _unit(qv) if normalize else qv))
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            qids, qs = shared.value
+            lengths = (qs * qs).sum(axis=1)
+            step = max(1, _CELLS // len(qids))
+            for pdf in batches:
+                pdf = pdf.sort_values("id")
+                for a in range(0, len(pdf), step):
+                    ids = pdf["id"].to_numpy(dtype=np.int64)[a : a + step]
+                    v = np.stack(pdf["v"].to_numpy()[a : a + step]).astype(np.float64)
+                    v = _unit(v) if normalize else v
+                    own = (v * v).sum(axis=1)
+                    near = own[:, None] + lengths[None, :] - 2 * (v @ qs.T)
+                    last = np.partition(near, min(k, len(ids)) - 1, axis=0)[min(k, len(ids)) - 1]
+                    slack = 4e-6 * (1 + np.sqrt(np.maximum(last, 0))) + 1e-9 * (own.max() + lengths)
+                    r, c = np.nonzero(near <= last + slack)
+                    exact = np.concatenate([((qs[c[i : i + 65536]] - v[r[i : i + 65536]]) ** 2).sum(axis=1) for i in range(0, len(r), 65536)])
+                    exact = np.round(np.sqrt(exact) if root else exact, 6)
+                    order = np.lexsort((ids[r], exact, c))
+                    place = np.arange(len(order)) - np.searchsorted(c[order], c[order])
+                    keep = order[place < k]
+                    yield pd.DataFrame({"qid": qids[c[keep]], "id": ids[r[keep]], "score": exact[keep]})
+
+        parts.append(rows.mapInPandas(run, "qid long, id long, score double"))
+    if not parts:
+        return index.sparkSession.createDataFrame([], "qid long, id long, score double, rank long")
+    return top(reduce(DataFrame.unionByName, parts), k, ascending=True)
 
 
 def metadata_equals(wanted: dict[str, str]) -> Column:

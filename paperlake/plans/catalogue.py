@@ -83,57 +83,55 @@ def bm25_stats(spark, d):
     return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def _bm25(spark, d):
-    return search.bm25(_t(spark, d, "documents"), _questions(spark, d))
+def _bm25(spark, d, k: int):
+    return search.bm25_top(_t(spark, d, "documents"), _questions(spark, d), k)
 
 
 def bm25_topk(spark, d):
-    return search.top(_bm25(spark, d), TOP)
+    return _bm25(spark, d, TOP)
 
 
 def bm25_filtered_topk(spark, d):
     docs = _t(spark, d, "documents")
-    fetched = search.top(_bm25(spark, d), search.fetch_size(50, TOP, docs.count()))
+    fetched = _bm25(spark, d, search.fetch_size(50, TOP, docs.count()))
     meta = docs.select(F.col("doc_id").alias("id"), "lang", F.create_map(F.lit("source"), "source").alias("custom_metadata"))
     kept = fetched.drop("rank").join(meta, "id").where(search.metadata_equals({"lang": "en"})).select("qid", "id", "score")
     return search.window_or_message(search.top(kept, TOP), _questions(spark, d), least=0.0)
 
 
-def _vectors(spark, d, **how):
-    return search.vector_scores(_t(spark, d, "embeddings"), _vector_questions(spark, d), **how)
+def _vectors(spark, d, k: int, **how):
+    return search.vector_top(_t(spark, d, "embeddings"), _vector_questions(spark, d), k, **how)
 
 
 def vector_l2_topk(spark, d):
-    return search.top(_vectors(spark, d), TOP, ascending=True)
+    return _vectors(spark, d, TOP)
 
 
 def vector_normalized_topk(spark, d):
-    return search.window_or_message(search.top(_vectors(spark, d, normalize=True), TOP, ascending=True), _vector_questions(spark, d), 0.0, 1.0)
+    return search.window_or_message(_vectors(spark, d, TOP, normalize=True), _vector_questions(spark, d), 0.0, 1.0)
 
 
 def vector_root_topk(spark, d):
-    label = _t(spark, d, "embeddings").where("label = 1").select(F.col("vec_id").alias("id"))
-    return search.top(_vectors(spark, d, root=True).join(label, "id").select("qid", "id", "score"), TOP, ascending=True)
+    return search.vector_top(_t(spark, d, "embeddings").where("label = 1"), _vector_questions(spark, d), TOP, root=True)
 
 
 def vector_prefilter_topk(spark, d):
-    fetched = search.top(_vectors(spark, d, normalize=True), 100, ascending=True).drop("rank")
+    fetched = _vectors(spark, d, 100, normalize=True).drop("rank")
     label = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("l"), F.col("label").cast("string"), F.lit(" all")).alias("value"))
     return search.top(fetched.join(label, "id").where(search.metadata_any_token(F.col("value"), ["l1", "l2"])).select("qid", "id", "score"), TOP, ascending=True)
 
 
 def vector_roundrobin(spark, d):
-    fetched = search.top(_vectors(spark, d, normalize=True), 100, ascending=True).drop("rank")
+    fetched = _vectors(spark, d, 100, normalize=True).drop("rank")
     label = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("value"))
     return search.round_robin(fetched.join(label, "id"), ["2", "0", "1"], TOP)
 
 
 def _hybrid(spark, d):
     questions = _questions(spark, d)
-    sparse = search.top(search.bm25(_t(spark, d, "documents"), questions), 10)
     vectors = _t(spark, d, "embeddings").select("vec_id", "embedding")
     asked = vectors.join(F.broadcast(questions.select("qid")), F.col("vec_id") == F.col("qid")).select("qid", F.col("embedding").alias("qvec"))
-    return sparse, search.top(search.vector_scores(vectors, asked, normalize=True), 10, ascending=True)
+    return _bm25(spark, d, 10), search.vector_top(vectors, asked, 10, normalize=True)
 
 
 def hybrid_rrf(spark, d):
@@ -320,7 +318,7 @@ def metadata_schema(spark, d):
 
 def unique_metadata_keys(spark, d):
     docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.map_from_entries(F.array(F.struct(F.concat(F.lit("lang_"), "lang").alias("k"), F.lit("1").alias("v")), F.struct(F.concat(F.lit("src_"), "source").alias("k"), F.lit("1").alias("v")))).alias("m"))
-    return qna.unique_metadata_keys(search.top(_bm25(spark, d), TOP).join(docs, "id"), "m", 2)
+    return qna.unique_metadata_keys(_bm25(spark, d, TOP).join(docs, "id"), "m", 2)
 
 
 def context_assembly(spark, d):
