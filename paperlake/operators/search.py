@@ -40,12 +40,17 @@ def statistics(chunks: DataFrame, text_col: str = "text") -> DataFrame:
     return chunks.agg(F.count("*").alias("n_docs"), F.sum(F.size(T.tokens(F.col(text_col))).cast("long")).alias("total_len"))
 
 
-def _blocks(questions: DataFrame) -> list[DataFrame]:
+def blocks(questions: DataFrame) -> list[DataFrame]:
     """Questions in blocks of about BLOCK rows by hash."""
     n = max(1, -(-questions.count() // BLOCK))
     return [questions.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i) if n > 1 else questions for i in range(n)]
 
 
+def question_terms(block: DataFrame) -> pd.DataFrame:
+    """(qid, term, times) of one block of questions (qid, question)."""
+    return block.select("qid", F.explode(T.tokens(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times")).toPandas()
+
+
 def _best(ids: np.ndarray, scores: np.ndarray, k: int | None) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the k largest positive scores of each column; rows are in the order of ids, so ties go to the smaller."""
     if k is None or k >= len(ids):
@@ -70,8 +75,8 @@ def bm25(chunks: DataFrame, questions: DataFrame, id_col: str = "doc_id", text_c
     Texts are tokenised once in a block of questions. Chunks without tokens count for the statistics.
     """
     parts = []
-    for block in _blocks(questions):
-        times = block.select("qid", F.explode(T.tokens(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times")).toPandas()  # one block
+    for block in blocks(questions):
+        times = question_terms(block)
         terms = sorted(set(times["term"]))
         number = {t: i for i, t in enumerate(terms)}
         wanted = chunks.sparkSession.createDataFrame(pd.DataFrame({"term": terms, "number": range(len(terms))}, columns=["term", "number"]), "term string, number int")
@@ -152,7 +157,7 @@ def vector_top(index: DataFrame, questions: DataFrame, k: int, id_col: str = "ve
     """
     parts = []
     rows = index.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).where("v IS NOT NULL")
-    for block in _blocks(questions.where("qvec IS NOT NULL")):
+    for block in blocks(questions.where("qvec IS NOT NULL")):
         asked = block.select("qid", "qvec").toPandas()  # one block
         if not len(asked):
             continue

@@ -6,13 +6,15 @@ columns of twenty lines a page, with integer boxes that both engines compute ali
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from paperlake.functions import text as T
-from paperlake.operators import chunks, evaluate, layout, qna, regions, search, segments
+from paperlake.operators import chunks, evaluate, index, layout, qna, regions, search, segments
 from paperlake.plans import oracles
+from paperlake.sources.shared import shared_dir
 
 TOP = 5
 
@@ -143,6 +145,43 @@ def hybrid_merge(spark, d):
     return m.select("qid", F.array_join(F.transform("sparse_ids", lambda x: x.cast("string")), ",").alias("sparse_ids"), F.array_join(F.transform("dense_ids", lambda x: x.cast("string")), ",").alias("dense_ids"))
 
 
+def _root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+
+
+def _vector_index(spark, d) -> str:
+    """An index of all embeddings, a collection for each label, made in two appends."""
+    root = _root(spark)
+    rows = _t(spark, d, "embeddings").select(
+        F.concat(F.lit("label-"), F.col("label").cast("string")).alias("collection"), F.col("vec_id").alias("ord"), F.col("vec_id").cast("string").alias("id"), F.concat(F.lit("vector "), F.col("vec_id").cast("string")).alias("content"),
+        F.create_map(F.lit("parity"), (F.col("vec_id") % 2).cast("string")).alias("metadata"), F.col("embedding").alias("vector"))
+    half = _t(spark, d, "embeddings").agg((F.max("vec_id") / 2).alias("m")).first()["m"] or 0
+    for part in (rows.where(F.col("ord") <= half), rows.where(F.col("ord") > half)):
+        index.save_vectors(spark, root, part, secrets={"label-1": "open"})
+    return root
+
+
+def vector_index_records(spark, d):
+    rows = index.get_records(spark, _vector_index(spark, d), 5, 40, include_vector=True)
+    return rows.select("collection", "pos", "id", "content", F.element_at("metadata", F.lit("parity")).alias("parity"), F.col("vector_size").cast("long").alias("vector_size"), F.round(F.element_at("vector", 1), 6).alias("first"))
+
+
+def vector_index_search(spark, d):
+    names = _t(spark, d, "embeddings").agg(F.collect_set(F.concat(F.lit("label-"), F.col("label").cast("string"))).alias("all")).withColumn("one", F.lit(1))
+    asked = _vector_questions(spark, d).withColumn("one", F.lit(1)).join(F.broadcast(names), "one").select("qid", "qvec", F.explode("all").alias("collection"))
+    return index.search_vectors(spark, _vector_index(spark, d), asked, TOP, 30, {"parity": "0"}, 0.0, 1.2, secrets={"label-1": "open"})
+
+
+def chunk_index_search(spark, d):
+    root = _root(spark)
+    rows = _t(spark, d, "documents").select(F.concat(F.lit("lang-"), F.coalesce("lang", F.lit("none"))).alias("collection"), F.col("doc_id").alias("id"), F.col("text").alias("content"), F.create_map(F.lit("source"), F.col("source")).alias("metadata"))
+    half = _t(spark, d, "documents").agg((F.max("doc_id") / 2).alias("m")).first()["m"] or 0
+    for part in (rows.where(F.col("id") <= half), rows.where(F.col("id") > half)):
+        index.save_chunks(spark, root, part)
+    asked = _questions(spark, d).withColumn("collection", F.explode(F.array(F.lit("lang-en"), F.lit("lang-de"))))
+    return index.search_chunks(spark, root, asked, TOP)
+
+
 def column_islands(spark, d):
     return segments.column_islands(_layout(spark, d))
 
@@ -427,7 +466,7 @@ def greedy_match(spark, d):
 
 _ALL = [
     paragraph_segments, segment_chunks, page_chunks, typed_chunks_together, typed_chunks_separate, clean_replace_delimit, title_merge, bm25_stats, bm25_topk, bm25_filtered_topk,
-    vector_l2_topk, vector_normalized_topk, vector_root_topk, vector_prefilter_topk, vector_roundrobin, hybrid_rrf, hybrid_merge, column_islands, segment_columns, sequence_default,
+    vector_l2_topk, vector_normalized_topk, vector_root_topk, vector_prefilter_topk, vector_roundrobin, hybrid_rrf, hybrid_merge, vector_index_records, vector_index_search, chunk_index_search, column_islands, segment_columns, sequence_default,
     sequence_left_right, sequence_zigzag, header_footer_auto, header_footer_manual, empty_line_marks, iou_match, unmatched_truth, confusion_matrix, avg_overlap, class_combo_metrics,
     detector_report, structure_report, model_stats, band_match, truth_names, result_merge, report_rows, combined_report, filtered_metrics, grid_report, table_cells, report_left_join, report_full_outer, mean_scores, majority_vote, metadata_schema, unique_metadata_keys, context_assembly,
     context_lists, prompt_fill, llm_scores, qna_blocks, qna_numbering, batch_report, graph_nodes_edges, request_filter, region_tokens, outside_tokens, nearest_right, nearest_below,

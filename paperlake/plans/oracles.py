@@ -130,6 +130,14 @@ f AS (SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(sou
 SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, first, id) AS rank FROM f QUALIFY rank <= 5""",
     "hybrid_merge": f"""WITH {_HYB}, a AS (SELECT qid, string_agg(id, ',' ORDER BY rank) AS s FROM sp GROUP BY qid), b AS (SELECT qid, string_agg(id, ',' ORDER BY rank) AS d FROM de GROUP BY qid)
 SELECT qid, coalesce(s, '') AS sparse_ids, coalesce(d, '') AS dense_ids FROM a FULL JOIN b USING (qid)""",
+    "vector_index_records": """WITH r AS (SELECT 'label-' || label AS collection, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos, vec_id, embedding FROM embeddings)
+SELECT collection, pos, vec_id::VARCHAR AS id, 'vector ' || vec_id AS content, (vec_id % 2)::VARCHAR AS parity, len(embedding)::BIGINT AS vector_size,
+ round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS first FROM r WHERE pos >= 5 AND pos < 40""",
+    "vector_index_search": f"""WITH {_vec(_QSET, True)}, f AS (SELECT *, 'label-' || label AS collection FROM vs QUALIFY row_number() OVER (PARTITION BY qid, label ORDER BY score, id) <= 30),
+k AS (SELECT *, row_number() OVER (PARTITION BY qid, collection ORDER BY score, id) AS rank FROM f WHERE id % 2 = 0 QUALIFY rank <= 5), w AS (SELECT * FROM k WHERE score BETWEEN 0 AND 1.2)
+SELECT c.collection, q.vec_id AS qid, w.id::VARCHAR AS id, score, rank, CASE WHEN w.id IS NULL THEN 'no match' END AS message
+FROM (SELECT vec_id FROM embeddings q WHERE {_QSET}) q, (SELECT DISTINCT 'label-' || label AS collection FROM embeddings) c LEFT JOIN w ON w.qid = q.vec_id AND w.collection = c.collection""",
+    "chunk_index_search": " UNION ALL ".join(f"SELECT 'lang-{x}' AS collection, * FROM (WITH " + _BM25.replace("FROM documents)", f"FROM documents WHERE lang = '{x}')") + " " + _top('bm', 5) + ")" for x in ("en", "de")),
     "column_islands": f"""WITH {_LAY}, s AS (SELECT *, CASE WHEN coalesce(x1 > max(x2) OVER (PARTITION BY doc_id, page ORDER BY x1, y1, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) THEN 1 ELSE 0 END AS new FROM lay),
 i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page ORDER BY x1, y1, ord ROWS UNBOUNDED PRECEDING) AS island FROM s),
 g AS (SELECT doc_id, page, island, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, count(*) AS n_segments FROM i GROUP BY ALL)

@@ -21,6 +21,68 @@ def list_files(spark: SparkSession, folder: str, include: tuple[str, ...] = (),
     return out.withColumn("mime_type", F.coalesce(mime[F.col("extension")], F.lit("application/octet-stream")))
 
 
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    """Remove a file, or a folder with all in it; False if there is none."""
+    fs, p = _fs(spark, path)
+    return fs.delete(p, True)
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a file or folder; the target's parent is made, and what stands at the target is an error."""
+    fs, p = _fs(spark, source)
+    _, q = _fs(spark, target)
+    fs.mkdirs(q.getParent())
+    if fs.exists(q) or not fs.rename(p, q):
+        raise FileExistsError(target)
+
+
+def copy(spark: SparkSession, source: str, target: str) -> None:
+    """Copy a file or folder between any two file systems that Spark can open."""
+    fs, p = _fs(spark, source)
+    to, q = _fs(spark, target)
+    if not spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, p, to, q, False, False, spark._jsc.hadoopConfiguration()):
+        raise OSError(target)
+
+
+def info(spark: SparkSession, path: str) -> dict:
+    """name, size, type and modification time (milliseconds) of a path."""
+    fs, p = _fs(spark, path)
+    s = fs.getFileStatus(p)
+    return {"name": p.getName(), "size": s.getLen(), "type": "directory" if s.isDirectory() else "file", "modified": s.getModificationTime()}
+
+
+def read_file(spark: SparkSession, path: str) -> bytes:
+    """One file's bytes, for configurations and the like."""
+    return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+
+
+def write_file(spark: SparkSession, path: str, data: bytes, append: bool = False) -> None:
+    """Write one small file; with append, behind what it holds."""
+    fs, p = _fs(spark, path)
+    before = read_file(spark, path) if append and fs.exists(p) else b""
+    out = fs.create(p, True)
+    out.write(bytearray(before + data))
+    out.close()
+
+
+def write_if_different(spark: SparkSession, path: str, data: bytes) -> bool:
+    """Write a small file unless it holds the same already; whether it was written."""
+    if exists(spark, path) and read_file(spark, path) == data:
+        return False
+    write_file(spark, path, data)
+    return True
+
+
 def batch(files: DataFrame, size: int) -> DataFrame:
     """The first `size` files by path."""
     return files.orderBy("path").limit(size)
