@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from paperlake.functions import text as T
-from paperlake.operators import chunks, evaluate, index, layout, qna, regions, search, segments
+from paperlake.operators import chunks, evaluate, index, layout, ocr, qna, regions, search, segments
 from paperlake.plans import oracles
 from paperlake.sources.shared import shared_dir
 
@@ -442,6 +442,87 @@ def region_subtraction(spark, d):
     return regions.subtract(r, s.where("type = 'table'").select("doc_id", "page", "y1", "y2"))
 
 
+def _results(spark, d, content) -> DataFrame:
+    """One result file for each page of the layout: what `content` makes of its lines, sorted by ord."""
+    s = _layout(spark, d).withColumn("content", F.regexp_replace(F.trim("content"), r"\s+", " "))
+    return s.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("ord", "content", "x1", "y1", "x2", "y2"))).alias("l")).select("doc_id", "page", content.alias("content"))
+
+
+_NOTE = "named_struct('doc_page_num', CAST(page AS string), 'width', 2000, 'height', 1000)"
+
+
+def ocr_azure_read(spark, d):
+    word = "named_struct('boundingBox', array(x.x1, x.y1, x.x2, x.y1, x.x2, x.y2, x.x1, x.y2), 'text', w, 'confidence', 0.5D)"
+    line = f"named_struct('boundingBox', array(x.x1, x.y1, x.x2, x.y1, x.x2, x.y2, x.x1, x.y2), 'text', x.content, 'words', transform(split(x.content, ' '), w -> {word}))"
+    return ocr.azure_read(_results(spark, d, F.expr(f"to_json(named_struct('readResults', array(named_struct('page', page, 'unit', 'pixel', 'width', 2000, 'height', 1000, 'lines', transform(l, x -> {line})))))")))
+
+
+def ocr_azure_regions(spark, d):
+    box = "concat_ws(',', x.x1, x.y1, x.x2 - x.x1, x.y2 - x.y1)"
+    line = f"named_struct('boundingBox', {box}, 'words', transform(split(x.content, ' '), w -> named_struct('boundingBox', {box}, 'text', w)))"
+    return ocr.azure_regions(_results(spark, d, F.expr(f"to_json(named_struct('regions', array(named_struct('lines', transform(l, x -> {line})))))")))
+
+
+def ocr_aws_blocks(spark, d):
+    block = "named_struct('BlockType', k, 'Text', x.content, 'Confidence', 90.0D, 'Geometry', named_struct('BoundingBox', named_struct('Width', (x.x2 - x.x1) / 2000D, 'Height', 0.0305D, 'Left', (x.x1 + 0.5D) / 2000D, 'Top', (x.y1 + 0.5D) / 1000D)))"
+    return ocr.aws_blocks(_results(spark, d, F.expr(f"to_json(named_struct('{ocr.NOTE}', {_NOTE}, 'Blocks', flatten(transform(array('LINE', 'WORD', 'PAGE'), k -> transform(l, x -> {block})))))")))
+
+
+def ocr_pdf_tokens(spark, d):
+    token = "named_struct('type', if(x.ord % 5 = 0, 'image', 'line'), 'text', x.content, 'bbox', array(x.x1, x.y1, x.x2, x.y2))"
+    pages = _results(spark, d, F.expr(f"to_json(named_struct('page', page, 'width', 2000, 'height', 1000, 'tokens', transform(l, x -> {token})))"))
+    tokens = ocr.pdf_tokens(pages)
+    return ocr.to_segments(tokens.where("page <> 3"), pages).select("doc_id", "page", "content", "x1", "y2", "conf")
+
+
+def ocr_hocr(spark, d):
+    box = "concat_ws(' ', x.x1, x.y1, x.x2, x.y2)"
+    safe = "replace(replace(replace(x.content, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+    word = f"""concat("<span class='ocrx_word' id='w' title='bbox ", {box}, "; x_wconf ", x.ord % 100, "'>", w, "</span>")"""
+    line = f"""concat("<span class='", if(x.ord = 0, 'ocr_header', 'ocr_line'), "' id='l' title='bbox ", {box}, "; baseline 0 0'>", array_join(transform(split({safe}, ' '), w -> {word}), ' '), "</span>")"""
+    page = f"""concat("<div class='ocr_page' id='p' title='image; bbox 0 0 2000 1000; ppageno ", page - 1, "'>", array_join(transform(l, x -> {line}), '\\n'), "</div>")"""
+    return ocr.hocr(_results(spark, d, F.expr(page)))
+
+
+def word_links(spark, d):
+    s = _layout(spark, d)
+    links = s.where("ord % 4 = 1").selectExpr("doc_id", "page", "ord AS link_id", "concat('u', ord) AS uri", "x1 - 10 AS x1", "y1 - 20 AS y1", "x1 + 150 AS x2", "y2 + 60 AS y2")
+    return ocr.link_words(s, links)
+
+
+def _cells(spark, d) -> DataFrame:
+    """Lines as words of tables: one table for each eight lines."""
+    return ocr.rows_to_cells(_layout(spark, d).selectExpr("doc_id", "page", "ord div 8 AS table_no", "if(ord % 8 = 4, ' ', substring_index(trim(content), ' ', 1)) AS text", "x1", "y1"))
+
+
+def word_cells(spark, d):
+    return _cells(spark, d)
+
+
+def picked_cells(spark, d):
+    return ocr.pick_cells(_cells(spark, d), rows=[(0, 1), (3, 9)], columns=[(0, 0), (1, 3)]).select("doc_id", "page", "table_no", "row_index", "column_index", "text")
+
+
+def table_header_names(spark, d):
+    return ocr.header_names(_cells(spark, d).withColumn("text", F.when(F.col("column_index") == 0, "").otherwise(F.lit("same"))))
+
+
+def y_clusters(spark, d):
+    return ocr.clusters(_t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), ["o_custkey"], "o_totalprice", 20000.0).select("o_orderkey", "cluster")
+
+
+def word_lines(spark, d):
+    return ocr.line_groups(_layout(spark, d))
+
+
+def distinct_segments(spark, d):
+    return ocr.distinct_text(_layout(spark, d)).select("doc_id", "page", "ord")
+
+
+def sized_boxes(spark, d):
+    return ocr.sized(_layout(spark, d), min_w=40, max_w=450, min_h=30, max_h=30, aspect=(2.0, 12.0)).select("doc_id", "page", "ord")
+
+
 def overlap_dedup(spark, d):
     s = _layout(spark, d).withColumn("y2", F.col("y2") + (F.col("ord") % 3) * 10)
     return layout.drop_overlaps(s).select("doc_id", "page", "ord")
@@ -470,7 +551,8 @@ _ALL = [
     sequence_left_right, sequence_zigzag, header_footer_auto, header_footer_manual, empty_line_marks, iou_match, unmatched_truth, confusion_matrix, avg_overlap, class_combo_metrics,
     detector_report, structure_report, model_stats, band_match, truth_names, result_merge, report_rows, combined_report, filtered_metrics, grid_report, table_cells, report_left_join, report_full_outer, mean_scores, majority_vote, metadata_schema, unique_metadata_keys, context_assembly,
     context_lists, prompt_fill, llm_scores, qna_blocks, qna_numbering, batch_report, graph_nodes_edges, request_filter, region_tokens, outside_tokens, nearest_right, nearest_below,
-    anchor_regions, region_subtraction, overlap_dedup, adjacent_merge, phrase_build, character_chunks, greedy_match, grid_scores,
+    anchor_regions, region_subtraction, ocr_azure_read, ocr_azure_regions, ocr_aws_blocks, ocr_pdf_tokens, ocr_hocr, word_links, word_cells, picked_cells, table_header_names, y_clusters, word_lines, distinct_segments, sized_boxes,
+    overlap_dedup, adjacent_merge, phrase_build, character_chunks, greedy_match, grid_scores,
 ]
 
 

@@ -99,6 +99,19 @@ def _near(gap: str, shared: str, whole: str) -> str:
 SELECT doc_id, page, ord, near_ord, distance FROM j QUALIFY row_number() OVER (PARTITION BY doc_id, page, ord ORDER BY distance, near_ord) = 1"""
 
 
+_ONE = r"regexp_replace(trim(content), '\s+', ' ', 'g')"
+
+
+def _words(conf: str, pick: str = "text") -> str:
+    """Lines and their words as tokens; words are numbered over the page."""
+    return f"""c AS (SELECT doc_id, page, ord, {_ONE} AS content, x1, y1, x2, y2 FROM lay), w AS (SELECT doc_id, page, ord, x1, y1, x2, y2, unnest(string_split(content, ' ')) AS text, generate_subscripts(string_split(content, ' '), 1) AS i FROM c)
+SELECT doc_id, page, 'line' AS kind, row_number() OVER (PARTITION BY doc_id, page ORDER BY ord) - 1 AS ord, content AS text, x1::DOUBLE AS x, y1::DOUBLE AS y, (x2 - x1)::DOUBLE AS w, (y2 - y1)::DOUBLE AS h, -1.0::DOUBLE AS conf FROM c
+UNION ALL SELECT doc_id, page, 'word', row_number() OVER (PARTITION BY doc_id, page ORDER BY ord, i) - 1, text, x1, y1, x2 - x1, y2 - y1, {conf} FROM w"""
+
+
+_CELLS = _LAY + """, k AS (SELECT doc_id, page, ord // 8 AS table_no, CASE WHEN ord % 8 = 4 THEN ' ' ELSE split_part(trim(content), ' ', 1) END AS text, x1, y1 FROM lay),
+cells AS (SELECT doc_id, page, table_no, 'p' || page || '_tb' || table_no AS cell_id, dense_rank() OVER (PARTITION BY doc_id, page, table_no ORDER BY y1) - 1 AS row_index, dense_rank() OVER (PARTITION BY doc_id, page, table_no ORDER BY x1) - 1 AS column_index, text FROM k)"""
+
 _META = "(SELECT doc_id AS id, unnest(['lang_' || lang, 'src_' || source]) AS key FROM documents)"
 
 SQL: dict[str, str] = {
@@ -217,6 +230,27 @@ SELECT source, lang, n, total, n > 1 AND n >= total // 2 AS accepted FROM b""",
 UNION ALL SELECT 'MERGE (n:Region {name: ''' || r_name || '''}) SET n += {key: ''' || r_regionkey || '''}' FROM region
 UNION ALL SELECT 'MATCH (a:Nation {name: ''' || n_name || '''}), (b:Region {name: ''' || r_name || '''}) MERGE (a)-[:IN]->(b)' FROM nation JOIN region ON n_regionkey = r_regionkey""",
     "request_filter": "SELECT page_id, url, md5(url) AS claim FROM pages WHERE NOT ends_with(url, '.zip') QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1",
+    "ocr_azure_read": f"WITH {_LAY}, " + _words("50.0"),
+    "ocr_azure_regions": f"WITH {_LAY}, " + _words("-1.0"),
+    "ocr_aws_blocks": f"""WITH {_LAY} SELECT doc_id, page, kind, row_number() OVER (PARTITION BY doc_id, page, kind ORDER BY ord) - 1 AS ord, {_ONE} AS text, x1::DOUBLE AS x, y1::DOUBLE AS y,
+ (x2 - x1)::DOUBLE AS w, 31.0::DOUBLE AS h, 90.0::DOUBLE AS conf FROM lay, (VALUES ('line'), ('word')) v(kind)""",
+    "ocr_pdf_tokens": f"""WITH {_LAY}, s AS (SELECT doc_id, page, {_ONE} AS content, x1::DOUBLE AS x1, y2::DOUBLE AS y2, -1.0::DOUBLE AS conf FROM lay WHERE ord % 5 <> 0 AND page <> 3)
+SELECT * FROM s UNION ALL SELECT doc_id, page, '[NO DATA FOUND]', NULL, NULL, -1.0 FROM (SELECT DISTINCT doc_id, page FROM lay) ANTI JOIN s USING (doc_id, page)""",
+    "ocr_hocr": f"WITH {_LAY}, t AS (WITH " + _words("(ord % 100)::DOUBLE") + ") SELECT * FROM t UNION ALL SELECT DISTINCT doc_id, page, 'page', 0::BIGINT, '', 0.0::DOUBLE, 0.0::DOUBLE, 2000.0::DOUBLE, 1000.0::DOUBLE, -1.0::DOUBLE FROM lay",
+    "word_links": f"""WITH {_LAY}, k AS (SELECT doc_id, page, ord AS link_id, 'u' || ord AS uri, x1 - 10 AS a, y1 - 20 AS b, x1 + 150 AS c, y2 + 60 AS d FROM lay WHERE ord % 4 = 1)
+SELECT l.doc_id, l.page, ord, arg_min(uri, link_id) AS uri FROM lay l LEFT JOIN k ON l.doc_id = k.doc_id AND l.page = k.page AND least(x2, c) > greatest(x1, a) AND least(y2, d) > greatest(y1, b)
+ AND (least(x2, c) - greatest(x1, a)) * (least(y2, d) - greatest(y1, b)) >= (x2 - x1) * (y2 - y1) * 0.6::DOUBLE GROUP BY ALL""",
+    "word_cells": f"WITH {_CELLS} SELECT *, row_index = 0 AS is_header FROM cells",
+    "picked_cells": f"""WITH {_CELLS} SELECT doc_id, page, table_no, row_index, column_index, text FROM cells WHERE (row_index <= 1 OR row_index BETWEEN 3 AND 9) AND column_index <= 3
+ QUALIFY max(length(trim(text))) OVER (PARTITION BY doc_id, page, table_no, row_index) > 0 AND max(length(trim(text))) OVER (PARTITION BY doc_id, page, table_no, column_index) > 0""",
+    "table_header_names": f"WITH {_CELLS} SELECT doc_id, page, table_no, column_index, CASE column_index WHEN 0 THEN 'col_0' WHEN 1 THEN 'same' ELSE 'same' || (column_index - 1) END AS name FROM cells WHERE row_index = 0",
+    "y_clusters": """WITH j AS (SELECT *, CASE WHEN o_totalprice - lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_totalprice) > 20000 THEN 1 ELSE 0 END AS j FROM orders)
+SELECT o_orderkey, sum(j) OVER (PARTITION BY o_custkey ORDER BY o_totalprice)::BIGINT AS cluster FROM j""",
+    "word_lines": f"""WITH {_LAY}, s AS (SELECT *, CASE WHEN coalesce(y1 - lag(y1) OVER p > (lag(y2) OVER p - lag(y1) OVER p) * 0.5::DOUBLE, true) THEN 1 ELSE 0 END AS s FROM lay WINDOW p AS (PARTITION BY doc_id, page ORDER BY y1, x1, ord)),
+g AS (SELECT *, sum(s) OVER (PARTITION BY doc_id, page ORDER BY y1, x1, ord ROWS UNBOUNDED PRECEDING)::BIGINT AS line FROM s)
+SELECT doc_id, page, line, string_agg(content, ' ' ORDER BY x1, ord) AS content, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM g GROUP BY doc_id, page, line""",
+    "distinct_segments": rf"WITH {_LAY}, k AS (SELECT *, lag(content) OVER (PARTITION BY doc_id, page ORDER BY ord) AS b FROM lay WHERE regexp_matches(content, '[\p{{L}}\p{{N}}]')) SELECT doc_id, page, ord FROM k WHERE b IS NULL OR b <> content",
+    "sized_boxes": f"WITH {_LAY} SELECT doc_id, page, ord FROM lay WHERE x2 - x1 BETWEEN 40 AND 450 AND y2 - y1 = 30 AND x2 - x1 BETWEEN 60 AND 360",
     "region_tokens": f"WITH {_LAY}, {_REG} SELECT region_id, t.doc_id, t.page, t.ord FROM lay t JOIN reg r ON t.doc_id = r.doc_id AND t.page = r.page AND x1 >= rx1 AND y1 >= ry1 AND x2 <= rx2 AND y2 <= ry2",
     "outside_tokens": f"WITH {_LAY}, {_REG} SELECT doc_id, page, ord FROM lay t WHERE NOT EXISTS (SELECT 1 FROM reg r WHERE t.doc_id = r.doc_id AND t.page = r.page AND ((x1 >= rx1 AND y1 >= ry1 AND x2 <= rx2 AND y2 <= ry2) OR (rx1 >= x1 AND ry1 >= y1 AND rx2 <= x2 AND ry2 <= y2)))",
     "nearest_right": _near("b.x1 - a.x2", "least(a.y2, b.y2) - greatest(a.y1, b.y1)", "(a.y2 - a.y1) * 0.5::DOUBLE"),
