@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from paperlake.functions import text as T
-from paperlake.operators import chunks, evaluate, index, layout, ocr, qna, regions, search, segments
+from paperlake.operators import anchors, chunks, evaluate, index, layout, ocr, qna, regions, search, segments
 from paperlake.plans import oracles
 from paperlake.sources.shared import shared_dir
 
@@ -523,6 +523,50 @@ def sized_boxes(spark, d):
     return ocr.sized(_layout(spark, d), min_w=40, max_w=450, min_h=30, max_h=30, aspect=(2.0, 12.0)).select("doc_id", "page", "ord")
 
 
+def _tokens(spark, d) -> DataFrame:
+    return _layout(spark, d).select("doc_id", "page", "ord", F.trim("content").alias("text"), "x1", "y1", "x2", "y2")
+
+
+def _sizes(spark, d) -> DataFrame:
+    return _layout(spark, d).select("doc_id", "page").distinct().withColumn("width", F.lit(1200.0)).withColumn("height", F.lit(820.0))
+
+
+def anchor_similarity(spark, d):
+    return _tokens(spark, d).where(anchors.matches("the license", F.col("text"), "normal", 0.9)).select("doc_id", "page", "ord")
+
+
+def anchor_pattern(spark, d):
+    return anchors.find_anchors(_tokens(spark, d), ["^the .*[.]$", ["^[a-m]", "[aeiou][.]?$"]], "regex")
+
+
+def one_anchor_boxes(spark, d):
+    found = _layout(spark, d).where("type = 'Title'")
+    return anchors.one_anchor_regions(found, _sizes(spark, d), {"left": "-10px", "bottom": "1t"}, {"right": "50%r", "bottom": "25%a"})
+
+
+def two_anchor_boxes(spark, d):
+    s = _layout(spark, d)
+    out = anchors.two_anchor_regions(s.where("type = 'Title'"), s.where("type = 'image_text' AND ord % 20 = 19"), _sizes(spark, d))
+    return out.select("doc_id", "page", "x1", "y1", "x2", "y2")
+
+
+def attribute_values(spark, d):
+    return anchors.extract_attributes(_tokens(spark, d), _sizes(spark, d), {
+        "license": {"anchor": ["license"], "match": "regex", "first": {"left": 0, "top": "-60px"}, "second": {"right": "100%r", "bottom": "60px"}},
+        "second the": {"anchor": ["^the "], "match": "regex", "occurrences": [2], "first": {"left": 0, "top": 0}, "second": {"right": 0, "bottom": "2t"}}})
+
+
+def nearest_hops(spark, d):
+    return anchors.nearest_chain(_layout(spark, d), "bottom", 3)
+
+
+def nearest_fields(spark, d):
+    s = _layout(spark, d)
+    f = s.where("type = 'table'").select("doc_id", "page", F.col("ord").alias("field_id"), "x1", "y1", "x2", "y2")
+    out = [anchors.nearest_field(s.where("type <> 'table'"), f, side).withColumn("side", F.lit(side)) for side in ("any", "right", "bottom")]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 def overlap_dedup(spark, d):
     s = _layout(spark, d).withColumn("y2", F.col("y2") + (F.col("ord") % 3) * 10)
     return layout.drop_overlaps(s).select("doc_id", "page", "ord")
@@ -552,6 +596,7 @@ _ALL = [
     detector_report, structure_report, model_stats, band_match, truth_names, result_merge, report_rows, combined_report, filtered_metrics, grid_report, table_cells, report_left_join, report_full_outer, mean_scores, majority_vote, metadata_schema, unique_metadata_keys, context_assembly,
     context_lists, prompt_fill, llm_scores, qna_blocks, qna_numbering, batch_report, graph_nodes_edges, request_filter, region_tokens, outside_tokens, nearest_right, nearest_below,
     anchor_regions, region_subtraction, ocr_azure_read, ocr_azure_regions, ocr_aws_blocks, ocr_pdf_tokens, ocr_hocr, word_links, word_cells, picked_cells, table_header_names, y_clusters, word_lines, distinct_segments, sized_boxes,
+    anchor_similarity, anchor_pattern, one_anchor_boxes, two_anchor_boxes, attribute_values, nearest_hops, nearest_fields,
     overlap_dedup, adjacent_merge, phrase_build, character_chunks, greedy_match, grid_scores,
 ]
 

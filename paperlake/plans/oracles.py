@@ -112,6 +112,24 @@ UNION ALL SELECT doc_id, page, 'word', row_number() OVER (PARTITION BY doc_id, p
 _CELLS = _LAY + """, k AS (SELECT doc_id, page, ord // 8 AS table_no, CASE WHEN ord % 8 = 4 THEN ' ' ELSE split_part(trim(content), ' ', 1) END AS text, x1, y1 FROM lay),
 cells AS (SELECT doc_id, page, table_no, 'p' || page || '_tb' || table_no AS cell_id, dense_rank() OVER (PARTITION BY doc_id, page, table_no ORDER BY y1) - 1 AS row_index, dense_rank() OVER (PARTITION BY doc_id, page, table_no ORDER BY x1) - 1 AS column_index, text FROM k)"""
 
+#: Each token's nearest one below.
+_BELOW = """below AS (SELECT a.doc_id, a.page, a.ord, b.ord AS near_ord FROM lay a JOIN lay b ON a.doc_id = b.doc_id AND a.page = b.page AND a.ord <> b.ord AND b.y1 >= a.y2 AND least(a.x2, b.x2) > greatest(a.x1, b.x1)
+ QUALIFY row_number() OVER (PARTITION BY a.doc_id, a.page, a.ord ORDER BY b.y1 - a.y2, b.ord) = 1)"""
+
+
+def _two_anchors(p: str, first: str, second: str) -> str:
+    """Regions from anchors of the first kind, the lowest first, to the nearest one of the second kind that is left."""
+    return f"""{p}_a AS (SELECT doc_id, page, ord, x1, y1, row_number() OVER (PARTITION BY doc_id ORDER BY page DESC, y1 DESC, ord) AS rk FROM lay WHERE {first}),
+{p}_c AS MATERIALIZED (SELECT a.doc_id, a.page, a.x1, a.y1, list({{'page': b.page, 'ord': b.ord, 'x': b.x1, 'y': b.y1}} ORDER BY b.page, b.y1, b.ord) AS c, row_number() OVER (PARTITION BY a.doc_id ORDER BY a.rk) AS k
+ FROM {p}_a a JOIN lay b ON a.doc_id = b.doc_id AND ((a.page = b.page AND a.y1 < b.y1) OR a.page < b.page) WHERE {second.replace("type", "b.type").replace("ord %", "b.ord %")} GROUP BY a.doc_id, a.page, a.ord, a.x1, a.y1, a.rk),
+{p}_g AS (SELECT doc_id, page, x1, y1, k, c[1] AS m, [c[1]] AS used FROM {p}_c WHERE k = 1
+ UNION ALL SELECT doc_id, page, x1, y1, k, list_extract(f, 1), CASE WHEN len(f) > 0 THEN list_append(used, f[1]) ELSE used END FROM (
+ SELECT c.doc_id, c.page, c.x1, c.y1, c.k, list_filter(c.c, lambda x: NOT list_contains(g.used, x)) AS f, g.used FROM {p}_g g JOIN {p}_c c ON c.doc_id = g.doc_id AND c.k = g.k + 1)),
+{p}_r AS (SELECT *, unnest(range(page, m.page + 1)) AS pg FROM {p}_g WHERE m IS NOT NULL),
+{p}_out AS (SELECT doc_id, pg AS page, (CASE WHEN page = m.page THEN least(x1, m.x) ELSE 0 END)::DOUBLE AS x1, (CASE WHEN page = m.page THEN least(y1, m.y) WHEN pg = page THEN y1 ELSE 0 END)::DOUBLE AS y1,
+ (CASE WHEN page = m.page THEN greatest(x1, m.x) ELSE 1200 END)::DOUBLE AS x2, (CASE WHEN page = m.page THEN greatest(y1, m.y) WHEN pg = m.page THEN m.y ELSE 820 END)::DOUBLE AS y2 FROM {p}_r)"""
+
+
 _META = "(SELECT doc_id AS id, unnest(['lang_' || lang, 'src_' || source]) AS key FROM documents)"
 
 SQL: dict[str, str] = {
@@ -251,6 +269,30 @@ g AS (SELECT *, sum(s) OVER (PARTITION BY doc_id, page ORDER BY y1, x1, ord ROWS
 SELECT doc_id, page, line, string_agg(content, ' ' ORDER BY x1, ord) AS content, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM g GROUP BY doc_id, page, line""",
     "distinct_segments": rf"WITH {_LAY}, k AS (SELECT *, lag(content) OVER (PARTITION BY doc_id, page ORDER BY ord) AS b FROM lay WHERE regexp_matches(content, '[\p{{L}}\p{{N}}]')) SELECT doc_id, page, ord FROM k WHERE b IS NULL OR b <> content",
     "sized_boxes": f"WITH {_LAY} SELECT doc_id, page, ord FROM lay WHERE x2 - x1 BETWEEN 40 AND 450 AND y2 - y1 = 30 AND x2 - x1 BETWEEN 60 AND 360",
+    "anchor_similarity": f"""WITH {_LAY}, w AS (SELECT doc_id, page, ord, string_split(lower(trim(content)), ' ') AS w FROM lay),
+r AS (SELECT doc_id, page, ord, w[i] || ' ' || w[i + 1] AS r FROM (SELECT *, unnest(range(1, len(w))) AS i FROM w)),
+c AS (SELECT doc_id, page, ord, r, list_distinct(string_split(r, '')) AS ch, string_split('the license', '') AS a FROM (SELECT DISTINCT * FROM r)),
+m AS (SELECT doc_id, page, ord, round(list_sum(list_transform(a, lambda x: length(r) - length(replace(r, x, '')))) / sqrt(list_sum(list_transform(ch, lambda x: (length(r) - length(replace(r, x, ''))) ** 2)))
+ / sqrt(list_sum(list_transform(list_distinct(a), lambda x: len(list_filter(a, lambda y: y = x)) ** 2))), 3) AS s FROM c)
+SELECT DISTINCT doc_id, page, ord FROM m WHERE s >= 0.9""",
+    "anchor_pattern": f"""WITH {_LAY}, t AS (SELECT *, lower(trim(content)) AS l FROM lay), {_BELOW}
+SELECT DISTINCT doc_id, page, ord, x1, y1, x2, y2 FROM t WHERE regexp_matches(l, '^the .*[.]$')
+UNION SELECT a.doc_id, a.page, a.ord, least(a.x1, b.x1), least(a.y1, b.y1), greatest(a.x2, b.x2), greatest(a.y2, b.y2) FROM t a JOIN below n USING (doc_id, page, ord) JOIN t b ON b.doc_id = a.doc_id AND b.page = a.page AND b.ord = n.near_ord
+ WHERE regexp_matches(a.l, '^[a-m]') AND regexp_matches(b.l, '[aeiou][.]?$')""",
+    "one_anchor_boxes": f"""WITH {_LAY}, p AS (SELECT doc_id, page, ord, x1 - 10.0::DOUBLE AS x, greatest(0, least(820, y2 + (y2 - y1))) AS y, x2 + (1200 - x2) * 0.5::DOUBLE AS u, 205.0::DOUBLE AS v FROM lay WHERE type = 'Title')
+SELECT doc_id, page, ord, least(x, u)::DOUBLE AS x1, least(y, v)::DOUBLE AS y1, greatest(x, u)::DOUBLE AS x2, greatest(y, v)::DOUBLE AS y2 FROM p""",
+    "nearest_hops": f"""WITH {_LAY}, {_BELOW}, h1 AS (SELECT doc_id, page, ord, 1 AS hop, near_ord FROM below), h2 AS (SELECT h1.doc_id, h1.page, h1.ord, 2 AS hop, b.near_ord FROM h1 JOIN below b ON b.doc_id = h1.doc_id AND b.page = h1.page AND b.ord = h1.near_ord),
+h3 AS (SELECT h2.doc_id, h2.page, h2.ord, 3 AS hop, b.near_ord FROM h2 JOIN below b ON b.doc_id = h2.doc_id AND b.page = h2.page AND b.ord = h2.near_ord) SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3""",
+    "nearest_fields": f"""WITH {_LAY}, j AS (SELECT a.doc_id, a.page, a.ord, b.ord AS field_id, a.x1, a.y1, a.x2, a.y2, b.x1 AS bx1, b.y1 AS by1, b.x2 AS bx2, b.y2 AS by2 FROM lay a JOIN lay b ON a.doc_id = b.doc_id AND a.page = b.page AND a.type <> 'table' AND b.type = 'table')
+SELECT doc_id, page, ord, arg_min(field_id, (abs(x1 - bx1), abs(y1 - by1), field_id)) AS field_id, 'any' AS side FROM j GROUP BY ALL
+UNION ALL SELECT doc_id, page, ord, arg_min(field_id, (bx1 - x2, field_id)), 'right' FROM j WHERE bx1 >= x2 AND least(y2, by2) > greatest(y1, by1) GROUP BY ALL
+UNION ALL SELECT doc_id, page, ord, arg_min(field_id, (by1 - y2, field_id)), 'bottom' FROM j WHERE by1 >= y2 AND least(x2, bx2) > greatest(x1, bx1) GROUP BY ALL""",
+    "attribute_values": f"""WITH {_LAY}, t AS (SELECT *, trim(content) AS text, lower(trim(content)) AS l FROM lay),
+a AS (SELECT 'license' AS name, doc_id, page, ord, x1 AS x, y1 - 60 AS y, 1200 AS u, y2 + 60 AS v FROM t WHERE regexp_matches(l, 'license')
+ UNION ALL SELECT 'second the', doc_id, page, ord, x1, y1, x2, greatest(0, least(820, y2 + 2 * (y2 - y1))) FROM (SELECT * FROM t WHERE regexp_matches(l, '^the ') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY page, y1, x1, ord) = 2))
+SELECT a.doc_id, name, a.page, coalesce(string_agg(text, ' ' ORDER BY y1, x1, t.ord), '') AS value FROM a LEFT JOIN t ON a.doc_id = t.doc_id AND a.page = t.page AND x1 >= least(x, u) AND y1 >= least(y, v) AND x2 <= greatest(x, u) AND y2 <= greatest(y, v) GROUP BY a.doc_id, name, a.page, a.ord""",
+    "two_anchor_boxes": f"""WITH RECURSIVE {_LAY}, {_two_anchors("f", "type = 'Title'", "type = 'image_text' AND ord % 20 = 19")}, {_two_anchors("b", "type = 'image_text' AND ord % 20 = 19", "type = 'Title'")}
+SELECT DISTINCT * FROM (SELECT * FROM f_out UNION ALL SELECT * FROM b_out)""",
     "region_tokens": f"WITH {_LAY}, {_REG} SELECT region_id, t.doc_id, t.page, t.ord FROM lay t JOIN reg r ON t.doc_id = r.doc_id AND t.page = r.page AND x1 >= rx1 AND y1 >= ry1 AND x2 <= rx2 AND y2 <= ry2",
     "outside_tokens": f"WITH {_LAY}, {_REG} SELECT doc_id, page, ord FROM lay t WHERE NOT EXISTS (SELECT 1 FROM reg r WHERE t.doc_id = r.doc_id AND t.page = r.page AND ((x1 >= rx1 AND y1 >= ry1 AND x2 <= rx2 AND y2 <= ry2) OR (rx1 >= x1 AND ry1 >= y1 AND rx2 <= x2 AND ry2 <= y2)))",
     "nearest_right": _near("b.x1 - a.x2", "least(a.y2, b.y2) - greatest(a.y1, b.y1)", "(a.y2 - a.y1) * 0.5::DOUBLE"),
