@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from paperlake.functions import text as T
-from paperlake.operators import anchors, chunks, evaluate, index, layout, ocr, qna, regions, search, segments
+from paperlake.operators import anchors, chunks, evaluate, index, layout, ocr, qna, reader, regions, search, segments
 from paperlake.plans import oracles
 from paperlake.sources.shared import shared_dir
 
@@ -567,6 +567,132 @@ def nearest_fields(spark, d):
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
+def _echo(prompts: list[str]) -> list[str]:
+    """A provider without a model: the number of characters of the prompt as JSON, in a fence for odd ones, and its first question's source."""
+    out = []
+    for p in prompts:
+        source = p.split("[", 1)[1].split("]", 1)[0] if "[" in p else ""
+        body = '{"answer": "%d", "sources": [{"chunk_id": "%s"}]}' % (len(p), source)
+        out.append("see\n```json\n" + body + "\n```" if len(p) % 2 else body)
+    return out
+
+
+def _turns(spark, d) -> DataFrame:
+    """Turns as matches of their conversation: (qid, id, rank, score, content)."""
+    return _t(spark, d, "conversations").select(F.col("conv_id").alias("qid"), F.col("turn").alias("id"), (F.col("turn") + 1).alias("rank"), (F.col("turn") / 10).alias("score"), F.col("text").alias("content"))
+
+
+def reader_answers(spark, d):
+    q = _t(spark, d, "conversations").select(F.col("conv_id").alias("qid")).distinct().select("qid", F.concat(F.lit("k"), "qid").alias("attribute_key"), F.concat(F.lit("what of "), "qid").alias("question"))
+    return reader.read(q, _turns(spark, d), _echo, "{context}Q: {question}", "[{id}] {content}\n", 2, as_json=True, attempts=2).drop("prompt")
+
+
+def picked_lists(spark, d):
+    m = _turns(spark, d)
+    lists = {"sparseindex": m, "vectordb": m.where("qid % 2 = 0 AND id < 3"), "rrf": m.where("qid % 3 = 0 AND id = 0")}
+    return reader.pick_lists(lists).select("qid", "source", "id", "rank")
+
+
+def moderated_answers(spark, d):
+    prompts = _t(spark, d, "documents").select(F.col("doc_id").alias("qid"), F.col("text").alias("prompt"))
+    return reader.answer(prompts, _echo, banned=["license", "reserved"]).select("qid", "answer", "status", "tries")
+
+
+def hashed_embeddings(spark, d):
+    e = _t(spark, d, "documents").select("doc_id", reader.hashed_embedding(F.col("text"), 8).alias("v"))
+    return e.select("doc_id", F.array_join(F.transform("v", lambda x: x.cast("long").cast("string")), ",").alias("slots"))
+
+
+def rewritten_queries(spark, d):
+    c = _t(spark, d, "conversations")
+    q = c.where("role = 'user'").select(F.col("conv_id").alias("attribute_key"), F.concat(F.lit("turn "), "turn").alias("question"))
+    r = c.where("role = 'assistant'").select(F.col("conv_id").alias("attribute_key"), F.col("turn").alias("ord"), F.when(F.col("conv_id") % 3 == 0, F.lit(" ")).otherwise(F.concat(F.lit("again "), "turn")).alias("question"))
+    return reader.with_rewritten(q, r)
+
+
+def reader_inputs(spark, d):
+    docs = _t(spark, d, "documents").select(F.col("lang").alias("attribute_key"), "doc_id")
+    return reader.with_inputs(docs, spark.createDataFrame([("en", "what"), ("de", "was"), ("xx", "?")], "attribute_key string, question string"))
+
+
+def zipped_answers(spark, d):
+    return reader.zip_rows(_t(spark, d, "documents").select("doc_id", "lang"), _t(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+
+
+def page_margins(spark, d):
+    s = _layout(spark, d)
+    with_roles = segments.header_footer_auto(s, _dims(s))
+    return reader.with_margins(s.select("doc_id", "page").distinct(), with_roles)
+
+
+def first_majorities(spark, d):
+    v = _t(spark, d, "orders").select("o_custkey", "o_orderpriority", "o_orderkey")
+    return reader.first_majority(v, ["o_custkey"], "o_orderpriority", "o_orderkey")
+
+
+def _length_class(prompts: list[str]) -> list[str]:
+    return [("" if len(p) % 7 == 0 else "odd" if len(p) % 2 else "even") + ("" if p.startswith("size") or len(p) % 7 == 0 else " too") for p in prompts]
+
+
+def document_metadata(spark, d):
+    pages = chunks.page_chunks(_layout(spark, d))
+    out = reader.document_metadata(pages.select("doc_id", "page", "content"), {"size": "size?", "kind": "kind of text?"}, _length_class, pages.select("doc_id", "chunk_id"))
+    return out.select("doc_id", "chunk_id", F.element_at("custom_metadata", F.lit("size")).alias("size"), F.element_at("custom_metadata", F.lit("kind")).alias("kind"))
+
+
+def _asks(prompts: list[str]) -> list[str]:
+    """Two questions about a prompt's length, or its number for the second stage."""
+    return [str(len(p)) if p.startswith("answer") else f"Type: long\nQuestion: how long?\nAnswer: {len(p)}\nSource: s\n\nType: even\nQuestion: even?\nAnswer: {len(p) % 2 == 0}" for p in prompts]
+
+
+def generated_questions(spark, d):
+    docs = _t(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("content"))
+    return reader.generate_questions(docs, _asks, "{context} {question_count}", second="answer {question} of {context}", count=2)
+
+
+def _grades(prompts: list[str]) -> list[str]:
+    return ['{"score": %d, "reasons": "%s"}' % (len(p) % 5, p[:4]) if len(p) % 3 else "none" for p in prompts]
+
+
+def generated_scores(spark, d):
+    rows = _t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"), F.lit("yes").alias("answer"), F.lit(None).cast("string").alias("context"))
+    return reader.prompt_scores(rows, {"relevance": "rel {question} {answer}", "coverage": "cov {question}{context}"}, _grades)
+
+
+def overlap_scores(spark, d):
+    c = _t(spark, d, "conversations")
+    u = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
+    a = c.where("role = 'assistant'").select(F.col("conv_id").alias("c2"), (F.col("turn") - 1).alias("t2"), F.col("text").alias("answer"))
+    rows = u.join(a, (F.col("conv_id") == F.col("c2")) & (F.col("turn") == F.col("t2"))).select(F.concat_ws("-", "conv_id", "turn").alias("qid"), "question", "answer", F.array("question", F.lit("the license")).alias("contexts"), F.when(F.col("turn") > 0, F.col("question")).alias("ground_truth"))
+    return reader.overlap_scores(rows)
+
+
+def score_means(spark, d):
+    rows = _t(spark, d, "part").select(F.when(F.col("p_size") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("p_size").cast("double")).alias("size"), F.lit(float("nan")).alias("none"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_retailprice")).alias("price"))
+    return reader.mean_of(rows, ["size", "none", "price"])
+
+
+def numbered_answers(spark, d):
+    c = _t(spark, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("n"))
+    t = F.expr("array_join(transform(sequence(0L, n), i -> concat('Q', i, ': what is ', i, '?\nType: t', i % 2, '\nAnswer: a', i)), '\n\n')")
+    return c.select("conv_id", F.posexplode(reader.numbered_blocks(t)).alias("pos", "b")).select("conv_id", F.col("pos").cast("long").alias("pos"), "b.*")
+
+
+def context_answers(spark, d):
+    c = _t(spark, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("n"))
+    t = F.expr("array_join(transform(sequence(0L, n), i -> concat('Sub context: c', i, '\nType: t', i % 2, if(i % 4 = 3, '', concat('\nQuestion: q', i)), '\nAnswer: a', i)), '\n\n')")
+    return c.select("conv_id", F.posexplode(reader.context_blocks(t)).alias("pos", "b")).select("conv_id", F.col("pos").cast("long").alias("pos"), "b.*")
+
+
+def evaluation_dataset(spark, d):
+    raw = _t(spark, d, "benchmark").select(F.to_json(F.struct(F.col("text").alias("question"), F.array("text", F.lit("x")).alias("contexts"), F.when(F.col("item_id") % 2 == 0, F.lit("t")).alias("ground_truth"), F.col("item_id").alias("extra"))).alias("value"))
+    return reader.load_dataset(raw).select("question", F.array_join("contexts", "|").alias("contexts"), "ground_truth", "answer", "additional_data")
+
+
+def piece_counts(spark, d):
+    return _t(spark, d, "documents").select("doc_id", ocr.approximate_tokens(F.col("text")).cast("long").alias("pieces"))
+
+
 def overlap_dedup(spark, d):
     s = _layout(spark, d).withColumn("y2", F.col("y2") + (F.col("ord") % 3) * 10)
     return layout.drop_overlaps(s).select("doc_id", "page", "ord")
@@ -596,7 +722,8 @@ _ALL = [
     detector_report, structure_report, model_stats, band_match, truth_names, result_merge, report_rows, combined_report, filtered_metrics, grid_report, table_cells, report_left_join, report_full_outer, mean_scores, majority_vote, metadata_schema, unique_metadata_keys, context_assembly,
     context_lists, prompt_fill, llm_scores, qna_blocks, qna_numbering, batch_report, graph_nodes_edges, request_filter, region_tokens, outside_tokens, nearest_right, nearest_below,
     anchor_regions, region_subtraction, ocr_azure_read, ocr_azure_regions, ocr_aws_blocks, ocr_pdf_tokens, ocr_hocr, word_links, word_cells, picked_cells, table_header_names, y_clusters, word_lines, distinct_segments, sized_boxes,
-    anchor_similarity, anchor_pattern, one_anchor_boxes, two_anchor_boxes, attribute_values, nearest_hops, nearest_fields,
+    reader_answers, picked_lists, moderated_answers, hashed_embeddings, rewritten_queries, reader_inputs, zipped_answers, page_margins, first_majorities, document_metadata, generated_questions, generated_scores, overlap_scores, score_means,
+    numbered_answers, context_answers, evaluation_dataset, piece_counts, anchor_similarity, anchor_pattern, one_anchor_boxes, two_anchor_boxes, attribute_values, nearest_hops, nearest_fields,
     overlap_dedup, adjacent_merge, phrase_build, character_chunks, greedy_match, grid_scores,
 ]
 

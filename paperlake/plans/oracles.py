@@ -130,6 +130,10 @@ def _two_anchors(p: str, first: str, second: str) -> str:
  (CASE WHEN page = m.page THEN greatest(x1, m.x) ELSE 1200 END)::DOUBLE AS x2, (CASE WHEN page = m.page THEN greatest(y1, m.y) WHEN pg = m.page THEN m.y ELSE 820 END)::DOUBLE AS y2 FROM {p}_r)"""
 
 
+def _share(x: str, y: str) -> str:
+    return f"CASE WHEN len({y}) > 0 THEN round(len(list_intersect({x}, {y})) / len({y}), 6) ELSE 0 END"
+
+
 _META = "(SELECT doc_id AS id, unnest(['lang_' || lang, 'src_' || source]) AS key FROM documents)"
 
 SQL: dict[str, str] = {
@@ -293,6 +297,43 @@ a AS (SELECT 'license' AS name, doc_id, page, ord, x1 AS x, y1 - 60 AS y, 1200 A
 SELECT a.doc_id, name, a.page, coalesce(string_agg(text, ' ' ORDER BY y1, x1, t.ord), '') AS value FROM a LEFT JOIN t ON a.doc_id = t.doc_id AND a.page = t.page AND x1 >= least(x, u) AND y1 >= least(y, v) AND x2 <= greatest(x, u) AND y2 <= greatest(y, v) GROUP BY a.doc_id, name, a.page, a.ord""",
     "two_anchor_boxes": f"""WITH RECURSIVE {_LAY}, {_two_anchors("f", "type = 'Title'", "type = 'image_text' AND ord % 20 = 19")}, {_two_anchors("b", "type = 'image_text' AND ord % 20 = 19", "type = 'Title'")}
 SELECT DISTINCT * FROM (SELECT * FROM f_out UNION ALL SELECT * FROM b_out)""",
+    "reader_answers": """WITH p AS (SELECT conv_id AS qid, string_agg('[' || turn || '] ' || coalesce(text, '') || chr(10), '' ORDER BY turn) AS context, min(turn) AS s FROM conversations WHERE turn < 2 GROUP BY conv_id),
+q AS (SELECT qid, s, coalesce(context, '') || 'Q: what of ' || qid AS prompt FROM (SELECT DISTINCT conv_id AS qid FROM conversations) LEFT JOIN p USING (qid))
+SELECT qid, 'k' || qid AS attribute_key, length(prompt)::VARCHAR AS answer, 'ok' AS status, coalesce(s::VARCHAR, '') AS source_id, s + 1 AS source_rank, CASE WHEN s > 0 THEN 1 - s / 10 ELSE -1.0 END::DOUBLE AS confidence FROM q""",
+    "picked_lists": """SELECT conv_id AS qid, CASE WHEN conv_id % 3 = 0 THEN 'rrf' WHEN conv_id % 2 = 0 THEN 'vectordb' ELSE 'sparseindex' END AS source, turn AS id, turn + 1 AS rank FROM conversations
+WHERE CASE WHEN conv_id % 3 = 0 THEN turn = 0 WHEN conv_id % 2 = 0 THEN turn < 3 ELSE true END""",
+    "moderated_answers": r"""WITH a AS (SELECT doc_id AS qid, text, list_has_any(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}'), ['license', 'reserved']) AS b, length(text) AS n,
+ CASE WHEN contains(text, '[') THEN split_part(substr(text, strpos(text, '[') + 1), ']', 1) ELSE '' END AS s FROM documents), t AS (SELECT *, '{"answer": "' || n || '", "sources": [{"chunk_id": "' || s || '"}]}' AS j FROM a)
+SELECT qid, CASE WHEN NOT b THEN CASE WHEN n % 2 = 1 THEN 'see' || chr(10) || '```json' || chr(10) || j || chr(10) || '```' ELSE j END END AS answer, CASE WHEN b THEN 'blocked' ELSE 'ok' END AS status, CASE WHEN b THEN 0 ELSE 1 END::BIGINT AS tries FROM t""",
+    "hashed_embeddings": r"""WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}'), lambda x: CAST('0x' || substr(md5(x), 1, 6) AS INTEGER) % 8) AS l FROM documents)
+SELECT doc_id, array_to_string(list_transform(range(8), lambda i: len(list_filter(l, lambda x: x = i))), ',') AS slots FROM t""",
+    "rewritten_queries": """WITH r AS (SELECT conv_id, arg_min('again ' || turn, turn) AS q FROM conversations WHERE role = 'assistant' AND conv_id % 3 <> 0 GROUP BY conv_id)
+SELECT c.conv_id AS attribute_key, coalesce(q, 'turn ' || turn) AS question FROM conversations c LEFT JOIN r USING (conv_id) WHERE role = 'user'""",
+    "reader_inputs": "SELECT lang AS attribute_key, doc_id, question FROM documents JOIN (VALUES ('en', 'what'), ('de', 'was')) v(lang, question) USING (lang)",
+    "zipped_answers": "SELECT d.doc_id, lang, quality FROM documents d LEFT JOIN labels l USING (doc_id)",
+    "page_margins": f"""WITH {_LAY}, {_DIMS}, n AS (SELECT *, count(*) OVER (PARTITION BY doc_id, page ORDER BY y1 RANGE BETWEEN 1 FOLLOWING AND 75 FOLLOWING) AS below, count(*) OVER (PARTITION BY doc_id, page ORDER BY y1 RANGE BETWEEN 75 PRECEDING AND 1 PRECEDING) AS above FROM lay),
+r AS (SELECT *, CASE WHEN NOT ((below <= 2 AND above = 0) OR (above <= 2 AND below = 0)) THEN 'body' WHEN y1 <= height * 0.1::DOUBLE THEN 'header' WHEN y2 >= height * 0.9::DOUBLE THEN 'footer' ELSE 'body' END AS role FROM n JOIN dims USING (doc_id, page))
+SELECT doc_id, page, coalesce(string_agg(content, chr(10) ORDER BY ord) FILTER (role = 'header'), '') AS header, coalesce(string_agg(content, chr(10) ORDER BY ord) FILTER (role = 'footer'), '') AS footer FROM r GROUP BY doc_id, page""",
+    "first_majorities": """WITH c AS (SELECT o_custkey, o_orderpriority, count(*) AS n, min(o_orderkey) AS seen FROM orders GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY o_custkey)::BIGINT AS total FROM c)
+SELECT o_custkey, arg_min(o_orderpriority, seen) FILTER (2 * n >= total) AS o_orderpriority, any_value(total) AS total FROM t GROUP BY o_custkey""",
+    "document_metadata": f"""WITH {_LAY}, pg AS (SELECT doc_id, page, {_JOIN} AS content FROM lay GROUP BY doc_id, page), q(name, question) AS (VALUES ('size', 'size?'), ('kind', 'kind of text?')),
+a AS (SELECT doc_id, page, name, length(question) + 1 + length(content) AS n FROM pg, q), v AS (SELECT doc_id, page, name, CASE WHEN n % 2 = 1 THEN 'odd' ELSE 'even' END || CASE WHEN name = 'size' THEN '' ELSE ' too' END AS v FROM a WHERE n % 7 <> 0),
+c AS (SELECT doc_id, name, v, count(*) AS n, min(page) AS seen FROM v GROUP BY ALL), b AS (SELECT *, sum(n) OVER w AS total, first_value(v) OVER (w ORDER BY seen) AS first, row_number() OVER (w ORDER BY n DESC, seen) AS r FROM c WINDOW w AS (PARTITION BY doc_id, name)),
+m AS (SELECT doc_id, name, CASE WHEN n > 1 AND n >= total // 2 THEN v ELSE first END AS v FROM b WHERE r = 1)
+SELECT pg.doc_id, {_ID.replace('doc_id', 'pg.doc_id').format('page')} AS chunk_id, s.v AS size, k.v AS kind FROM pg LEFT JOIN m s ON s.doc_id = pg.doc_id AND s.name = 'size' LEFT JOIN m k ON k.doc_id = pg.doc_id AND k.name = 'kind'""",
+    "generated_questions": """SELECT item_id AS id, 0::BIGINT AS pos, 'long' AS type, 'how long?' AS question, (length(text) + 20)::VARCHAR AS answer, 's' AS source FROM benchmark
+UNION ALL SELECT item_id, 1, 'even', 'even?', (length(text) + 16)::VARCHAR, NULL FROM benchmark""",
+    "generated_scores": """WITH p AS (SELECT item_id AS qid, 'relevance' AS metric, 'rel ' || text || ' yes' AS p FROM benchmark UNION ALL SELECT item_id, 'coverage', 'cov ' || text FROM benchmark)
+SELECT qid, metric, CASE WHEN length(p) % 3 <> 0 THEN least(3, length(p) % 5) ELSE -1 END::DOUBLE AS score, CASE WHEN length(p) % 3 <> 0 THEN substr(p, 1, 4) ELSE '' END AS reasons FROM p""",
+    "overlap_scores": f"""WITH r AS (SELECT u.conv_id || '-' || u.turn AS qid, u.turn, list_distinct({_tokens('a.text')}) AS a, list_distinct({_tokens('u.text')}) AS t, list_distinct({_tokens("coalesce(u.text || ' ', '') || 'the license'")}) AS c
+ FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'),
+s AS (SELECT qid, CASE WHEN turn > 0 THEN {_share('c', 't')} END AS context_recall, {_share('c', 'a')} AS answer_support, CASE WHEN turn > 0 THEN {_share('t', 'a')} END AS answer_precision, CASE WHEN turn > 0 THEN {_share('a', 't')} END AS answer_recall FROM r)
+SELECT *, CASE WHEN answer_precision + answer_recall > 0 THEN round(2 * answer_precision * answer_recall / (answer_precision + answer_recall), 6) WHEN answer_precision IS NOT NULL THEN 0 END AS answer_f FROM s""",
+    "score_means": "SELECT round(avg(p_size) FILTER (p_size % 5 <> 0), 6) AS size, CAST(NULL AS DOUBLE) AS none, round(avg(p_retailprice) FILTER (p_partkey % 2 = 0), 6) AS price FROM part",
+    "numbered_answers": "SELECT conv_id, i AS pos, 't' || (i % 2) AS type, 'what is ' || i || '?' AS question, 'a' || i AS answer FROM (SELECT conv_id, unnest(range(max(turn) + 1)) AS i FROM conversations GROUP BY conv_id)",
+    "context_answers": "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY i) - 1 AS pos, 'c' || i AS sub_context, 't' || (i % 2) AS type, 'q' || i AS question, 'a' || i AS answer FROM (SELECT conv_id, unnest(range(max(turn) + 1)) AS i FROM conversations GROUP BY conv_id) WHERE i % 4 <> 3",
+    "evaluation_dataset": """SELECT text AS question, text || '|x' AS contexts, CASE WHEN item_id % 2 = 0 THEN 't' END AS ground_truth, CAST(NULL AS VARCHAR) AS answer, '{"extra":"' || item_id || '"}' AS additional_data FROM benchmark""",
+    "piece_counts": r"SELECT doc_id, len(list_filter(regexp_split_to_array(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'), '\s+'), lambda x: x <> ''))::BIGINT AS pieces FROM documents",
     "region_tokens": f"WITH {_LAY}, {_REG} SELECT region_id, t.doc_id, t.page, t.ord FROM lay t JOIN reg r ON t.doc_id = r.doc_id AND t.page = r.page AND x1 >= rx1 AND y1 >= ry1 AND x2 <= rx2 AND y2 <= ry2",
     "outside_tokens": f"WITH {_LAY}, {_REG} SELECT doc_id, page, ord FROM lay t WHERE NOT EXISTS (SELECT 1 FROM reg r WHERE t.doc_id = r.doc_id AND t.page = r.page AND ((x1 >= rx1 AND y1 >= ry1 AND x2 <= rx2 AND y2 <= ry2) OR (rx1 >= x1 AND ry1 >= y1 AND rx2 <= x2 AND ry2 <= y2)))",
     "nearest_right": _near("b.x1 - a.x2", "least(a.y2, b.y2) - greatest(a.y1, b.y1)", "(a.y2 - a.y1) * 0.5::DOUBLE"),
