@@ -30,8 +30,8 @@ from tokenizers import Regex, normalizers, pre_tokenizers
 
 from paperlake.llm.common import text_batches
 
-#: Words whose ids a process keeps; beyond it the store starts anew. About 100 MB.
-CACHE_WORDS = 300_000
+#: Words whose ids a process keeps; beyond it the store starts anew. About 30 MB.
+CACHE_WORDS = 100_000
 _CACHED_CHARS = 64
 _PIECE = 1 << 18
 _LONG_WORD = 1 << 12
@@ -110,7 +110,7 @@ class Vocabulary:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    @functools.lru_cache(maxsize=200_000)
+    @functools.lru_cache(maxsize=100_000)
     def compatible(self, a: str, b: str) -> bool:
         """Whether merging a + b would leave the border between the two."""
         limit = 1 << 40

@@ -75,10 +75,11 @@ def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str) -> Dat
 
     Keys of very many rows, at most HOT_SHARE of them, are broadcast, so that no task gets all rows of one.
     """
-    total = table.agg(F.sum(count)).first()[0] or 0
-    hot = checkpoint(table.where(F.col(count) > max(HOT_LEAST, total // HOT_SHARE)).drop(count))
-    if not hot.limit(1).count():
+    total, most = table.agg(F.sum(count), F.max(count)).first()
+    limit = max(HOT_LEAST, (total or 0) // HOT_SHARE)
+    if (most or 0) <= limit:
         return rows.join(table.drop(count), key)
+    hot = table.where(F.col(count) > limit).drop(count)
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.drop(count), key)
     return rows.join(F.broadcast(hot), key).unionByName(rest)
 

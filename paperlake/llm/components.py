@@ -20,9 +20,9 @@ def components(links: DataFrame) -> DataFrame:
     size = edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = checkpoint(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
         large = checkpoint(join_counted(both, low, "u", "n").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low = checkpoint(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = join_counted(large, low, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         before, edges = edges, checkpoint(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         then, size = size, edges.count()

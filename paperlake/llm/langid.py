@@ -18,14 +18,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paperlake.llm.common import text_batches
 
-WINDOW = 512  # bytes that a prediction's states run over
+WINDOW = 256  # bytes that a prediction's states run over
 TRAIN_WINDOW = 64
 HIDDEN = 10
 #: Labelled documents of each language that training may see, at most, and windows of each of them.
 SAMPLE_DOCS = 400
 SAMPLE_WINDOWS = 4
 UNKNOWN = "und"
-_BATCH_BYTES = 1 << 19
+_BATCH_BYTES = 1 << 17
 
 
 @dataclass
@@ -210,12 +210,17 @@ def learnable(id_col: Column) -> Column:
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int = SAMPLE_DOCS) -> list[tuple[bytes, str]]:
-    """Windows of labelled learnable documents, at evenly spread places of each: those of the per_lang smallest hashes of ids in each language."""
+    """Windows of labelled learnable documents, at evenly spread places of each: those of the per_lang smallest hashes of ids in each language.
+
+    A language's rows are first thinned by that hash to about twice per_lang, so that no task ranks all of a language.
+    """
     named = docs.where(learnable(F.col(id_col)) & F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     place = F.expr(f"array_distinct(transform(sequence(0, {SAMPLE_WINDOWS - 1}), i -> substr(text, 1 + CAST(i * greatest(length(text) - {TRAIN_WINDOW}, 0) / {SAMPLE_WINDOWS - 1} AS int), {TRAIN_WINDOW})))")
-    parts = named.select("lang", "id", F.xxhash64(F.col("id").cast("string")).alias("h"), place.alias("parts"))
-    # only the first rows of each language leave a task, so a language of a third of all rows is no burden
+    counts = named.groupBy("lang").agg(F.least(F.lit(1.0), 2.0 * per_lang / F.count("*")).alias("share"))  # a row for each language
+    h = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 40))
+    thin = named.withColumn("h", h).join(F.broadcast(counts), "lang").where(F.col("h") < F.col("share") * float(1 << 40))
+    parts = thin.select("lang", "id", "h", place.alias("parts"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id", "parts"))
     rows = parts.withColumn("n", rank).where(F.col("n") <= per_lang).select("lang", "n", "parts").collect()  # per_lang documents a language
     return [(p.encode("utf-8", "surrogatepass")[:TRAIN_WINDOW], r["lang"]) for r in sorted(rows, key=lambda r: (r["lang"], r["n"])) for p in r["parts"]]

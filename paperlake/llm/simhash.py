@@ -9,8 +9,9 @@ compared before a link counts. The 24th bit of a half needs no care: an error th
 none in the 23. Equal fingerprints are one before all this.
 
 Many near copies of one text give fingerprints that lie close together, in most cases one bit
-from the next. So fingerprints that differ in one block alone are linked first, and the keys
-above then bring links between the groups of these only, one for every two groups that meet.
+from the next. So each fingerprint first joins the smallest one that differs from it in one
+block alone, and the keys above then bring one link for every two such groups that meet; a
+group's head that went to a smaller one itself is linked to it like any other.
 """
 
 from __future__ import annotations
@@ -105,8 +106,8 @@ def block_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return rows.withColumnRenamed("fp", "u").join(other, ["block", "rest"]).where(near).select("u", "v")
 
 
-def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Distinct fingerprints (fp, own) -> (u, v), u < v: a link of max_bits (3 at most) or fewer for every two values of own between which there is one.
+def group_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """Distinct fingerprints (fp, own) -> (u, v), u < v: the values of own between whose fingerprints there is a link of max_bits (3 at most) or fewer.
 
     With own = fp these are all links.
     """
@@ -114,25 +115,20 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     rows = fps.mapInPandas(_key_rows, "key long, fp long, own long, probe boolean")
     kept = rows.where("NOT probe").select("key", F.col("fp").alias("u"), F.col("own").alias("a"))
     asked = rows.where("probe").select("key", F.col("fp").alias("v"), F.col("own").alias("b"))
-    near = (F.col("a") != F.col("b")) & (F.col("u") != F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits)
-    met = kept.join(asked.hint("merge"), "key").where(near)
-    pairs = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min(F.struct(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).alias("l"))
-    return pairs.select("l.u", "l.v")
+    near = (F.col("a") != F.col("b")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits)
+    return kept.join(asked.hint("merge"), "key").where(near).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
 
 
 def fingerprint_components(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Distinct fingerprints (fp) -> (fp, component): the smallest fingerprint that is reached over links of max_bits or fewer."""
-    first = components(block_links(fps, max_bits))
-    grouped = checkpoint(fps.join(first, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("own")))
+    """Distinct fingerprints (fp) -> (fp, component): the same value for all fingerprints that reach each other over links of max_bits or fewer."""
+    head = block_links(fps, max_bits).groupBy(F.col("v").alias("__fp")).agg(F.min("u").alias("head"))
+    grouped = checkpoint(fps.join(head, F.col("fp") == F.col("__fp"), "left").select("fp", F.coalesce("head", "fp").alias("own")))
     # a fingerprint becomes 56 key rows, so tasks get FINGERPRINTS of them and no more
     dealt = grouped.repartition(max(1, -(-grouped.count() // FINGERPRINTS)), "fp")
-    links = fingerprint_links(dealt, max_bits)
-    of = grouped.select(F.col("fp").alias("__fp"), "own")
-    ends = links.join(of, F.col("u") == F.col("__fp")).select("v", F.col("own").alias("a")).join(of, F.col("v") == F.col("__fp")).select("a", F.col("own").alias("b"))
-    second = components(ends.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    found = components(group_links(dealt, max_bits))
     counts = grouped.groupBy("own").agg(F.count("*").alias("n"))
-    named = checkpoint(counts.join(second, F.col("own") == F.col("node"), "left").select("own", F.coalesce("component", "own").alias("component"), "n"))
-    return join_counted(grouped, named, "own", "n").select("fp", "component")
+    named = counts.join(found, F.col("own") == F.col("node"), "left").select("own", F.coalesce("component", "own").alias("component"), "n")
+    return join_counted(grouped, checkpoint(named), "own", "n").select("fp", "component")
 
 
 def _classified(docs: DataFrame, id_col: str, text_col: str, max_bits: int, with_digest: bool = False) -> DataFrame:
@@ -142,7 +138,7 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, max_bits: int, with
     prints = checkpoint(docs.select(F.col(id_col).alias("id"), fingerprints(F.col(text_col)).alias("fp"), *digest))
     classes = checkpoint(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
     named = checkpoint(classes.join(fingerprint_components(classes.select("fp"), max_bits), "fp"))
-    least = checkpoint(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("m")))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("m"))
     of = checkpoint(join_counted(named, least, "component", "m").select("fp", "component_id", "n"))
     return join_counted(prints, of, "fp", "n")
 
