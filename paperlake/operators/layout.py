@@ -1,4 +1,4 @@
-"""Order-dependent layout operators: sequential inside one page, parallel over pages."""
+"""Order-dependent layout operators: folds inside one page, parallel over pages; tables as grids and their similarity."""
 
 from __future__ import annotations
 
@@ -7,69 +7,99 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def _meets(a, b, gap: float = 0) -> bool:
-    return a.x1 <= b.x2 + gap and b.x1 <= a.x2 + gap and a.y1 <= b.y2 + gap and b.y1 <= a.y2 + gap
+_COLS = ["doc_id", "page", "ord", "type", "content", "x1", "y1", "x2", "y2"]
 
 
-def drop_overlaps(segments: DataFrame) -> DataFrame:
+def _folded(rows: DataFrame, order: list[Column], linked: Column, start: str, step: str, extra: list[Column] = ()) -> DataFrame:
+    """(doc_id, page, state): rows of a page in order, folded into a state by `step` over (s, r), where r.k is a row's number from 1, r.adj the numbers of
+    those before it that `linked` (columns of the row as they are, of the one before with b_) holds for, with `extra` columns of the one before.
+
+    Sequential inside a page, so a page is one row here.
+    """
+    n = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy(*order))
+    a = rows.withColumn("k", n)
+    b = a.select(*[F.col(c).alias("b_" + c) for c in a.columns])
+    on = (F.col("doc_id") == F.col("b_doc_id")) & (F.col("page") == F.col("b_page")) & (F.col("b_k") < F.col("k")) & linked
+    adj = a.join(b, on).groupBy("doc_id", "page", "k").agg(F.array_sort(F.collect_list(F.struct(F.col("b_k").alias("j"), *extra) if extra else F.col("b_k"))).alias("adj"))
+    items = a.select("doc_id", "page", "k", ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).alias("area")).join(adj, ["doc_id", "page", "k"], "left")
+    kind = dict(adj.dtypes)["adj"]
+    page = items.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("k", F.coalesce("adj", F.array().cast(kind)).alias("adj"), "area"))).alias("rows"))
+    return page.select("doc_id", "page", F.expr(f"aggregate(rows, {start}, (s, r) -> {step})").alias("state"))
+
+
+def _overlap() -> Column:
+    return (F.col("x1") < F.col("b_x2")) & (F.col("b_x1") < F.col("x2")) & (F.col("y1") < F.col("b_y2")) & (F.col("b_y1") < F.col("y2"))
+
+
+def _kept(rows: DataFrame, order: list[Column], state: DataFrame) -> DataFrame:
+    n = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy(*order))
+    alive = state.select("doc_id", "page", F.explode("state").alias("k"))
+    return rows.withColumn("k", n).join(alive, ["doc_id", "page", "k"], "left_semi").select(*rows.columns)
+
+
+_INTS = "CAST(array() AS array<int>)"
+
+
+def drop_overlaps(segments: DataFrame, by_type: bool = True) -> DataFrame:
     """(doc_id, page, ord, type, content, box) without rows that overlap one accepted before: images first, then tables, then
-    the rest, by x1. A table goes only if the accepted one has the same content."""
-    cols = ["doc_id", "page", "ord", "type", "content", "x1", "y1", "x2", "y2"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rank = pdf["type"].map({"image_text": 0, "table": 1}).fillna(2)
-        kept: list = []
-        for r in pdf.assign(rank=rank).sort_values(["rank", "x1", "ord"]).itertuples():
-            over = [k for k in kept if r.x1 < k.x2 and k.x1 < r.x2 and r.y1 < k.y2 and k.y1 < r.y2]
-            if not over or (r.type == "table" and all(k.content != r.content for k in over)):
-                kept.append(r)
-        return pd.DataFrame([[getattr(r, c) for c in cols] for r in kept], columns=cols)
-
-    return segments.select(*cols).groupBy("doc_id", "page").applyInPandas(run, "doc_id long, page long, ord long, type string, content string, x1 long, y1 long, x2 long, y2 long")
-
-
-def merge_adjacent(segments: DataFrame, gap: float = 0, length_ratio: float = 1.7) -> DataFrame:
-    """Segments of a page near the first box of a group, of its type or a like length, as one: text by line, box around all."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups: list[list] = []
-        for r in pdf.sort_values(["y1", "x1", "ord"]).itertuples():
-            for g in groups:
-                h = g[0]
-                a, b = sorted((r.x2 - r.x1, h.x2 - h.x1))
-                if (r.type == h.type or b <= length_ratio * a) and _meets(r, h, gap):
-                    g.append(r)
-                    break
-            else:
-                groups.append([r])
-        return pd.DataFrame(
-            [(g[0].doc_id, g[0].page, i, len(g), "\n".join(r.content for r in g), min(r.x1 for r in g), min(r.y1 for r in g), max(r.x2 for r in g), max(r.y2 for r in g)) for i, g in enumerate(groups)],
-            columns=["doc_id", "page", "grp", "n", "content", "x1", "y1", "x2", "y2"])
-
-    return segments.groupBy("doc_id", "page").applyInPandas(run, "doc_id long, page long, grp long, n long, content string, x1 long, y1 long, x2 long, y2 long")
-
-
-def phrases(words: DataFrame, max_space: float = 1.5) -> DataFrame:
-    """(doc_id, page, ord, content, box) of words -> phrases: by x, a word joins the chain whose end is at most max_space
+    the rest, by x1, or in order of ord. A table goes only if an accepted one has the same content."""
+    rank = F.when(F.col("type") == "image_text", 0).when(F.col("type") == "table", 1).otherwise(2)
+    order = [rank, F.col("x1"), F.col("ord")] if by_type else [F.col("ord")]
+    bars = _overlap() & ((F.col("type") != "table") | F.col("content").eqNullSafe(F.col("b_content")))
+    rows = segments.select(*_COLS)
+    return _kept(rows, order, _folded(rows, order, bars, _INTS, "if(arrays_overlap(r.adj, s), s, concat(s, array(r.k)))"))
+
+
+def prefer_larger(segments: DataFrame, max_height: float = 1500) -> DataFrame:
+    """Segments in order, each of which takes the place of those that it overlaps if it is larger than every one of them, and else goes; too high ones go."""
+    rows = segments.select(*_COLS).where(F.col("y2") - F.col("y1") < max_height)
+    order = [F.col("ord")]
+    area = ((F.col("b_x2") - F.col("b_x1")) * (F.col("b_y2") - F.col("b_y1"))).alias("area")
+    step = "transform(array(filter(r.adj, x -> array_contains(s, x.j))), o -> CASE WHEN size(o) = 0 THEN concat(s, array(r.k)) WHEN forall(o, x -> r.area > x.area) THEN concat(array_except(s, transform(o, x -> x.j)), array(r.k)) ELSE s END)[0]"
+    return _kept(rows, order, _folded(rows, order, _overlap(), _INTS, step, [area]))
+
+
+def _grouped(rows: DataFrame, order: list[Column], state: DataFrame, name: str) -> DataFrame:
+    """Rows with the number from 0 of the group that the fold put them into."""
+    n = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy(*order))
+    of = state.select("doc_id", "page", F.posexplode("state").alias("p", name)).withColumn("k", F.col("p") + 1).drop("p")
+    return rows.withColumn("k", n).join(of, ["doc_id", "page", "k"])
+
+
+def merge_adjacent(segments: DataFrame, vertical_gap: float = 0, horizontal_gap: float = 0, length_ratio: float = 1.7) -> DataFrame:
+    """(doc_id, page, grp, type, n, content, box): by y1 and x1, a segment joins the first group with a box of its page that is of its type or long enough
+    (its length at most length_ratio times the box's) and stands next to it within the gaps or overlaps it; tables and images start groups of their own.
+    Texts are joined by line breaks, the box is the one around all, the type the first one's."""
+    rows, order = segments.select(*_COLS), [F.col("y1"), F.col("x1"), F.col("ord")]
+    across = F.greatest("x1", "b_x1") <= F.least("x2", "b_x2")
+    middle = F.abs((F.col("b_x1") + F.col("b_x2")) / 2 - (F.col("x1") + F.col("x2")) / 2) <= 0.5 * (F.col("b_x2") - F.col("b_x1"))
+    upright = (F.abs(F.col("b_y2") - F.col("y1")) <= vertical_gap) & (across | middle)
+    level = (F.abs(F.col("b_x2") - F.col("x1")) <= horizontal_gap) & (F.greatest("y1", "b_y1") <= F.least("y2", "b_y2"))
+    alike = (F.col("type") == F.col("b_type")) | (F.col("x2") - F.col("x1") <= length_ratio * (F.col("b_x2") - F.col("b_x1")))
+    linked = ~F.col("type").isin("table", "image_text") & alike & (upright | level | _overlap())
+    state = _folded(rows, order, linked, _INTS, "concat(s, array(coalesce(array_min(transform(r.adj, j -> s[j - 1])), coalesce(array_max(s) + 1, 0))))")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "content"))), lambda e: e["content"]), "\n")  # a page's group
+    return _grouped(rows, order, state, "grp").groupBy("doc_id", "page", F.col("grp").cast("long").alias("grp")).agg(
+        F.min_by("type", "k").alias("type"), F.count("*").alias("n"), text.alias("content"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
+
+
+def phrases(words: DataFrame, max_space: float = 1.5, diagonal: bool = False) -> DataFrame:
+    """(doc_id, page, phrase, content, box) of words (doc_id, page, ord, content, box): by x (or x + y), a word joins the first chain whose end is at most max_space
     heights to its left and whose band holds its middle line."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        chains: list[list] = []
-        for w in pdf.sort_values(["x1", "y1", "ord"]).itertuples():
-            mid, limit = (w.y1 + w.y2) / 2, max_space * (w.y2 - w.y1)
-            for c in chains:
-                e = c[-1]
-                if 0 < w.x1 - e.x2 <= limit and e.y1 <= mid <= e.y2:
-                    c.append(w)
-                    break
-            else:
-                chains.append([w])
-        return pd.DataFrame(
-            [(c[0].doc_id, c[0].page, i, " ".join(w.content for w in c), min(w.x1 for w in c), min(w.y1 for w in c), max(w.x2 for w in c), max(w.y2 for w in c)) for i, c in enumerate(chains)],
-            columns=["doc_id", "page", "phrase", "content", "x1", "y1", "x2", "y2"])
-
-    return words.groupBy("doc_id", "page").applyInPandas(run, "doc_id long, page long, phrase long, content string, x1 long, y1 long, x2 long, y2 long")
+    rows = words.select("doc_id", "page", "ord", F.lit("word").alias("type"), "content", "x1", "y1", "x2", "y2")
+    order = [F.col("x1") + F.col("y1"), F.col("x1"), F.col("ord")] if diagonal else [F.col("x1"), F.col("y1"), F.col("ord")]
+    gap, mid = F.col("x1") - F.col("b_x2"), (F.col("y1") + F.col("y2")) / 2
+    linked = (gap > 0) & (gap <= max_space * (F.col("y2") - F.col("y1"))) & (F.col("b_y1") <= mid) & (mid <= F.col("b_y2"))
+    # s.ends has the last word of every chain, s.of the chain of every word
+    place = "coalesce(get(filter(transform(s.ends, (e, i) -> if(array_contains(r.adj, e), i, -1)), i -> i >= 0), 0), size(s.ends))"
+    step = f"transform(array({place}), c -> named_struct('ends', if(c = size(s.ends), concat(s.ends, array(r.k)), transform(s.ends, (e, i) -> if(i = c, r.k, e))), 'of', concat(s.of, array(c))))[0]"
+    state = _folded(rows, order, linked, f"named_struct('ends', {_INTS}, 'of', {_INTS})", step).select("doc_id", "page", F.col("state.of").alias("state"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "content"))), lambda e: e["content"]), " ")  # a page's chain
+    return _grouped(rows, order, state, "phrase").groupBy("doc_id", "page", F.col("phrase").cast("long").alias("phrase")).agg(
+        text.alias("content"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
 
 
 def lcs_similarity(a, b) -> float:

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from paperlake.functions import text as T
-from paperlake.operators import anchors, chunks, evaluate, index, layout, ocr, qna, reader, regions, search, segments
+from paperlake.operators import anchors, chunks, dispatch, evaluate, index, layout, ocr, qna, reader, regions, requests, search, segments
 from paperlake.plans import oracles
 from paperlake.sources.shared import shared_dir
 
@@ -693,18 +693,113 @@ def piece_counts(spark, d):
     return _t(spark, d, "documents").select("doc_id", ocr.approximate_tokens(F.col("text")).cast("long").alias("pieces"))
 
 
+def _generated(spark, d) -> DataFrame:
+    """Documents as files of three kinds by id, through generators of lines, of tables and of text."""
+    kinds = F.element_at(F.array(F.lit(".pdf"), F.lit(".TXT"), F.lit(".png")), (F.col("doc_id") % 3 + 1).cast("int"))
+    docs = _t(spark, d, "documents").select("doc_id", kinds.alias("extension"))
+    s = _layout(spark, d)
+    def of(where: str):
+        return lambda x: s.where(where).join(x.select("doc_id"), "doc_id", "left_semi")
+    steps = [{"enabled": True, "input_file_type": "pdf", "text_provider": "pdf_tokens"}, {"enabled": True, "input_file_type": "pdf", "text_provider": "table_contents"},
+             {"enabled": True, "input_file_type": "image", "text_provider": "azure"}, {"enabled": False, "input_file_type": "json"}, {"enabled": True, "input_file_type": "txt"}]
+    return dispatch.generate(docs, steps, {"native_pdf": of("ord % 2 = 0"), "pdf_table_extraction": of("type = 'table' OR ord % 4 = 0"), "ocr_based": of("true"), "text": of("true")})
+
+
+def generated_segments(spark, d):
+    return _generated(spark, d).select("doc_id", "page", "ord", "technique", "type")
+
+
+def consolidated_segments(spark, d):
+    return dispatch.consolidate(_generated(spark, d)).select("doc_id", "page", "type", "content", "x1", "y1")
+
+
+def classified_segments(spark, d):
+    s = _layout(spark, d)
+    return dispatch.classify(s, _dims(s), {"header": {"manual": {"enabled": True, "share": 0.2}}, "footer": {"manual": {"enabled": True, "share": 0.15}}}).select("doc_id", "page", "ord", "role")
+
+
+def sequence_zigzag_dynamic(spark, d):
+    return dispatch.zigzag_dynamic(_layout(spark, d)).select("doc_id", "page", "ord", "sequence")
+
+
+def sequence_by_layout(spark, d):
+    s = _layout(spark, d)
+    return dispatch.sequence_by_layout(s, segments.column_islands(s), {"single-column": {"left-right": {"enabled": True}}}).select("doc_id", "page", "ord", "layout", "sequence")
+
+
+def configured_chunks(spark, d):
+    config = {"exclude": ["image_text"], "replace": [{"find": "the", "replace": "THE"}], "delimiter": ";", "methods": {"page": {"enabled": True}, "segment": {"enabled": True}, "page_character": {"enabled": False}, "page_and_segment_type": {"enabled": True, "together": False}}}
+    return dispatch.make_chunks(_layout(spark, d), config)
+
+
+def updated_rows(spark, d):
+    s = _layout(spark, d).select("doc_id", "page", "ord", F.struct("type", "content").alias("data"), "x1", "y1", "x2", "y2")
+    out = dispatch.update_documents(s, [{"boxes": ""}, {"rename": "ord", "to": "number"}, {"set": "data.type", "value": "any"}, {"set": "source", "value": "layout"}])
+    return out.select("doc_id", "page", "number", F.col("data.type").alias("type"), "x", "y", "w", "h", "source")
+
+
+def scaled_boxes(spark, d):
+    pages = _layout(spark, d).select("doc_id", "page").distinct().where("page < 3").selectExpr("doc_id", "page", "1200 AS width", "820 AS height", "2400 AS image_width", "1025 AS image_height")
+    return dispatch.scale_to_image(_layout(spark, d), pages).select("doc_id", "page", "ord", "x1", "y1", "x2", "y2")
+
+
+def planned_requests(spark, d):
+    p = _t(spark, d, "pages")
+    listed = p.unionByName(p).select(F.col("url").alias("path"), F.element_at(F.split("url", "/"), -1).alias("filename"), F.lit("html").alias("extension"), F.md5("url").alias("claim"))
+    return requests.plan_requests(listed, "G-1", "/work", requests.mode({"inference": {"enabled": False}, "evaluation": {"enabled": True}, "report": {"enabled": True}}))
+
+
+def request_rounds(spark, d):
+    """Two rounds of requests over the same files, the first of which is closed: (round, state, requests)."""
+    root = _root(spark)
+    p = _t(spark, d, "pages")
+    listed = p.select(F.col("url").alias("path"), F.element_at(F.split("url", "/"), -1).alias("filename"), F.lit("html").alias("extension"), F.md5("url").alias("claim"))
+    counts = [requests.create_requests(spark, listed.where(part), root, g, "/work", {"inference": {"enabled": True}}).count() for g, part in (("G-1", "claim < '8'"), ("G-2", "true"), ("G-3", "true"))]
+    taken = requests.take_group(spark, root)
+    requests.close_group(spark, root, "G-1", taken.select("document_id", "path"), f"{root}/out")
+    again = requests.create_requests(spark, listed, root, "G-4", "/work", {"inference": {"enabled": True}}).count()
+    saved = spark.read.text(f"{root}/out/G-1").count()
+    n = spark.createDataFrame([("G-1", counts[0]), ("G-2", counts[1]), ("G-4", again)], "group_id string, requests long")
+    return requests.states(spark, root).join(n, "group_id").withColumn("saved", F.when(F.col("state") == "closed", F.lit(saved).cast("long")))
+
+
+def filled_metadata(spark, d):
+    docs = _t(spark, d, "pages").select("page_id", F.col("url").alias("path"), F.when(F.col("page_id") % 2 == 0, F.lit("given")).alias("title"))
+    return requests.with_metadata(docs).select("page_id", "filename", "filetype", "title")
+
+
 def overlap_dedup(spark, d):
     s = _layout(spark, d).withColumn("y2", F.col("y2") + (F.col("ord") % 3) * 10)
-    return layout.drop_overlaps(s).select("doc_id", "page", "ord")
+    return layout.drop_overlaps(s)
+
+
+def overlap_dedup_in_order(spark, d):
+    s = _layout(spark, d).withColumn("y2", F.col("y2") + (F.col("ord") % 3) * 10)
+    return layout.drop_overlaps(s, by_type=False).select("doc_id", "page", "ord")
+
+
+def larger_segments(spark, d):
+    s = _layout(spark, d).withColumn("y2", F.col("y2") + (F.col("ord") % 3) * 10)
+    return layout.prefer_larger(s).select("doc_id", "page", "ord")
 
 
 def adjacent_merge(spark, d):
-    return layout.merge_adjacent(_layout(spark, d), 12).drop("content")
+    return layout.merge_adjacent(_layout(spark, d), 12, 30)
+
+
+def _words(spark, d) -> DataFrame:
+    """Two rows of twenty words a page, some of them narrow, some a little lower."""
+    return _layout(spark, d).selectExpr("doc_id", "page", "ord", "content", "60 * (ord % 20) AS x1", "50 * ((ord div 20) % 2) + ord % 3 * 6 AS y1", "60 * (ord % 20) + if(ord % 5 = 0, 5, 50) AS x2", "50 * ((ord div 20) % 2) + ord % 3 * 6 + 30 AS y2")
 
 
 def phrase_build(spark, d):
-    w = _layout(spark, d).selectExpr("doc_id", "page", "ord", "substr(content, 1, 12) AS content", "x1 + (ord % 40) * 7 AS x1", "y1", "x1 + (ord % 40) * 7 + 60 AS x2", "y2")
-    return layout.phrases(w).drop("content")
+    w = _words(spark, d)
+    return layout.phrases(w)
+
+
+def phrase_build_diagonal(spark, d):
+    w = _words(spark, d)
+    return layout.phrases(w, diagonal=True)
 
 
 def character_chunks(spark, d):
@@ -723,8 +818,8 @@ _ALL = [
     context_lists, prompt_fill, llm_scores, qna_blocks, qna_numbering, batch_report, graph_nodes_edges, request_filter, region_tokens, outside_tokens, nearest_right, nearest_below,
     anchor_regions, region_subtraction, ocr_azure_read, ocr_azure_regions, ocr_aws_blocks, ocr_pdf_tokens, ocr_hocr, word_links, word_cells, picked_cells, table_header_names, y_clusters, word_lines, distinct_segments, sized_boxes,
     reader_answers, picked_lists, moderated_answers, hashed_embeddings, rewritten_queries, reader_inputs, zipped_answers, page_margins, first_majorities, document_metadata, generated_questions, generated_scores, overlap_scores, score_means,
-    numbered_answers, context_answers, evaluation_dataset, piece_counts, anchor_similarity, anchor_pattern, one_anchor_boxes, two_anchor_boxes, attribute_values, nearest_hops, nearest_fields,
-    overlap_dedup, adjacent_merge, phrase_build, character_chunks, greedy_match, grid_scores,
+    numbered_answers, context_answers, evaluation_dataset, piece_counts, generated_segments, consolidated_segments, classified_segments, sequence_zigzag_dynamic, sequence_by_layout, configured_chunks, updated_rows, scaled_boxes, planned_requests, request_rounds, filled_metadata, anchor_similarity, anchor_pattern, one_anchor_boxes, two_anchor_boxes, attribute_values, nearest_hops, nearest_fields,
+    overlap_dedup, overlap_dedup_in_order, larger_segments, adjacent_merge, phrase_build, phrase_build_diagonal, character_chunks, greedy_match, grid_scores,
 ]
 
 

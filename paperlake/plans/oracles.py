@@ -130,6 +130,39 @@ def _two_anchors(p: str, first: str, second: str) -> str:
  (CASE WHEN page = m.page THEN greatest(x1, m.x) ELSE 1200 END)::DOUBLE AS x2, (CASE WHEN page = m.page THEN greatest(y1, m.y) WHEN pg = m.page THEN m.y ELSE 820 END)::DOUBLE AS y2 FROM {p}_r)"""
 
 
+_TALL = _LAY + ", tall AS (SELECT doc_id, page, ord, type, content, x1, y1, x2, y2 + (ord % 3) * 10 AS y2 FROM lay)"
+_WORDS = _LAY + ", wide AS (SELECT doc_id, page, ord, type, content, 60 * (ord % 20) AS x1, 50 * ((ord // 20) % 2) + ord % 3 * 6 AS y1, 60 * (ord % 20) + CASE WHEN ord % 5 = 0 THEN 5 ELSE 50 END AS x2, 50 * ((ord // 20) % 2) + ord % 3 * 6 + 30 AS y2 FROM lay)"
+_OVER = "a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2"
+
+
+def _fold(source: str, table: str, order: str, linked: str, start: str, step: str, more: str = "") -> str:
+    """Rows of a page in order, folded by recursion: state s, row k with adj, those before it that are linked."""
+    return f"""WITH RECURSIVE {source}, it AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY {order}) AS k FROM {table}),
+ad AS MATERIALIZED (SELECT a.doc_id, a.page, a.k, any_value((a.x2 - a.x1) * (a.y2 - a.y1)) AS area, coalesce(list({{'j': b.k, 'area': (b.x2 - b.x1) * (b.y2 - b.y1)}} ORDER BY b.k) FILTER (b.k IS NOT NULL), []) AS adj
+ FROM it a LEFT JOIN it b ON a.doc_id = b.doc_id AND a.page = b.page AND b.k < a.k AND {linked} GROUP BY a.doc_id, a.page, a.k),
+f AS (SELECT doc_id, page, 0::BIGINT AS k, {start} AS s FROM (SELECT DISTINCT doc_id, page FROM it) UNION ALL SELECT f.doc_id, f.page, ad.k, {step} FROM f JOIN ad ON ad.doc_id = f.doc_id AND ad.page = f.page AND ad.k = f.k + 1),
+z AS (SELECT doc_id, page, arg_max(s, k) AS s FROM f GROUP BY doc_id, page){more}"""
+
+
+_NONE = "CAST([] AS BIGINT[])"
+_ACCEPT = "CASE WHEN list_has_any(list_transform(ad.adj, lambda x: x.j), f.s) THEN f.s ELSE list_append(f.s, ad.k) END"
+_ALIVE = "list_filter(ad.adj, lambda x: list_contains(f.s, x.j))"
+_LARGER = f"CASE WHEN len({_ALIVE}) = 0 THEN list_append(f.s, ad.k) WHEN ad.area > list_max(list_transform({_ALIVE}, lambda x: x.area)) THEN list_append(list_filter(f.s, lambda y: NOT list_contains(list_transform({_ALIVE}, lambda x: x.j), y)), ad.k) ELSE f.s END"
+_KEPT = "SELECT {c} FROM it JOIN z USING (doc_id, page) WHERE list_contains(z.s, it.k)"
+_JOINS = "list_append(f.s, coalesce(list_min(list_transform(ad.adj, lambda x: f.s[x.j])), list_max(f.s) + 1, 0))"
+_NEXT = """a.type NOT IN ('table', 'image_text') AND (a.type = b.type OR a.x2 - a.x1 <= 1.7::DOUBLE * (b.x2 - b.x1)) AND ((abs(b.y2 - a.y1) <= 12 AND (greatest(a.x1, b.x1) <= least(a.x2, b.x2)
+ OR abs((b.x1 + b.x2) / 2 - (a.x1 + a.x2) / 2) <= 0.5::DOUBLE * (b.x2 - b.x1))) OR (abs(b.x2 - a.x1) <= 30 AND greatest(a.y1, b.y1) <= least(a.y2, b.y2)) OR (""" + _OVER + "))"
+_CHAIN = "a.x1 - b.x2 > 0 AND a.x1 - b.x2 <= 1.5::DOUBLE * (a.y2 - a.y1) AND b.y1 <= (a.y1 + a.y2) / 2 AND (a.y1 + a.y2) / 2 <= b.y2"
+_PLACE = "coalesce(list_min(list_filter(list_transform(range(1, len(f.s.ends) + 1), lambda i: CASE WHEN list_contains(list_transform(ad.adj, lambda x: x.j), f.s.ends[i]) THEN i END), lambda i: i IS NOT NULL)), len(f.s.ends) + 1)"
+_LINK = f"{{'ends': CASE WHEN {_PLACE} > len(f.s.ends) THEN list_append(f.s.ends, ad.k) ELSE list_transform(range(1, len(f.s.ends) + 1), lambda i: CASE WHEN i = {_PLACE} THEN ad.k ELSE f.s.ends[i] END) END, 'chain': list_append(f.s.chain, {_PLACE} - 1)}}"
+_PHRASES = " SELECT doc_id, page, z.s.chain[it.k] AS phrase, string_agg(content, ' ' ORDER BY it.k) AS content, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM it JOIN z USING (doc_id, page) GROUP BY ALL"
+
+
+_GEN = _LAY + """, gen AS (SELECT *, 'native_pdf' AS technique FROM lay WHERE doc_id % 3 = 0 AND ord % 2 = 0 UNION ALL SELECT *, 'pdf_table_extraction' FROM lay WHERE doc_id % 3 = 0 AND (type = 'table' OR ord % 4 = 0)
+ UNION ALL SELECT *, 'text' FROM lay WHERE doc_id % 3 = 1 UNION ALL SELECT *, 'ocr_based' FROM lay WHERE doc_id % 3 = 2)"""
+_REST = _GEN + ", rest AS (SELECT * REPLACE (row_number() OVER (PARTITION BY doc_id, page ORDER BY technique, ord) AS ord) FROM gen WHERE technique <> 'text')"
+
+
 def _share(x: str, y: str) -> str:
     return f"CASE WHEN len({y}) > 0 THEN round(len(list_intersect({x}, {y})) / len({y}), 6) ELSE 0 END"
 
@@ -334,6 +367,34 @@ SELECT *, CASE WHEN answer_precision + answer_recall > 0 THEN round(2 * answer_p
     "context_answers": "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY i) - 1 AS pos, 'c' || i AS sub_context, 't' || (i % 2) AS type, 'q' || i AS question, 'a' || i AS answer FROM (SELECT conv_id, unnest(range(max(turn) + 1)) AS i FROM conversations GROUP BY conv_id) WHERE i % 4 <> 3",
     "evaluation_dataset": """SELECT text AS question, text || '|x' AS contexts, CASE WHEN item_id % 2 = 0 THEN 't' END AS ground_truth, CAST(NULL AS VARCHAR) AS answer, '{"extra":"' || item_id || '"}' AS additional_data FROM benchmark""",
     "piece_counts": r"SELECT doc_id, len(list_filter(regexp_split_to_array(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'), '\s+'), lambda x: x <> ''))::BIGINT AS pieces FROM documents",
+    "overlap_dedup": _fold(_TALL, "tall", "CASE type WHEN 'image_text' THEN 0 WHEN 'table' THEN 1 ELSE 2 END, x1, ord", _OVER + " AND (a.type <> 'table' OR a.content = b.content)", _NONE, _ACCEPT) + " " + _KEPT.format(c="doc_id, page, ord, type, content, x1, y1, x2, y2"),
+    "overlap_dedup_in_order": _fold(_TALL, "tall", "ord", _OVER + " AND (a.type <> 'table' OR a.content = b.content)", _NONE, _ACCEPT) + " " + _KEPT.format(c="doc_id, page, ord"),
+    "larger_segments": _fold(_TALL, "tall", "ord", _OVER, _NONE, _LARGER) + " " + _KEPT.format(c="doc_id, page, ord"),
+    "adjacent_merge": _fold(_LAY, "lay", "y1, x1, ord", _NEXT, _NONE, _JOINS) + " SELECT doc_id, page, z.s[it.k] AS grp, arg_min(type, it.k) AS type, count(*) AS n, string_agg(content, chr(10) ORDER BY it.k) AS content, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM it JOIN z USING (doc_id, page) GROUP BY ALL",
+    "phrase_build": _fold(_WORDS, "wide", "x1, y1, ord", _CHAIN, f"{{'ends': {_NONE}, 'chain': {_NONE}}}", _LINK) + _PHRASES,
+    "phrase_build_diagonal": _fold(_WORDS, "wide", "x1 + y1, x1, ord", _CHAIN, f"{{'ends': {_NONE}, 'chain': {_NONE}}}", _LINK) + _PHRASES,
+    "generated_segments": f"WITH {_GEN} SELECT doc_id, page, ord, technique, type FROM gen",
+    "consolidated_segments": _fold(_REST, "rest", "CASE type WHEN 'image_text' THEN 0 WHEN 'table' THEN 1 ELSE 2 END, x1, ord", _OVER + " AND (a.type <> 'table' OR a.content = b.content)", _NONE, _ACCEPT)
+    + r" SELECT doc_id, page, type, content, x1, y1 FROM gen WHERE technique = 'text' UNION ALL SELECT doc_id, page, type, content, x1, y1 FROM it JOIN z USING (doc_id, page) WHERE list_contains(z.s, it.k) AND regexp_matches(content, '[\p{L}\p{N}]')",
+    "classified_segments": f"WITH {_LAY}, {_DIMS} SELECT doc_id, page, ord, CASE WHEN y2 <= height * 0.2::DOUBLE THEN 'header' WHEN y1 >= height * 0.85::DOUBLE THEN 'footer' ELSE 'body' END AS role FROM lay JOIN dims USING (doc_id, page)",
+    "sequence_zigzag_dynamic": f"""WITH {_LAY}, j AS (SELECT *, CASE WHEN x1 >= 1.05::DOUBLE * lag(x1) OVER (PARTITION BY doc_id, page ORDER BY x1, y1, ord) THEN 1 ELSE 0 END AS j FROM lay),
+g AS (SELECT *, sum(j) OVER (PARTITION BY doc_id, page ORDER BY x1, y1, ord ROWS UNBOUNDED PRECEDING) AS g FROM j) SELECT doc_id, page, ord, row_number() OVER (PARTITION BY doc_id, page ORDER BY g, y1, x1, ord) AS sequence FROM g""",
+    "sequence_by_layout": f"""WITH {_LAY}, n AS (SELECT *, CASE WHEN coalesce(x1 > max(x2) OVER (PARTITION BY doc_id, page ORDER BY x1, y1, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) THEN 1 ELSE 0 END AS new,
+ CASE WHEN x1 - lag(x1) OVER (PARTITION BY doc_id, page ORDER BY x1, y1, ord) > 50 THEN 1 ELSE 0 END AS jump FROM lay),
+s AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page) > 1 AS multi, sum(jump) OVER (PARTITION BY doc_id, page ORDER BY x1, y1, ord ROWS UNBOUNDED PRECEDING) AS sub FROM n)
+SELECT doc_id, page, ord, CASE WHEN multi THEN 'multi-column' ELSE 'single-column' END AS layout, row_number() OVER (PARTITION BY doc_id, page ORDER BY CASE WHEN multi THEN sub ELSE 0 END, y1, x1, ord) AS sequence FROM s""",
+    "configured_chunks": rf"""WITH {_LAY}, s AS (SELECT * REPLACE (replace(regexp_replace(content, '^\s+|\s+$', '', 'g'), 'the', 'THE') || ';' AS content) FROM lay WHERE type <> 'image_text'),
+c AS (SELECT doc_id, page, 'page' AS method, page::VARCHAR AS chunk_key, {_JOIN} AS content FROM s GROUP BY doc_id, page UNION ALL SELECT doc_id, page, 'segment', page || '_segment_' || ord, content FROM s
+ UNION ALL SELECT doc_id, page, 'page_and_segment_type', page || '_text', {_JOIN} FROM s WHERE type = 'text' GROUP BY doc_id, page
+ UNION ALL SELECT doc_id, page, 'page_and_segment_type', page || '_' || type || '_' || row_number() OVER (PARTITION BY doc_id, page, type ORDER BY ord), content FROM s WHERE type = 'table')
+SELECT *, length(content)::BIGINT AS char_count FROM c""",
+    "updated_rows": f"WITH {_LAY} SELECT doc_id, page, ord AS number, 'any' AS type, x1 AS x, y1 AS y, x2 - x1 AS w, y2 - y1 AS h, 'layout' AS source FROM lay",
+    "scaled_boxes": f"WITH {_LAY} SELECT doc_id, page, ord, {', '.join(f'round({c} * CASE WHEN page < 3 THEN {k}::DOUBLE ELSE 1 END, 6) AS {c}' for c, k in (('x1', 2), ('y1', 1.25), ('x2', 2), ('y2', 1.25)))} FROM lay",
+    "planned_requests": """SELECT DISTINCT md5(url) AS claim, 'G-1' AS group_id, 'D-' || substr(sha1(url), 1, 10) AS document_id, url AS path, split_part(url, '/', -1) AS filename, 'html' AS extension,
+ '/work/D-' || substr(sha1(url), 1, 10) || '/input/' || split_part(url, '/', -1) AS work_path, 'evaluation' AS mode FROM pages""",
+    "request_rounds": """WITH p AS (SELECT DISTINCT md5(url) AS c FROM pages), n AS (SELECT count(*) AS a, count_if(c < '8')::BIGINT AS b FROM p)
+SELECT 'G-1' AS group_id, 'closed' AS state, b AS requests, b AS saved FROM n UNION ALL SELECT 'G-2', 'pending', a - b, NULL FROM n UNION ALL SELECT 'G-4', 'pending', b, NULL FROM n""",
+    "filled_metadata": r"""SELECT page_id, split_part(url, '/', -1) AS filename, lower(regexp_extract(split_part(url, '/', -1), '\.([^.]+)$', 1)) AS filetype, CASE WHEN page_id % 2 = 0 THEN 'given' ELSE regexp_replace(split_part(url, '/', -1), '\.[^.]*$', '') END AS title FROM pages""",
     "region_tokens": f"WITH {_LAY}, {_REG} SELECT region_id, t.doc_id, t.page, t.ord FROM lay t JOIN reg r ON t.doc_id = r.doc_id AND t.page = r.page AND x1 >= rx1 AND y1 >= ry1 AND x2 <= rx2 AND y2 <= ry2",
     "outside_tokens": f"WITH {_LAY}, {_REG} SELECT doc_id, page, ord FROM lay t WHERE NOT EXISTS (SELECT 1 FROM reg r WHERE t.doc_id = r.doc_id AND t.page = r.page AND ((x1 >= rx1 AND y1 >= ry1 AND x2 <= rx2 AND y2 <= ry2) OR (rx1 >= x1 AND ry1 >= y1 AND rx2 <= x2 AND ry2 <= y2)))",
     "nearest_right": _near("b.x1 - a.x2", "least(a.y2, b.y2) - greatest(a.y1, b.y1)", "(a.y2 - a.y1) * 0.5::DOUBLE"),
