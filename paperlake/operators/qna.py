@@ -85,3 +85,42 @@ def graph_statements(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def report_paths(rows: DataFrame, json_col: str, mapping: dict[str, str]) -> DataFrame:
     """One column for each JSON path of the mapping, null where a row lacks it."""
     return rows.select(*[c for c in rows.columns if c != json_col], *[F.get_json_object(json_col, p).alias(n) for n, p in mapping.items()])
+
+
+def run_statements(statements: DataFrame, execute: Callable[[str], None]) -> DataFrame:
+    """(key, statement) -> (key, error): each statement through an executor of the partition it is in; error is null where it went through."""
+    def run(batches):
+        for pdf in batches:
+            errors = []
+            for s in pdf["statement"]:
+                try:
+                    execute(s)
+                    errors.append(None)
+                except Exception as e:  # what fails is reported by key, and the rest goes on
+                    errors.append(str(e))
+            yield pd.DataFrame({"key": pdf["key"], "error": errors})
+
+    return statements.select("key", "statement").mapInPandas(run, "key string, error string")
+
+
+def update_paths(rows: DataFrame, json_col: str, values: dict[str, Column]) -> DataFrame:
+    """Rows whose JSON has the values at top-level keys or `a.b` paths of objects; what is there else stays. Text that is no object becomes one."""
+    tree: dict = {}
+    for path, v in values.items():
+        head, _, rest = path.partition(".")
+        tree.setdefault(head, {})[rest] = v
+
+    def merged(text: Column, level: dict) -> Column:
+        have = F.coalesce(F.from_json(text, "map<string,string>"), F.create_map().cast("map<string,string>"))
+        fresh = []
+        for head, below in level.items():
+            inner = F.get_json_object(text, f"$.{head}")
+            value = F.to_json(F.struct(below[""].alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(below[""].alias("v")))) - 6) if "" in below else merged(inner, {k: {"": v} for k, v in below.items()})
+            fresh += [F.lit(head), value]
+        kept = F.map_filter(have, lambda k, v: ~k.isin(*level))
+        raw = F.transform(F.map_keys(kept), lambda k: F.struct(k.alias("k"), F.regexp_replace(F.to_json(F.create_map(k, F.element_at(kept, k))), r"^\{", "").alias("t")))
+        old = F.transform(raw, lambda e: F.substring(e["t"], F.lit(1), F.length(e["t"]) - 1))
+        new = F.array(*[F.concat(F.to_json(F.array(fresh[i])).substr(F.lit(2), F.length(F.to_json(F.array(fresh[i]))) - 2), F.lit(":"), fresh[i + 1]) for i in range(0, len(fresh), 2)])
+        return F.concat(F.lit("{"), F.array_join(F.concat(old, new), ","), F.lit("}"))
+
+    return rows.withColumn(json_col, merged(F.col(json_col), tree))

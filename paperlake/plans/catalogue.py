@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from paperlake.functions import text as T
-from paperlake.operators import anchors, chunks, dispatch, evaluate, index, layout, ocr, qna, reader, regions, requests, search, segments
+from paperlake.operators import anchors, chunks, dispatch, evaluate, index, layout, ocr, providers, qna, reader, regions, requests, search, segments
 from paperlake.plans import oracles
 from paperlake.sources.shared import shared_dir
 
@@ -768,6 +768,65 @@ def filled_metadata(spark, d):
     return requests.with_metadata(docs).select("page_id", "filename", "filetype", "title")
 
 
+def recognised_tokens(spark, d):
+    """Conversation turns typed as pages, through the stand-in engine and the parser of its format."""
+    pages = _t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), F.col("text").alias("image"))
+    return providers.recognise(pages, "image")
+
+
+def converted_pages(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", F.regexp_replace("text", "\n", "\f").alias("content"))
+    return providers.convert_pages(docs, "content").select("doc_id", "page", "text")
+
+
+def _images(spark, d) -> DataFrame:
+    """Embeddings as images of rows of eight grey values."""
+    grey = F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 600))
+    rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice(grey, i * 8 + 1, 8))
+    return _t(spark, d, "embeddings").select(F.col("vec_id").alias("image"), rows.alias("pixels"))
+
+
+def mark_states(spark, d):
+    boxes = _t(spark, d, "embeddings").select(F.col("vec_id").alias("image"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("box_id")).selectExpr(
+        "image", "CAST(box_id AS bigint) AS box_id", "4 * (box_id % 2) AS x1", "4 * (box_id div 2) AS y1", "4 * (box_id % 2) + 4 AS x2", "4 * (box_id div 2) + 4 AS y2")
+    return providers.box_states(_images(spark, d), boxes)
+
+
+def detected_tables(spark, d):
+    return providers.detect_tables(_images(spark, d).withColumn("pixels", F.transform("pixels", lambda r: F.transform(r, lambda v: v * 4))), "pixels")
+
+
+def key_values(spark, d):
+    t = _tokens(spark, d).withColumn("text", F.concat(F.lit("w"), (F.col("ord") % 7).cast("string")))
+    return providers.field_values(t, {"three": "w3", "five": "w5"})
+
+
+def ruled_table_cells(spark, d):
+    s = _layout(spark, d)
+    lines = s.select("doc_id", "page", F.lit(False).alias("upright"), F.col("y1").cast("double").alias("at")).unionByName(s.select("doc_id", "page", F.lit(True).alias("upright"), (F.col("x1") + F.col("ord") % 3).cast("double").alias("at")))
+    return providers.ruled_cells(lines.distinct(), 5)
+
+
+def unruled_table_cells(spark, d):
+    return providers.unruled_cells(_layout(spark, d))
+
+
+def aggregated_detections(spark, d):
+    files_ = _t(spark, d, "part").select(F.to_json(F.struct(F.concat_ws("/", "p_brand", "p_type", "p_name").alias("image"), F.lit("m").alias("model_name"), F.array(F.array(F.lit(0.0), F.lit(1.0), F.col("p_size").cast("double"), F.lit(9.0)), F.array(F.lit(1.0), F.lit(1.0), F.lit(2.0), F.lit(2.0))).alias("bboxes"), F.array(F.lit(0.5), F.lit(0.25)).alias("confidences"))).alias("value"))
+    return providers.aggregate_detections(files_)
+
+
+def event_dates(spark, d):
+    millis = F.unix_millis(F.col("ts").cast("timestamp"))
+    return _events(spark, d).select("event_id", providers.file_date(millis).alias("stamp"), providers.file_date(millis, "yyyyMMdd").alias("day"))
+
+
+def updated_json(spark, d):
+    rows = _t(spark, d, "orders").select("o_orderkey", F.to_json(F.struct(F.col("o_orderstatus").alias("status"), F.struct(F.col("o_custkey").alias("key"), F.lit("x").alias("note")).alias("meta"))).alias("j"))
+    out = qna.update_paths(rows, "j", {"status": F.lit("new"), "meta.note": F.col("o_orderkey"), "added": F.lit(True)})
+    return qna.report_paths(out, "j", {"status": "$.status", "key": "$.meta.key", "note": "$.meta.note", "added": "$.added"})
+
+
 def overlap_dedup(spark, d):
     s = _layout(spark, d).withColumn("y2", F.col("y2") + (F.col("ord") % 3) * 10)
     return layout.drop_overlaps(s)
@@ -818,7 +877,7 @@ _ALL = [
     context_lists, prompt_fill, llm_scores, qna_blocks, qna_numbering, batch_report, graph_nodes_edges, request_filter, region_tokens, outside_tokens, nearest_right, nearest_below,
     anchor_regions, region_subtraction, ocr_azure_read, ocr_azure_regions, ocr_aws_blocks, ocr_pdf_tokens, ocr_hocr, word_links, word_cells, picked_cells, table_header_names, y_clusters, word_lines, distinct_segments, sized_boxes,
     reader_answers, picked_lists, moderated_answers, hashed_embeddings, rewritten_queries, reader_inputs, zipped_answers, page_margins, first_majorities, document_metadata, generated_questions, generated_scores, overlap_scores, score_means,
-    numbered_answers, context_answers, evaluation_dataset, piece_counts, generated_segments, consolidated_segments, classified_segments, sequence_zigzag_dynamic, sequence_by_layout, configured_chunks, updated_rows, scaled_boxes, planned_requests, request_rounds, filled_metadata, anchor_similarity, anchor_pattern, one_anchor_boxes, two_anchor_boxes, attribute_values, nearest_hops, nearest_fields,
+    numbered_answers, context_answers, evaluation_dataset, piece_counts, generated_segments, consolidated_segments, classified_segments, sequence_zigzag_dynamic, sequence_by_layout, configured_chunks, updated_rows, scaled_boxes, planned_requests, request_rounds, filled_metadata, recognised_tokens, converted_pages, mark_states, detected_tables, key_values, ruled_table_cells, unruled_table_cells, aggregated_detections, event_dates, updated_json, anchor_similarity, anchor_pattern, one_anchor_boxes, two_anchor_boxes, attribute_values, nearest_hops, nearest_fields,
     overlap_dedup, overlap_dedup_in_order, larger_segments, adjacent_merge, phrase_build, phrase_build_diagonal, character_chunks, greedy_match, grid_scores,
 ]
 

@@ -163,6 +163,11 @@ _GEN = _LAY + """, gen AS (SELECT *, 'native_pdf' AS technique FROM lay WHERE do
 _REST = _GEN + ", rest AS (SELECT * REPLACE (row_number() OVER (PARTITION BY doc_id, page ORDER BY technique, ord) AS ord) FROM gen WHERE technique <> 'text')"
 
 
+#: Embeddings as eight rows of eight grey values.
+_PIX = """pix AS (SELECT vec_id AS image, list_transform(embedding, lambda x: floor(abs(x::DOUBLE) * 600)) AS g FROM embeddings),
+px AS (SELECT image, i // 8 AS y, i % 8 AS x, g[i + 1] AS v FROM (SELECT image, g, unnest(range(64)) AS i FROM pix))"""
+
+
 def _share(x: str, y: str) -> str:
     return f"CASE WHEN len({y}) > 0 THEN round(len(list_intersect({x}, {y})) / len({y}), 6) ELSE 0 END"
 
@@ -395,6 +400,31 @@ SELECT *, length(content)::BIGINT AS char_count FROM c""",
     "request_rounds": """WITH p AS (SELECT DISTINCT md5(url) AS c FROM pages), n AS (SELECT count(*) AS a, count_if(c < '8')::BIGINT AS b FROM p)
 SELECT 'G-1' AS group_id, 'closed' AS state, b AS requests, b AS saved FROM n UNION ALL SELECT 'G-2', 'pending', a - b, NULL FROM n UNION ALL SELECT 'G-4', 'pending', b, NULL FROM n""",
     "filled_metadata": r"""SELECT page_id, split_part(url, '/', -1) AS filename, lower(regexp_extract(split_part(url, '/', -1), '\.([^.]+)$', 1)) AS filetype, CASE WHEN page_id % 2 = 0 THEN 'given' ELSE regexp_replace(split_part(url, '/', -1), '\.[^.]*$', '') END AS title FROM pages""",
+    "recognised_tokens": """WITH l AS (SELECT doc_id, page, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS r FROM (SELECT conv_id AS doc_id, turn AS page, string_split(text, chr(10)) AS l FROM conversations)),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY r) - 1 AS ord FROM l WHERE trim(line, ' ') <> ''),
+p AS (SELECT doc_id, page, r, unnest(w) AS w, generate_subscripts(w, 1) AS i, w AS ws FROM (SELECT *, string_split(line, ' ') AS w FROM k)),
+x AS (SELECT *, coalesce(list_sum(list_transform(ws[1:i - 1], lambda y: length(y) + 1)), 0) AS a FROM p)
+SELECT doc_id, page, 'line' AS kind, ord, trim(line, ' ') AS text, 0.0::DOUBLE AS x, (r * 16)::DOUBLE AS y, (length(line) * 8)::DOUBLE AS w, 16.0::DOUBLE AS h, -1.0::DOUBLE AS conf FROM k
+UNION ALL SELECT doc_id, page, 'word', row_number() OVER (PARTITION BY doc_id, page ORDER BY r, i) - 1, w, a * 8, r * 16, length(w) * 8, 16, 100 FROM x WHERE w <> ''""",
+    "converted_pages": "SELECT doc_id, generate_subscripts(l, 1)::BIGINT AS page, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)",
+    "mark_states": f"""WITH {_PIX}, b AS (SELECT image, (y // 4) * 2 + x // 4 AS box_id, round(avg(CASE WHEN v < 128 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS dark FROM px GROUP BY ALL) SELECT image, box_id::BIGINT AS box_id, dark, dark >= 0.5 AS is_set FROM b""",
+    "detected_tables": f"""WITH {_PIX}, b AS (SELECT image, min(x) AS x1, min(y) AS y1, max(x) + 1 AS x2, max(y) + 1 AS y2, count(*) AS n FROM px WHERE v * 4 < 128 GROUP BY image)
+SELECT image, 'dark' AS model, 0::BIGINT AS det_id, round(n / ((x2 - x1) * (y2 - y1)), 6) AS confidence, x1::BIGINT AS x1, y1::BIGINT AS y1, x2::BIGINT AS x2, y2::BIGINT AS y2 FROM b""",
+    "key_values": f"""WITH {_LAY}, r AS (SELECT a.doc_id, a.page, a.ord, b.ord AS near FROM lay a JOIN lay b ON a.doc_id = b.doc_id AND a.page = b.page AND a.ord <> b.ord AND b.x1 >= a.x2 AND least(a.y2, b.y2) > greatest(a.y1, b.y1)
+ QUALIFY row_number() OVER (PARTITION BY a.doc_id, a.page, a.ord ORDER BY b.x1 - a.x2, b.ord) = 1)
+SELECT l.doc_id, l.page, l.ord, CASE l.ord % 7 WHEN 3 THEN 'three' ELSE 'five' END AS name, 'w' || (near % 7) AS value FROM lay l LEFT JOIN r USING (doc_id, page, ord) WHERE l.ord % 7 IN (3, 5)""",
+    "ruled_table_cells": f"""WITH {_LAY}, ln AS (SELECT DISTINCT doc_id, page, false AS up, y1::DOUBLE AS pos FROM lay UNION SELECT DISTINCT doc_id, page, true, (x1 + ord % 3)::DOUBLE FROM lay),
+j AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY doc_id, page, up ORDER BY pos) > 5 THEN 1 ELSE 0 END AS j FROM ln), c AS (SELECT *, sum(j) OVER (PARTITION BY doc_id, page, up ORDER BY pos)::BIGINT AS k FROM j),
+m AS (SELECT doc_id, page, up, k, avg(pos) AS pos FROM c GROUP BY ALL), b AS (SELECT *, lead(pos) OVER (PARTITION BY doc_id, page, up ORDER BY k) AS nx FROM m)
+SELECT r.doc_id, r.page, r.k AS row_index, c.k AS column_index, c.pos AS x1, r.pos AS y1, c.nx AS x2, r.nx AS y2 FROM b r JOIN b c ON r.doc_id = c.doc_id AND r.page = c.page AND NOT r.up AND c.up WHERE r.nx IS NOT NULL AND c.nx IS NOT NULL""",
+    "unruled_table_cells": f"""WITH {_LAY}, j AS (SELECT *, CASE WHEN y1 - lag(y1) OVER (PARTITION BY doc_id, page ORDER BY y1) > 10 THEN 1 ELSE 0 END AS jy, CASE WHEN x1 - lag(x1) OVER (PARTITION BY doc_id, page ORDER BY x1) > 20 THEN 1 ELSE 0 END AS jx FROM lay),
+c AS (SELECT *, sum(jy) OVER (PARTITION BY doc_id, page ORDER BY y1)::BIGINT AS row_index, sum(jx) OVER (PARTITION BY doc_id, page ORDER BY x1)::BIGINT AS column_index FROM j)
+SELECT doc_id, page, row_index, column_index, string_agg(content, ' ' ORDER BY x1, ord) AS text FROM c GROUP BY doc_id, page, row_index, column_index""",
+    "aggregated_detections": """WITH p AS (SELECT array_to_string(string_split(p_brand || '/' || p_type || '/' || p_name, '/')[1:2], '/') AS image_subpath, p_size FROM part)
+SELECT image_subpath, 'm' AS model, 0::BIGINT AS det_id, 0.5::DOUBLE AS confidence, 0.0::DOUBLE AS x1, 1.0::DOUBLE AS y1, p_size::DOUBLE AS x2, 9.0::DOUBLE AS y2 FROM p
+UNION ALL SELECT image_subpath, 'm', 1, 0.25, 1, 1, 2, 2 FROM p""",
+    "event_dates": "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp, strftime(ts, '%Y%m%d') AS day FROM events",
+    "updated_json": "SELECT o_orderkey, 'new' AS status, o_custkey::VARCHAR AS key, o_orderkey::VARCHAR AS note, 'true' AS added FROM orders",
     "region_tokens": f"WITH {_LAY}, {_REG} SELECT region_id, t.doc_id, t.page, t.ord FROM lay t JOIN reg r ON t.doc_id = r.doc_id AND t.page = r.page AND x1 >= rx1 AND y1 >= ry1 AND x2 <= rx2 AND y2 <= ry2",
     "outside_tokens": f"WITH {_LAY}, {_REG} SELECT doc_id, page, ord FROM lay t WHERE NOT EXISTS (SELECT 1 FROM reg r WHERE t.doc_id = r.doc_id AND t.page = r.page AND ((x1 >= rx1 AND y1 >= ry1 AND x2 <= rx2 AND y2 <= ry2) OR (rx1 >= x1 AND ry1 >= y1 AND rx2 <= x2 AND ry2 <= y2)))",
     "nearest_right": _near("b.x1 - a.x2", "least(a.y2, b.y2) - greatest(a.y1, b.y1)", "(a.y2 - a.y1) * 0.5::DOUBLE"),
