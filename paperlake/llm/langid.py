@@ -256,6 +256,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             a = b
         return pd.DataFrame({"lang_pred": lang, "score": score})
 
+    label = label.asNondeterministic()  # so that a filter on the labels does not run the network once more
     cols = [id_col] if keep is None else keep
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
     return docs.select(*cols, held.alias("held_out"), label(F.col(text_col)).alias("__p")).select(*cols, "held_out", "__p.lang_pred", "__p.score")
