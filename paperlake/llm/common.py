@@ -70,7 +70,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+def join_counted(rows: DataFrame, table: DataFrame, key: str | list[str], count: str) -> DataFrame:
     """Rows joined with a table that has each of their keys once, and in `count` how many rows have it (the column goes).
 
     Keys of very many rows, at most HOT_SHARE of them, are broadcast, so that no task gets all rows of one.
@@ -80,7 +80,7 @@ def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str) -> Dat
     if (most or 0) <= limit:
         return rows.join(table.drop(count), key)
     hot = table.where(F.col(count) > limit).drop(count)
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.drop(count), key)
+    rest = rows.join(F.broadcast(hot.select(*([key] if isinstance(key, str) else key))), key, "left_anti").join(table.drop(count), key)
     return rows.join(F.broadcast(hot), key).unionByName(rest)
 
 

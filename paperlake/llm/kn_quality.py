@@ -1,93 +1,72 @@
 """Quality by the perplexity of an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over pairs of words (runs of letters and digits, in their case, and every
-other character that is no space, by their 64-bit hashes), so its table grows with the
-trusted text without a bound; its counts come from every trusted document. All is
-DataFrame work: pairs, continuation counts and discounts are counted and joined by
-word, which shards them by key, and the documents' own pairs meet them there. Each
-language's threshold is a quantile of its trusted documents' perplexities. The functions on
-4-grams of character classes (grams to log_probabilities) are the model of before and serve
-no query.
+The model is over runs of five code points of any script, with marks for a text's start and end, so
+its table grows with the trusted text and has no bound; its counts come from every trusted document.
+Counts, continuation counts, discounts and probabilities are DataFrame joins by gram, which shards them
+by key. Only grams that some document has get a probability. Documents find theirs in a broadcast copy
+where that table is small enough by its row count, and meet it in a shuffled join beyond. Each language's
+threshold is a quantile of its trusted documents' perplexities.
+
+A gram is two numbers: `lo` has its last three code points, `hi` what is before them, 21 bits each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from paperlake.llm.common import checkpoint, repeat_rows
+from paperlake.llm.common import checkpoint, join_counted, repeat_rows, text_batches
 
-ORDER, BITS = 4, 6
+ORDER, BITS = 5, 21
 QUANTILE = 0.999
 #: One in so many trusted documents, by hash, is kept from the model and measured for the thresholds.
 HELD_OUT = 4
 #: Factor on the quantile; none, since room above it lets low quality pass.
 SLACK = 1.0
-#: Words of average trusted text that a document's mean is mixed with, since short texts vary; about 100 characters.
-PRIOR_WORDS = 16
+#: Symbols of average trusted text that a document's mean is mixed with, since short texts vary.
+PRIOR = 100
 #: Trusted ids up to this many are broadcast; beyond, documents are joined by shuffling.
 BROADCAST_IDS = 2_000_000
-#: What the model knows of single words is broadcast up to this many words; pairs are always joined by key.
-BROADCAST_GRAMS = 2_000_000
-_PIECE = 1 << 20
-_MARKS = ".,;:!?'\"()-|#$%&*<>@/_=+"
-_START = 0
-#: A run of letters, marks and digits, or one other character that is no space.
-_WORD = r"[\p{L}\p{M}\p{N}]+|[^\s\p{L}\p{M}\p{N}]"
-
-
-def _classes() -> np.ndarray:
-    table = np.full(128, 63, dtype=np.int32)
-    for c in range(128):
-        ch = chr(c)
-        if "a" <= ch <= "z":
-            table[c] = 1 + c - 97
-        elif "A" <= ch <= "Z":
-            table[c] = 27
-        elif ch.isdigit():
-            table[c] = 28
-        elif ch == "\n":
-            table[c] = 30
-        elif ch.isspace():
-            table[c] = 29
-        elif ch in _MARKS:
-            table[c] = 31 + _MARKS.index(ch)
-    return table
-
-
-_TABLE = _classes()
-
-
-def grams(text: str) -> Iterator[np.ndarray]:
-    """The 4-grams of a text's classes as 24-bit numbers, one for each character, in parts."""
-    carry = np.full(ORDER - 1, _START, dtype=np.int32)
-    for a in range(0, len(text), _PIECE):
-        cp = np.frombuffer(text[a : a + _PIECE].encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-        cls = np.where(cp < 128, _TABLE[np.minimum(cp, 127)], 55 + cp % 8).astype(np.int32)
-        c = np.concatenate([carry, cls])
-        yield (c[:-3] << 18) | (c[1:-2] << 12) | (c[2:-1] << 6) | c[3:]
-        carry = c[-3:]
-
-
-def _counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    g, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return g, np.bincount(at, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
+#: Probabilities up to this many are broadcast, 24 bytes each; beyond, documents' grams are joined by shuffling.
+BROADCAST_GRAMS = 1_500_000
+_PIECE = 1 << 19
+_START, _END, _FIRST = 0, 1, 2  # code points follow behind the two marks
+
+
+def grams(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hi, lo) of the runs of ORDER symbols that end at each code point of a text and at its end, in parts."""
+    carry = np.full(ORDER - 1, _START, dtype=np.int64)
+    for a in range(0, max(len(text), 1), _PIECE):
+        cp = np.frombuffer(text[a : a + _PIECE].encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64) + _FIRST
+        s = np.concatenate([carry, cp, [_END]] if a + _PIECE >= len(text) else [carry, cp])
+        yield s[:-4] << BITS | s[1:-3], s[2:-2] << 2 * BITS | s[3:-1] << BITS | s[4:]
+        carry = s[-(ORDER - 1) :]
+
+
+def _unique(hi: np.ndarray, lo: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Grams once each, and how often each comes, or the sums of n. Should two grams have one mixed key, either may come more than once, which sums mend."""
+    order = np.argsort(_mixed(hi, lo, 0xC2B2AE3D27D4EB4F))
+    hi, lo = hi[order], lo[order]
+    first = np.ones(len(hi), dtype=bool)
+    first[1:] = (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
+    at = np.flatnonzero(first)
+    counts = np.diff(np.append(at, len(hi))) if n is None else np.add.reduceat(n[order], at) if len(at) else np.zeros(0, dtype=np.int64)
+    return hi[at], lo[at], counts
 
 
 def _totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total: list[tuple[np.ndarray, np.ndarray]] = []
-    fresh: list[np.ndarray] = []
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    fresh: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
 
     def fold() -> None:
         nonlocal size
         if fresh:
-            g, n = np.unique(np.concatenate(fresh), return_counts=True)
-            total[:] = [_counted([*total, (g, n)])]
+            held.append(_unique(np.concatenate([x[0] for x in fresh]), np.concatenate([x[1] for x in fresh])))
+            held[:] = [_unique(*(np.concatenate([x[i] for x in held]) for i in range(3)))]
             fresh.clear()
             size = 0
 
@@ -95,23 +74,35 @@ def _totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text in pdf["text"]:
             for g in grams(text or ""):
                 fresh.append(g)
-                size += len(g)
-                if size > _PIECE:
+                size += len(g[0])
+                if size > 1 << 20:
                     fold()
+        if held and len(held[0][0]) > 1 << 20:  # a task of much varied text gives what it has and starts anew
+            yield pd.DataFrame(dict(zip(("hi", "lo", "n"), held.pop())))
     fold()
-    if total:
-        yield pd.DataFrame({"g": total[0][0], "n": total[0][1]})
+    if held:
+        yield pd.DataFrame(dict(zip(("hi", "lo", "n"), held[0])))
 
 
 def gram_counts(texts: DataFrame) -> DataFrame:
-    """(text) -> (g, n): how often each 4-gram comes; every task sends each of its 4-grams once."""
-    return texts.mapInPandas(_totals, "g int, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    """(text) -> (hi, lo, n): how often each gram comes; null counts as empty, and an empty text has its end alone."""
+    return texts.select("text").mapInPandas(_totals, "hi long, lo long, n long").groupBy("hi", "lo").agg(F.sum("n").alias("n"))
+
+
+def _last(k: int) -> list[Column]:
+    """The last k symbols of a gram."""
+    hi = F.col("hi").bitwiseAND((1 << BITS * max(0, k - 3)) - 1)
+    return [hi.alias("hi"), F.col("lo").bitwiseAND((1 << BITS * min(3, k)) - 1).alias("lo")]
 
 
-def _discounts(counts: DataFrame, n: str) -> list[float]:
-    """D1, D2 and D3+ from the counts of counts; where one is zero, the plain absolute discount, or a half."""
-    r = counts.agg(*[F.sum((F.col(n) == k).cast("long")).alias(f"n{k}") for k in range(1, 5)]).first()
-    n1, n2, n3, n4 = (r[f"n{k}"] or 0 for k in range(1, 5))
+def _context() -> list[Column]:
+    """A gram without its last symbol."""
+    return [F.shiftright("hi", BITS).alias("chi"), F.shiftright("lo", BITS).bitwiseOR(F.shiftleft(F.col("hi").bitwiseAND((1 << BITS) - 1), 2 * BITS)).alias("clo")]
+
+
+def discounts(ones: tuple[int, int, int, int]) -> list[float]:
+    """D1, D2 and D3+ from how many grams come once, twice, three and four times; where one is zero, the plain absolute discount, or a half."""
+    n1, n2, n3, n4 = ones
     y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
     d1 = 1 - 2 * y * n2 / n1 if n1 and n2 else y
     d2 = 2 - 3 * y * n3 / n2 if n2 and n3 else max(d1, y)
@@ -120,108 +111,140 @@ def _discounts(counts: DataFrame, n: str) -> list[float]:
 
 
 def log_probabilities(counts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(g, n) of trusted text, and (g) -> (g, lp): the natural log of each wanted 4-gram's interpolated probability."""
-    levels = [counts.select("g", "n")]
-    for order in range(ORDER - 1, 0, -1):  # how many different classes stand before each shorter n-gram
-        levels.insert(0, levels[0].groupBy((F.col("g").bitwiseAND((1 << BITS * order) - 1)).alias("g")).agg(F.count("*").alias("n")))
-    asked = [wanted.select("g")]
+    """(hi, lo, n) of trusted text, and (hi, lo) -> (hi, lo, lp): the natural log of each wanted gram's interpolated probability.
+
+    Code points that trusted text lacks share the probability of one more.
+    """
+    levels = [counts.select("hi", "lo", "n")]
+    for order in range(ORDER - 1, 0, -1):  # how many different symbols stand before each shorter gram
+        levels.insert(0, levels[0].groupBy(*_last(order)).agg(F.count("*").alias("n")))
+    levels = [checkpoint(x) if i < 3 else x for i, x in enumerate(levels)]
+    asked = [wanted.select("hi", "lo")]
     for order in range(ORDER - 1, 0, -1):
-        asked.insert(0, asked[0].select(F.col("g").bitwiseAND((1 << BITS * order) - 1).alias("g")).distinct())
+        asked.insert(0, asked[0].select(*_last(order)).distinct())
     lower = None
     for order in range(1, ORDER + 1):
         have = levels[order - 1]
-        d1, d2, d3 = _discounts(have, "n")
+        r = have.agg(F.count("*").alias("v"), *[F.count_if(F.col("n") == k).alias(f"n{k}") for k in range(1, 5)]).first()
+        d1, d2, d3 = discounts(tuple(r[f"n{k}"] for k in range(1, 5)))
         less = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        context = have.groupBy(F.shiftright("g", BITS).alias("__ctx")).agg(F.sum("n").alias("__sum"), F.sum(less).alias("__free"))
-        q = asked[order - 1].join(have.select(F.col("g").alias("__g"), "n"), F.col("g") == F.col("__g"), "left")
-        q = q.join(context, F.shiftright("g", BITS) == F.col("__ctx"), "left")
+        context = have.select("n", *_context()).groupBy("chi", "clo").agg(F.sum("n").alias("total"), F.sum(less).alias("free"))
+        q = asked[order - 1].select("hi", "lo", *_context()).join(have, ["hi", "lo"], "left").join(context, ["chi", "clo"], "left")
         if lower is None:
-            q = q.withColumn("__lower", F.lit(1.0 / (1 << BITS)))
+            q = q.withColumn("below", F.lit(1.0 / (r["v"] + 1)))
         else:
-            q = q.join(lower, F.col("g").bitwiseAND((1 << BITS * (order - 1)) - 1) == F.col("__lg"))
-        own = F.coalesce((F.col("n") - less) / F.col("__sum"), F.lit(0.0))
-        p = own + F.coalesce(F.col("__free") / F.col("__sum"), F.lit(1.0)) * F.col("__lower")
-        lower = q.select(F.col("g").alias("__lg"), p.alias("__lower"))
-    return lower.select(F.col("__lg").alias("g"), F.log("__lower").alias("lp"))
-
-
-def word_pairs(text: Column) -> Column:
-    """The words of a text by their hashes, each with the word before it: an array of (a, b)."""
-    hashes = F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), lambda x: F.xxhash64(x))
-    return F.transform(F.array(hashes), lambda h: F.transform(h, lambda x, i: F.struct(
-        F.when(i == 0, F.lit(_START).cast("long")).otherwise(F.get(h, i - 1)).alias("a"), x.alias("b"))))[0]
-
-
-def pair_counts(texts: DataFrame) -> DataFrame:
-    """(text) -> (a, b, n): how often each pair of words comes."""
-    return texts.select(F.inline(word_pairs(F.col("text")))).groupBy("a", "b").agg(F.count("*").alias("n"))
-
-
-@dataclass
-class Words:
-    """own: (a, b, own), a pair's discounted share; after: (a, free), what a word leaves to the lower order; alone: (b, lower); rest: lower of any other word."""
-
-    own: DataFrame
-    after: DataFrame
-    alone: DataFrame
-    rest: float
-    small: bool
-
-
-def _less(n: str, d: list[float]) -> Column:
-    return F.when(F.col(n) == 1, d[0]).when(F.col(n) == 2, d[1]).otherwise(d[2])
-
-
-def word_model(counts: DataFrame) -> Words:
-    """Words never seen share the probability of one more word."""
-    d = _discounts(counts, "n")
-    context = checkpoint(counts.groupBy("a").agg(F.sum("n").alias("total"), F.sum(_less("n", d)).alias("less")))
-    own = counts.join(context, "a").select("a", "b", ((F.col("n") - _less("n", d)) / F.col("total")).alias("own"))
-    seen = checkpoint(counts.groupBy("b").agg(F.count("*").alias("c")))
-    d1 = _discounts(seen, "c")
-    sums = seen.agg(F.count("*").alias("v"), F.sum("c").alias("total"), F.sum(_less("c", d1)).alias("less")).first()
-    rest = (sums["less"] / sums["total"] if sums["v"] else 1.0) / (sums["v"] + 1)
-    alone = seen.select("b", ((F.col("c") - _less("c", d1)) / F.lit(sums["total"] or 1) + rest).alias("lower"))
-    return Words(own, context.select("a", (F.col("less") / F.col("total")).alias("free")), alone, rest, max(sums["v"], context.count()) <= BROADCAST_GRAMS)
-
+            q = q.withColumns(dict(zip(("shi", "slo"), _last(order - 1)))).join(lower, ["shi", "slo"])
+        own = F.coalesce((F.col("n") - less) / F.col("total"), F.lit(0.0))
+        p = own + F.coalesce(F.col("free") / F.col("total"), F.lit(1.0)) * F.col("below")
+        lower = q.select(F.col("hi").alias("shi"), F.col("lo").alias("slo"), p.alias("below"))
+    return lower.select(F.col("shi").alias("hi"), F.col("slo").alias("lo"), F.log("below").alias("lp"))
+
+
+def text_sums(docs: DataFrame, table: DataFrame, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
+    """docs (key, text) with distinct keys -> (key, symbols, lp): how many symbols a text has, its end with them, and the sum of their log probabilities. table has (hi, lo, lp) of every gram of the texts, and in n how often it comes."""
+    spark = docs.sparkSession
+    text_batches(spark)
+    if table.count() <= broadcast_grams:
+        t = table.select("hi", "lo", "lp").toPandas()  # its size is checked
+        shared = spark.sparkContext.broadcast(_lookup(*(t[c].to_numpy() for c in ("hi", "lo", "lp"))))
+
+        @F.pandas_udf("symbols long, lp double")
+        def score(texts: pd.Series) -> pd.DataFrame:
+            keys, lp, factor = shared.value
+            symbols, total = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts))
+            held: list[np.ndarray] = []
+            owner: list[int] = []
+            size = 0
 
-def pair_probabilities(pairs: DataFrame, model: Words) -> DataFrame:
-    """Rows with columns a and b, and the natural log of b's probability after a as lp."""
-    near = F.broadcast if model.small else lambda t: t
-    out = pairs.join(model.own, ["a", "b"], "left").join(near(model.after), "a", "left").join(near(model.alone), "b", "left")
-    p = F.coalesce("own", F.lit(0.0)) + F.coalesce("free", F.lit(1.0)) * F.coalesce("lower", F.lit(model.rest))
-    return out.withColumn("lp", F.log(p)).drop("own", "free", "lower")
+            def look() -> None:
+                nonlocal size
+                if held:
+                    lengths = np.array([len(x) for x in held])
+                    found = lp[np.searchsorted(keys, np.concatenate(held))]
+                    np.add.at(total, owner, np.add.reduceat(found, np.cumsum(lengths) - lengths))
+                    np.add.at(symbols, owner, lengths)
+                held.clear()
+                owner.clear()
+                size = 0
+
+            for i, text in enumerate(texts):
+                for h, g in grams(text or ""):
+                    held.append(_mixed(h, g, factor))
+                    owner.append(i)
+                    size += len(h)
+                    if size > 1 << 17:
+                        look()
+            look()
+            return pd.DataFrame({"symbols": symbols, "lp": total})
+
+        return docs.select("key", score.asNondeterministic()("text").alias("s")).select("key", "s.*")
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for key, text in zip(pdf["key"], pdf["text"]):
+                for h, g in grams(text or ""):
+                    h, g, n = _unique(h, g)
+                    yield pd.DataFrame({"key": key, "hi": h, "lo": g, "n": n})
+
+    kind = dict(docs.dtypes)["key"]
+    rows = docs.select("key", "text").mapInPandas(each, f"key {kind}, hi long, lo long, n long").withColumnRenamed("n", "times")
+    met = join_counted(rows, table.select("hi", "lo", "lp", F.col("n").alias("often")), ["hi", "lo"], "often")
+    return met.groupBy("key").agg(F.sum("times").alias("symbols"), F.sum(F.col("times") * F.col("lp")).alias("lp"))
+
+
+def _mixed(hi: np.ndarray, lo: np.ndarray, factor: int) -> np.ndarray:
+    x = hi.astype(np.uint64) * np.uint64(factor) ^ lo.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ x >> np.uint64(31)
+
+
+def _lookup(hi: np.ndarray, lo: np.ndarray, lp: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sorted 64-bit keys of all grams, no two of them alike, and their values; so a gram that is in the table has its own key."""
+    for factor in range(0xC2B2AE3D27D4EB4F, 1 << 64, 2):
+        keys = _mixed(hi, lo, factor)
+        order = np.argsort(keys)
+        keys = keys[order]
+        if not (keys[1:] == keys[:-1]).any():
+            return keys, lp[order], factor
+    raise ValueError("no factor tells the grams apart")
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-             quality_col: str = "quality", quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
+             quality_col: str = "quality", quantile: float = QUANTILE, slack: float = SLACK, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """One row per document row: id, n_chars, perplexity, threshold, kept.
 
     Trusted are the documents whose id has a label of quality 1. The model learns from three in four of them; a
     language's threshold is the given quantile of the others' perplexities times slack. A language without any has
-    that of all languages, and without trusted text every text is kept. Null and empty texts have 0 characters, and they and texts without words are not kept. Null languages are one
-    language; null ids are never trusted; equal rows stay; other columns are not read; an empty table gives none.
+    that of all languages, and without trusted text every text is kept. Null and empty texts have 0 characters, and
+    they and texts of white space are not kept. Null languages are one language; null ids are never trusted; equal
+    rows get equal results each; other columns are not read; an empty table gives none. Very long texts go through in parts.
     """
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     trusted = labels.where(F.col(quality_col) == 1).select(F.col(id_col).alias("__t")).where("__t IS NOT NULL").distinct()
     few = trusted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    mine = slim.join(F.broadcast(trusted) if few else trusted, F.col("id") == F.col("__t"), "left_semi")
+    sure = F.broadcast(trusted) if few else trusted
+    mine = slim.join(sure, F.col("id") == F.col("__t"), "left_semi")
     measured = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(HELD_OUT)) == 0
-    counts = checkpoint(pair_counts(mine.where(~measured).select("text")))
-    model = word_model(counts)
-    mean = pair_probabilities(counts, model).agg((F.sum(F.col("n") * F.col("lp")) / F.sum("n")).alias("m")).first()["m"] or 0.0
-    # Equal rows, and no others, have one key, by which a row's pairs find it again.
-    key = F.xxhash64(F.isnull("id"), "id", F.isnull("lang"), "lang", F.isnull("text"), "text")
-    rows = slim.select(key.alias("key"), "id", "lang", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars")).groupBy("key").agg(
-        F.first("id").alias("id"), F.first("lang").alias("lang"), F.first("n_chars").alias("n_chars"), F.count("*").alias("copies"))
-    sums = pair_probabilities(slim.select(key.alias("key"), F.inline(word_pairs(F.col("text")))), model).groupBy("key").agg(F.count("*").alias("words"), F.sum("lp").alias("lp"))
-    each = rows.join(sums, "key", "left").withColumn("words", F.coalesce((F.col("words") / F.col("copies")).cast("long"), F.lit(0)))
-    log = (F.coalesce(F.col("lp") / F.col("copies"), F.lit(0.0)) + PRIOR_WORDS * mean) / (F.col("words") + PRIOR_WORDS)
-    scored = checkpoint(each.select("id", "lang", "copies", "n_chars", "words", F.round(F.exp(-log), 6).alias("perplexity")))
-    sure = scored.join(trusted, F.col("id") == F.col("__t"), "left_semi").where("words > 0").where(measured)
-    of_lang = sure.groupBy(F.col("lang").alias("__lang")).agg(F.percentile_approx("perplexity", quantile, 10000).alias("__own"))
-    of_all = sure.agg(F.percentile_approx("perplexity", quantile, 10000).alias("q")).first()["q"]
-    out = scored.join(of_lang, F.col("lang").eqNullSafe(F.col("__lang")), "left")
+    counts = checkpoint(gram_counts(mine.where(~measured)))
+    every = checkpoint(gram_counts(slim))
+    table = checkpoint(log_probabilities(counts, every).join(every, ["hi", "lo"]))
+    mean = table.join(counts.withColumnRenamed("n", "m"), ["hi", "lo"]).agg((F.sum(F.col("m") * F.col("lp")) / F.sum("m")).alias("x")).first()["x"] or 0.0
+    has_word = F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))
+    if table.count() <= broadcast_grams:  # every row is scored where it is
+        rows = slim.select(F.struct("id", "lang", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), has_word.alias("word"), F.lit(1).cast("long").alias("copies")).alias("key"), "text")
+        each = text_sums(rows, table, broadcast_grams).select("key.*", "symbols", "lp")
+    else:  # equal rows are one; a text stands for itself by two hashes
+        two = [F.xxhash64(F.lit(k), F.isnull("text"), "text").alias(f"t{k}") for k in range(2)]
+        once = slim.groupBy("id", "lang", *two).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+        key = F.struct("id", "lang", "t0", "t1", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), has_word.alias("word"), "copies")
+        keyed = once.select(key.alias("key"), "text")
+        sums = text_sums(keyed.withColumn("key", F.to_json("key")), table, broadcast_grams)
+        each = sums.withColumn("key", F.from_json("key", keyed.schema["key"].dataType)).select("key.*", "symbols", "lp")
+    log = (F.col("lp") + PRIOR * mean) / (F.col("symbols") + PRIOR)
+    scored = checkpoint(each.select("id", "lang", "copies", "n_chars", "word", F.round(F.exp(-log), 6).alias("perplexity")))
+    known = scored.join(sure, F.col("id") == F.col("__t"), "left_semi").where(F.col("word") & measured)
+    of_lang = known.groupBy(F.col("lang").alias("__lang")).agg(F.percentile_approx("perplexity", quantile, 10000).alias("__own"))
+    of_all = known.agg(F.percentile_approx("perplexity", quantile, 10000).alias("q")).first()["q"]
+    out = scored.join(F.broadcast(of_lang), F.col("lang").eqNullSafe(F.col("__lang")), "left")  # a row for each language
     threshold = F.coalesce("__own", F.lit(float("inf") if of_all is None else of_all)) * slack
-    out = out.select(F.col("id").alias(id_col), "n_chars", "perplexity", threshold.alias("threshold"), ((F.col("words") > 0) & (F.col("perplexity") <= threshold)).alias("kept"), "copies")
+    out = out.select(F.col("id").alias(id_col), "n_chars", "perplexity", threshold.alias("threshold"), (F.col("word") & (F.col("perplexity") <= threshold)).alias("kept"), "copies")
     return repeat_rows(out, "copies")

@@ -397,23 +397,68 @@ def test_many_languages_are_all_learned(spark):
     assert len(got) == 4 and Counter(r.lang_pred for r in got)["und"] == 3 and [r.held_out for r in got if r.doc_id is None] == [False]
 
 
-def test_kneser_ney_sums_to_one(spark):
-    d = spark.createDataFrame([("abab acab",), ("ab ba",)], "text string")
-    counts = kn_quality.gram_counts(d)
-    total = {}
-    for r in counts.collect():
-        total[r.g] = r.n
-    want = Counter()
-    for t in ("abab acab", "ab ba"):
-        for g in kn_quality.grams(t):
-            want.update(g.tolist())
-    assert total == dict(want)
-    context = next(iter(total)) >> 6
-    every = spark.range(64).selectExpr(f"int({context} * 64 + id) AS g")
-    p = kn_quality.log_probabilities(counts, every).collect()
-    assert len(p) == 64 and math.isclose(sum(math.exp(r.lp) for r in p), 1.0, rel_tol=1e-9)
-    unseen = spark.range(64).selectExpr(f"int({40 * 64 * 64 + 41 * 64 + 42} * 64 + id) AS g")
-    assert math.isclose(sum(math.exp(r.lp) for r in kn_quality.log_probabilities(counts, unseen).collect()), 1.0, rel_tol=1e-9)
+def _symbols(t):
+    return [0, 0, 0, 0, *(ord(c) + 2 for c in t), 1]
+
+
+def _brute_log_probability(trusted):
+    """Interpolated modified Kneser-Ney by its definition, on tuples."""
+    levels = {5: Counter()}
+    for t in trusted:
+        s = _symbols(t)
+        levels[5].update(tuple(s[i - 4 : i + 1]) for i in range(4, len(s)))
+    for k in range(4, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    d = {k: kn_quality.discounts(tuple(sum(n == j for n in levels[k].values()) for j in range(1, 5))) for k in levels}
+
+    def less(k, n):
+        return d[k][min(n, 3) - 1]
+
+    def p(g):
+        k = len(g)
+        below = p(g[1:]) if k > 1 else 1 / (len(levels[1]) + 1)
+        mates = [n for h, n in levels[k].items() if h[:-1] == g[:-1]]
+        if not mates:
+            return below
+        own = levels[k][g] - less(k, levels[k][g]) if g in levels[k] else 0
+        return own / sum(mates) + sum(less(k, n) for n in mates) / sum(mates) * below
+
+    return lambda g: math.log(p(g))
+
+
+def _packed(g):
+    return g[0] << 21 | g[1], g[2] << 42 | g[3] << 21 | g[4]
+
+
+def test_kneser_ney_equals_its_definition(spark):
+    trusted = ["abab acab", "ab ba", "", "日本 aé𝔘", "abab"]
+    counts = kn_quality.gram_counts(spark.createDataFrame([(t,) for t in trusted], "text string"))
+    want = Counter(_packed(tuple(s[i - 4 : i + 1])) for s in map(_symbols, trusted) for i in range(4, len(s)))
+    assert {(r.hi, r.lo): r.n for r in counts.collect()} == dict(want)
+    log_p = _brute_log_probability(trusted)
+    others = ["abba", "日a", "xyz", "a"]
+    asked = {tuple(s[i - 4 : i + 1]) for s in map(_symbols, trusted + others) for i in range(4, len(s))}
+    got = {(r.hi, r.lo): r.lp for r in kn_quality.log_probabilities(counts, spark.createDataFrame([_packed(g) for g in asked], "hi long, lo long")).collect()}
+    assert len(got) == len(asked) and all(math.isclose(got[_packed(g)], log_p(g), rel_tol=1e-9) for g in asked)
+    every = sorted({c for t in trusted for c in _symbols(t)[4:]}) + [999]
+    for context in ((0, 0, ord("a") + 2, ord("b") + 2), (7, 7, 7, 7)):
+        assert math.isclose(sum(math.exp(log_p((*context, c))) for c in every), 1.0, rel_tol=1e-9)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(trusted + others)] + [(99, None)], "key long, text string")
+    table = spark.createDataFrame([(*_packed(g), log_p(g), 1) for g in asked], "hi long, lo long, lp double, n long")
+    for most in (kn_quality.BROADCAST_GRAMS, -1):
+        rows = {r.key: r for r in kn_quality.text_sums(docs, table, most).collect()}
+        for i, t in [*enumerate(trusted + others), (99, "")]:
+            s = _symbols(t)
+            assert rows[i].symbols == len(t) + 1 and math.isclose(rows[i].lp, sum(log_p(tuple(s[j - 4 : j + 1])) for j in range(4, len(s))), rel_tol=1e-9)
+
+
+def test_grams_of_a_long_text_in_parts(spark):
+    piece, kn_quality._PIECE = kn_quality._PIECE, 7
+    t = "some längere text 𝔘 end" * 3
+    parts = list(kn_quality.grams(t))
+    kn_quality._PIECE = piece
+    whole = list(kn_quality.grams(t))
+    assert len(parts) > 5 and all((np.concatenate([p[i] for p in parts]) == whole[0][i]).all() for i in (0, 1))
 
 
 def test_quality_classifier(spark, docs):
@@ -423,39 +468,25 @@ def test_quality_classifier(spark, docs):
     d = spark.createDataFrame(good + bad, docs.schema)
     labels = spark.createDataFrame([(i, 1) for i, *_ in good] + [(2000, 0), (None, 1)], "doc_id long, quality int")
     rows = {r.doc_id: r for r in kn_quality.classify(d, labels).collect()}
-    assert len(rows) == 42 and sum(rows[i].kept for i, *_ in good) >= 39 and not rows[2000].kept and not rows[2001].kept
-    text = good[0][1]
-    gs = Counter(g for part in kn_quality.grams(text) for g in part.tolist())
-    assert rows[1000].n_chars == sum(gs.values()) == len(text)
+    assert len(rows) == 42 and sum(rows[i].kept for i, *_ in good) >= 36 and not rows[2000].kept and not rows[2001].kept
+    assert rows[1000].n_chars == len(good[0][1])
+    many = d.unionByName(d.where("doc_id IN (2000, 1003)"))
+    few, shuffled = (kn_quality.classify(many, labels, broadcast_grams=n).collect() for n in (kn_quality.BROADCAST_GRAMS, -1))
+    assert Counter(map(tuple, few)) == Counter(map(tuple, shuffled)) and len(few) == 44
     assert kn_quality.classify(d, labels.where("false")).where("kept").count() == 41
     assert kn_quality.classify(d.where("false"), labels).count() == 0
 
 
-def test_word_model(spark):
-    d = spark.createDataFrame([("the cat sat. The cat ran",), ("the dog sat, 中 the",), (None,)], "text string")
-    counts = kn_quality.pair_counts(d)
-    model = kn_quality.word_model(counts)
-    seen = [r.b for r in counts.select("b").distinct().collect()]
-    for a in (counts.where("n > 1").first() or counts.first()).a, 12345:
-        pairs = spark.createDataFrame([(a, b) for b in [*seen, 99]], "a long, b long")
-        assert math.isclose(sum(math.exp(r.lp) for r in kn_quality.pair_probabilities(pairs, model).collect()), 1.0, rel_tol=1e-9)
-
-
-def test_quality_sees_word_order(spark):
+def test_quality_sees_strange_runs(spark):
     rng, text = random.Random(4), []
     vocab = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("ada", "ilo", "une")]
-    for i in range(60):  # every word is followed by one of the next three
-        at, words = rng.randrange(36), []
-        for _ in range(60):
-            words.append(vocab[at])
-            at = (at + rng.randrange(1, 4)) % 36
-        text.append(" ".join(words))
-    shuffled = text[0].split()
-    rng.shuffle(shuffled)
-    rows = [(i, t, "en") for i, t in enumerate(text)] + [(100, " ".join(shuffled), "en"), (101, " ".join([vocab[0]] * 60), "en"), (102, " \n ", "en")]
+    for _ in range(60):
+        text.append(" ".join(rng.choices(vocab, k=60)))
+    backwards = text[0][::-1]
+    rows = [(i, t, "en") for i, t in enumerate(text)] + [(100, backwards, "en"), (101, "b d f g k l " * 30, "en"), (102, " \n ", "en"), (103, "中文字符" * 30, None)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {r.doc_id: r for r in kn_quality.classify(d, spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int")).collect()}
-    assert sum(got[i].kept for i in range(60)) >= 58 and not any(got[i].kept for i in (100, 101, 102))
+    assert sum(got[i].kept for i in range(60)) >= 58 and not any(got[i].kept for i in (100, 101, 102, 103))
 
 
 def test_quality_threshold_has_no_slack(spark):
