@@ -119,7 +119,7 @@ def save_chunks(chunks: DataFrame, path: str) -> None:
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     """(chunk_key, content, metadata) as save_chunks wrote them."""
-    raw = spark.read.option("wholetext", "true").schema("value string, chunk_key string, kind string").text(path)
+    raw = spark.read.format("text").option("wholetext", "true").schema("value string, chunk_key string, kind string").load(path)
     text = raw.where("kind = 'text'").select("chunk_key", F.regexp_replace("value", "\n$", "").alias("content"))
     meta = raw.where("kind = 'metadata'").select("chunk_key", F.from_json("value", "map<string,string>").alias("metadata"))
     return text.join(meta, "chunk_key", "left")
