@@ -251,7 +251,8 @@ def tokenizer(path: str) -> WordTokenizer:
 def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document row: id, ids (packed little-endian unsigned 32-bit integers), n_tokens.
 
-    Null and empty texts have no ids. Other columns are not read. The file must be on every executor.
+    Null and empty texts have no ids; null ids and equal rows stay; an empty table gives none; a very long text's ids are put
+    together from parts. Other columns are not read. The file must be on every executor.
     """
 
     @F.pandas_udf("binary")
@@ -266,7 +267,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
 
 def decode_ids(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """One row per row of packed ids: id and decoded text; null ids are none."""
+    """One row per row of packed ids: id and decoded text; null packed ids are none; null ids and equal rows stay; an empty table gives none."""
 
     @F.pandas_udf("string")
     def decode(ids: pd.Series) -> pd.Series:
@@ -277,30 +278,33 @@ def decode_ids(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: s
     return encoded.select(F.col(id_col).alias(id_col), decode(F.col(ids_col)).alias("text"))
 
 
-def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document row: id, n_tokens, and SHA-256 of the packed ids and of what they decode to.
+def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """One row per document row: id, n_tokens, and SHA-256 of the packed ids and of what they decode to; with_ids, the packed ids as well.
 
-    Texts pass through in parts, so a very long one needs no more memory than itself. Null texts count as
-    empty; null ids and equal rows stay; other columns are not read.
+    Texts pass through in parts, so a very long one needs no more memory than itself (and its ids, if asked for). Null texts count
+    as empty; null ids and equal rows stay; other columns are not read; an empty table gives none.
     """
+    kind = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if with_ids else "")
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    @F.pandas_udf(kind)
     def measure(texts: pd.Series) -> pd.DataFrame:
         t, out = tokenizer(path), []
         for x in texts:
-            ids, text, n = hashlib.sha256(), hashlib.sha256(), 0
+            ids, text, n, kept = hashlib.sha256(), hashlib.sha256(), 0, []
 
-            def parts(x=x, ids=ids):
+            def parts(x=x, ids=ids, kept=kept):
                 nonlocal n
                 for p in t.encode(x):
                     ids.update(p)
                     n += len(p) // 4
+                    if with_ids:
+                        kept.append(p)
                     yield p
 
             for piece in t.decode(parts()):
                 text.update(piece)
-            out.append((n, ids.hexdigest(), text.hexdigest()))
-        return pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            out.append((n, ids.hexdigest(), text.hexdigest(), *([b"".join(kept)] if with_ids else [])))
+        return pd.DataFrame(out, columns=[c.split(" ")[0] for c in kind.split(", ")])
 
     text_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias(id_col), measure(F.col(text_col)).alias("m")).select(id_col, "m.*")

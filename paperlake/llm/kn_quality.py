@@ -145,8 +145,8 @@ def text_sums(docs: DataFrame, table: DataFrame, broadcast_grams: int = BROADCAS
     spark = docs.sparkSession
     text_batches(spark)
     if table.count() <= broadcast_grams:
-        t = table.select("hi", "lo", "lp").toPandas()  # its size is checked
-        shared = spark.sparkContext.broadcast(_lookup(*(t[c].to_numpy() for c in ("hi", "lo", "lp"))))
+        t = table.select("hi", "lo", "lp").toArrow()  # its size is checked
+        shared = spark.sparkContext.broadcast(_lookup(*(t.column(c).to_numpy() for c in ("hi", "lo", "lp"))))
 
         @F.pandas_udf("symbols long, lp double")
         def score(texts: pd.Series) -> pd.DataFrame:

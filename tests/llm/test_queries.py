@@ -8,10 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from paperlake.llm import queries
+import numpy as np
+import public_tokenizers
+from paperlake.llm import bpe, queries
 from tests.llm import brute
 
 DATA = "/root/testdata/sf0.001"
+WORD = public_tokenizers.path("word_bpe_49k.json")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
 
 
@@ -49,3 +52,25 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r.doc_id for r in clean.collect()} == {i for i, _, hit, _ in brute.contamination(rows, items) if not hit}
     assert {r.doc_id for r in ids.collect()} == {r.doc_id for r in clean.collect()}
     assert ids.where(F.col("n_tokens") <= 0).count() == 0
+    texts = {r.doc_id: r.text for r in clean.collect()}
+    for r in ids.collect()[:20]:
+        assert bpe.tokenizer(WORD).vocabulary.decode(np.frombuffer(r.ids, dtype="<u4").astype(np.int64)) and r.n_tokens == len(r.ids) // 4 and texts[r.doc_id]
+
+
+def test_stages_bear_nulls_repeats_and_no_rows(spark, tmp_path):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (7, "", "en", "s", 0), (8, None, None, "s", None), (9, "word " * 90000, "en", None, 5)], docs.schema)
+    more = odd.unionByName(odd).unionByName(docs.limit(40)).unionByName(docs.limit(40))
+    for name, f in corpus_pipeline.STAGES:
+        for i, rows in enumerate((more, docs.where("false"))):
+            out = f(spark, rows, DATA)
+            got = out.collect()
+            assert (out.columns == docs.columns or name == corpus_pipeline.STAGES[-1][0]) and (len(got) == 0 if i else len(got) <= more.count()), name
+    kept = corpus_pipeline.near_duplicate_stage(spark, more, DATA).collect()
+    assert len(kept) == len({(r.doc_id, r.text) for r in kept})
+
+
+def test_run_leaves_the_last_stage_alone(spark, tmp_path):
+    out = corpus_pipeline.run(spark, DATA)
+    folder = os.path.dirname(out.inputFiles()[0].removeprefix("file://"))
+    assert os.listdir(os.path.dirname(folder)) == [str(len(corpus_pipeline.STAGES) - 1)] and out.count() > 0

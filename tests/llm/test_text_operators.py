@@ -298,6 +298,8 @@ def test_bpe_equals_the_library(spark, docs):
         ids = lib.encode(t or "", add_special_tokens=False).ids
         want[(i, len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest())] += 1
     assert Counter(map(tuple, bpe.digests(docs, WORD).collect())) == want
+    both = bpe.digests(docs, WORD, with_ids=True).collect()
+    assert all(hashlib.sha256(r.ids).hexdigest() == r.ids_sha256 and len(r.ids) == 4 * r.n_tokens for r in both) and len(both) == docs.count()
     back = bpe.decode_ids(bpe.encode_texts(docs, WORD), WORD).where("doc_id = 5").first().text
     t = docs.where("doc_id = 5").first().text
     assert back == lib.decode(lib.encode(t, add_special_tokens=False).ids, skip_special_tokens=False)
