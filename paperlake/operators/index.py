@@ -117,7 +117,7 @@ def search_vectors(spark: SparkSession, root: str, questions: DataFrame, k: int,
         best = search.top(j.select("qid", "id", "score", "record"), k, ascending=True)
         found = search.window_or_message(best, asked, least, most).join(best.select("qid", "id", "record"), ["qid", "id"], "left")
         parts.append(found.select(F.lit(c).alias("collection"), "qid", F.col("record").alias("id"), "score", "rank", "message"))
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "collection string, qid long, id string, score double, rank long, message string")
 
 
 def save_chunks(spark: SparkSession, root: str, chunks: DataFrame, secrets: dict[str, str] | None = None) -> None:
@@ -146,7 +146,19 @@ def search_chunks(spark: SparkSession, root: str, questions: DataFrame, k: int,
             rows = met.groupBy("id", "dl").agg(F.flatten(F.collect_list(F.array_repeat("number", F.col("tf").cast("int")))).alias("terms"))
             scores = search.score_terms(rows, times.assign(term=times["term"].map(number)), df, stats["n"], (stats["len"] or 0) / max(stats["n"], 1), search.K1, search.B, k)
             parts.append(search.top(scores, k).select(F.lit(c).alias("collection"), "qid", "id", "score", "rank"))
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "collection string, qid long, id long, score double, rank long")
+
+
+def index_documents(spark: SparkSession, root: str, chunks: DataFrame, vectors: DataFrame | None = None, method: str | None = None, chunking: str = "chunking_method") -> dict:
+    """Both indexes of chunks (collection, id, content, metadata): postings, and vectors (id, vector) where they are given; of one chunking method alone if it is named. What was written is told by kind."""
+    rows = chunks.where(F.element_at("metadata", F.lit(chunking)) == method) if method else chunks
+    save_chunks(spark, f"{root}/sparse", rows)
+    written = {"sparse": f"{root}/sparse"}
+    if vectors is not None:
+        joined = rows.join(vectors.select(F.col("id").alias("__i"), "vector"), F.col("id") == F.col("__i")).select("collection", F.col("id").alias("ord"), "id", "content", "metadata", "vector")
+        save_vectors(spark, f"{root}/vectors", joined)
+        written["vectors"] = f"{root}/vectors"
+    return written
 
 
 def index_id(name: str, group: str) -> str:

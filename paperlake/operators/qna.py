@@ -124,3 +124,26 @@ def update_paths(rows: DataFrame, json_col: str, values: dict[str, Column]) -> D
         return F.concat(F.lit("{"), F.array_join(F.concat(old, new), ","), F.lit("}"))
 
     return rows.withColumn(json_col, merged(F.col(json_col), tree))
+
+
+def with_chunk_meta(chunks: DataFrame, metas: DataFrame, prefix: bool = False) -> DataFrame:
+    """Chunks (chunk_key, …) with the metadata rows of their key (seq_no); with prefix, of every key that theirs starts with, so `1_page_char_10` meets `1_page_char_1` as well."""
+    if not prefix:
+        return chunks.join(metas, F.col("chunk_key") == F.col("seq_no"))
+    starts = F.transform(F.sequence(F.lit(1), F.length("chunk_key")), lambda i: F.substring("chunk_key", F.lit(1), i))
+    return chunks.where("chunk_key <> ''").withColumn("__start", F.explode(starts)).join(metas, F.col("__start") == F.col("seq_no")).drop("__start")
+
+
+def consolidate_questions(rows: DataFrame, mapping: dict[str, str], prefix: str = "Q", last: int = 0, width: int = 3, order: tuple[str, ...] = ("id", "pos")) -> DataFrame:
+    """Generated questions of all documents under one numbering that goes on from `last` in each document: columns renamed by mapping, a list of pages as `1, 2` text."""
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)) + last
+    q = rows.withColumn("Q_No", F.concat(F.lit(prefix), F.lpad(n.cast("string"), width, "0")))
+    pages = F.array_join(F.transform("pages", lambda p: p.cast("string")), ", ")
+    return q.select("doc_id", "Q_No", pages.alias("pages"), *[F.col(a).alias(b) for a, b in mapping.items()])
+
+
+def compare_runs(runs: dict[str, DataFrame], values: list[str]) -> DataFrame:
+    """(run, values): the means of each run, side by side in rows."""
+    from functools import reduce
+
+    return reduce(DataFrame.unionByName, [df.agg(*[F.round(F.avg(v), 6).alias(v) for v in values]).select(F.lit(name).alias("run"), *values) for name, df in runs.items()])

@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paperlake.functions import text as T
-from paperlake.operators import qna
+from paperlake.operators import qna, search
+from paperlake.sources.shared import checkpoint
 
 Provider = Callable[[list[str]], list[str]]
 
@@ -248,3 +249,12 @@ def search_request(questions: DataFrame, top_k: int, limit: int = 100) -> None:
     n, blank = questions.agg(F.count("*"), F.count_if(F.col("question").isNull() | (F.trim("question") == ""))).first()
     if not n or blank or n > limit or top_k <= 0:
         raise ValueError(f"{n} questions, {blank} of them blank, top_k {top_k}")
+
+
+def semantic_search(questions: DataFrame, chunks: DataFrame, sparse: DataFrame, dense: DataFrame, provider: Provider, template: str, k: int = 3, **how) -> DataFrame:
+    """(qid, answer, status, contexts, source_id): ranked lists (qid, id, rank) fused, the k best chunks (id, content) as context, and the provider's answer; contexts are joined by full stops up to k."""
+    fused = checkpoint(search.rrf([sparse, dense], k))  # k rows a question, which three joins read
+    matches = fused.join(chunks.select("id", "content"), "id").select("qid", "id", "rank", "score", "content")
+    got = read(questions.withColumn("attribute_key", F.col("qid").cast("string")), matches, provider, template, k=k, **how)
+    context = matches.groupBy(F.col("qid").alias("__q")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "content"))), lambda e: e["content"]), ".").alias("contexts"))  # k chunks
+    return got.join(context, F.col("qid") == F.col("__q"), "left").select("qid", "answer", "status", F.coalesce("contexts", F.lit("")).alias("contexts"), "source_id")

@@ -827,6 +827,28 @@ def updated_json(spark, d):
     return qna.report_paths(out, "j", {"status": "$.status", "key": "$.meta.key", "note": "$.meta.note", "added": "$.added"})
 
 
+def prefix_meta(spark, d):
+    keys = _layout(spark, d).select("doc_id", "ord").withColumn("chunk_key", F.concat_ws("_", F.lit("page_char"), F.col("ord").cast("string")))
+    metas = _t(spark, d, "region").select(F.concat(F.lit("page_char_"), (F.col("r_regionkey") + 1).cast("string")).alias("seq_no"), "r_name")
+    return qna.with_chunk_meta(keys, metas, prefix=True).select("doc_id", "ord", "seq_no", "r_name")
+
+
+def consolidated_questions(spark, d):
+    rows = _t(spark, d, "conversations").where("role = 'user'").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), F.col("text").alias("question"), F.array("turn", F.col("turn") + 1).alias("pages"), F.lit(0).alias("id"))
+    return qna.consolidate_questions(rows, {"question": "Question"}, "N", 5, 4)
+
+
+def compared_runs(spark, d):
+    labels, parts = _t(spark, d, "labels"), _t(spark, d, "part")
+    return qna.compare_runs({"first": labels.select(F.col("quality").alias("a"), F.col("toxic").alias("b")), "second": parts.select(F.col("p_size").alias("a"), F.col("p_retailprice").alias("b"))}, ["a", "b"])
+
+
+def searched_answers(spark, d):
+    chunks_ = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("content"))
+    q = _questions(spark, d)
+    return reader.semantic_search(q, chunks_, *_hybrid(spark, d), _echo, "{context}Q: {question}", 2, as_json=True)
+
+
 def overlap_dedup(spark, d):
     s = _layout(spark, d).withColumn("y2", F.col("y2") + (F.col("ord") % 3) * 10)
     return layout.drop_overlaps(s)
@@ -877,7 +899,7 @@ _ALL = [
     context_lists, prompt_fill, llm_scores, qna_blocks, qna_numbering, batch_report, graph_nodes_edges, request_filter, region_tokens, outside_tokens, nearest_right, nearest_below,
     anchor_regions, region_subtraction, ocr_azure_read, ocr_azure_regions, ocr_aws_blocks, ocr_pdf_tokens, ocr_hocr, word_links, word_cells, picked_cells, table_header_names, y_clusters, word_lines, distinct_segments, sized_boxes,
     reader_answers, picked_lists, moderated_answers, hashed_embeddings, rewritten_queries, reader_inputs, zipped_answers, page_margins, first_majorities, document_metadata, generated_questions, generated_scores, overlap_scores, score_means,
-    numbered_answers, context_answers, evaluation_dataset, piece_counts, generated_segments, consolidated_segments, classified_segments, sequence_zigzag_dynamic, sequence_by_layout, configured_chunks, updated_rows, scaled_boxes, planned_requests, request_rounds, filled_metadata, recognised_tokens, converted_pages, mark_states, detected_tables, key_values, ruled_table_cells, unruled_table_cells, aggregated_detections, event_dates, updated_json, anchor_similarity, anchor_pattern, one_anchor_boxes, two_anchor_boxes, attribute_values, nearest_hops, nearest_fields,
+    numbered_answers, context_answers, evaluation_dataset, piece_counts, generated_segments, consolidated_segments, classified_segments, sequence_zigzag_dynamic, sequence_by_layout, configured_chunks, updated_rows, scaled_boxes, planned_requests, request_rounds, filled_metadata, prefix_meta, consolidated_questions, compared_runs, searched_answers, recognised_tokens, converted_pages, mark_states, detected_tables, key_values, ruled_table_cells, unruled_table_cells, aggregated_detections, event_dates, updated_json, anchor_similarity, anchor_pattern, one_anchor_boxes, two_anchor_boxes, attribute_values, nearest_hops, nearest_fields,
     overlap_dedup, overlap_dedup_in_order, larger_segments, adjacent_merge, phrase_build, phrase_build_diagonal, character_chunks, greedy_match, grid_scores,
 ]
 

@@ -425,6 +425,14 @@ SELECT image_subpath, 'm' AS model, 0::BIGINT AS det_id, 0.5::DOUBLE AS confiden
 UNION ALL SELECT image_subpath, 'm', 1, 0.25, 1, 1, 2, 2 FROM p""",
     "event_dates": "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp, strftime(ts, '%Y%m%d') AS day FROM events",
     "updated_json": "SELECT o_orderkey, 'new' AS status, o_custkey::VARCHAR AS key, o_orderkey::VARCHAR AS note, 'true' AS added FROM orders",
+    "prefix_meta": f"WITH {_LAY} SELECT doc_id, ord, 'page_char_' || (r_regionkey + 1) AS seq_no, r_name FROM lay JOIN region ON starts_with('page_char_' || ord, 'page_char_' || (r_regionkey + 1))",
+    "consolidated_questions": "SELECT conv_id AS doc_id, 'N' || lpad((5 + row_number() OVER (PARTITION BY conv_id ORDER BY turn))::VARCHAR, 4, '0') AS Q_No, turn || ', ' || (turn + 1) AS pages, text AS \"Question\" FROM conversations WHERE role = 'user'",
+    "compared_runs": "SELECT 'first' AS run, round(avg(quality), 6) AS a, round(avg(toxic), 6) AS b FROM labels UNION ALL SELECT 'second', round(avg(p_size), 6), round(avg(p_retailprice), 6) FROM part",
+    "searched_answers": f"""WITH {_HYB}, e AS (SELECT qid, id, rank, 0 AS source FROM sp UNION ALL SELECT qid, id, rank, 1 FROM de),
+f AS (SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(source * 1000 + rank) AS first FROM e GROUP BY qid, id), k AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, first, id) AS rank FROM f QUALIFY rank <= 2),
+c AS (SELECT qid, string_agg(string_split(text, chr(10))[1], '.' ORDER BY rank) AS contexts, string_agg(coalesce(string_split(text, chr(10))[1], '') || chr(10), '' ORDER BY rank) AS context FROM k JOIN documents d ON d.doc_id = k.id GROUP BY qid),
+p AS (SELECT b.item_id AS qid, coalesce(context, '') || 'Q: ' || text AS p, coalesce(contexts, '') AS contexts FROM benchmark b LEFT JOIN c ON c.qid = b.item_id)
+SELECT qid, length(p)::VARCHAR AS answer, 'ok' AS status, contexts, CASE WHEN contains(p, '[') THEN split_part(substr(p, strpos(p, '[') + 1), ']', 1) ELSE '' END AS source_id FROM p""",
     "region_tokens": f"WITH {_LAY}, {_REG} SELECT region_id, t.doc_id, t.page, t.ord FROM lay t JOIN reg r ON t.doc_id = r.doc_id AND t.page = r.page AND x1 >= rx1 AND y1 >= ry1 AND x2 <= rx2 AND y2 <= ry2",
     "outside_tokens": f"WITH {_LAY}, {_REG} SELECT doc_id, page, ord FROM lay t WHERE NOT EXISTS (SELECT 1 FROM reg r WHERE t.doc_id = r.doc_id AND t.page = r.page AND ((x1 >= rx1 AND y1 >= ry1 AND x2 <= rx2 AND y2 <= ry2) OR (rx1 >= x1 AND ry1 >= y1 AND rx2 <= x2 AND ry2 <= y2)))",
     "nearest_right": _near("b.x1 - a.x2", "least(a.y2, b.y2) - greatest(a.y1, b.y1)", "(a.y2 - a.y1) * 0.5::DOUBLE"),

@@ -110,10 +110,17 @@ def truth_tables(spark: SparkSession, path: str) -> DataFrame:
 _DETECTIONS = "metadata MAP<STRING, STRING>, records ARRAY<STRUCT<image: STRING, model_name: STRING, confidence: DOUBLE, bbox: ARRAY<DOUBLE>>>"
 
 
-def detections(spark: SparkSession, path: str) -> DataFrame:
-    """(image, model, det_id, confidence, box) of detection files {metadata, records}; model_ metadata goes to each record."""
+def detections(spark: SparkSession, path: str, one_dataset: bool = False) -> DataFrame:
+    """(image, model, det_id, confidence, box) of detection files {metadata, records}; model_ metadata goes to each record.
+
+    A record that has such a key itself is an error, and with one_dataset so are files of several dataset names.
+    """
     raw = spark.read.schema(_DETECTIONS).json(path, multiLine=True)
     r = raw.select("metadata", F.posexplode("records").alias("det_id", "r"))
+    if r.where(F.col("r.model_name").isNotNull() & F.map_contains_key("metadata", "model_name")).limit(1).count():
+        raise ValueError("a record has a key of its file's metadata")
+    if one_dataset and raw.select(F.col("metadata")["dataset_name"].alias("d")).distinct().limit(2).count() > 1:
+        raise ValueError("the files are of several datasets")
     b = F.col("r.bbox")
     return r.select("r.image", F.coalesce("r.model_name", F.col("metadata")["model_name"]).alias("model"), F.col("det_id").cast("long").alias("det_id"), "r.confidence", b[0].alias("x1"), b[1].alias("y1"), b[2].alias("x2"), b[3].alias("y2"))
 

@@ -261,3 +261,19 @@ def test_stream_takes_each_document_once(spark, tmp_path):
     postings, documents = ingest.read_index(spark, ix)
     assert sorted((r.doc_id, r.dl) for r in documents.collect()) == [(1, 2), (2, 0), (3, 1)]
     assert sorted((r.id, r.term) for r in postings.collect()) == [(1, "alpha"), (1, "beta"), (3, "beta")]
+
+
+def test_both_indexes_and_detection_files(spark, tmp_path):
+    c = spark.createDataFrame([("c", 1, "alpha", {"chunking_method": "page"}), ("c", 2, "beta", {"chunking_method": "segment"})], "collection string, id long, content string, metadata map<string,string>")
+    v = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "id long, vector array<double>")
+    where = index.index_documents(spark, "file://" + str(tmp_path / "ix"), c, v, method="page")
+    assert [r.id for r in index.get_records(spark, where["vectors"]).collect()] == ["1"]
+    record = {"image": "i", "confidence": 0.5, "bbox": [0, 0, 1, 1]}
+    for n, meta in (("a", {"model_name": "m", "dataset_name": "x"}), ("b", {"model_name": "n", "dataset_name": "y"})):
+        (tmp_path / f"{n}.json").write_text(json.dumps({"metadata": meta, "records": [record]}))
+    assert {r.model for r in files.detections(spark, str(tmp_path / "*.json")).collect()} == {"m", "n"}
+    with pytest.raises(ValueError):
+        files.detections(spark, str(tmp_path / "*.json"), one_dataset=True)
+    (tmp_path / "c.json").write_text(json.dumps({"metadata": {"model_name": "m"}, "records": [record | {"model_name": "z"}]}))
+    with pytest.raises(ValueError):
+        files.detections(spark, str(tmp_path / "c.json"))
