@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-#: Our own short English list; any list of lower-case words can be passed instead.
+#: The 33 English stop words that the Lucene project's analyzers have by default; any list of lower-case words can be passed instead.
 STOP_WORDS = tuple("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 

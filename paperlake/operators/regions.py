@@ -67,7 +67,7 @@ def subtract(regions: DataFrame, cuts: DataFrame) -> DataFrame:
 
 
 def hocr_tokens(pages: DataFrame, text_col: str = "text") -> DataFrame:
-    """(…, kind, text, x, y, w, h, conf) of hOCR text, by patterns: words with their confidence, and lines' boxes."""
+    """(…, kind, text, x, y, w, h, conf) of the words of hOCR text; ocr.hocr has lines and page boxes as well."""
     pattern = r"(?s)<span class=['\"]ocrx_word['\"][^>]*title=['\"]bbox (\d+) (\d+) (\d+) (\d+); x_wconf (\d+)[^>]*>(.*?)</span>"
     parts = [F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(i)) for i in range(1, 7)]
     rest = [c for c in pages.columns if c != text_col]
