@@ -146,11 +146,11 @@ def text_sums(docs: DataFrame, table: DataFrame, broadcast_grams: int = BROADCAS
     text_batches(spark)
     if table.count() <= broadcast_grams:
         t = table.select("hi", "lo", "lp").toArrow()  # its size is checked
-        shared = spark.sparkContext.broadcast(_lookup(*(t.column(c).to_numpy() for c in ("hi", "lo", "lp"))))
+        shared = spark.sparkContext.broadcast(Lookup(*(t.column(c).to_numpy() for c in ("hi", "lo", "lp"))))
 
         @F.pandas_udf("symbols long, lp double")
         def score(texts: pd.Series) -> pd.DataFrame:
-            keys, lp, factor = shared.value
+            table = shared.value
             symbols, total = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts))
             held: list[np.ndarray] = []
             owner: list[int] = []
@@ -160,7 +160,7 @@ def text_sums(docs: DataFrame, table: DataFrame, broadcast_grams: int = BROADCAS
                 nonlocal size
                 if held:
                     lengths = np.array([len(x) for x in held])
-                    found = lp[np.searchsorted(keys, np.concatenate(held))]
+                    found = table.values(np.concatenate(held))
                     np.add.at(total, owner, np.add.reduceat(found, np.cumsum(lengths) - lengths))
                     np.add.at(symbols, owner, lengths)
                 held.clear()
@@ -169,7 +169,7 @@ def text_sums(docs: DataFrame, table: DataFrame, broadcast_grams: int = BROADCAS
 
             for i, text in enumerate(texts):
                 for h, g in grams(text or ""):
-                    held.append(_mixed(h, g, factor))
+                    held.append(_mixed(h, g, table.factor))
                     owner.append(i)
                     size += len(h)
                     if size > 1 << 17:
@@ -197,15 +197,29 @@ def _mixed(hi: np.ndarray, lo: np.ndarray, factor: int) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def _lookup(hi: np.ndarray, lo: np.ndarray, lp: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sorted 64-bit keys of all grams, no two of them alike, and their values; so a gram that is in the table has its own key."""
-    for factor in range(0xC2B2AE3D27D4EB4F, 1 << 64, 2):
-        keys = _mixed(hi, lo, factor)
-        order = np.argsort(keys)
-        keys = keys[order]
-        if not (keys[1:] == keys[:-1]).any():
-            return keys, lp[order], factor
-    raise ValueError("no factor tells the grams apart")
+class Lookup:
+    """The values of grams under 64-bit keys, no two of them alike; every gram that is looked up must be in it, so it has its own key."""
+
+    def __init__(self, hi: np.ndarray, lo: np.ndarray, lp: np.ndarray):
+        for self.factor in range(0xC2B2AE3D27D4EB4F, 1 << 64, 2):
+            keys = _mixed(hi, lo, self.factor)
+            order = np.argsort(keys)
+            keys = keys[order]
+            if not (keys[1:] == keys[:-1]).any():
+                break
+        self.keys, self.lp = keys, lp[order]
+        bits = max(1, len(keys).bit_length())
+        self.shift = np.uint64(64 - bits)
+        #: Where the keys of each leading bit pattern start; about one has each.
+        self.first = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def values(self, wanted: np.ndarray) -> np.ndarray:
+        at = self.first[wanted >> self.shift]
+        left = np.flatnonzero(self.keys[at] != wanted)
+        while len(left):
+            at[left] += 1
+            left = left[self.keys[at[left]] != wanted[left]]
+        return self.lp[at]
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
