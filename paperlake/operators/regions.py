@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paperlake.functions import bbox
 
@@ -15,10 +15,21 @@ def _named(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(prefix + c) for c in df.columns])
 
 
+#: Units of a band of a page; boxes meet only where they share one.
+BAND = 100
+
+
+def _bands(low: Column, high: Column) -> Column:
+    """The bands that an interval lies in."""
+    return F.explode(F.sequence(F.floor(low / BAND), F.floor(F.greatest(low, high) / BAND)))
+
+
 def tokens_within(tokens: DataFrame, regions: DataFrame, tolerance: float = 0) -> DataFrame:
     """(region_id, doc_id, page, ord): tokens that lie wholly inside a region of their page, borders included."""
-    r = _named(regions, "r_")
-    return tokens.join(r, _on("r_", "") & bbox.contains(bbox.box("r_"), bbox.box(), tolerance)).select(F.col("r_region_id").alias("region_id"), "doc_id", "page", "ord")
+    r = _named(regions, "r_").withColumn("__rb", _bands(F.col("r_y1") - tolerance, F.col("r_y2") + tolerance))
+    t = tokens.withColumn("__tb", F.floor(F.col("y1") / BAND))  # a token's top is in one band
+    on = _on("r_", "") & (F.col("__rb") == F.col("__tb")) & bbox.contains(bbox.box("r_"), bbox.box(), tolerance)
+    return t.join(r, on).select(F.col("r_region_id").alias("region_id"), "doc_id", "page", "ord")
 
 
 def tokens_outside(tokens: DataFrame, regions: DataFrame) -> DataFrame:
@@ -30,7 +41,9 @@ def tokens_outside(tokens: DataFrame, regions: DataFrame) -> DataFrame:
 
 def nearest(tokens: DataFrame, side: str, threshold: float = 0) -> DataFrame:
     """(doc_id, page, ord, near_ord, distance): each token's nearest one on a side of the page, of those that share `threshold` of its extent or more across."""
-    t, o = tokens, _named(tokens, "o_")
+    low, high = ("y1", "y2") if side in ("right", "left") else ("x1", "x2")
+    t = tokens.withColumn("__b", _bands(F.col(low), F.col(high)))
+    o = _named(tokens, "o_").withColumn("__ob", _bands(F.col("o_" + low), F.col("o_" + high)))  # two that share a stretch share a band of it
     a, b = bbox.box(), bbox.box("o_")
     across_y = F.least(a[3], b[3]) - F.greatest(a[1], b[1])
     across_x = F.least(a[2], b[2]) - F.greatest(a[0], b[0])
@@ -38,7 +51,7 @@ def nearest(tokens: DataFrame, side: str, threshold: float = 0) -> DataFrame:
         "right": (b[0] - a[2], across_y, a[3] - a[1]), "left": (a[0] - b[2], across_y, a[3] - a[1]),
         "bottom": (b[1] - a[3], across_x, a[2] - a[0]), "top": (a[1] - b[3], across_x, a[2] - a[0]),
     }[side]
-    j = t.join(o, _on("", "o_") & (F.col("ord") != F.col("o_ord")) & (gap >= 0) & (shared > 0) & (shared >= whole * threshold))
+    j = t.join(o, _on("", "o_") & (F.col("__b") == F.col("__ob")) & (F.col("ord") != F.col("o_ord")) & (gap >= 0) & (shared > 0) & (shared >= whole * threshold))
     return j.groupBy("doc_id", "page", "ord").agg(F.min(F.struct(gap.alias("distance"), F.col("o_ord").alias("near_ord"))).alias("b")).select("doc_id", "page", "ord", "b.near_ord", "b.distance")
 
 
