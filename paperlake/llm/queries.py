@@ -99,21 +99,21 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = """
-WITH RECURSIVE c AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
-r AS (SELECT conv_id, turn - 1 AS turn, text FROM conversations WHERE role = 'assistant'),
-asked AS (SELECT conv_id, turn, count(*) AS asked FROM c GROUP BY ALL),
-got AS (SELECT conv_id, turn, count(*) AS got FROM r GROUP BY ALL),
-dep AS (SELECT conv_id, turn, 0 AS depth FROM asked a WHERE NOT EXISTS (SELECT 1 FROM asked b WHERE b.conv_id = a.conv_id AND b.turn = a.turn - 2)
- UNION ALL SELECT a.conv_id, a.turn, dep.depth + 1 FROM dep JOIN asked a ON a.conv_id = dep.conv_id AND a.turn = dep.turn + 2),
-e AS (SELECT *, CASE WHEN text IS NULL THEN 'missing:prompt' ELSE '' END AS errors FROM c)
-SELECT conv_id, 'c' || turn AS call_id, 'call' AS kind, CAST(2 * depth AS BIGINT) AS position,
+WITH RECURSIVE c AS (SELECT conv_id, coalesce(CAST(conv_id AS VARCHAR), '') AS k, turn, text FROM conversations WHERE role = 'user'),
+r AS (SELECT conv_id, coalesce(CAST(conv_id AS VARCHAR), '') AS k, turn - 1 AS turn, text FROM conversations WHERE role = 'assistant'),
+asked AS (SELECT k, turn, count(*) AS asked FROM c WHERE turn IS NOT NULL GROUP BY ALL),
+got AS (SELECT k, turn, count(*) AS got FROM r WHERE turn IS NOT NULL GROUP BY ALL),
+dep AS (SELECT k, turn, 0 AS depth FROM asked a WHERE NOT EXISTS (SELECT 1 FROM asked b WHERE b.k = a.k AND b.turn = a.turn - 2)
+ UNION ALL SELECT a.k, a.turn, dep.depth + 1 FROM dep JOIN asked a ON a.k = dep.k AND a.turn = dep.turn + 2),
+e AS (SELECT *, array_to_string(list_filter([CASE WHEN text IS NULL THEN 'missing:prompt' END, CASE WHEN turn IS NULL THEN 'missing:turn' WHEN turn < 0 THEN 'range:turn' END], lambda x: x IS NOT NULL), ',') AS errors FROM c)
+SELECT conv_id, 'c' || turn AS call_id, 'call' AS kind, CAST(CASE WHEN turn IS NULL THEN 0 ELSE 2 * depth END AS BIGINT) AS position,
  CASE WHEN errors <> '' THEN 'invalid' WHEN asked > 1 THEN 'duplicate' WHEN got IS NULL THEN 'unanswered' ELSE 'ok' END AS status, errors,
- '{"arguments":{' || CASE WHEN text IS NULL THEN '' ELSE '"prompt":' || CAST(to_json(text) AS VARCHAR) || ',' END || '"turn":' || turn || '},"id":"c' || turn || '","name":"ask","type":"call"}' AS message
-FROM e JOIN asked USING (conv_id, turn) JOIN dep USING (conv_id, turn) LEFT JOIN got USING (conv_id, turn)
+ '{"arguments":{' || concat_ws(',', CASE WHEN text IS NOT NULL THEN '"prompt":' || CAST(to_json(text) AS VARCHAR) END, '"turn":' || turn) || '},' || CASE WHEN turn IS NULL THEN '' ELSE '"id":"c' || turn || '",' END || '"name":"ask","type":"call"}' AS message
+FROM e LEFT JOIN asked USING (k, turn) LEFT JOIN dep USING (k, turn) LEFT JOIN got USING (k, turn)
 UNION ALL
 SELECT conv_id, 'c' || turn, 'result', CAST(2 * depth + 1 AS BIGINT), CASE WHEN asked IS NULL THEN 'orphan' WHEN got > 1 THEN 'duplicate' ELSE 'ok' END, '',
- '{' || CASE WHEN text IS NULL THEN '' ELSE '"content":' || CAST(to_json(text) AS VARCHAR) || ',' END || '"id":"c' || turn || '","type":"result"}'
-FROM r LEFT JOIN asked USING (conv_id, turn) LEFT JOIN dep USING (conv_id, turn) LEFT JOIN got USING (conv_id, turn)
+ '{' || CASE WHEN text IS NULL THEN '' ELSE '"content":' || CAST(to_json(text) AS VARCHAR) || ',' END || CASE WHEN turn IS NULL THEN '' ELSE '"id":"c' || turn || '",' END || '"type":"result"}'
+FROM r LEFT JOIN asked USING (k, turn) LEFT JOIN dep USING (k, turn) LEFT JOIN got USING (k, turn)
 UNION ALL
 SELECT conv_id, CAST(NULL AS VARCHAR), 'message', CAST(NULL AS BIGINT), 'ok', '',
  '{' || CASE WHEN text IS NULL THEN '' ELSE '"content":' || CAST(to_json(text) AS VARCHAR) || ',' END || CASE WHEN role IS NULL THEN '' ELSE '"role":' || CAST(to_json(role) AS VARCHAR) || ',' END

@@ -74,3 +74,40 @@ def test_run_leaves_the_last_stage_alone(spark, tmp_path):
     out = corpus_pipeline.run(spark, DATA)
     folder = os.path.dirname(out.inputFiles()[0].removeprefix("file://"))
     assert os.listdir(os.path.dirname(folder)) == [str(len(corpus_pipeline.STAGES) - 1)] and out.count() > 0
+
+
+@pytest.fixture(scope="module")
+def odd_tables(spark, tmp_path_factory):
+    """Tables with nulls in every column, repeated rows, empty and long texts, and columns that clash with the operators' own; and the same without rows."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(25)
+    odd = spark.createDataFrame([(None, None, None, None, None), (7, "", "en", "s", 0), (8, None, None, "s", None), (9, "a b c d e f g h i j k " * 3000, "en", None, 5), (9, "\n \t", None, None, 1), (10, "no letters 12?!", "xx", "s", 3)], docs.schema)
+    docs = docs.unionByName(odd).unionByName(odd).withColumn("digest", F.lit("mine")).withColumn("key", F.lit(1)).withColumn("shard", F.lit("s"))
+    turns = spark.read.parquet(f"{DATA}/conversations.parquet")
+    turns = turns.unionByName(spark.createDataFrame([(None, 0, "user", "x"), (1, None, "user", None), (1, 5, None, "y"), (2, 1, "tool", None), (2, 1, "tool", None)], turns.schema)).withColumn("position", F.lit(1))
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    bench = bench.unionByName(spark.createDataFrame([(None, None), (5, ""), (6, "g h i j")], bench.schema))
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    labels = labels.unionByName(spark.createDataFrame([(None, 1, None), (9, None, 0)], labels.schema))
+    folders = []
+    for kind in ("odd", "none"):
+        d = str(tmp_path_factory.mktemp(kind))
+        for name, df in (("documents", docs), ("conversations", turns), ("benchmark", bench), ("labels", labels)):
+            (df if kind == "odd" else df.where("false")).coalesce(1).write.parquet(f"{d}/{name}.parquet")
+        folders.append((d, turns.count() if kind == "odd" else 0, docs.count() if kind == "odd" else 0))
+    return folders
+
+
+@pytest.mark.parametrize("name", sorted(queries.queries()))
+def test_every_query_bears_odd_tables(spark, odd_tables, name):
+    for folder, n_turns, n_docs in odd_tables:
+        df = queries.queries()[name](spark, folder)
+        cols = sorted(df.columns)
+        rows = Counter(tuple(r[c] for c in cols) for r in df.collect())
+        assert sum(rows.values()) == (n_turns if name.startswith("op10_") else n_docs)
+        if name in queries.oracle_sql():
+            con = duckdb.connect()
+            for f in os.listdir(folder):
+                con.sql(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{folder}/{f}/*.parquet'")
+            rel = con.sql(queries.oracle_sql()[name])
+            at = [rel.columns.index(c) for c in cols]
+            assert rows == Counter(tuple(r[i] for i in at) for r in rel.fetchall()), folder
