@@ -30,8 +30,8 @@ from tokenizers import Regex, normalizers, pre_tokenizers
 
 from paperlake.llm.common import text_batches
 
-#: Words whose ids a process keeps; beyond it the store starts anew. About 30 MB.
-CACHE_WORDS = 100_000
+#: Words whose ids a process keeps, and as many of those before; about 60 MB in all.
+CACHE_WORDS = 150_000
 _CACHED_CHARS = 64
 _PIECE = 1 << 18
 _LONG_WORD = 1 << 12
@@ -110,7 +110,7 @@ class Vocabulary:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    @functools.lru_cache(maxsize=100_000)
+    @functools.lru_cache(maxsize=200_000)
     def compatible(self, a: str, b: str) -> bool:
         """Whether merging a + b would leave the border between the two."""
         limit = 1 << 40
@@ -185,6 +185,7 @@ class WordTokenizer:
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         self.vocabulary = Vocabulary(path)
         self.cache: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.library = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         self.cache_words = cache_words
         self.gap = re.compile(_SPACE)
@@ -205,15 +206,17 @@ class WordTokenizer:
         return text.lower() if text.isascii() else self.library.normalize_str(text)
 
     def _words(self, text: str) -> Iterator[bytes]:
-        cache = self.cache
+        cache, before = self.cache, self.before
         late = not text.isascii() and self.rare.search(text) and not self.unknown.isdisjoint(text)
         for m in (self.split_late if late else self.split).findall(text):
             got = cache.get(m)
             if got is None:
-                got = self.vocabulary.encode_bytes(m.encode())
+                got = before.get(m)
+                if got is None:
+                    got = self.vocabulary.encode_bytes(m.encode())
                 if len(m) <= _CACHED_CHARS:
-                    if len(cache) >= self.cache_words:
-                        cache.clear()
+                    if len(cache) >= self.cache_words:  # words in use move on, the others go
+                        self.cache, self.before = cache, before = {}, cache
                     cache[m] = got
             yield got
 
