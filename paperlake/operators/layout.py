@@ -141,19 +141,160 @@ def _f(hits: float, predicted: int, true: int) -> tuple[float, float, float]:
     return (2 * p * r / (p + r) if p + r else 0.0), p, r
 
 
+#: Strings beyond this length are compared one by one, shorter ones by blocks.
+_SHORT = 255
+_PAD, _NONE = 0xFFFF, 0xFFFE
+
+
+class _Strings:
+    """Distinct strings that others are compared with: codes of their characters, a column for each string, in groups of like lengths."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.texts = texts
+        self.lengths = np.array([len(t) for t in texts], dtype=np.int64)
+        letters = sorted(set().union(*texts)) if texts else []
+        self.code = {c: i for i, c in enumerate(letters)}
+        self.whole = len(letters) >= _NONE
+        self.groups, self.long = [], [i for i, t in enumerate(texts) if len(t) > _SHORT or self.whole]
+        short = [i for i, t in enumerate(texts) if 0 < len(t) <= _SHORT] if not self.whole else []
+        for width in sorted({-(-len(texts[i]) // 8) * 8 for i in short}):
+            of = np.array([i for i in short if width - 8 < len(texts[i]) <= width])
+            for part in np.split(of, range(4096, len(of), 4096)):  # so many columns at a time
+                codes = np.full((width, len(part)), _PAD, dtype=np.uint16)
+                for column, i in enumerate(part):
+                    codes[: len(texts[i]), column] = [self.code[c] for c in texts[i]]
+                self.groups.append((part, codes))
+
+    def matching(self, a: str) -> np.ndarray:
+        """difflib's number of matching characters of a and each string: the longest common block, the first in a and then in the string, and what matches on both sides of it."""
+        out = np.zeros(len(self.texts), dtype=np.int64)
+        one_by_one = range(len(self.texts)) if len(a) > _SHORT else self.long
+        for i in one_by_one:
+            out[i] = sum(x.size for x in difflib.SequenceMatcher(None, a, self.texts[i], autojunk=False).get_matching_blocks())
+        if a and len(a) <= _SHORT:
+            codes = np.array([self.code.get(c, _NONE) for c in a] + [_NONE], dtype=np.uint16)
+            for part, theirs in self.groups:
+                out[part] = _block_matches(codes, theirs, self.lengths[part])
+        return out
+
+
+def _block_matches(a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Matching characters of one string (codes and a last one that fits nothing) and of each column of b. Every round looks at all ranges that are left, of any column."""
+    total = np.zeros(b.shape[1], dtype=np.int64)
+    column, sub = np.arange(b.shape[1]), b
+    a_low, b_low = np.zeros(len(column), dtype=np.int64), np.zeros(len(column), dtype=np.int64)
+    a_high, b_high = np.full(len(column), len(a) - 1), lengths
+    while len(column):
+        width, depth = sub.shape[0], int((a_high - a_low).max())
+        run, best = np.zeros(sub.shape, dtype=np.uint8), np.zeros(sub.shape, dtype=np.uint16)
+        first = a_low.max() == 0 and (a_high == len(a) - 1).all()
+        for i in range(depth):
+            here = a[i] if first else a[np.where(a_low + i < a_high, a_low + i, len(a) - 1)]
+            if first and here == _NONE:
+                run[:] = 0
+                continue
+            after = np.empty_like(run)
+            after[0] = 1
+            np.add(run[:-1], 1, out=after[1:])
+            after *= sub == here
+            run = after
+            np.maximum(best, (run.astype(np.uint16) << 8) | np.uint16(255 - i), out=best)  # longest, then first in a
+        key = ((best.astype(np.uint32) << 8) | (255 - np.arange(width, dtype=np.uint32))[:, None]).max(axis=0).astype(np.int64)  # then first in b
+        size = key >> 16
+        total += np.bincount(column, weights=size, minlength=len(total)).astype(np.int64)
+        i, j = a_low + 256 - ((key >> 8) & 255) - size, b_low + 256 - (key & 255) - size
+        left, right = (size > 0) & (i > a_low) & (j > b_low), (size > 0) & (i + size < a_high) & (j + size < b_high)
+        column, a_low, a_high, b_low, b_high = (np.concatenate([x[left], y[right]]) for x, y in (
+            (column, column), (a_low, i + size), (i, a_high), (b_low, j + size), (j, b_high)))
+        if len(column):
+            at = b_low + np.arange(int((b_high - b_low).max()))[:, None]
+            sub = np.where(at < b_high, b[np.minimum(at, len(b) - 1), column], np.uint16(_PAD))
+    return total
+
+
+def _lcs_rewards(found: list):
+    texts = sorted({x for x in found if isinstance(x, str)})
+    place = {t: i for i, t in enumerate(texts)}
+    strings, of = _Strings(texts), np.array([place[x] if isinstance(x, str) else -1 for x in found])
+
+    def scores(a) -> np.ndarray:
+        if not isinstance(a, str) or not texts:
+            return np.zeros(len(found))
+        both = len(a) + strings.lengths
+        ratio = np.where(both > 0, 2.0 * strings.matching(a) / np.maximum(both, 1), 1.0)
+        return np.where(of >= 0, ratio[of], 0.0)
+
+    return scores
+
+
+def _box_rewards(found: list):
+    boxes, of = np.unique(np.array(found, dtype=np.float64).reshape(-1, 4), axis=0, return_inverse=True)
+    low, high, area = boxes[:, :2], boxes[:, 2:], (boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1])
+
+    def scores(a) -> np.ndarray:
+        a = np.array(a, dtype=np.float64)
+        side = np.maximum(np.minimum(a[2:], high) - np.maximum(a[:2], low), 0)
+        both = side[:, 0] * side[:, 1]
+        union = (a[2] - a[0]) * (a[3] - a[1]) + area - both
+        return np.where(union > 0, both / np.where(union > 0, union, 1), 0.0)[of.reshape(-1)]
+
+    return scores
+
+
+def _advance(before: np.ndarray, reward: np.ndarray) -> np.ndarray:
+    """The next row of best totals of an alignment (or of many, on the last axis) after `before`."""
+    after = np.zeros_like(before)
+    np.maximum(before[..., 1:], before[..., :-1] + reward, out=after[..., 1:])
+    return np.maximum.accumulate(after, axis=-1)
+
+
 def grid_similarity(truth: list[list], found: list[list], reward=lcs_similarity) -> tuple[float, float, float, float]:
     """(F, precision, recall, upper bound of F) of the most similar substructures of two cell grids.
 
-    Rows and columns are aligned one after the other; the score is that of the cells where aligned rows and columns meet.
+    Rows and columns are aligned one after the other; the score is that of the cells where aligned rows and columns meet. Every
+    cell meets every other, a row of truth at a time: what is kept is a byte for each two rows, and a row of totals for each two columns.
     """
     n, m = sum(map(len, truth)), sum(map(len, found))
     if not n or not m:
         return (*_f(0.0, m, n), _f(0.0, m, n)[0])
-    cells = np.array([[[[reward(x, y) for y in b] for b in found] for x in a] for a in truth])  # row, column, found row, found column
-    by_rows, rows = _alignment(np.array([[_alignment(cells[i, :, k, :])[0] for k in range(cells.shape[2])] for i in range(cells.shape[0])]))
-    by_columns, columns = _alignment(np.array([[_alignment(cells[:, j, :, k])[0] for k in range(cells.shape[3])] for j in range(cells.shape[1])]))
-    total = float(sum(cells[i, j, k, q] for i, k in rows for j, q in columns))
-    return (*_f(total, m, n), _f(min(by_rows, by_columns), m, n)[0])
+    theirs = [y for row in found for y in row]
+    make = {lcs_similarity: _lcs_rewards, box_reward: _box_rewards}.get(reward)
+    scores = make(theirs) if make else lambda x: np.array([reward(x, y) for y in theirs], dtype=np.float64)
+    wide, other = len(truth[0]), len(found[0])
+    best, totals = np.zeros(len(found) + 1), np.zeros((wide, other, len(found) + 1))
+    way = np.empty((len(truth), len(found)), dtype=np.uint8)
+    kept: dict = {}
+    for i, row in enumerate(truth):
+        cells = np.empty((wide, other, len(found)))
+        for j, x in enumerate(row):
+            key = x if isinstance(x, str) else tuple(x) if isinstance(x, (list, np.ndarray)) else None
+            got = kept.get(key) if key is not None else None
+            if got is None:
+                got = scores(x).reshape(len(found), other).T
+                if key is not None and len(kept) < 16:
+                    kept[key] = got
+            cells[j] = got
+        pair = np.zeros((other + 1, len(found)))
+        for j in range(wide):  # cells of this row and of each found one, aligned
+            after = np.zeros_like(pair)
+            for q in range(other):
+                after[q + 1] = np.maximum(np.maximum(pair[q] + cells[j, q], pair[q + 1]), after[q])
+            pair = after
+        after = _advance(best, pair[other])
+        way[i] = np.where(after[1:] == best[:-1] + pair[other], 0, np.where(after[1:] == best[1:], 1, 2))
+        best, totals = after, _advance(totals, cells)
+    rows, i, k = [], len(truth), len(found)
+    while i and k:
+        step = way[i - 1, k - 1]
+        i, k = i - (step < 2), k - (step != 1)
+        if step == 0:
+            rows.append((i, k))
+    by_columns, columns = _alignment(totals[:, :, -1])
+    total = 0.0
+    for i, k in rows[::-1]:
+        for j, q in columns:
+            total += float(reward(truth[i][j], found[k][q]))
+    return (*_f(total, m, n), _f(min(float(best[-1]), by_columns), m, n)[0])
 
 
 def span_grids(cells: list[tuple]) -> tuple[list[list[str]], list[list[list[int]]]]:
@@ -172,6 +313,11 @@ def span_grids(cells: list[tuple]) -> tuple[list[list[str]], list[list[list[int]
 _SCORES = ["f", "precision", "recall", "upper"]
 
 
+def _dealt(pairs: DataFrame) -> DataFrame:
+    """Pairs one by one to all tasks: a few rows may be hours of work, which would else be one small partition."""
+    return pairs.select("pair_id", "truth", "found").repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def grid_scores(pairs: DataFrame, kind: str = "con") -> DataFrame:
     """(pair_id, truth, found) -> (pair_id, f, precision, recall, upper). Grids are arrays of rows; cells are strings for con, and boxes or relative spans (arrays of four numbers) for loc and top."""
     reward = {"con": lcs_similarity, "top": box_reward, "loc": box_reward}[kind]
@@ -181,7 +327,7 @@ def grid_scores(pairs: DataFrame, kind: str = "con") -> DataFrame:
             rows = [(i, *(round(x, 6) for x in grid_similarity([list(r) for r in t], [list(r) for r in f], reward))) for i, t, f in zip(pdf["pair_id"], pdf["truth"], pdf["found"])]
             yield pd.DataFrame(rows, columns=["pair_id", *_SCORES])
 
-    return pairs.select("pair_id", "truth", "found").mapInPandas(run, "pair_id long, f double, precision double, recall double, upper double")
+    return _dealt(pairs).mapInPandas(run, "pair_id long, f double, precision double, recall double, upper double")
 
 
 def table_scores(pairs: DataFrame) -> DataFrame:
@@ -196,7 +342,7 @@ def table_scores(pairs: DataFrame) -> DataFrame:
                 rows.append((i, *(round(x, 6) for x in (*grid_similarity(ts, fs, box_reward), *grid_similarity(tt, ft)))))
             yield pd.DataFrame(rows, columns=["pair_id", *names])
 
-    return pairs.select("pair_id", "truth", "found").mapInPandas(run, "pair_id long, " + ", ".join(f"{n} double" for n in names))
+    return _dealt(pairs).mapInPandas(run, "pair_id long, " + ", ".join(f"{n} double" for n in names))
 
 
 class _Table(HTMLParser):

@@ -216,3 +216,23 @@ def test_stream_equals_batch(spark, tmp_path):
     want = {tuple(r) for r in search.postings(docs).select("id", "term", "tf", "dl").collect()}
     assert {tuple(r) for r in postings.select("id", "term", "tf", "dl").collect()} == want
     assert lengths.count() == 3
+
+
+def test_grid_similarity_compares_blocks_of_cells(spark, monkeypatch):
+    """All cells meet, but not one call at a time; the numbers are difflib's."""
+    import difflib
+    import random
+
+    rng = random.Random(5)
+    texts = sorted({"".join(rng.choice("abcA1.é") for _ in range(rng.choice([1, 3, 8, 9, 20, 40, 300]))) for _ in range(60)} | {""})
+    strings = layout._Strings(texts)
+    for a in texts:
+        assert strings.matching(a).tolist() == [sum(x.size for x in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()) for b in texts]
+    made = []
+    matcher = difflib.SequenceMatcher
+    monkeypatch.setattr(layout.difflib, "SequenceMatcher", lambda *a, **k: made.append(1) or matcher(*a, **k))
+    truth = [[f"name {i}", f"{i}.5"] for i in range(100)]
+    assert layout.grid_similarity(truth, [[a.upper(), b[:-2]] for a, b in truth])[1] > 0.5
+    assert len(made) <= 400  # those of the aligned cells
+    pairs = spark.createDataFrame([(i, "<table></table>", "") for i in range(3)], "pair_id long, truth string, found string")
+    assert layout._dealt(pairs.coalesce(1)).rdd.getNumPartitions() > 1
