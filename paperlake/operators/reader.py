@@ -23,7 +23,8 @@ Provider = Callable[[list[str]], list[str]]
 def hashed_embedding(text: Column, size: int = 64) -> Column:
     """A deterministic embedding without a model: how many tokens have each remainder of a hash, as doubles. Null has none of any."""
     slots = F.transform(T.tokens(text, ()), lambda t: F.conv(F.substring(F.md5(t), 1, 6), 16, 10).cast("int") % size)
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
+    # as an array's element the slots are computed once, and not for every number
+    return F.get(F.transform(F.array(slots), lambda have: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(have, lambda s: s == i)).cast("double"))), F.lit(0))
 
 
 def embed(rows: DataFrame, text_col: str, provider: Callable[[list[str]], list[list[float]]], name: str = "vector", batch: int = 64) -> DataFrame:

@@ -277,3 +277,17 @@ def test_both_indexes_and_detection_files(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps({"metadata": {"model_name": "m"}, "records": [record | {"model_name": "z"}]}))
     with pytest.raises(ValueError):
         files.detections(spark, str(tmp_path / "c.json"))
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hashed_embedding_hashes_each_text_once(spark):
+    from pyspark.sql import functions as F
+
+    from paperlake.operators import reader
+
+    rows = spark.createDataFrame([(1, "a bb ccc a"), (2, None), (3, "")], "id long, t string")
+    got = rows.select("id", reader.hashed_embedding(F.col("t"), 8).alias("v"))
+    assert _plan(got).count("md5(") == 1 and {r.id: sum(r.v) for r in got.collect()} == {1: 2.0, 2: 0.0, 3: 0.0}
