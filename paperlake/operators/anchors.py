@@ -5,10 +5,15 @@ Tokens are (doc_id, page, ord, text, box) with box x1, y1, x2, y2, and pages (do
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
+from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paperlake.operators import evaluate, regions
@@ -29,12 +34,81 @@ def char_cosine(a: str, b: Column) -> Column:
 def similar(anchor: str, text: Column, least: float) -> Column:
     """Whether some run of as many words of the text as the anchor has is as similar as `least`, in lower case."""
     a = anchor.lower()
+    if a and least > 0.001:
+        return F.when(F.trim(text) != "", _similar_runs(a, least)(F.lower(text))).otherwise(F.lit(False))
     n = len(a.split(" "))
     w = F.split(F.lower(text), " ")
     runs = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
     return F.when((F.size(w) >= n) & (F.trim(text) != ""), F.exists(runs, lambda r: char_cosine(a, r) >= least)).otherwise(F.lit(False))
 
 
+#: Characters that are looked at together.
+_CHARS = 1 << 20
+
+
+def _similar_runs(a: str, least: float):
+    """The test of `similar` for lower-case texts, by batch.
+
+    Sums over runs of words are differences of running sums. They give the product of the counts as it is, and bounds of the run's length from below: characters
+    that the anchor has equally often count together. Only runs that such a bound leaves are compared character by character.
+    """
+    own = Counter(a)
+    times = sorted(set(own.values()))
+    groups = [sorted(c for c in own if own[c] == t) for t in times]
+    length, n = sum(t * t for t in own.values()) ** 0.5, len(a.split(" "))
+
+    def close(run: str) -> bool:
+        have = Counter(run)
+        size = math.sqrt(sum(float(x) ** 2 for x in have.values()))
+        value = sum(own[c] * x for c, x in have.items()) / size / length if size else 0.0
+        return float(Decimal(repr(value)).quantize(Decimal("0.001"), ROUND_HALF_UP)) >= least
+
+    def found(texts: list[str]) -> np.ndarray:
+        hit = np.zeros(len(texts), dtype=bool)
+        codes = np.frombuffer(" ".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        gaps = np.flatnonzero(codes == 32)
+        starts, ends = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(codes)]])
+        words = np.array([t.count(" ") + 1 for t in texts])
+        of = np.repeat(np.arange(len(texts)), words)
+        if len(of) < n:
+            return hit
+        same = np.flatnonzero(of[: len(of) - n + 1] == of[n - 1 :])
+        low, high = starts[same], ends[same + n - 1]
+        both, least_square, rest = np.zeros(len(same)), np.zeros(len(same)), (high - low).astype(np.float64)
+        for t, chars in zip(times, groups):
+            inside = codes == ord(chars[0])
+            for c in chars[1:]:
+                inside |= codes == ord(c)
+            sums = np.concatenate([[0], np.cumsum(inside)])
+            y = (sums[high] - sums[low]).astype(np.float64)
+            both += t * y
+            least_square += np.maximum(y * y / len(chars), y)
+            rest -= y
+        bound = both / np.sqrt(np.maximum(least_square + rest, 1)) / length
+        known: dict[str, bool] = {}
+        for i in np.flatnonzero(bound >= least - 0.001):
+            k = of[same[i]]
+            if not hit[k]:
+                run = codes[low[i] : high[i]].tobytes().decode("utf-32-le", "surrogatepass")
+                if run not in known:
+                    known[run] = close(run)
+                hit[k] = known[run]
+        return hit
+
+    @F.pandas_udf("boolean")
+    def test(texts: pd.Series) -> pd.Series:
+        out, all_ = np.zeros(len(texts), dtype=bool), [t or "" for t in texts]
+        a = size = 0
+        for i, t in enumerate(all_):
+            size += len(t)
+            if size > _CHARS or i == len(all_) - 1:
+                out[a : i + 1] = found(all_[a : i + 1])
+                a, size = i + 1, 0
+        return pd.Series(out)
+
+    return test
+
+
 def matches(anchor: str, text: Column, mode: str = "normal", least: float = 1.0) -> Column:
     """normal: similar words; regex: a search in lower case; word: equal but for case."""
     if mode == "regex":

@@ -291,3 +291,34 @@ def test_hashed_embedding_hashes_each_text_once(spark):
     rows = spark.createDataFrame([(1, "a bb ccc a"), (2, None), (3, "")], "id long, t string")
     got = rows.select("id", reader.hashed_embedding(F.col("t"), 8).alias("v"))
     assert _plan(got).count("md5(") == 1 and {r.id: sum(r.v) for r in got.collect()} == {1: 2.0, 2: 0.0, 3: 0.0}
+
+
+def test_similar_runs_are_those_of_the_definition(spark):
+    import math
+    import random
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from paperlake.operators import anchors
+
+    rng = random.Random(2)
+    words = ["the", "license", "licence", "teh", "", "eeeeee", "THE", "License,", "é😀", "hence", "silence"]
+    texts = [None, "", " ", "the", "the  license"] + [" ".join(rng.choice(words) for _ in range(rng.randint(1, 9))) for _ in range(300)]
+
+    def cosine(a, b):
+        x, y = Counter(a), Counter(b)
+        size = math.sqrt(sum(v * v for v in x.values())) * math.sqrt(sum(v * v for v in y.values()))
+        return round(sum(x[c] * y[c] for c in x) / size, 3) if size else 0.0
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    for anchor, least in (("the license", 0.9), ("the license", 1.0), ("Eee", 0.5)):
+        n = len(anchor.split(" "))
+        df = rows.where(anchors.similar(anchor, F.col("t"), least))
+        want = set()
+        for i, t in enumerate(texts):
+            w = (t or "").lower().split(" ")
+            if (t or "").strip(" ") and any(cosine(anchor.lower(), " ".join(w[k : k + n])) >= least for k in range(len(w) - n + 1)):
+                want.add(i)
+        assert {r.id for r in df.collect()} == want and want
+        assert "array_distinct" not in _plan(df)  # which was one for each run of words
