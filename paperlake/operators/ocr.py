@@ -15,64 +15,76 @@ _OUT = ["doc_id", "page", "kind", "ord", "text", "x", "y", "w", "h", "conf"]
 NOTE = "generator_metadata"
 
 
-def _rows(df: DataFrame, items: Column, kind: str, text: str, box: list[str], conf: str, keep: list[str]) -> DataFrame:
-    """Items of an array as tokens; box is left, top, right and bottom as SQL over `t`."""
-    e = df.select(*keep, F.posexplode(items).alias("ord", "t"))
+def _parsed(results: DataFrame, schema: str) -> DataFrame:
+    """(doc_id, given, j): files that parse, each parsed once: as the rows of a generator, `j` cannot be computed anew for every use."""
+    return results.select("doc_id", F.col("page").alias("given"), F.explode_outer(F.array(F.from_json("content", schema))).alias("j")).where("j IS NOT NULL")
+
+
+def _rows(df: DataFrame, items: dict[str, str], text: str, box: list[str], conf: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Items of an array for each kind, all of one type, as tokens of one pass; box is left, top, right and bottom as SQL over `t`."""
+    kinds = F.array(*[F.expr(f"named_struct('kind', '{k}', 'items', {v})") for k, v in items.items()])
+    e = df.select("doc_id", "page", *keep, F.explode(kinds).alias("k")).select("doc_id", "page", *keep, "k.kind", F.posexplode_outer("k.items").alias("ord", "t")).where("ord IS NOT NULL")
     l, t, r, b = box
-    return e.selectExpr("doc_id", "CAST(page AS bigint) AS page", f"'{kind}' AS kind", "CAST(ord AS bigint) AS ord", f"{text} AS text", f"CAST({l} AS double) AS x", f"CAST({t} AS double) AS y",
+    return e.selectExpr("doc_id", "CAST(page AS bigint) AS page", "kind", "CAST(ord AS bigint) AS ord", f"{text} AS text", f"CAST({l} AS double) AS x", f"CAST({t} AS double) AS y",
                         f"CAST({r} - ({l}) AS double) AS w", f"CAST({b} - ({t}) AS double) AS h", f"CAST({conf} AS double) AS conf").select(*_OUT)
 
 
 def _page(own: str) -> Column:
     """The page that the file's producer noted, else the file's own, else the given one."""
-    return F.expr(f"coalesce(CAST(j.{NOTE}.doc_page_num AS bigint), {own}, page)")
+    return F.expr(f"coalesce(CAST(j.{NOTE}.doc_page_num AS bigint), {own}, given)")
 
 
 def azure_read(results: DataFrame) -> DataFrame:
     """readResults of pages with lines and words; boxes are eight numbers, of which the outermost count; confidence in percent."""
     word = "struct<boundingBox: array<double>, text: string, confidence: double>"
     schema = f"struct<{NOTE}: struct<doc_page_num: string>, readResults: array<struct<page: bigint, unit: string, width: double, height: double, lines: array<struct<boundingBox: array<double>, text: string, words: array<{word}>>>>>>"
-    j = results.select("doc_id", "page", F.from_json("content", schema).alias("j")).where("j IS NOT NULL")
-    pages = j.select("doc_id", F.col("page").alias("given"), "j", F.explode("j.readResults").alias("p")).select("doc_id", F.expr(f"coalesce(CAST(j.{NOTE}.doc_page_num AS bigint), p.page, given)").alias("page"), "p")
+    j = _parsed(results, schema)
+    pages = j.select("doc_id", "given", "j", F.explode("j.readResults").alias("p")).select("doc_id", _page("p.page").alias("page"), "p")
     box = [f"least(t.boundingBox[{a}], t.boundingBox[{b}])" for a, b in ((0, 6), (1, 3))] + [f"greatest(t.boundingBox[{a}], t.boundingBox[{b}])" for a, b in ((2, 4), (5, 7))]
-    lines = _rows(pages, F.col("p.lines"), "line", "t.text", box, "-1", ["doc_id", "page"])
-    words = _rows(pages, F.expr("flatten(transform(p.lines, l -> l.words))"), "word", "t.text", box, "coalesce(t.confidence, 0) * 100", ["doc_id", "page"])
-    return lines.unionByName(words)
+    lines = "transform(p.lines, l -> named_struct('boundingBox', l.boundingBox, 'text', l.text, 'confidence', CAST(NULL AS double)))"
+    return _rows(pages, {"line": lines, "word": "flatten(transform(p.lines, l -> l.words))"}, "t.text", box, "if(kind = 'line', -1, coalesce(t.confidence, 0) * 100)")
 
 
 def azure_regions(results: DataFrame) -> DataFrame:
     """regions of lines of words; boxes are text `x,y,w,h`; a line's text is that of its words; no confidence."""
     schema = f"struct<{NOTE}: struct<doc_page_num: string>, regions: array<struct<lines: array<struct<boundingBox: string, words: array<struct<boundingBox: string, text: string>>>>>>>"
-    j = results.select("doc_id", "page", F.from_json("content", schema).alias("j")).where("j IS NOT NULL").select("doc_id", _page("CAST(NULL AS bigint)").alias("page"), "j")
+    j = _parsed(results, schema).select("doc_id", _page("CAST(NULL AS bigint)").alias("page"), "j")
     part = lambda i: f"CAST(split(t.boundingBox, ',')[{i}] AS double)"
     box = [part(0), part(1), f"{part(0)} + {part(2)}", f"{part(1)} + {part(3)}"]
-    lines = _rows(j, F.expr("flatten(transform(j.regions, r -> r.lines))"), "line", "array_join(transform(t.words, w -> w.text), ' ')", box, "-1", ["doc_id", "page"])
-    words = _rows(j, F.expr("flatten(flatten(transform(j.regions, r -> transform(r.lines, l -> l.words))))"), "word", "t.text", box, "-1", ["doc_id", "page"])
-    return lines.unionByName(words)
+    lines = "transform(flatten(transform(j.regions, r -> r.lines)), l -> named_struct('boundingBox', l.boundingBox, 'text', array_join(transform(l.words, w -> w.text), ' ')))"
+    return _rows(j, {"line": lines, "word": "flatten(flatten(transform(j.regions, r -> transform(r.lines, l -> l.words))))"}, "t.text", box, "-1")
 
 
 def aws_blocks(results: DataFrame) -> DataFrame:
     """Blocks of type LINE and WORD; boxes are shares of the page, whose size the producer noted: left and top rounded down, width and height up."""
     schema = f"struct<{NOTE}: struct<doc_page_num: string, width: double, height: double>, Blocks: array<struct<BlockType: string, Text: string, Confidence: double, Geometry: struct<BoundingBox: struct<Width: double, Height: double, Left: double, Top: double>>>>>"
-    j = results.select("doc_id", "page", F.from_json("content", schema).alias("j")).where("j IS NOT NULL").select("doc_id", _page("CAST(NULL AS bigint)").alias("page"), "j")
-    g, m = "t.Geometry.BoundingBox", f"j.{NOTE}"
-    left, top = f"floor({g}.Left * {m}.width)", f"floor({g}.Top * {m}.height)"
-    box = [left, top, f"{left} + ceil({g}.Width * {m}.width)", f"{top} + ceil({g}.Height * {m}.height)"]
-    out = [_rows(j, F.expr(f"filter(j.Blocks, b -> b.BlockType = '{k.upper()}')"), k, "t.Text", box, "t.Confidence", ["doc_id", "page", "j"]) for k in ("line", "word")]
-    return out[0].unionByName(out[1])
+    j = _parsed(results, schema).select("doc_id", _page("CAST(NULL AS bigint)").alias("page"), F.col(f"j.{NOTE}").alias("m"), F.col("j.Blocks").alias("blocks"))
+    g = "t.Geometry.BoundingBox"
+    left, top = f"floor({g}.Left * m.width)", f"floor({g}.Top * m.height)"
+    box = [left, top, f"{left} + ceil({g}.Width * m.width)", f"{top} + ceil({g}.Height * m.height)"]
+    return _rows(j, {k: f"filter(blocks, b -> b.BlockType = '{k.upper()}')" for k in ("line", "word")}, "t.Text", box, "t.Confidence", ("m",))
 
 
 def pdf_tokens(results: DataFrame) -> DataFrame:
     """tokens of type line with boxes left, top, right, bottom; no words and no confidence."""
     schema = f"struct<{NOTE}: struct<doc_page_num: string>, page: bigint, width: double, height: double, tokens: array<struct<type: string, text: string, bbox: array<double>>>>"
-    j = results.select("doc_id", F.col("page").alias("given"), F.from_json("content", schema).alias("j")).where("j IS NOT NULL")
-    j = j.select("doc_id", F.expr(f"coalesce(CAST(j.{NOTE}.doc_page_num AS bigint), j.page, given)").alias("page"), "j")
-    return _rows(j, F.expr("filter(j.tokens, t -> t.type = 'line')"), "line", "t.text", [f"t.bbox[{i}]" for i in range(4)], "-1", ["doc_id", "page"])
+    j = _parsed(results, schema).select("doc_id", _page("j.page").alias("page"), "j")
+    return _rows(j, {"line": "filter(j.tokens, t -> t.type = 'line')"}, "t.text", [f"t.bbox[{i}]" for i in range(4)], "-1")
 
 
 _HOCR_PAGE = r"(?s)<div[^>]*class=['\"]ocr_page['\"][^>]*bbox (\d+) (\d+) (\d+) (\d+)[^>]*ppageno (\d+)"
-_HOCR_LINE = r"<span[^>]*class=['\"](?:ocr_line|ocr_header)['\"][^>]*title=['\"]bbox (\d+) (\d+) (\d+) (\d+)"
-_HOCR_WORD = r"(?s)<span[^>]*class=['\"]ocrx_word['\"][^>]*title=['\"]bbox (\d+) (\d+) (\d+) (\d+);[^'\"]*?x_wconf (\d+)[^>]*>([^<]*+(?:<(?!/?span)[^<]*+)*+)</span>"
+
+
+def _span(classes: str) -> str:
+    """The start of a span up to its class, read once: of several classes the first one serves as well as any, since titles behind a later one are behind it too."""
+    own = f"class=['\"]{classes}['\"]"
+    return f"<span[^>c]*+(?:(?!{own})c[^>c]*+)*+{own}"
+
+
+_HOCR_LINE = _span("(?:ocr_line|ocr_header)") + r"[^>]*title=['\"]bbox (\d+) (\d+) (\d+) (\d+)"
+_HOCR_WORD = r"(?s)" + _span("ocrx_word") + r"[^>]*title=['\"]bbox (\d+) (\d+) (\d+) (\d+);[^'\"]*?x_wconf (\d+)[^>]*>([^<]*+(?:<(?!/?span)[^<]*+)*+)</span>"
+#: The groups of what the pattern of a word has found.
+_HOCR_PARTS = r"(?s)^[^>]*title=['\"]bbox (\d+) (\d+) (\d+) (\d+);[^'\"]*?x_wconf (\d+)[^>]*>(.*)</span>$"
 
 
 def _plain(html: Column) -> Column:
@@ -80,28 +92,29 @@ def _plain(html: Column) -> Column:
     out = F.trim(F.regexp_replace(F.regexp_replace(html, "<[^>]*>", ""), r"\s+", " "))
     for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(name), F.lit(sign))
-    return out
+    return F.when(html.rlike(r"[<&\s]"), out).otherwise(html)  # most words are plain
 
 
 def hocr(results: DataFrame) -> DataFrame:
     """hOCR text: page boxes, lines (and header lines) with the text of their words, and words with their confidence. The page is the file's ppageno plus one."""
     own = F.regexp_extract("content", _HOCR_PAGE, 5)
     base = results.select("doc_id", F.coalesce(F.when(own != "", own.cast("bigint") + 1), F.col("page")).cast("bigint").alias("page"), "content").where("content IS NOT NULL")
-    parts = F.filter(F.split("content", f"(?={_HOCR_LINE})"), lambda x: x.rlike("^" + _HOCR_LINE))
-
-    def found(text: Column | str, pattern: str, groups: int) -> Column:
-        return F.arrays_zip(*[F.regexp_extract_all(text, F.lit(pattern), F.lit(i)).alias(f"g{i}") for i in range(1, groups + 1)])
-
-    lines = base.select("doc_id", "page", F.posexplode(parts).alias("ord", "part")).select(
-        "doc_id", "page", "ord", F.struct(*[F.regexp_extract("part", _HOCR_LINE, i).alias(f"g{i}") for i in range(1, 5)]).alias("t"),
-        F.array_join(F.transform(F.regexp_extract_all("part", F.lit(_HOCR_WORD), F.lit(6)), _plain), " ").alias("text"), F.lit(-1.0).alias("conf"))
-    pages = base.select("doc_id", "page", F.posexplode(found("content", _HOCR_PAGE, 5)).alias("ord", "t")).select("doc_id", "page", "ord", "t", F.lit("").alias("text"), F.lit(-1.0).alias("conf"))
-    words = base.select("doc_id", "page", F.posexplode(found("content", _HOCR_WORD, 6)).alias("ord", "t")).select("doc_id", "page", "ord", "t", _plain(F.col("t.g6")).alias("text"), F.col("t.g5").cast("double").alias("conf"))
-    out = []
-    for kind, rows in (("page", pages), ("line", lines), ("word", words)):
-        l, t, r, b = (F.col(f"t.g{i}").cast("double") for i in range(1, 5))
-        out.append(rows.select("doc_id", "page", F.lit(kind).alias("kind"), F.col("ord").cast("bigint").alias("ord"), "text", l.alias("x"), t.alias("y"), (r - l).alias("w"), (b - t).alias("h"), "conf"))
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    raw = {
+        "page": F.regexp_extract_all("content", F.lit(_HOCR_PAGE), F.lit(0)),
+        "line": F.filter(F.split("content", f"(?={_HOCR_LINE})"), lambda x: x.rlike("^" + _HOCR_LINE)),
+        "word": F.regexp_extract_all("content", F.lit(_HOCR_WORD), F.lit(0))}
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("items")) for k, v in raw.items()])
+    e = base.select("doc_id", "page", F.explode(kinds).alias("k")).select("doc_id", "page", "k.kind", F.posexplode_outer("k.items").alias("ord", "m")).where("ord IS NOT NULL")
+    line, word = F.col("kind") == "line", F.col("kind") == "word"
+    # what a pattern's groups found, blank by blank; the last one may have blanks
+    groups = F.split(F.when(word, F.regexp_replace("m", _HOCR_PARTS, "$1 $2 $3 $4 $5 $6")).when(line, F.regexp_replace("m", f"(?s)^{_HOCR_LINE}.*$", "$1 $2 $3 $4")).otherwise(
+        F.regexp_replace("m", _HOCR_PAGE, "$1 $2 $3 $4")), " ", 6)
+    z = e.select("doc_id", "page", "kind", F.col("ord").cast("bigint").alias("ord"), F.when(line, F.col("m")).alias("m"), F.explode_outer(F.array(groups)).alias("g"))
+    l, t, r, b = (F.get("g", F.lit(i)).cast("double") for i in range(4))
+    words = F.array_join(F.transform(F.regexp_extract_all("m", F.lit(_HOCR_WORD), F.lit(6)), _plain), " ")
+    text = F.when(F.col("kind") == "word", _plain(F.get("g", F.lit(5)))).when(F.col("kind") == "line", words).otherwise("")
+    conf = F.when(F.col("kind") == "word", F.get("g", F.lit(4)).cast("double")).otherwise(-1.0)
+    return z.select("doc_id", "page", "kind", "ord", text.alias("text"), l.alias("x"), t.alias("y"), (r - l).alias("w"), (b - t).alias("h"), conf.alias("conf"))
 
 
 PARSERS = {"hocr": hocr, "azure_read": azure_read, "azure_ocr": azure_regions, "aws_detect": aws_blocks, "pdf_tokens": pdf_tokens}

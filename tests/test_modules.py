@@ -322,3 +322,20 @@ def test_similar_runs_are_those_of_the_definition(spark):
                 want.add(i)
         assert {r.id for r in df.collect()} == want and want
         assert "array_distinct" not in _plan(df)  # which was one for each run of words
+
+
+def test_results_are_parsed_in_one_pass(spark):
+    from paperlake.operators import ocr
+
+    j = spark.createDataFrame([(1, 1, '{"regions": [{"lines": [{"boundingBox": "1,2,3,4", "words": [{"boundingBox": "1,2,3,4", "text": "a"}, {"boundingBox": "2,2,1,4", "text": "b"}]}, {"boundingBox": "0,9,1,1", "words": []}]}]}'), (2, 1, None), (3, 1, "{}")],
+                              "doc_id long, page long, content string")
+    for parser in (ocr.azure_read, ocr.azure_regions, ocr.aws_blocks, ocr.pdf_tokens):
+        assert _plan(parser(j)).count("from_json(") == 1
+    got = ocr.azure_regions(j).collect()
+    assert sorted((r.kind, r.ord, r.text) for r in got if r.text) == [('line', 0, 'a b'), ('word', 0, 'a'), ('word', 1, 'b')] and len(got) == 4
+    h = spark.createDataFrame([(1, 7, "<div class='ocr_page' title='bbox 0 0 9 9; ppageno 2'><span class='x' class='ocr_line' title='bbox 1 2 3 4'>"
+                                      "<span id='c' class='ocrx_word' title='bbox 1 1 1 1; x_wconf 1' title='bbox 1 2 3 5; x_wconf 90'><b>a &amp;</b> $1  c</span></span>"), (2, 7, "none"), (3, 7, None)], "doc_id long, page long, content string")
+    df = ocr.hocr(h)
+    assert "Union" not in _plan(df)
+    assert sorted((r.doc_id, r.page, r.kind, r.text, r.x, r.h, r.conf) for r in df.collect()) == [
+        (1, 3, "line", "a & $1 c", 1.0, 2.0, -1.0), (1, 3, "page", "", 0.0, 9.0, -1.0), (1, 3, "word", "a & $1 c", 1.0, 3.0, 90.0)]
