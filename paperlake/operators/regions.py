@@ -15,13 +15,13 @@ def _named(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(prefix + c) for c in df.columns])
 
 
-#: Units of a band of a page; boxes meet only where they share one.
-BAND = 100
+#: Units of a band down a page and of one across it, as wide as a column; boxes meet only where they share one.
+BAND, WIDE = 100, 600
 
 
-def _bands(low: Column, high: Column) -> Column:
+def _bands(low: Column, high: Column, band: int = BAND) -> Column:
     """The bands that an interval lies in."""
-    return F.explode(F.sequence(F.floor(low / BAND), F.floor(F.greatest(low, high) / BAND)))
+    return F.explode(F.sequence(F.floor(low / band), F.floor(F.greatest(low, high) / band)))
 
 
 def tokens_within(tokens: DataFrame, regions: DataFrame, tolerance: float = 0) -> DataFrame:
@@ -41,9 +41,11 @@ def tokens_outside(tokens: DataFrame, regions: DataFrame) -> DataFrame:
 
 def nearest(tokens: DataFrame, side: str, threshold: float = 0) -> DataFrame:
     """(doc_id, page, ord, near_ord, distance): each token's nearest one on a side of the page, of those that share `threshold` of its extent or more across."""
-    low, high = ("y1", "y2") if side in ("right", "left") else ("x1", "x2")
-    t = tokens.withColumn("__b", _bands(F.col(low), F.col(high)))
-    o = _named(tokens, "o_").withColumn("__ob", _bands(F.col("o_" + low), F.col("o_" + high)))  # two that share a stretch share a band of it
+    low, high, band = ("y1", "y2", BAND) if side in ("right", "left") else ("x1", "x2", WIDE)
+    tokens = tokens.select("doc_id", "page", "ord", "x1", "y1", "x2", "y2")
+    t = tokens.withColumn("__b", _bands(F.col(low), F.col(high), band))
+    o = _named(tokens, "o_").withColumn("__ob", _bands(F.col("o_" + low), F.col("o_" + high), band))
+    meet = F.col("__b") == F.floor(F.greatest(low, "o_" + low) / band)  # two that share a stretch meet once, in the band where it starts
     a, b = bbox.box(), bbox.box("o_")
     across_y = F.least(a[3], b[3]) - F.greatest(a[1], b[1])
     across_x = F.least(a[2], b[2]) - F.greatest(a[0], b[0])
@@ -51,7 +53,7 @@ def nearest(tokens: DataFrame, side: str, threshold: float = 0) -> DataFrame:
         "right": (b[0] - a[2], across_y, a[3] - a[1]), "left": (a[0] - b[2], across_y, a[3] - a[1]),
         "bottom": (b[1] - a[3], across_x, a[2] - a[0]), "top": (a[1] - b[3], across_x, a[2] - a[0]),
     }[side]
-    j = t.join(o, _on("", "o_") & (F.col("__b") == F.col("__ob")) & (F.col("ord") != F.col("o_ord")) & (gap >= 0) & (shared > 0) & (shared >= whole * threshold))
+    j = t.join(o, _on("", "o_") & (F.col("__b") == F.col("__ob")) & meet & (F.col("ord") != F.col("o_ord")) & (gap >= 0) & (shared > 0) & (shared >= whole * threshold))
     return j.groupBy("doc_id", "page", "ord").agg(F.min(F.struct(gap.alias("distance"), F.col("o_ord").alias("near_ord"))).alias("b")).select("doc_id", "page", "ord", "b.near_ord", "b.distance")
 
 

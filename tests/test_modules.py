@@ -339,3 +339,27 @@ def test_results_are_parsed_in_one_pass(spark):
     assert "Union" not in _plan(df)
     assert sorted((r.doc_id, r.page, r.kind, r.text, r.x, r.h, r.conf) for r in df.collect()) == [
         (1, 3, "line", "a & $1 c", 1.0, 2.0, -1.0), (1, 3, "page", "", 0.0, 9.0, -1.0), (1, 3, "word", "a & $1 c", 1.0, 3.0, 90.0)]
+
+
+def test_nearest_meets_once_a_pair(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from paperlake.operators import regions
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        x, y = rng.randint(-700, 1900), rng.randint(-200, 700)
+        rows.append((1, 1, i, "t", x, y, x + rng.choice([5, 300, 1300]), y + rng.choice([10, 250])))
+    t = spark.createDataFrame(rows, "doc_id long, page long, ord long, content string, x1 long, y1 long, x2 long, y2 long")
+    for side, low, high, a, b in (("bottom", 4, 6, 7, 5), ("right", 5, 7, 6, 4)):
+        want = {}
+        for r in rows:
+            near = [(o[b] - r[a], o[2]) for o in rows if o[2] != r[2] and o[b] >= r[a] and min(r[high], o[high]) > max(r[low], o[low])]
+            if near:
+                want[r[2]] = min(near)
+        assert {r.ord: (r.distance, r.near_ord) for r in regions.nearest(t, side).collect()} == want
+    column = spark.createDataFrame([(50, 550)], "a long, b long")
+    assert column.select(regions._bands(F.col("a"), F.col("b"), regions.WIDE)).count() == 1  # six of the bands before
