@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paperlake.functions import bbox, text as T
+from paperlake.sources.shared import text_batches
+
+#: Characters of parts that leave a task's Python together.
+_OUT_CHARS = 1 << 21
 
 
 def _joined() -> Column:
@@ -66,9 +70,20 @@ def split_text(text: str, limit: int, separators: tuple[str, ...] = ("\n\n", "\n
 def character_chunks(pages: DataFrame, limit: int = 1000) -> DataFrame:
     """(doc_id, page, part, content): page texts in parts of at most `limit` characters."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(d, p, i, t) for d, p, c in zip(pdf["doc_id"], pdf["page"], pdf["content"]) for i, t in enumerate(split_text(c or "", limit))]
-            yield pd.DataFrame(rows, columns=["doc_id", "page", "part", "content"])
-
-    return pages.select("doc_id", "page", "content").mapInPandas(run, "doc_id long, page long, part long, content string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, size = [], 0
+            for i in range(batch.num_rows):  # a text at a time, and parts of so many characters
+                d, p, c = (x[i].as_py() for x in batch.columns)
+                for n, t in enumerate(split_text(c or "", limit)):
+                    rows.append((d, p, n, t))
+                    size += len(t)
+                    if size > _OUT_CHARS:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
+                        rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
+
+    names, kinds = ["doc_id", "page", "part", "content"], [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    text_batches(pages.sparkSession)
+    return pages.select(F.col("doc_id").cast("long"), F.col("page").cast("long"), "content").mapInArrow(run, "doc_id long, page long, part long, content string")

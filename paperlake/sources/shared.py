@@ -27,3 +27,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Rows written to the shared folder, which outlive any executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Arrow batches of fewer rows than Spark's default, for Python that takes whole texts; any other setting is left alone."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "512")

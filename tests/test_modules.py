@@ -363,3 +363,16 @@ def test_nearest_meets_once_a_pair(spark):
         assert {r.ord: (r.distance, r.near_ord) for r in regions.nearest(t, side).collect()} == want
     column = spark.createDataFrame([(50, 550)], "a long, b long")
     assert column.select(regions._bands(F.col("a"), F.col("b"), regions.WIDE)).count() == 1  # six of the bands before
+
+
+def test_character_chunks_leave_in_bounded_batches(spark, monkeypatch):
+    from paperlake.operators import chunks
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "10000")
+    monkeypatch.setattr(chunks, "_OUT_CHARS", 10)
+    texts = {1: "aa bb\ncc dd", 2: None, 3: "x" * 25, 4: " "}
+    pages = spark.createDataFrame([(d, 1, c) for d, c in texts.items()], "doc_id long, page long, content string")
+    got = chunks.character_chunks(pages, 6).collect()
+    assert spark.conf.get(key) == "512"
+    assert sorted(map(tuple, got)) == sorted((d, 1, i, t) for d, c in texts.items() for i, t in enumerate(chunks.split_text(c or "", 6)))
