@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paperlake.functions import text as T
-from paperlake.sources.shared import checkpoint
+from paperlake.sources.shared import checkpoint, text_batches
 
 K1, B = 1.5, 0.75
 #: Questions of a block, and the numbers in a matrix of scores.
@@ -130,6 +130,7 @@ def score_terms(met: DataFrame, times: pd.DataFrame, df: pd.DataFrame, n: int, m
                 r, c = _best(ids, scores, k)
                 yield pd.DataFrame({"qid": qids[c], "id": ids[r], "score": scores[r, c]})
 
+    text_batches(met.sparkSession)  # a batch is what a task's Python holds, whatever the table's size
     return met.mapInPandas(run, "qid long, id long, score double")
 
 
@@ -156,6 +157,7 @@ def vector_top(index: DataFrame, questions: DataFrame, k: int, id_col: str = "ve
     Products of matrices find the rows that may be among the k, and their distances are then computed as differences. Null vectors are no rows.
     """
     parts = []
+    text_batches(index.sparkSession)
     rows = index.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).where("v IS NOT NULL")
     for block in blocks(questions.where("qvec IS NOT NULL")):
         asked = block.select("qid", "qvec").toPandas()  # one block

@@ -376,3 +376,16 @@ def test_character_chunks_leave_in_bounded_batches(spark, monkeypatch):
     got = chunks.character_chunks(pages, 6).collect()
     assert spark.conf.get(key) == "512"
     assert sorted(map(tuple, got)) == sorted((d, 1, i, t) for d, c in texts.items() for i, t in enumerate(chunks.split_text(c or "", 6)))
+
+
+def test_searches_take_batches_of_fewer_rows(spark):
+    from paperlake.operators import search
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.createDataFrame([(i, f"word{i % 7} other{i % 3}", [float(i), 1.0]) for i in range(1200)], "doc_id long, text string, v array<double>")
+    spark.conf.set(key, "10000")
+    words = search.bm25_top(docs, spark.createDataFrame([(1, "word3 other1")], "qid long, question string"), 3).collect()
+    assert spark.conf.get(key) == "512" and sorted(r.id for r in words) == [10, 31, 52]
+    spark.conf.set(key, "10000")
+    near = search.vector_top(docs, spark.createDataFrame([(1, [600.2, 1.0])], "qid long, qvec array<double>"), 3, "doc_id", "v").collect()
+    assert spark.conf.get(key) == "512" and sorted(r.id for r in near) == [599, 600, 601]
