@@ -1,7 +1,7 @@
 """Stored indexes: collections of vectors and of postings, with append, slices, search, export and deletion.
 
-An index is a folder. `vectors` and `chunks` hold one row for each record and `postings` one for each
-term of a chunk, all in folders by collection; `secrets` has a digest for each protected collection.
+An index is a folder. `vectors` and `chunks` hold one row for each record, in folders by collection; a chunk's
+row has its postings too, as columns of their own. `secrets` has a digest for each protected collection.
 Appending adds files and never rewrites what is there; statistics are counted when a search runs.
 """
 
@@ -13,7 +13,6 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from paperlake.functions import text as T
 from paperlake.operators import search
 from paperlake.sources import files
 from paperlake.sources.shared import checkpoint
@@ -41,8 +40,7 @@ def _table(spark: SparkSession, root: str, kind: str, schema: str) -> DataFrame:
 
 
 _VECTORS = "pos long, id string, content string, metadata map<string,string>, vector array<double>, collection string"
-_CHUNKS = "id long, dl long, content string, metadata map<string,string>, collection string"
-_POSTINGS = "term string, id long, tf long, dl long, collection string"
+_CHUNKS = "id long, dl long, terms array<struct<term: string, tf: int>>, content string, metadata map<string,string>, collection string"
 
 
 def save_vectors(spark: SparkSession, root: str, records: DataFrame, normalize: bool = True, secrets: dict[str, str] | None = None) -> None:
@@ -91,7 +89,7 @@ def export(spark: SparkSession, root: str, path: str, start: int = 0, end: int =
 def delete_collection(spark: SparkSession, root: str, collection: str, secret: str | None = None) -> None:
     """Drop a collection from all tables; a protected one only with its secret, else an error."""
     _check(spark, root, collection, secret)
-    for kind in ("vectors", "chunks", "postings"):
+    for kind in ("vectors", "chunks"):
         files.delete(spark, f"{root}/{kind}/collection={collection}")
 
 
@@ -121,11 +119,9 @@ def search_vectors(spark: SparkSession, root: str, questions: DataFrame, k: int,
 
 
 def save_chunks(spark: SparkSession, root: str, chunks: DataFrame, secrets: dict[str, str] | None = None) -> None:
-    """Append chunks (collection, id, content, metadata) and their postings, sorted by term so that a search reads few row groups. Only new chunks are tokenised."""
-    toks = checkpoint(chunks.select("collection", "id", "content", "metadata", T.tokens(F.col("content")).alias("t")))
-    toks.select("id", F.size("t").cast("long").alias("dl"), "content", "metadata", "collection").write.mode("append").partitionBy("collection").parquet(f"{root}/chunks")
-    posted = toks.select("collection", "id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term")).groupBy("collection", "term", "id", "dl").agg(F.count("*").alias("tf"))
-    posted.select("term", "id", "tf", "dl", "collection").repartitionByRange("collection", "term", "id").sortWithinPartitions("collection", "term", "id").write.mode("append").partitionBy("collection").parquet(f"{root}/postings")
+    """Append chunks (collection, id, content, metadata) with their postings, in one pass over the new chunks alone: texts are put in the order of their folders, then tokenised and written where they are."""
+    rows = chunks.select("collection", "id", "content", "metadata").sortWithinPartitions("collection")
+    search.term_counts(rows, "content").select("id", "dl", "terms", "content", "metadata", "collection").write.mode("append").partitionBy("collection").parquet(f"{root}/chunks")
     _keep_secrets(spark, root, secrets)
 
 
@@ -134,16 +130,17 @@ def search_chunks(spark: SparkSession, root: str, questions: DataFrame, k: int,
     parts = []
     for c in [r["collection"] for r in questions.select("collection").distinct().collect()]:
         _check(spark, root, c, (secrets or {}).get(c))
-        stats = _table(spark, root, "chunks", _CHUNKS).where(F.col("collection") == c).agg(F.count("*").alias("n"), F.sum("dl").alias("len")).first()
-        postings = _table(spark, root, "postings", _POSTINGS).where(F.col("collection") == c)
+        chunks = _table(spark, root, "chunks", _CHUNKS).where(F.col("collection") == c)
+        stats = chunks.agg(F.count("*").alias("n"), F.sum("dl").alias("len")).first()
+        postings = chunks.select("id", "dl", F.explode_outer("terms").alias("p")).select("id", "dl", "p.*")
         for block in search.blocks(questions.where(F.col("collection") == c)):
             times = search.question_terms(block)
             terms = sorted(set(times["term"]))
             number = {t: i for i, t in enumerate(terms)}
             wanted = spark.createDataFrame(pd.DataFrame({"term": terms, "number": range(len(terms))}, columns=["term", "number"]), "term string, number int")
-            met = checkpoint(postings.join(F.broadcast(wanted), "term").select("id", "dl", "number", "tf"))
-            df = met.groupBy("number").agg(F.count("*").alias("df")).toPandas()  # a row for each term of the block
-            rows = met.groupBy("id", "dl").agg(F.flatten(F.collect_list(F.array_repeat("number", F.col("tf").cast("int")))).alias("terms"))
+            met = postings.join(F.broadcast(wanted), "term").groupBy("id", "dl").agg(F.flatten(F.collect_list(F.array_repeat("number", F.col("tf")))).alias("terms"))
+            rows = checkpoint(met)
+            df = rows.select(F.explode(F.array_distinct("terms")).alias("number")).groupBy("number").agg(F.count("*").alias("df")).toPandas()  # a row for each term of the block
             scores = search.score_terms(rows, times.assign(term=times["term"].map(number)), df, stats["n"], (stats["len"] or 0) / max(stats["n"], 1), search.K1, search.B, k)
             parts.append(search.top(scores, k).select(F.lit(c).alias("collection"), "qid", "id", "score", "rank"))
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "collection string, qid long, id long, score double, rank long")

@@ -35,6 +35,14 @@ def postings(chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return toks.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf")).select("id", "term", "tf", F.col("dl").cast("long").alias("dl"))
 
 
+def term_counts(rows: DataFrame, text_col: str = "text") -> DataFrame:
+    """Rows with `dl`, the tokens of their text, and `terms` (term, tf), how often each occurs. A row is counted in place: runs of equal tokens are found in its sorted tokens, and nothing is moved."""
+    s = rows.withColumn("__t", F.sort_array(T.tokens(F.col(text_col))))
+    s = s.withColumn("__s", F.filter(F.transform("__t", lambda t, i: F.when((i == 0) | (t != F.get("__t", i - 1)), i)), lambda i: i.isNotNull()))
+    runs = F.transform("__s", lambda a, i: F.struct(F.get("__t", a).alias("term"), (F.coalesce(F.get("__s", i + 1), F.size("__t")) - a).alias("tf")))
+    return s.withColumns({"dl": F.size("__t").cast("long"), "terms": runs}).drop("__t", "__s")
+
+
 def statistics(chunks: DataFrame, text_col: str = "text") -> DataFrame:
     """One row (n_docs, total_len): all that scoring needs besides postings."""
     return chunks.agg(F.count("*").alias("n_docs"), F.sum(F.size(T.tokens(F.col(text_col))).cast("long")).alias("total_len"))

@@ -63,6 +63,32 @@ def test_postings_grow_by_appending(spark, tmp_path):
     assert [(r.qid, r.id, r.score) for r in got] == [(r.qid, r.id, r.score) for r in want] and [r.id for r in got] == [2, 1]
 
 
+def test_an_id_that_is_appended_again_is_one_document(spark, tmp_path):
+    import duckdb
+
+    from paperlake.plans import oracles
+
+    root, texts = "file://" + str(tmp_path / "index"), [(1, "alpha beta"), (2, "beta beta beta"), (3, "the alpha"), (1, "Alpha gamma")]
+    rows = spark.createDataFrame(texts, "id long, content string").selectExpr("'lang-en' AS collection", "*", "CAST(map() AS map<string,string>) AS metadata")
+    for part in (rows.where("content <> 'Alpha gamma'"), rows.where("content = 'Alpha gamma'")):
+        index.save_chunks(spark, root, part)
+    q = spark.createDataFrame([(7, "lang-en", "alpha"), (8, "lang-en", "beta gamma")], "qid long, collection string, question string")
+    con = duckdb.connect()
+    con.sql(f"CREATE TABLE documents AS SELECT doc_id, text, 'en' AS lang FROM (VALUES {', '.join(map(str, texts))}) AS v(doc_id, text)")
+    con.sql("CREATE TABLE benchmark AS SELECT * FROM (VALUES (7, 'alpha'), (8, 'beta gamma')) AS v(item_id, text)")
+    got = index.search_chunks(spark, root, q, 5).select("collection", "qid", "id", "score", "rank").collect()
+    want = con.sql(oracles.SQL["chunk_index_search"])
+    assert sorted(map(tuple, got)) == sorted(want.fetchall()) and len(got) == 4
+
+
+def test_terms_are_counted_in_their_row(spark):
+    rows = spark.createDataFrame([(1, "beta Alpha beta the BETA a"), (2, None), (3, "zz"), (4, "")], "id long, text string")
+    got = search.term_counts(rows)
+    assert {r.id: (r.dl, [tuple(t) for t in r.terms]) for r in got.collect()} == {1: (4, [("alpha", 1), ("beta", 3)]), 2: (0, []), 3: (1, [("zz", 1)]), 4: (0, [])}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("regexp_extract_all") == 1
+
+
 def test_vectors_in_blocks_and_ties(spark):
     v = spark.createDataFrame([(i, [1.0, 0.0] if i % 2 else [0.0, float(i)]) for i in range(40)] + [(99, None)], "vec_id long, embedding array<double>")
     q = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(30)] + [(77, None)], "qid long, qvec array<double>")
