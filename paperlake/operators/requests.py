@@ -105,9 +105,14 @@ def with_metadata(docs: DataFrame) -> DataFrame:
     return docs.withColumns({c: F.coalesce(F.col(c), v) if c in have else v for c, v in fill.items()})
 
 
-def save_documents(rows: DataFrame, path: str, id_col: str = "document_id") -> None:
-    """Whole rows as JSON, in a folder for each document."""
-    rows.select(F.col(id_col), F.to_json(F.struct(*rows.columns)).alias("value")).write.mode("errorifexists").partitionBy(id_col).text(path)
+def save_documents(rows: DataFrame, path: str) -> None:
+    """Whole rows as lines of JSON, their document's id among them. Files follow the size of the table: a folder for each document would cost more than its few bytes."""
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.mode("errorifexists").text(path)
+
+
+def read_documents(spark: SparkSession, path: str, id_col: str = "document_id") -> DataFrame:
+    """(document_id, value) as save_documents wrote them, value a row's JSON."""
+    return spark.read.text(path).select(F.get_json_object("value", f"$.{id_col}").alias(id_col), "value")
 
 
 def save_chunks(chunks: DataFrame, path: str) -> None:

@@ -197,6 +197,20 @@ def test_requests_are_claimed_once(spark, tmp_path):
     assert requests.pseudo_request(spark, "D-5").first().document_id == "D-5"
 
 
+def test_results_of_many_documents_are_few_files(spark, tmp_path):
+    root, out = "file://" + str(tmp_path / "m"), tmp_path / "out"
+    listed = spark.range(300).selectExpr("concat('/in/', id, '.txt') AS path", "concat(id, '.txt') AS filename", "'txt' AS extension", "concat('c', id) AS claim")
+    requests.create_requests(spark, listed, root, "G-1", "/w", {"inference": {"enabled": True}})
+    results = requests.take_group(spark, root).select("document_id", "path", F.lit("line\nline \u00e9").alias("answer"), F.lit(None).cast("string").alias("none"))
+    requests.close_group(spark, root, "G-1", results.unionByName(results.limit(1).withColumn("document_id", F.lit("D-other"))), str(out))
+    kept = requests.read_documents(spark, str(out / "G-1")).collect()
+    want = {r.document_id: {"document_id": r.document_id, "path": r.path, "answer": r.answer} for r in results.collect()}
+    assert len(want) == len(kept) == 300 and {r.document_id: json.loads(r.value) for r in kept} == want
+    assert len(list(out.rglob("part-*"))) <= 20
+    with pytest.raises(Exception, match="(?i)exists"):
+        requests.save_documents(results, str(out / "G-1"))
+
+
 def test_sheets_chunks_and_archives(spark, tmp_path):
     sheet = spark.createDataFrame([("1", "a", 0), ("2", "b", 1), ("1", "b", 2)], "Q_No string, doc_name string, pos long")
     assert requests.query_sheet(sheet, "b").count() == 2
