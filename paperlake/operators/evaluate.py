@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
 from paperlake.functions import bbox
+from paperlake.sources.shared import text_batches
 
 FULL, PARTIAL = 80.0, 70.0
+#: Pairs of boxes that are compared at a time.
+_PAIRS = 1 << 18
 
 
 def _each_model(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -61,6 +71,120 @@ def with_unmatched(truth: DataFrame, found: DataFrame, matches: DataFrame) -> Da
     return matches.withColumn("status", F.lit("match-found")).unionByName(guessed)
 
 
+def outcome(truth: DataFrame, found: DataFrame, decimals: int = 2) -> DataFrame:
+    """with_unmatched of greedy_matches, in one pass: an image's boxes, the size of a page, are one row and are matched where they are."""
+    sides = ["x1", "y1", "x2", "y2"]
+
+    def numbers(df: DataFrame) -> list[Column]:
+        return [F.col(c).cast("long" if dict(df.dtypes)[c] in ("tinyint", "smallint", "int", "bigint") else "double").alias(c) for c in sides]
+
+    t = truth.select("image", F.struct("truth_id", *numbers(truth)).alias("t"))
+    d = found.where("image IS NOT NULL").select("image", F.struct("model", "det_id", *numbers(found)).alias("d"))
+    pages = t.unionByName(d, allowMissingColumns=True).groupBy("image").agg(F.sort_array(F.collect_list("t")).alias("truths"), F.sort_array(F.collect_list("d")).alias("founds")).where("size(truths) > 0")
+    kind = StructType.fromDDL("image int, truths int, founds int, got array<struct<t: int, d: int, m: int, overlap: double>>")
+    schema = StructType([*pages.schema.fields, kind["got"]])
+    text_batches(truth.sparkSession)  # a batch is what a task's Python holds
+    met = pages.mapInArrow(lambda batches: (_match_pages(b, decimals) for b in batches), schema)
+    models = found.where("model IS NOT NULL").agg(F.array_sort(F.collect_set("model")).alias("models")).withColumn("one", F.lit(1))
+    met = met.withColumn("one", F.lit(1)).join(F.broadcast(models), "one")
+
+    def row(model: Column, of: Column, to: Column, overlap: Column, status: Column) -> Column:
+        return F.struct(model.alias("model"), of.alias("truth_id"), to.alias("det_id"), overlap.alias("overlap"), status.alias("status"))
+
+    kinds, none = dict(found.dtypes), F.lit(None)
+    mine = F.transform("got", lambda g: row(
+        F.get("founds", g["m"])["model"], F.get("truths", g["t"])["truth_id"], F.get("founds", g["d"])["det_id"], g["overlap"],
+        F.when(g["overlap"].isNotNull(), "match-found").when(g["d"].isNotNull(), "match-not-found").otherwise("entity-not-extracted")))
+    absent = F.flatten(F.transform(F.array_except("models", F.transform("founds", lambda x: x["model"])), lambda m: F.transform("truths", lambda x: row(
+        m, x["truth_id"], none.cast(kinds["det_id"]), none.cast("double"), F.lit("entity-not-extracted")))))
+    return met.select("image", F.explode_outer(F.concat(mine, absent)).alias("r")).where("r IS NOT NULL").select("image", "r.model", "r.truth_id", "r.det_id", "r.overlap", "r.status")
+
+
+def _codes(starts: np.ndarray, *ids: pa.Array) -> np.ndarray:
+    """Numbers of runs of equal ids; each list's start begins a run."""
+    new = np.zeros(len(ids[0]) if ids else 0, dtype=bool)
+    for a in ids:
+        x, y = a[1:], a[:-1]
+        same = pc.or_(pc.fill_null(pc.equal(x, y), False), pc.and_(pc.is_null(x), pc.is_null(y)))
+        new[1:] |= ~same.to_numpy(zero_copy_only=False)
+    new[starts[starts < len(new)]] = True
+    return np.cumsum(new) - 1
+
+
+def _half_up(x: np.ndarray, decimals: int) -> np.ndarray:
+    """Rounded as Spark does: the number's shortest decimals, half up. x is positive."""
+    scaled = x * 10.0**decimals
+    out = np.floor(scaled + 0.5) / 10.0**decimals
+    for i in np.nonzero(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-4)[0]:
+        out[i] = float(Decimal(repr(float(x[i]))).quantize(Decimal(1).scaleb(-decimals), ROUND_HALF_UP))
+    return out
+
+
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray], first: np.ndarray, last: np.ndarray, decimals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, overlap) of the boxes that overlap, where row i of a meets the rows first[i] to last[i] of b."""
+    until, out, i = np.cumsum(last - first), [], 0
+    while i < len(first):
+        j = max(i + 1, int(np.searchsorted(until, (until[i - 1] if i else 0) + _PAIRS, side="right")))
+        n = (last - first)[i:j]
+        r = np.repeat(np.arange(i, j), n)
+        s = np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n) + first[r]
+        near = (a[0][r] < b[2][s]) & (b[0][s] < a[2][r]) & (a[1][r] < b[3][s]) & (b[1][s] < a[3][r])
+        out.append((r[near], s[near]))
+        i = j
+    r, s = (np.concatenate([x[k] for x in out]) if out else np.zeros(0, dtype=np.int64) for k in (0, 1))
+    (l, u, w, h), (p, q, v, z) = [x[r] for x in a], [x[s] for x in b]
+    inter = np.maximum(0, np.minimum(w, v) - np.maximum(l, p)) * np.maximum(0, np.minimum(h, z) - np.maximum(u, q))
+    union = np.maximum(0, w - l) * np.maximum(0, h - u) + np.maximum(0, v - p) * np.maximum(0, z - q) - inter
+    ok = union > 0
+    overlap = _half_up(100.0 * inter[ok] / union[ok], decimals)
+    some = overlap > 0
+    return r[ok][some], s[ok][some], overlap[some]
+
+
+def _match_pages(batch: pa.RecordBatch, decimals: int) -> pa.RecordBatch:
+    """Rows (image, truths, founds) with `got`: of each truth and model of the image, the places of truth and detection (null: none), one place of the model, and the overlap of a match."""
+    lists = [batch.column(n) for n in ("truths", "founds")]
+    (t, t_at), (d, d_at) = [(x.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(x).to_numpy(zero_copy_only=False))]).astype(np.int64)) for x in lists]
+    (ta, da) = [[x.field(c).to_numpy(zero_copy_only=False) for c in ("x1", "y1", "x2", "y2")] for x in (t, d)]
+    image = np.repeat(np.arange(len(t_at) - 1), np.diff(t_at))
+    tc, model, dc = _codes(t_at, t.field("truth_id")), _codes(d_at, d.field("model")), _codes(d_at, d.field("model"), d.field("det_id"))
+    r, s, overlap = _overlaps(ta, da, d_at[image], d_at[image + 1], decimals)
+    order = np.lexsort((dc[s], -overlap, tc[r], model[s]))
+    r, s, overlap = r[order], s[order], overlap[order]
+    matched, used = {}, set()
+    for key, x, i, j, o in zip(zip(tc[r].tolist(), model[s].tolist()), dc[s].tolist(), r.tolist(), s.tolist(), overlap.tolist()):
+        if key not in matched and x not in used:
+            used.add(x)
+            matched[key] = (i, j, o)
+    begins = np.nonzero(np.diff(model, prepend=-1))[0]
+    ends = np.append(begins[1:], len(model)) if len(begins) else begins
+    named = d.field("model").is_valid().to_numpy(zero_copy_only=False)
+    tl, dl, at, rows, sizes = tc.tolist(), dc.tolist(), 0, [], []
+    for i in range(len(t_at) - 1):
+        have = len(rows)
+        t0, t1, d0 = int(t_at[i]), int(t_at[i + 1]), int(d_at[i])
+        while at < len(begins) and begins[at] < d_at[i + 1]:
+            a, b = int(begins[at]), int(ends[at])
+            free = (j for j in range(a, b) if dl[j] not in used)
+            last = None
+            for k in range(t0, t1):
+                got = matched.get((tl[k], at))
+                if got is None:
+                    if named[a]:
+                        j = next(free, None)
+                        rows.append((k - t0, None if j is None else j - d0, a - d0, None))
+                elif last != tl[k]:
+                    rows.append((got[0] - t0, got[1] - d0, a - d0, got[2]))
+                last = tl[k]
+            at += 1
+        sizes.append(len(rows) - have)
+    cells = list(zip(*rows)) or [(), (), (), ()]
+    kinds = [("t", pa.int32()), ("d", pa.int32()), ("m", pa.int32()), ("overlap", pa.float64())]
+    values = pa.StructArray.from_arrays([pa.array(c, k) for c, (_, k) in zip(cells, kinds)], names=[n for n, _ in kinds])
+    got = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
+    return pa.RecordBatch.from_arrays([*batch.columns, got], names=[*batch.schema.names, "got"])
+
+
 def confusion(outcome: DataFrame, by: list[str]) -> DataFrame:
     """Per group: tp, fp, fn, precision, recall and accuracy (0 without a denominator); a match counts from FULL percent."""
     hit = (F.col("status") == "match-found") & (F.col("overlap") >= FULL)

@@ -41,7 +41,7 @@ def _boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def _outcome(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     truth, found = _boxes(spark, sf_dir)
-    return truth, found, evaluate.with_unmatched(truth, found, evaluate.greedy_matches(truth, found))
+    return truth, found, evaluate.outcome(truth, found)
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:

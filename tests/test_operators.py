@@ -87,6 +87,35 @@ def test_greedy_takes_the_next_best(spark):
     assert evaluate.greedy_matches(t, d.where("false")).count() == 0 and evaluate.greedy_matches(t.where("false"), d).count() == 0
 
 
+def test_outcome_in_one_pass(spark, monkeypatch):
+    import random
+
+    rng, box = random.Random(5), "x1 long, y1 long, x2 long, y2 long"
+
+    def boxes(n):
+        return [(x := rng.randrange(30), y := rng.randrange(30), x + rng.randrange(1, 25), y + rng.randrange(1, 25)) for _ in range(n)]
+
+    t = [(image, k, *b) for image in (1, 2, 3, 4, None) for k, b in enumerate(boxes(12))] + [(1, 3, 0, 0, 9, 9), (2, 20, 5, 5, 5, 5)]
+    d = [(image, m, k, *b) for image in (1, 2, 3, 9, None) for m in ("a", "b", None) if (image, m) != (3, "b") for k, b in enumerate(boxes(9))] + [(1, "a", 2, 0, 0, 8, 8), (2, "b", 30, 5, 5, 5, 5)]
+    d += [(4, "c", 1, None, 0, 9, 9)]
+    truth, found = spark.createDataFrame(t, f"image long, truth_id long, {box}"), spark.createDataFrame(d, f"image long, model string, det_id long, {box}")
+    for a, b in ((truth, found), (truth, found.where("image = 1")), (truth, found.where("false")), (truth.where("false"), found), (truth.selectExpr("string(image) AS image", "string(truth_id) AS truth_id", "x1 / 7.3D AS x1", "y1 / 7.3D AS y1", "x2 / 7.3D AS x2", "y2 / 7.3D AS y2"), found.selectExpr(
+            "string(image) AS image", "model", "string(det_id) AS det_id", "x1 / 7.3D AS x1", "y1 / 7.3D AS y1", "x2 / 7.3D AS x2", "y2 / 7.3D AS y2"))):
+        want, got = evaluate.with_unmatched(a, b, evaluate.greedy_matches(a, b)), evaluate.outcome(a, b)
+        assert got.dtypes == want.dtypes and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    plan = evaluate.outcome(truth, found)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+    x = [i / 8000 for i in range(1, 4000)] + [1.005, 2.675, 33.335]
+    want = spark.createDataFrame([(v,) for v in x], "v double").selectExpr("v", "round(v, 2) AS r").collect()
+    assert {r.v: r.r for r in want} == dict(zip(x, evaluate._half_up(evaluate.np.array(x), 2).tolist()))
+    monkeypatch.setattr(evaluate, "_PAIRS", 7)
+    a, b = ([evaluate.np.array(c) for c in zip(*boxes(20))] for _ in range(2))
+    first, last = evaluate.np.repeat([0, 5], 10), evaluate.np.repeat([5, 20], 10)
+    few = evaluate._overlaps(a, b, first, last, 2)
+    monkeypatch.undo()
+    assert all((p == q).all() for p, q in zip(few, evaluate._overlaps(a, b, first, last, 2))) and len(few[0])
+
+
 def test_more_than_a_thousand_models(spark):
     t = spark.createDataFrame([(1, 1, 0, 0, 10, 10)], "image long, truth_id long, x1 long, y1 long, x2 long, y2 long")
     d = spark.range(1001).selectExpr("1L AS image", "concat('m', id) AS model", "id AS det_id", "0L AS x1", "0L AS y1", "10L AS x2", "10L AS y2")
