@@ -31,8 +31,28 @@ def fetch_size(prefetch: int, top: int, total: int) -> int:
 
 def postings(chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, term, tf, dl): the index table of BM25; a chunk without tokens has no row."""
-    toks = chunks.select(F.col(id_col).alias("id"), T.tokens(F.col(text_col)).alias("t"))
-    return toks.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf")).select("id", "term", "tf", F.col("dl").cast("long").alias("dl"))
+    toks = chunks.select(F.col(id_col).alias("id"), T.tokens(F.col(text_col)).alias("t")).select("id", F.size("t").alias("dl"), "t")
+    each = toks.select("id", "dl", F.explode_outer("t").alias("term")).where("term IS NOT NULL")  # explode() would filter on the array's size, and so make the tokens twice
+    return each.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")).select("id", "term", "tf", F.col("dl").cast("long").alias("dl"))
+
+
+def term_statistics(chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(term, df, cf): how many ids have a term, and how often it occurs.
+
+    A row is counted where it is and only sums by term are shuffled; rows whose id comes again are put together first.
+    """
+    rows = chunks.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    again = checkpoint(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("again")))
+    repeats = not again.isEmpty()
+    same = F.col("id").eqNullSafe(F.col("again"))
+    once = rows.join(again, same, "left_anti") if repeats else rows
+    toks = once.select(T.tokens(F.col("text")).alias("t")).select("t", F.array_distinct("t").alias("u")).select(F.size("u").alias("m"), F.concat("u", "t").alias("all"))
+    each = toks.select("m", F.posexplode_outer("all").alias("at", "term")).where("term IS NOT NULL")
+    out = each.groupBy("term").agg(F.count_if(F.col("at") < F.col("m")).alias("df"), F.count_if(F.col("at") >= F.col("m")).alias("cf"))
+    if repeats:
+        p = postings(rows.join(again, same, "left_semi"), "id").groupBy("id", "term").agg(F.sum("tf").alias("tf"))
+        out = out.unionByName(p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+    return out
 
 
 def term_counts(rows: DataFrame, text_col: str = "text") -> DataFrame:
@@ -71,8 +91,8 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int | None) -> tuple[np.ndarra
 
 def matched_terms(chunks: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each chunk: (id, dl, terms), its tokens and the numbers of those that are wanted (term, number), with repeats."""
-    toks = chunks.select(F.col(id_col).alias("id"), T.tokens(F.col(text_col)).alias("t"))
-    each = toks.select("id", F.size("t").cast("long").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "t")).alias("term"))
+    toks = chunks.select(F.col(id_col).alias("id"), T.tokens(F.col(text_col)).alias("t")).select("id", F.size("t").cast("long").alias("dl"), "t")
+    each = toks.select("id", "dl", F.explode_outer(F.concat(F.array(F.lit(None).cast("string")), "t")).alias("term"))
     met = each.join(F.broadcast(wanted), "term", "left").where("term IS NULL OR number IS NOT NULL")
     return met.groupBy("id", "dl").agg(F.collect_list("number").alias("terms"))
 

@@ -81,8 +81,7 @@ def title_merge(spark, d):
 
 
 def bm25_stats(spark, d):
-    p = search.postings(_t(spark, d, "documents"))
-    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return search.term_statistics(_t(spark, d, "documents"))
 
 
 def _bm25(spark, d, k: int):

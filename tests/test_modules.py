@@ -89,6 +89,23 @@ def test_terms_are_counted_in_their_row(spark):
     assert "Exchange" not in plan and plan.count("regexp_extract_all") == 1
 
 
+def test_statistics_of_terms_by_id(spark):
+    texts = [(1, "beta Alpha beta"), (2, "alpha the"), (1, "alpha gamma gamma delta"), (3, None), (None, "alpha beta"), (None, "beta"), (4, "")]
+    for rows in (texts, [r for r in texts if r[0] in (2, 3, 4)], texts[:2], []):
+        ids, times = {}, {}
+        for i, text in rows:
+            for term in (text or "").lower().replace("the", "").split():
+                ids.setdefault(term, set()).add(i)
+                times[term] = times.get(term, 0) + 1
+        got = search.term_statistics(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert {r.term: (r.df, r.cf) for r in got.collect()} == {t: (len(ids[t]), times[t]) for t in ids} and got.count() == len(ids)
+    docs = spark.createDataFrame(texts[:2], "doc_id long, text string")
+    wanted = spark.createDataFrame([("alpha", 0)], "term string, number int")
+    for df in (search.term_statistics(docs), search.postings(docs), search.matched_terms(docs, wanted)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("regexp_extract_all") == 1
+    assert "HashAggregate(keys=[id" not in search.term_statistics(docs)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_vectors_in_blocks_and_ties(spark):
     v = spark.createDataFrame([(i, [1.0, 0.0] if i % 2 else [0.0, float(i)]) for i in range(40)] + [(99, None)], "vec_id long, embedding array<double>")
     q = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(30)] + [(77, None)], "qid long, qvec array<double>")
